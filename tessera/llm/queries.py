@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_dedup
+from tessera.llm import line_dedup, secrets, simhash, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_warc": op2_warc,
+    "op5_url_filter": op5_url_filter,
+    "op7_secret_scan": op7_secret_scan,
+    "op10_simhash": op10_simhash,
 }
 
 SQL = {
@@ -37,4 +57,44 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op2_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+        top AS (SELECT h, max(page_id) AS t FROM p WHERE n >= 1000 GROUP BY h)
+        SELECT p.page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
+               CASE WHEN t IS NOT NULL AND p.page_id IS DISTINCT FROM t THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id IS DISTINCT FROM t THEN t END AS refers_to
+        FROM p LEFT JOIN top ON p.h = top.h""",
+    "op5_url_filter": r"""
+        WITH p AS (
+          SELECT page_id,
+                 translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        rules(verdict, rule_host, rule_path) AS (
+          VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fit AS (
+          SELECT DISTINCT host, path,
+                 first_value(rule_host || rule_path) OVER w AS rule, first_value(verdict) OVER w AS v
+          FROM (SELECT DISTINCT host, path FROM p) q JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+          WINDOW w AS (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC)),
+        judged AS (SELECT p.*, rule, v FROM p LEFT JOIN fit USING (host, path)),
+        hosts AS (
+          SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, count(v)::DOUBLE AS n, count(*) FILTER (WHERE v = 'block')::DOUBLE AS bad FROM judged GROUP BY host),
+        named AS (SELECT host, n, bad, regexp_extract(bare, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(bare, '[^.]*$', 0) AS suffix FROM hosts),
+        domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+        levels AS (SELECT 's' AS l, n, bad FROM suffixes UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 'h', n, bad FROM named),
+        moments AS (
+          SELECT l, sum(bad) / sum(n) AS m, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) ^ 2 - (sum(bad) / sum(n)) * (1 - sum(bad) / sum(n)) * count(*) / sum(n) AS between_
+          FROM levels WHERE n > 0 GROUP BY l),
+        ks AS (SELECT l, greatest(1, least(1000, CASE WHEN between_ > 0 THEN m * (1 - m) / between_ - 1 ELSE 1000 END)) AS k FROM moments),
+        k AS (
+          SELECT coalesce((SELECT k FROM ks WHERE l = 's'), 1000) AS k1, coalesce((SELECT k FROM ks WHERE l = 'd'), 1000) AS k2, coalesce((SELECT k FROM ks WHERE l = 'h'), 1000) AS k3,
+                 (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM suffixes) AS m),
+        sm AS (SELECT suffix, (bad + k1 * m) / (n + k1) AS mean FROM suffixes, k),
+        dm AS (SELECT domain, (bad + k2 * mean) / (n + k2) AS mean FROM domains JOIN sm USING (suffix), k),
+        rated AS (SELECT host, (bad + k3 * mean) / (n + k3) AS mu, n + k3 AS t FROM named JOIN dm USING (domain), k)
+        SELECT page_id, host, path, rule,
+               coalesce(v, CASE WHEN mu - 1.645 * sqrt(mu * (1 - mu) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM judged JOIN rated USING (host)""",
 }

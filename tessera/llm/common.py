@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,21 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Ids up to this number are sent to all executors (8 bytes each, some 100 MB in memory at most).
+MOST_BROADCAST = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``gone``, a column of distinct keys.
+
+    The keys are written first and counted: a few are broadcast and the texts stay where
+    they are; more are hashed after a shuffle, so that texts needn't be sorted.
+    """
+    gone = materialize(gone.toDF("__gone"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("shuffle_hash")
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each (one row at least).
 

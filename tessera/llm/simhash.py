@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, without
 
 BITS = 64
 
@@ -251,6 +251,4 @@ def keep_one(docs: DataFrame, *, distance: int = 4, words: int = 4) -> DataFrame
     kept doc_id all stay.
     """
     found = near_duplicates(docs, distance=distance, words=words)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__sh_gone")).distinct()
-    # The id-only side is hashed, so the texts needn't be sorted.
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__sh_gone"], "left_anti")
+    return without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())

@@ -91,7 +91,7 @@ def row_mean(xs: list[Column]) -> Column:
 def row_spread(xs: list[Column]) -> Column:
     m = row_mean(xs)
     square = row_mean([x * x for x in xs])
-    return F.sqrt(F.greatest(square - m * m, F.lit(0.0)))
+    return F.when(m.isNotNull(), F.sqrt(F.greatest(square - m * m, F.lit(0.0))))
 
 
 def present(xs: list[Column]) -> Column:

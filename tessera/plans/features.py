@@ -30,10 +30,14 @@ def build(panel: DataFrame, series: dict[str, Column], cross: dict[str, Column],
 
 
 def compact(panel: DataFrame) -> DataFrame:
-    """29 features: values and ranks of all inputs, short histories of the first three."""
+    """29 features: values and ranks of all inputs, short histories of the first three.
+
+    Ranks take a sort each, so they come first, while rows are narrow.
+    """
     names = inputs(panel)
+    ranks = {f"{f}_rank": X.centred_rank(f) for f in names} | {"f1_demean": X.median_demean("f1")}
+    panel = W.with_ewma(panel, {"f1_ewma5": ("f1", 5, 2)}).select("*", *(c.alias(n) for n, c in ranks.items()))
     series: dict[str, Column] = {}
-    cross = {f"{f}_rank": X.centred_rank(f) for f in names}
     for f in names[:3]:
         series |= {f"{f}_lag1": W.lag(f), f"{f}_diff1": W.diff(f)}
     series |= {
@@ -43,14 +47,12 @@ def compact(panel: DataFrame) -> DataFrame:
         "f1_ma20": W.roll_mean("f1", 20, 4),
         "f1_sd20": W.roll_std("f1", 20, 4),
     }
-    panel = W.with_ewma(panel, {"f1_ewma5": ("f1", 5, 2)})
-    cross |= {"f1_roll_z": (F.col("f1") - F.col("f1_ma5")) / (F.col("f1_sd20") + W.EPS), "f1_mom_spread": F.col("f1_ma5") - F.col("f1_ma20"), "f1_demean": X.median_demean("f1")}
-    after = {}
+    mixed = {"f1_roll_z": (F.col("f1") - F.col("f1_ma5")) / (F.col("f1_sd20") + W.EPS), "f1_mom_spread": F.col("f1_ma5") - F.col("f1_ma20")}
     if len(names) >= 2:
-        after["rank12"] = F.col("f1_rank") - F.col("f2_rank")
+        mixed["rank12"] = F.col("f1_rank") - F.col("f2_rank")
     if len(names) >= 3:
-        after["rank13"] = F.col("f1_rank") - F.col("f3_rank")
-    return build(panel, series, cross, after)
+        mixed["rank13"] = F.col("f1_rank") - F.col("f3_rank")
+    return build(panel, series, mixed)
 
 
 def classic(panel: DataFrame) -> DataFrame:

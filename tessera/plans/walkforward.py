@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import cross as X
@@ -15,9 +15,11 @@ def split(panel: DataFrame, fraction: float = 0.20, most: int = 800, least_train
 
     The last max(2, min(most, ceil(fraction * n))) timestamps of a period are for validation.
     """
-    panel = panel.withColumn("n_times", (F.max("t").over(Window.partitionBy("period")) + 1))
+    # a row per period, joined back: windows over whole periods would put each into one task
+    sizes = panel.groupBy("period").agg((F.max("t") + 1).alias("n_times"))
     valid = F.greatest(F.lit(2), F.least(F.lit(most), F.ceil(F.col("n_times") * fraction)))
-    return panel.withColumn("train", F.col("t") < F.col("n_times") - valid).where(F.col("n_times") - valid >= least_train).drop("n_times")
+    sizes = sizes.select("period", (F.col("n_times") - valid).alias("cut")).where(F.col("cut") >= least_train)
+    return panel.join(sizes, "period").withColumn("train", F.col("t") < F.col("cut")).drop("cut")
 
 
 def shape_safe(frame: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cross as X
 from tessera.functions import windows as W
-from tessera.operators import joins, linear, sampling, selection
-from tessera.plans import finish, metrics
+from tessera.operators import gauge, joins, linear, neutral, preprocess, robust, sampling, selection
 from tessera.plans import features as sets
-from tessera.plans.walkforward import split
-from tessera.sources import panels
+from tessera.plans import finish, metrics, signals
+from tessera.plans.walkforward import split, walk_forward
+from tessera.sources import panels, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,13 +83,14 @@ def register(name: str, query: Query, sql: str | None = None, base: str = TRADE)
         SQL[name] = f"WITH {base}\n{sql}"
 
 
-def columns(name: str, spark_columns: dict[str, Column], sql_columns: dict[str, str], steps: Callable[[DataFrame], DataFrame] | None = None, sql_steps: str = "", source: str = "p") -> None:
+def columns(name: str, spark_columns: Callable[[], dict[str, Column]], sql_columns: dict[str, str], steps: Callable[[DataFrame], DataFrame] | None = None, sql_steps: str = "", source: str = "p") -> None:
     """A query of the keys and rounded columns. ``steps`` and ``sql_steps`` add columns before."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = trade(spark, sf_dir)
         frame = steps(frame) if steps else frame
-        return frame.select(*KEYS, *(c.alias(n) for n, c in spark_columns.items())).select(*KEYS, *(six(n).alias(n) for n in spark_columns))
+        made = spark_columns()
+        return frame.select(*KEYS, *(c.alias(n) for n, c in made.items())).select(*KEYS, *(six(n).alias(n) for n in made))
 
     picked = ", ".join(f"{c} AS {n}" for n, c in sql_columns.items())
     rounded = ", ".join(f"round({n}, 6) + 0 AS {n}" for n in sql_columns)
@@ -132,12 +133,12 @@ register("join_suffixes", lambda s, d: joins.merge(trade(s, d).groupBy("period")
 
 # -- series windows ---------------------------------------------------------------
 
-columns("w_lag", {f"lag{k}": W.lag("f1", k) for k in (1, 2, 3, 5)}, {f"lag{k}": f"lag(f1, {k}) OVER {WA}" for k in (1, 2, 3, 5)})
-columns("w_diff", {f"diff{k}": W.diff("f1", k) for k in (1, 3, 5)}, {f"diff{k}": f"f1 - lag(f1, {k}) OVER {WA}" for k in (1, 3, 5)})
+columns("w_lag", lambda: {f"lag{k}": W.lag("f1", k) for k in (1, 2, 3, 5)}, {f"lag{k}": f"lag(f1, {k}) OVER {WA}" for k in (1, 2, 3, 5)})
+columns("w_diff", lambda: {f"diff{k}": W.diff("f1", k) for k in (1, 3, 5)}, {f"diff{k}": f"f1 - lag(f1, {k}) OVER {WA}" for k in (1, 3, 5)})
 FRAMES = ((3, 2), (5, 2), (8, 3), (10, 3), (20, 4), (60, 5))
-columns("w_roll_mean", {f"ma{n}": W.roll_mean("f1", n, m) for n, m in FRAMES}, {f"ma{n}": roll_sql("avg", "f1", n, m) for n, m in FRAMES})
-columns("w_roll_std", {f"sd{n}": W.roll_std("f2", n, m) for n, m in FRAMES}, {f"sd{n}": roll_sql("stddev_pop", "f2", n, m) for n, m in FRAMES})
-columns("w_roll_minmax", {"low": W.roll_min("f1", 10, 3), "high": W.roll_max("f1", 20, 4)}, {"low": roll_sql("min", "f1", 10, 3), "high": roll_sql("max", "f1", 20, 4)})
+columns("w_roll_mean", lambda: {f"ma{n}": W.roll_mean("f1", n, m) for n, m in FRAMES}, {f"ma{n}": roll_sql("avg", "f1", n, m) for n, m in FRAMES})
+columns("w_roll_std", lambda: {f"sd{n}": W.roll_std("f2", n, m) for n, m in FRAMES}, {f"sd{n}": roll_sql("stddev_pop", "f2", n, m) for n, m in FRAMES})
+columns("w_roll_minmax", lambda: {"low": W.roll_min("f1", 10, 3), "high": W.roll_max("f1", 20, 4)}, {"low": roll_sql("min", "f1", 10, 3), "high": roll_sql("max", "f1", 20, 4)})
 
 
 def ewma_sql(x: str, span: int, least: int, name: str) -> str:
@@ -152,24 +153,42 @@ def ewma_sql(x: str, span: int, least: int, name: str) -> str:
 {name} AS (SELECT *, CASE WHEN count({x}) OVER (PARTITION BY period, asset ORDER BY t ROWS UNBOUNDED PRECEDING) >= {least} THEN exp(s) * sum(exp(-s) * ad) OVER (PARTITION BY period, asset ORDER BY t ROWS UNBOUNDED PRECEDING) END AS ew FROM {name}_c)"""
 
 
-columns("w_ewma", {"ew": F.col("ew")}, {"ew": "ew"}, lambda f: W.with_ewma(f, {"ew": ("f1", 5, 2)}), ewma_sql("f1", 5, 2, "e5"), "e5")
-columns("w_ewma_slow", {"ew": F.col("ew")}, {"ew": "ew"}, lambda f: W.with_ewma(f, {"ew": ("f2", 21, 5)}), ewma_sql("f2", 21, 5, "e21"), "e21")
+columns("w_ewma", lambda: {"ew": F.col("ew")}, {"ew": "ew"}, lambda f: W.with_ewma(f, {"ew": ("f1", 5, 2)}), ewma_sql("f1", 5, 2, "e5"), "e5")
+columns("w_ewma_slow", lambda: {"ew": F.col("ew")}, {"ew": "ew"}, lambda f: W.with_ewma(f, {"ew": ("f2", 21, 5)}), ewma_sql("f2", 21, 5, "e21"), "e21")
 MA5, MA20, MA60, SD20 = roll_sql("avg", "f1", 5, 2), roll_sql("avg", "f1", 20, 4), roll_sql("avg", "f1", 60, 5), roll_sql("stddev_pop", "f1", 20, 4)
-ma5, ma20, ma60, sd20 = W.roll_mean("f1", 5, 2), W.roll_mean("f1", 20, 4), W.roll_mean("f1", 60, 5), W.roll_std("f1", 20, 4)
-columns("w_roll_z", {"z": W.zscore("f1", ma5, sd20)}, {"z": f"(f1 - ({MA5})) / (({SD20}) + 1e-6)"})
-columns("w_mom_spread", {"short": ma5 - ma20, "long": ma5 - ma60}, {"short": f"({MA5}) - ({MA20})", "long": f"({MA5}) - ({MA60})"})
-columns("w_vol_adjusted", {"v": W.diff("f1") / (sd20 + W.EPS), "m3": W.diff("f1", 3) / (sd20 + W.EPS), "m5": W.diff("f1", 5) / (sd20 + W.EPS)}, {"v": f"(f1 - lag(f1) OVER {WA}) / (({SD20}) + 1e-6)", "m3": f"(f1 - lag(f1, 3) OVER {WA}) / (({SD20}) + 1e-6)", "m5": f"(f1 - lag(f1, 5) OVER {WA}) / (({SD20}) + 1e-6)"})
-columns("w_acceleration", {"v": W.acceleration("f1"), "trend": ma5 - 2 * ma20 + ma60}, {"v": f"f1 - 2 * lag(f1) OVER {WA} + lag(f1, 2) OVER {WA}", "trend": f"({MA5}) - 2 * ({MA20}) + ({MA60})"})
-columns("w_reversal", {"r5": ma5 - F.col("f1"), "r20": ma20 - F.col("f1")}, {"r5": f"({MA5}) - f1", "r20": f"({MA20}) - f1"})
-columns("w_range_position", {"r10": W.range_position("f1", 10, 3), "r20": W.range_position("f1", 20, 4)}, {f"r{n}": f"(f1 - ({roll_sql('min', 'f1', n, m)})) / (({roll_sql('max', 'f1', n, m)}) - ({roll_sql('min', 'f1', n, m)}) + 1e-6) - 0.5" for n, m in ((10, 3), (20, 4))})
-columns("w_vol_ratio", {"v": W.roll_std("f1", 10, 3) / (sd20 + W.EPS)}, {"v": f"({roll_sql('stddev_pop', 'f1', 10, 3)}) / (({SD20}) + 1e-6)"})
-columns("w_rank_history", {"lag1": W.lag("r"), "change": W.diff("r"), "persistence": F.col("r") * W.lag("r"), "turnover": F.abs(W.diff("r"))}, {"lag1": f"lag(r) OVER {WA}", "change": f"r - lag(r) OVER {WA}", "persistence": f"r * lag(r) OVER {WA}", "turnover": f"abs(r - lag(r) OVER {WA})"}, lambda f: f.withColumn("r", X.centred_rank("f1")), f", r AS (SELECT *, {centred_sql('f1')} AS r FROM p)", "r")
+
+
+# columns need a session, so they are made when a query runs
+def ma5() -> Column:
+    return W.roll_mean("f1", 5, 2)
+
+
+def ma20() -> Column:
+    return W.roll_mean("f1", 20, 4)
+
+
+def ma60() -> Column:
+    return W.roll_mean("f1", 60, 5)
+
+
+def sd20() -> Column:
+    return W.roll_std("f1", 20, 4)
+
+
+columns("w_roll_z", lambda: {"z": W.zscore("f1", ma5(), sd20())}, {"z": f"(f1 - ({MA5})) / (({SD20}) + 1e-6)"})
+columns("w_mom_spread", lambda: {"short": ma5() - ma20(), "long": ma5() - ma60()}, {"short": f"({MA5}) - ({MA20})", "long": f"({MA5}) - ({MA60})"})
+columns("w_vol_adjusted", lambda: {"v": W.diff("f1") / (sd20() + W.EPS), "m3": W.diff("f1", 3) / (sd20() + W.EPS), "m5": W.diff("f1", 5) / (sd20() + W.EPS)}, {"v": f"(f1 - lag(f1) OVER {WA}) / (({SD20}) + 1e-6)", "m3": f"(f1 - lag(f1, 3) OVER {WA}) / (({SD20}) + 1e-6)", "m5": f"(f1 - lag(f1, 5) OVER {WA}) / (({SD20}) + 1e-6)"})
+columns("w_acceleration", lambda: {"v": W.acceleration("f1"), "trend": ma5() - 2 * ma20() + ma60()}, {"v": f"f1 - 2 * lag(f1) OVER {WA} + lag(f1, 2) OVER {WA}", "trend": f"({MA5}) - 2 * ({MA20}) + ({MA60})"})
+columns("w_reversal", lambda: {"r5": ma5() - F.col("f1"), "r20": ma20() - F.col("f1")}, {"r5": f"({MA5}) - f1", "r20": f"({MA20}) - f1"})
+columns("w_range_position", lambda: {"r10": W.range_position("f1", 10, 3), "r20": W.range_position("f1", 20, 4)}, {f"r{n}": f"(f1 - ({roll_sql('min', 'f1', n, m)})) / (({roll_sql('max', 'f1', n, m)}) - ({roll_sql('min', 'f1', n, m)}) + 1e-6) - 0.5" for n, m in ((10, 3), (20, 4))})
+columns("w_vol_ratio", lambda: {"v": W.roll_std("f1", 10, 3) / (sd20() + W.EPS)}, {"v": f"({roll_sql('stddev_pop', 'f1', 10, 3)}) / (({SD20}) + 1e-6)"})
+columns("w_rank_history", lambda: {"lag1": W.lag("r"), "change": W.diff("r"), "persistence": F.col("r") * W.lag("r"), "turnover": F.abs(W.diff("r"))}, {"lag1": f"lag(r) OVER {WA}", "change": f"r - lag(r) OVER {WA}", "persistence": f"r * lag(r) OVER {WA}", "turnover": f"abs(r - lag(r) OVER {WA})"}, lambda f: f.withColumn("r", X.centred_rank("f1")), f", r AS (SELECT *, {centred_sql('f1')} AS r FROM p)", "r")
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = split(trade(spark, sf_dir))
     whole = sampling.bridge(parts.where("train"), parts.where("not train"), 64)
-    return whole.withColumn("v", ma20).where("is_new").select(*KEYS, six("v").alias("v"))
+    return whole.withColumn("v", ma20()).where("is_new").select(*KEYS, six("v").alias("v"))
 
 
 SPLIT = ", sizes AS (SELECT period, max(t) + 1 AS n FROM p GROUP BY period), sp AS (SELECT p.*, t < n - greatest(2, least(800, ceil(n * 0.2::DOUBLE))) AS train FROM p JOIN sizes USING (period) WHERE n - greatest(2, least(800, ceil(n * 0.2::DOUBLE))) >= 10)"
@@ -187,29 +206,29 @@ register("w_regime_baseline", regime, ", d AS (SELECT period, t, stddev_pop(f1)
 
 # -- cross-sections -----------------------------------------------------------------
 
-columns("x_centred_rank", {f"r{i}": X.centred_rank(f"f{i}") for i in (1, 2, 3)}, {f"r{i}": centred_sql(f"f{i}") for i in (1, 2, 3)})
-columns("x_percent_rank", {f"r{i}": X.percent_rank(f"f{i}") for i in (1, 2, 5)}, {f"r{i}": percent_sql(f"f{i}") for i in (1, 2, 5)})
-columns("x_ordinal_rank", {"r": X.ordinal_rank("f5")}, {"r": f"2.0::DOUBLE * (row_number() OVER (PARTITION BY period, t ORDER BY f5 NULLS FIRST, asset_ord) - 1) / greatest(count(*) OVER {WT} - 1, 1) - 1.0"})
-columns("x_demean", {"v": X.demean("f1")}, {"v": f"f1 - avg(f1) OVER {WT}"})
-columns("x_median_demean", {"v": X.median_demean("f1")}, {"v": f"f1 - median(f1) OVER {WT}"})
+columns("x_centred_rank", lambda: {f"r{i}": X.centred_rank(f"f{i}") for i in (1, 2, 3)}, {f"r{i}": centred_sql(f"f{i}") for i in (1, 2, 3)})
+columns("x_percent_rank", lambda: {f"r{i}": X.percent_rank(f"f{i}") for i in (1, 2, 5)}, {f"r{i}": percent_sql(f"f{i}") for i in (1, 2, 5)})
+columns("x_ordinal_rank", lambda: {"r": X.ordinal_rank("f5")}, {"r": f"2.0::DOUBLE * (row_number() OVER (PARTITION BY period, t ORDER BY f5 NULLS FIRST, asset_ord) - 1) / greatest(count(*) OVER {WT} - 1, 1) - 1.0"})
+columns("x_demean", lambda: {"v": X.demean("f1")}, {"v": f"f1 - avg(f1) OVER {WT}"})
+columns("x_median_demean", lambda: {"v": X.median_demean("f1")}, {"v": f"f1 - median(f1) OVER {WT}"})
 
 
 def robust_steps(frame: DataFrame) -> DataFrame:
     return frame.withColumn("dev", X.median_demean("f2")).withColumn("mad", X.median(F.abs(F.col("dev"))))
 
 
-columns("x_robust_z", {"z": X.over_deviation("dev", "mad", 6.0)}, {"z": "CASE WHEN dev IS NOT NULL AND mad <> 0 THEN least(greatest(dev / (1.4826 * mad + 1e-6), -6), 6) END"}, robust_steps, f", m1 AS (SELECT *, f2 - median(f2) OVER {WT} AS dev FROM p), m2 AS (SELECT *, median(abs(dev)) OVER {WT} AS mad FROM m1)", "m2")
-columns("x_universe", {"mean": X.mean("f1"), "std": X.dispersion("f1"), "above": X.above_median("f1")}, {"mean": f"avg(f1) OVER {WT}", "std": f"stddev_pop(f1) OVER {WT}", "above": f"avg(CASE WHEN f1 > med THEN 1.0::DOUBLE ELSE 0 END) OVER {WT}"}, lambda f: f.withColumn("__median", X.median("f1")), f", m AS (SELECT *, median(f1) OVER {WT} AS med FROM p)", "m")
-columns("x_dispersion", {"v": X.dispersion("f6")}, {"v": f"stddev_pop(f6) OVER {WT}"})
+columns("x_robust_z", lambda: {"z": X.over_deviation("dev", "mad", 6.0)}, {"z": "CASE WHEN dev IS NOT NULL AND mad <> 0 THEN least(greatest(dev / (1.4826 * mad + 1e-6), -6), 6) END"}, robust_steps, f", m1 AS (SELECT *, f2 - median(f2) OVER {WT} AS dev FROM p), m2 AS (SELECT *, median(abs(dev)) OVER {WT} AS mad FROM m1)", "m2")
+columns("x_universe", lambda: {"mean": X.mean("f1"), "std": X.dispersion("f1"), "above": X.above_median("f1")}, {"mean": f"avg(f1) OVER {WT}", "std": f"stddev_pop(f1) OVER {WT}", "above": f"avg(CASE WHEN f1 > med THEN 1.0::DOUBLE ELSE 0 END) OVER {WT}"}, lambda f: f.withColumn("__median", X.median("f1")), f", m AS (SELECT *, median(f1) OVER {WT} AS med FROM p)", "m")
+columns("x_dispersion", lambda: {"v": X.dispersion("f6")}, {"v": f"stddev_pop(f6) OVER {WT}"})
 RANKED = ", rk AS (SELECT *, " + ", ".join(f"{centred_sql(f'f{i}')} AS r{i}" for i in (1, 2, 3)) + " FROM p)"
 with_ranks = lambda f: f.select("*", *(X.centred_rank(f"f{i}").alias(f"r{i}") for i in (1, 2, 3)))
-r1, r2, r3 = (F.col(f"r{i}") for i in (1, 2, 3))
-columns("x_rank_mix", {"spread": r1 - r2, "total": r1 + r2, "product": r1 * r2, "agree": 0.5 * (r1 + r2), "core": 0.55 * r1 - 0.30 * r2 + 0.15 * r3, "curve": r1 + r2 - 2 * r3}, {"spread": "r1 - r2", "total": "r1 + r2", "product": "r1 * r2", "agree": "0.5::DOUBLE * (r1 + r2)", "core": "0.55::DOUBLE * r1 - 0.30::DOUBLE * r2 + 0.15::DOUBLE * r3", "curve": "r1 + r2 - 2 * r3"}, with_ranks, RANKED, "rk")
-columns("x_rank_mean", {"mean": X.row_mean([r1, r2, r3]), "spread": X.row_spread([r1, r2, r3])}, {"mean": "(r1 + r2 + r3) / 3", "spread": "CASE WHEN r1 + r2 + r3 IS NOT NULL THEN sqrt(greatest((r1 * r1 + r2 * r2 + r3 * r3) / 3 - ((r1 + r2 + r3) / 3) * ((r1 + r2 + r3) / 3), 0)) END"}, with_ranks, RANKED, "rk")
-columns("x_consensus", {"mean": X.present_mean([r1, r2, r3]), "spread": X.present_spread([r1, r2, r3]), "width": X.present_range([r1, r2, r3])}, {"mean": "list_avg([r1, r2, r3])", "spread": "list_stddev_pop([r1, r2, r3])", "width": "greatest(r1, r2, r3) - least(r1, r2, r3)"}, with_ranks, RANKED, "rk")
-columns("x_interaction", {"v": F.col("f1") * r1, "mean": (F.col("f1") * r1 + F.col("f2") * r2) / 2}, {"v": "f1 * r1", "mean": "(f1 * r1 + f2 * r2) / 2"}, with_ranks, RANKED, "rk")
-columns("x_momentum_mean", {"momentum": (F.col("m1") + F.col("m2")) / 2, "reversion": (F.col("v1") + F.col("v2")) / 2}, {"momentum": "(m1 + m2) / 2", "reversion": "(v1 + v2) / 2"}, lambda f: f.select("*", *(W.diff(f"f{i}", 5).alias(f"m{i}") for i in (1, 2)), *((W.roll_mean(f"f{i}", 20, 3) - F.col(f"f{i}")).alias(f"v{i}") for i in (1, 2))), ", mm AS (SELECT *, " + ", ".join(f"f{i} - lag(f{i}, 5) OVER {WA} AS m{i}, ({roll_sql('avg', f'f{i}', 20, 3)}) - f{i} AS v{i}" for i in (1, 2)) + " FROM p)", "mm")
-columns("x_ranked_momentum", {"d1": X.centred_rank("a"), "vol": X.centred_rank("b")}, {"d1": centred_sql("a"), "vol": centred_sql("b")}, lambda f: f.withColumn("a", W.diff("f1")).withColumn("b", F.col("a") / (W.roll_std("f1", 12, 3) + W.EPS)), f", a1 AS (SELECT *, f1 - lag(f1) OVER {WA} AS a FROM p), a2 AS (SELECT *, a / (({roll_sql('stddev_pop', 'f1', 12, 3)}) + 1e-6) AS b FROM a1)", "a2")
+r1, r2, r3 = (lambda: F.col("r1")), (lambda: F.col("r2")), (lambda: F.col("r3"))
+columns("x_rank_mix", lambda: {"spread": r1() - r2(), "total": r1() + r2(), "product": r1() * r2(), "agree": 0.5 * (r1() + r2()), "core": 0.55 * r1() - 0.30 * r2() + 0.15 * r3(), "curve": r1() + r2() - 2 * r3()}, {"spread": "r1 - r2", "total": "r1 + r2", "product": "r1 * r2", "agree": "0.5::DOUBLE * (r1 + r2)", "core": "0.55::DOUBLE * r1 - 0.30::DOUBLE * r2 + 0.15::DOUBLE * r3", "curve": "r1 + r2 - 2 * r3"}, with_ranks, RANKED, "rk")
+columns("x_rank_mean", lambda: {"mean": X.row_mean([r1(), r2(), r3()]), "spread": X.row_spread([r1(), r2(), r3()])}, {"mean": "(r1 + r2 + r3) / 3", "spread": "CASE WHEN r1 + r2 + r3 IS NOT NULL THEN sqrt(greatest((r1 * r1 + r2 * r2 + r3 * r3) / 3 - ((r1 + r2 + r3) / 3) * ((r1 + r2 + r3) / 3), 0)) END"}, with_ranks, RANKED, "rk")
+columns("x_consensus", lambda: {"mean": X.present_mean([r1(), r2(), r3()]), "spread": X.present_spread([r1(), r2(), r3()]), "width": X.present_range([r1(), r2(), r3()])}, {"mean": "list_avg([r1, r2, r3])", "spread": "list_stddev_pop([r1, r2, r3])", "width": "greatest(r1, r2, r3) - least(r1, r2, r3)"}, with_ranks, RANKED, "rk")
+columns("x_interaction", lambda: {"v": F.col("f1") * r1(), "mean": (F.col("f1") * r1() + F.col("f2") * r2()) / 2}, {"v": "f1 * r1", "mean": "(f1 * r1 + f2 * r2) / 2"}, with_ranks, RANKED, "rk")
+columns("x_momentum_mean", lambda: {"momentum": (F.col("m1") + F.col("m2")) / 2, "reversion": (F.col("v1") + F.col("v2")) / 2}, {"momentum": "(m1 + m2) / 2", "reversion": "(v1 + v2) / 2"}, lambda f: f.select("*", *(W.diff(f"f{i}", 5).alias(f"m{i}") for i in (1, 2)), *((W.roll_mean(f"f{i}", 20, 3) - F.col(f"f{i}")).alias(f"v{i}") for i in (1, 2))), ", mm AS (SELECT *, " + ", ".join(f"f{i} - lag(f{i}, 5) OVER {WA} AS m{i}, ({roll_sql('avg', f'f{i}', 20, 3)}) - f{i} AS v{i}" for i in (1, 2)) + " FROM p)", "mm")
+columns("x_ranked_momentum", lambda: {"d1": X.centred_rank("a"), "vol": X.centred_rank("b")}, {"d1": centred_sql("a"), "vol": centred_sql("b")}, lambda f: f.withColumn("a", W.diff("f1")).withColumn("b", F.col("a") / (W.roll_std("f1", 12, 3) + W.EPS)), f", a1 AS (SELECT *, f1 - lag(f1) OVER {WA} AS a FROM p), a2 AS (SELECT *, a / (({roll_sql('stddev_pop', 'f1', 12, 3)}) + 1e-6) AS b FROM a1)", "a2")
 
 
 def corr_sql(a: str, b: str) -> str:
@@ -220,9 +239,9 @@ def corr_sql(a: str, b: str) -> str:
 
 
 register("x_row_correlation", lambda s, d: trade(s, d).groupBy("period", "t").agg(*X.correlation_sums("f2", "f3")).select("period", "t", six(X.correlation()).alias("c")), f"SELECT period, t, round({corr_sql('f2', 'f3')}, 6) + 0 AS c FROM p GROUP BY period, t")
-columns("x_rank_target", {"v": 2 * (X.percent_rank("y") - 0.5)}, {"v": f"2 * ({percent_sql('y')} - 0.5::DOUBLE)"})
-columns("x_z_target", {"v": X.clip(F.col("y") / F.coalesce(F.when(F.stddev_samp("y").over(X.by_time()) >= 1e-6, F.stddev_samp("y").over(X.by_time())), F.lit(1.0)), -2.5, 2.5)}, {"v": f"CASE WHEN y IS NOT NULL THEN least(greatest(y / coalesce(CASE WHEN stddev_samp(y) OVER {WT} >= 1e-6 THEN stddev_samp(y) OVER {WT} END, 1), -2.5), 2.5) END"})
-columns("x_agreement_gate", {"gate": 0.75 + 0.25 * X.clip(X.window_correlation("f2", "r2"), 0, 1)}, {"gate": f"0.75 + 0.25 * least(greatest(CASE WHEN sqrt(va * vb) > 1e-12 THEN (ab - ma * mb) / sqrt(va * vb) ELSE 0 END, 0), 1)"}, with_ranks, RANKED + f", g AS (SELECT *, avg(f2) OVER {WT} AS ma, avg(r2) OVER {WT} AS mb, avg(f2 * r2) OVER {WT} AS ab, greatest(avg(f2 * f2) OVER {WT} - (avg(f2) OVER {WT}) ^ 2, 0) AS va, greatest(avg(r2 * r2) OVER {WT} - (avg(r2) OVER {WT}) ^ 2, 0) AS vb FROM rk)", "g")
+columns("x_rank_target", lambda: {"v": 2 * (X.percent_rank("y") - 0.5)}, {"v": f"2 * ({percent_sql('y')} - 0.5::DOUBLE)"})
+columns("x_z_target", lambda: {"v": X.clip(F.col("y") / F.coalesce(F.when(F.stddev_samp("y").over(X.by_time()) >= 1e-6, F.stddev_samp("y").over(X.by_time())), F.lit(1.0)), -2.5, 2.5)}, {"v": f"CASE WHEN y IS NOT NULL THEN least(greatest(y / coalesce(CASE WHEN stddev_samp(y) OVER {WT} >= 1e-6 THEN stddev_samp(y) OVER {WT} END, 1), -2.5), 2.5) END"})
+columns("x_agreement_gate", lambda: {"gate": 0.75 + 0.25 * X.clip(X.window_correlation("f2", "r2"), 0, 1)}, {"gate": f"0.75 + 0.25 * least(greatest(CASE WHEN sqrt(va * vb) > 1e-12 THEN (ab - ma * mb) / sqrt(va * vb) ELSE 0 END, 0), 1)"}, with_ranks, RANKED + f", g AS (SELECT *, avg(f2) OVER {WT} AS ma, avg(r2) OVER {WT} AS mb, avg(f2 * r2) OVER {WT} AS ab, greatest(avg(f2 * f2) OVER {WT} - (avg(f2) OVER {WT}) ^ 2, 0) AS va, greatest(avg(r2 * r2) OVER {WT} - (avg(r2) OVER {WT}) ^ 2, 0) AS vb FROM rk)", "g")
 
 
 def orthogonal(frame: DataFrame) -> DataFrame:
@@ -233,7 +252,7 @@ def orthogonal(frame: DataFrame) -> DataFrame:
     return frame.withColumn("a", F.col("a") - share * F.col("b"))
 
 
-columns("x_orthogonal", {"v": X.demean("a")}, {"v": f"a2 - avg(a2) OVER {WT}"}, orthogonal, f", o1 AS (SELECT *, coalesce(f2 - avg(f2) OVER {WT}, 0) AS a, coalesce(f3 - avg(f3) OVER {WT}, 0) AS b FROM p), o2 AS (SELECT *, a - CASE WHEN sum(b * b) OVER {WT} > 1e-10 THEN sum(a * b) OVER {WT} / sum(b * b) OVER {WT} ELSE 0 END * b AS a2 FROM o1)", "o2")
+columns("x_orthogonal", lambda: {"v": X.demean("a")}, {"v": f"a2 - avg(a2) OVER {WT}"}, orthogonal, f", o1 AS (SELECT *, coalesce(f2 - avg(f2) OVER {WT}, 0) AS a, coalesce(f3 - avg(f3) OVER {WT}, 0) AS b FROM p), o2 AS (SELECT *, a - CASE WHEN sum(b * b) OVER {WT} > 1e-10 THEN sum(a * b) OVER {WT} / sum(b * b) OVER {WT} ELSE 0 END * b AS a2 FROM o1)", "o2")
 register("x_proxy_correlation", lambda s, d: trade(s, d).agg(*X.correlation_sums("y", "f2", "_2"), *X.correlation_sums("y", "f3", "_3")).select(six(F.greatest(F.abs(X.correlation("_2")), F.abs(X.correlation("_3")))).alias("most")), f"SELECT round(greatest(abs({corr_sql('y', 'f2')}), abs({corr_sql('y', 'f3')})), 6) + 0 AS most FROM p")
 
 PRED = f", raw AS (SELECT period, t, asset, asset_ord, y, coalesce({centred_sql('f1')}, 0) AS raw FROM p), pr AS (SELECT *, raw - avg(raw) OVER {WT} AS pred FROM raw)"
@@ -293,7 +312,6 @@ def ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("period", *(six(c).alias(c) for c in out.columns if c != "period"))
 
 
-PM = lambda x: PERIODS.replace("f1", x).removeprefix(", ") if x != "f1" else PERIODS
 register("a_compare_models", ab, None)
 
 
@@ -324,3 +342,54 @@ COMPACT = ewma_sql("f1", 5, 2, "e5") + f""", fs AS (SELECT *, ew AS f1_ewma5, {M
 fz AS (SELECT *, (f1 - f1_ma5) / (f1_sd20 + 1e-6) AS f1_roll_z, f1_ma5 - f1_ma20 AS f1_mom_spread, f1_rank - f2_rank AS rank12, f1_rank - f3_rank AS rank13 FROM fs)"""
 COMPACT_NAMES = [f"f{i}" for i in range(1, 7)] + [f"f{i}_rank" for i in range(1, 7)] + [f"f{i}_{k}" for i in (1, 2, 3) for k in ("lag1", "diff1")] + [f"f1_{k}" for k in ("lag3", "diff3", "ma5", "ma20", "sd20", "ewma5", "roll_z", "mom_spread", "demean")] + ["rank12", "rank13"]
 register("features_compact", lambda s, d: sets.compact(panels.trade_panel(s, d)).select(*KEYS, *(six(n).alias(n) for n in COMPACT_NAMES)), f"{COMPACT} SELECT period, t, asset, " + ", ".join(f"round({n}, 6) + 0 AS {n}" for n in COMPACT_NAMES) + " FROM fz")
+
+# -- models: SQL can't solve for coefficients, so tests compare these with plain NumPy --------
+
+
+def predictions(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.plans import registry
+
+        panel = trade(spark, sf_dir).withColumn("y", F.col("y") / 1e6)  # of the size that models clip at
+        return registry.run(panel, name).select(*KEYS, six("pred").alias("pred"))
+
+    return query
+
+
+for _name in ("v01", "v02", "v06", "v07", "v09", "v11", "v13", "v16", "v19", "v20", "v21", "v23", "v30", "v33", "v34a", "v35", "v36", "v37", "v43", "v44"):
+    register(f"model_{_name}", predictions(_name))
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.apply(trade(spark, sf_dir), preprocess.fit(trade(spark, sf_dir), ["f1", "f2", "f3"], ["period"]), ["f1", "f2", "f3"], ["period"])
+
+
+register("m_scaler_fit", lambda s, d: preprocess.fit(trade(s, d), ["f1", "f2"], ["period"]).select("period", "feature", *(six(c).alias(c) for c in ("impute", "low", "high", "centre", "scale"))), ", u AS (SELECT period, 'f1' AS feature, f1 AS v FROM p UNION ALL SELECT period, 'f2', f2 FROM p), i AS (SELECT period, feature, median(v) AS impute FROM u GROUP BY 1, 2), c AS (SELECT period, feature, impute, quantile_cont(coalesce(v, impute), 0.01) AS low, quantile_cont(coalesce(v, impute), 0.99) AS high FROM u JOIN i USING (period, feature) GROUP BY ALL), k AS (SELECT c.*, least(greatest(coalesce(v, impute), low), high) AS x FROM u JOIN c USING (period, feature)), m AS (SELECT period, feature, impute, low, high, median(x) AS centre, stddev_pop(x) AS sd FROM k GROUP BY ALL), z AS (SELECT m.*, 1.4826::DOUBLE * median(abs(x - centre)) AS mad FROM k JOIN m USING (period, feature) GROUP BY ALL) SELECT period, feature, round(impute, 6) + 0 AS impute, round(low, 6) + 0 AS low, round(high, 6) + 0 AS high, round(centre, 6) + 0 AS centre, round(CASE WHEN mad >= 1e-8 THEN mad WHEN sd >= 1e-8 THEN sd ELSE 1 END, 6) + 0 AS scale FROM z")
+register("m_ridge", lambda s, d: robust.ridge(linear.with_recency(scaled(s, d).where("y is not null"), 0.3), ["f1", "f2", "f3"], "y", "w", ["period"], 12.0).select("period", *(six(F.col("coefficients")[i]).alias(f"c{i + 1}") for i in range(3))))
+register("m_huber", lambda s, d: robust.huber(linear.with_recency(scaled(s, d).where("y is not null"), 0.3), ["f1", "f2", "f3"], "y", "w", ["period"], 16.0).select("period", *(six(F.col("coefficients")[i]).alias(f"c{i + 1}") for i in range(3))))
+register("m_weights", lambda s, d: linear.with_recency(trade(s, d), 0.3).groupBy("period", "t").agg(F.max("w").alias("w")).withColumn("fast", F.col("w") / F.avg("w").over(Window.partitionBy("period"))).select("period", "t", six("w").alias("w"), six("fast").alias("scaled")), ", s AS (SELECT period, t, exp(-(max(t) OVER (PARTITION BY period) - t) / greatest(1.0::DOUBLE, (max(t) OVER (PARTITION BY period) + 1) * 0.3::DOUBLE)) AS w FROM (SELECT DISTINCT period, t FROM p) q) SELECT period, t, round(w, 6) + 0 AS w, round(w / avg(w) OVER (PARTITION BY period), 6) + 0 AS scaled FROM s")
+register("x_neutralise", lambda s, d: neutral.neutralise(trade(s, d).select(*KEYS, (F.col("y") / 1e6).alias("v"), X.centred_rank("f2").alias("a"), X.centred_rank("f3").alias("b")), "v", ["a", "b"], "left_over").select(*KEYS, six("left_over").alias("v")), RANKED + f", n1 AS (SELECT period, t, asset, coalesce(y / 1e6, 0) - avg(coalesce(y / 1e6, 0)) OVER {WT} AS v, coalesce(r2, 0) - avg(coalesce(r2, 0)) OVER {WT} AS a, coalesce(r3, 0) - avg(coalesce(r3, 0)) OVER {WT} AS b FROM rk), n2 AS (SELECT *, sum(a * a) OVER {WT} + 0.35 AS aa, sum(b * b) OVER {WT} + 0.35 AS bb, sum(a * b) OVER {WT} AS ab, sum(a * v) OVER {WT} AS av, sum(b * v) OVER {WT} AS bv FROM n1) SELECT period, t, asset, round(v - (av * bb - bv * ab) / (aa * bb - ab * ab) * a - (bv * aa - av * ab) / (aa * bb - ab * ab) * b, 6) + 0 AS v FROM n2")
+register("m_gauge_fix", lambda s, d: gauge.gauge_fix(predicted(s, d)).select(*KEYS, six("pred").alias("pred")))
+register("a_novelty", lambda s, d: gauge.novelty(predicted(s, d)).select(six("angle").alias("angle"), "nearest"))
+register("a_components", lambda s, d: metrics.components(walk_forward(trade(s, d), "v37"), ("ridge", "rank")).select("component", *(six(c).alias(c) for c in ("sharpe", "ic", "concentration"))))
+register("l_stability", lambda s, d: selection.stability(trade(s, d), "y", ["f1", "f2", "f3"]).select("feature", six("score").alias("score")), ", u AS (" + " UNION ALL ".join(f"SELECT period, t, y, 'f{i}' AS feature, f{i} AS v FROM p" for i in (1, 2, 3)) + f"), c AS (SELECT period, t, feature, {corr_sql('v', 'y')} AS c FROM u GROUP BY 1, 2, 3), s AS (SELECT feature, avg(c) AS m, coalesce(stddev_pop(c), 0) AS sd, avg(CASE WHEN sign(c) = 1 THEN 1.0::DOUBLE ELSE 0 END) AS up FROM c GROUP BY 1) SELECT feature, round(abs(m) * (0.5::DOUBLE + 0.5::DOUBLE * greatest(up, 1 - up)) / (0.05::DOUBLE + sd), 6) + 0 AS score FROM s")
+register("source_synthetic", lambda s, d: synthetic.dataset(s, 4, 40, 8).select(*KEYS, *(six(c).alias(c) for c in ("f1", "f2", "f3", "f4", "f5", "f6", "y"))))
+register("source_smoke", lambda s, d: synthetic.smoke_panel(s).select(*KEYS, six("f1").alias("f1"), six("y").alias("y")))
+
+
+def wide_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide frame with a column per feature and asset, back in long form."""
+    long = trade(spark, sf_dir).where("period = 1995 and asset in ('NATION_3', 'NATION_7')")
+    cells = [F.max(F.when(F.col("asset") == a, F.col(f))).alias(f"{f}|{a}") for f in ("f1", "f2") for a in ("NATION_3", "NATION_7")]
+    return panels.from_wide(long.groupBy(F.col("t").alias("time")).agg(*cells)).select("t", "asset", six("f1").alias("f1"), six("f2").alias("f2"))
+
+
+register("source_wide", wide_source, "SELECT t, asset, round(f1, 6) + 0 AS f1, round(f2, 6) + 0 AS f2 FROM p WHERE period = 1995 AND asset IN ('NATION_3', 'NATION_7')")
+
+
+def regime_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.regime_signal(trade(spark, sf_dir)).select(*KEYS, six("signal").alias("signal"))
+
+
+register("x_regime_signal", regime_signal)
+register("x_adaptive_share", lambda s, d: signals.adaptive_share(walk_forward(trade(s, d).withColumn("y", F.col("y") / 1e6), "v32")).select(*KEYS, six("pred").alias("pred")))

@@ -73,6 +73,18 @@ def six(x: Column | str) -> Column:
     return F.round(W.column(x), 6) + F.lit(0.0)
 
 
+#: Shares of ranks are often halves in the seventh digit, where engines round differently.
+RATIOS = {"sharpe", "ic", "ic_std", "concentration", "compression", "compression_loss", "ic_dispersion_corr", "pred_scale"}
+
+
+def digits(name: str) -> int:
+    return 9 if name in RATIOS else 6
+
+
+def fine(name: str) -> Column:
+    return F.round(F.col(name), digits(name)) + F.lit(0.0)
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.with_target(panels.trade_panel(spark, sf_dir))
 
@@ -284,13 +296,13 @@ def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("a_gram", gram, ", s AS (SELECT period, coalesce(f1, 0) / 1e6 AS x1, coalesce(f2, 0) / 10 AS x2, coalesce(f3, 0) / 10 AS x3, y / 1e6 AS y, exp(-(max(t) OVER (PARTITION BY period) - t) / greatest(1.0::DOUBLE, (max(t) OVER (PARTITION BY period) + 1) * 0.3::DOUBLE)) AS w FROM p WHERE y IS NOT NULL) SELECT period, " + ", ".join(f"round(sum(w * x{a} * x{b}), 6) + 0 AS g{k}" for k, (a, b) in enumerate(((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)))) + ", " + ", ".join(f"round(sum(w * x{a} * y), 6) + 0 AS r{a - 1}" for a in (1, 2, 3)) + " FROM s GROUP BY period")
 ROWS = f"{PRED}, mr AS (SELECT *, lead(y) OVER {WA} AS ahead, max(t) OVER (PARTITION BY period) AS last, {percent_sql('pred')} AS rp, {percent_sql('y')} AS ry, tanh(pred / greatest(stddev_pop(pred) OVER {WT}, 1e-6)) AS sq FROM pr), rw AS (SELECT period, t, CASE WHEN t < any_value(last) THEN CASE WHEN sum(abs(pred)) > 1e-12 THEN coalesce(sum(pred * ahead), 0) / sum(abs(pred)) ELSE 0 END END AS ret, {corr_sql('rp', 'ry')} AS ic, {corr_sql('pred', 'sq')} AS compression, stddev_pop(y) AS dispersion, stddev_pop(pred) AS pred_scale, sum(pred * pred) / greatest(sum(abs(pred)) ^ 2, 1e-15) AS concentration FROM mr GROUP BY period, t)"
-register("a_rows", lambda s, d: metrics.rows(predicted(s, d)).select("period", "t", *(six(c).alias(c) for c in ("ret", "ic", "compression", "dispersion", "pred_scale", "concentration"))), f"{ROWS} SELECT period, t, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in ("ret", "ic", "compression", "dispersion", "pred_scale", "concentration")) + " FROM rw")
+register("a_rows", lambda s, d: metrics.rows(predicted(s, d)).select("period", "t", *(fine(c).alias(c) for c in ("ret", "ic", "compression", "dispersion", "pred_scale", "concentration"))), f"{ROWS} SELECT period, t, " + ", ".join(f"round({c}, {digits(c)}) + 0 AS {c}" for c in ("ret", "ic", "compression", "dispersion", "pred_scale", "concentration")) + " FROM rw")
 SHARPE = "CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) ELSE 0 END"
-register("a_statistics", lambda s, d: metrics.statistics(predicted(s, d)).select("periods", "observations", *(six(c).alias(c) for c in ("sharpe", "ic", "ic_std", "concentration", "compression_loss", "ic_dispersion_corr"))), f"{ROWS} SELECT count(DISTINCT period) AS periods, count(*) AS observations, round({SHARPE}, 6) + 0 AS sharpe, round(avg(ic), 6) + 0 AS ic, round(coalesce(stddev_samp(ic), 0), 6) + 0 AS ic_std, round(avg(concentration), 6) + 0 AS concentration, round(avg(compression) - 1, 6) + 0 AS compression_loss, round({corr_sql('ic', 'dispersion')}, 6) + 0 AS ic_dispersion_corr FROM rw")
+register("a_statistics", lambda s, d: metrics.statistics(predicted(s, d)).select("periods", "observations", *(fine(c).alias(c) for c in ("sharpe", "ic", "ic_std", "concentration", "compression_loss", "ic_dispersion_corr"))), f"{ROWS} SELECT count(DISTINCT period) AS periods, count(*) AS observations, round({SHARPE}, 9) + 0 AS sharpe, round(avg(ic), 9) + 0 AS ic, round(coalesce(stddev_samp(ic), 0), 9) + 0 AS ic_std, round(avg(concentration), 9) + 0 AS concentration, round(avg(compression) - 1, 9) + 0 AS compression_loss, round({corr_sql('ic', 'dispersion')}, 9) + 0 AS ic_dispersion_corr FROM rw")
 PERIOD = ("return_mean", "return_std", "sharpe", "ic", "ic_std", "dispersion", "concentration", "pred_scale")
 PERIODS = f"{ROWS}, pm AS (SELECT period, coalesce(avg(ret), 0) AS return_mean, coalesce(stddev_samp(ret), 0) AS return_std, {SHARPE} AS sharpe, avg(ic) AS ic, coalesce(stddev_samp(ic), 0) AS ic_std, avg(dispersion) AS dispersion, avg(concentration) AS concentration, avg(pred_scale) AS pred_scale, count(*) AS rows FROM rw GROUP BY period)"
-register("a_period_metrics", lambda s, d: metrics.period_metrics(predicted(s, d)).select("period", "rows", *(six(c).alias(c) for c in PERIOD)), f"{PERIODS} SELECT period, rows, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in PERIOD) + " FROM pm")
-register("a_folds", lambda s, d: metrics.folds(predicted(s, d), 2).select("fold", "period_start", "period_end", *(six(c).alias(c) for c in ("sharpe", "ic", "concentration"))), f"{ROWS}, fo AS (SELECT period, CAST(floor((dense_rank() OVER (ORDER BY period) - 1) / 2) AS INT) AS fold FROM (SELECT DISTINCT period FROM rw) q) SELECT fold, min(period) AS period_start, max(period) AS period_end, round({SHARPE}, 6) + 0 AS sharpe, round(avg(ic), 6) + 0 AS ic, round(avg(concentration), 6) + 0 AS concentration FROM rw JOIN fo USING (period) GROUP BY fold")
+register("a_period_metrics", lambda s, d: metrics.period_metrics(predicted(s, d)).select("period", "rows", *(fine(c).alias(c) for c in PERIOD)), f"{PERIODS} SELECT period, rows, " + ", ".join(f"round({c}, {digits(c)}) + 0 AS {c}" for c in PERIOD) + " FROM pm")
+register("a_folds", lambda s, d: metrics.folds(predicted(s, d), 2).select("fold", "period_start", "period_end", *(fine(c).alias(c) for c in ("sharpe", "ic", "concentration"))), f"{ROWS}, fo AS (SELECT period, CAST(floor((dense_rank() OVER (ORDER BY period) - 1) / 2) AS INT) AS fold FROM (SELECT DISTINCT period FROM rw) q) SELECT fold, min(period) AS period_start, max(period) AS period_end, round({SHARPE}, 9) + 0 AS sharpe, round(avg(ic), 9) + 0 AS ic, round(avg(concentration), 9) + 0 AS concentration FROM rw JOIN fo USING (period) GROUP BY fold")
 register("a_feature_ic", lambda s, d: metrics.feature_ic(trade(s, d)).select("period", "feature", six("raw_ic").alias("raw_ic"), six("linear_corr").alias("linear_corr")), ", u AS (" + " UNION ALL ".join(f"SELECT period, t, asset, y, 'f{i}' AS feature, f{i} AS value FROM p" for i in (1, 2, 3)) + f"), r AS (SELECT *, {percent_sql('value', 'period, t, feature')} AS a, {percent_sql('y', 'period, t, feature')} AS b FROM u), c AS (SELECT period, t, feature, {corr_sql('a', 'b')} AS r, {corr_sql('value', 'y')} AS l FROM r GROUP BY 1, 2, 3) SELECT period, feature, round(avg(r), 6) + 0 AS raw_ic, round(avg(l), 6) + 0 AS linear_corr FROM c GROUP BY 1, 2")
 register("a_correlations", lambda s, d: selection.correlations(trade(s, d), "y", ["f1", "f2", "f3", "f4"]).select("feature", six("corr").alias("corr")), " UNION ALL ".join(f"SELECT 'f{i}' AS feature, round({corr_sql(f'f{i}', 'y')}, 6) + 0 AS corr FROM p" for i in (1, 2, 3, 4)))
 register("a_clip_fraction", lambda s, d: trade(s, d).groupBy("period").agg(six(F.avg((F.abs(F.col("y")) >= 1e6).cast("double"))).alias("share")), "SELECT period, round(avg(CASE WHEN abs(y) >= 1e6 THEN 1.0::DOUBLE WHEN y IS NOT NULL THEN 0 END), 6) + 0 AS share FROM p GROUP BY period")

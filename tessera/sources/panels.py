@@ -102,11 +102,19 @@ def from_wide(wide: DataFrame, time: str = "time", separator: str = "|", period:
 
 
 def infer_levels(pairs: list[tuple]) -> int:
-    """Which place of (a, b) column names holds the feature: the one with fewer distinct names."""
-    if not pairs or pairs[0][0] is None:
+    """Which place of (a, b) column names holds the feature.
+
+    The place whose names speak of features or factors; else the one with fewer distinct
+    names; else the first.
+    """
+    pairs = [p for p in pairs if p[0] is not None]
+    if not pairs:
         return 0
-    counts = [len({p[i] for p in pairs if p[0] is not None}) for i in (0, 1)]
-    return 0 if counts[0] <= counts[1] else 1
+    names = [{p[i] for p in pairs} for i in (0, 1)]
+    speaks = [all(any(w in n.lower() for w in ("feature", "factor")) for n in own) for own in names]
+    if speaks[0] != speaks[1]:
+        return 0 if speaks[0] else 1
+    return 0 if len(names[0]) <= len(names[1]) else 1
 
 
 def to_wide(panel: DataFrame, value: str, assets: list[str]) -> DataFrame:

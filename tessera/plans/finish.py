@@ -49,7 +49,17 @@ def conviction_finish(frame: DataFrame, value: str = "raw", into: str = "pred",
     return centred(frame.withColumn(into, (1 - raw_share) * shaped + raw_share * squashed).drop("__score", "__std"), into)
 
 
-FINISHES = {"clip": clip_finish, "double": double_finish, "mad_cap": mad_cap_finish, "conviction": conviction_finish}
+def neutral_finish(frame: DataFrame, value: str = "raw", into: str = "pred") -> DataFrame:
+    """Capped at three absolute deviations, then standard scores and ranks blended."""
+    frame = clip_finish(frame, value, into).withColumn("__median", X.median(into))
+    frame = frame.withColumn("__mad", F.nullif(X.median(F.abs(F.col(into) - F.col("__median"))), F.lit(0.0)))
+    capped = F.coalesce(X.clip(into, F.col("__median") - 3 * F.col("__mad"), F.col("__median") + 3 * F.col("__mad")), F.lit(0.0))
+    frame = frame.withColumn(into, F.when(F.col("__mad").isNull(), F.col(into)).otherwise(capped)).drop("__median", "__mad")
+    score = F.coalesce(X.demean(into) / F.nullif(X.dispersion(into), F.lit(0.0)), F.lit(0.0))
+    return frame.withColumn(into, 0.72 * score + 0.28 * X.centred_rank(into))
+
+
+FINISHES = {"neutral": neutral_finish, "clip": clip_finish, "double": double_finish, "mad_cap": mad_cap_finish, "conviction": conviction_finish}
 
 
 def place(by: Column | str) -> Column:

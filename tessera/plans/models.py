@@ -34,6 +34,7 @@ _ALL = (
     Model("v21", (Head(0.70, alpha=10.0), Head(0.26, tree=Tree(15, 0.05, 220.0, 0.03, 1.8)), Head(0.04, "rank", 24.0)), "robust", 0.22, demean=True, clip=0.995, scale="std", finish="mad_cap"),
     Model("v22", (Head(0.72), Head(0.12, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.12, tree=Tree(12, 0.05, 220.0, 0.03, 1.8, seed=137)), Head(0.04, "rank", 20.0)), sample="times", demean=True, clip=0.995, finish="double"),
     Model("v23", (Head(0.58), Head(0.17, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.20, "rank", tree=Tree(12, 0.05, 220.0, 0.03, 1.8, seed=137)), Head(0.05, "rank", 20.0)), sample="times", demean=True, clip=0.995, finish="double"),
+    Model("v29", (Head(0.52, alpha=14.0), Head(0.28, tree=Tree(18, 0.035, 260.0, 0.08, 2.6, 0.84, 0.76, 2901)), Head(0.20, "rank", 30.0)), "horizons", 0.14, "times", 0.65, rows=90_000, clip=0.995, centre="median", quantile=0.01, finish="neutral", least=60),
     Model("v30", (Head(0.29), Head(0.085, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.10, "rank", tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.025, "rank", 20.0), Head(0.36, "forward", 12.0), Head(0.14, "forward", tree=Tree(10, 0.05, 220.0, 0.03, 1.8))), sample="times", demean=True, clip=0.995),
     Model("v32", (Head(0.5, alpha=9.0, huber=1.5), Head(0.2, tree=Tree(12, 0.045, 210.0, 0.04, 2.0)), Head(0.1, "rank", 24.0), Head(0.2, "rank", tree=Tree(12, 0.045, 210.0, 0.04, 2.0))), "horizons", sample="times", recent=0.65, demean=True, clip=0.995, centre="median", extra={"clip_factor": 3.2}),
     _v33,

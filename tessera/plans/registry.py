@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tessera.plans import engine, finish, search, signals, walkforward
+from tessera.plans import engine, finish, search, signals, stacks, walkforward
 from tessera.plans.models import MODELS
 
 Runner = Callable[[DataFrame], DataFrame]
@@ -30,6 +30,9 @@ PRESETS = {"trees": (0.0, 0.0, 1.0, 0.0), "mostly trees": (0.175, 0.075, 0.70, 0
 _V01 = engine.Model("v01", (engine.Head(0.0), engine.Head(0.0, huber=1.0), engine.Head(1.0, tree=engine.Tree(40, 0.05, 200.0)), engine.Head(0.0, "rank", 8.0)), rows=250_000)
 register("v01", lambda panel: search.searched(panel, _V01, PRESETS))
 register("v16", lambda panel: search.searched(panel, *search.rank_shares(MODELS["v02"])))
+register("v29", stacks.neutral_model)
+register("v40", stacks.selected)
+register("v42", stacks.residual_stack)
 register("v32", lambda panel: signals.adaptive_share(walkforward.walk_forward(panel, MODELS["v32"])))
 
 

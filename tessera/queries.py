@@ -368,7 +368,7 @@ def predictions(name: str) -> Query:
     return query
 
 
-for _name in ("v01", "v02", "v06", "v07", "v09", "v11", "v13", "v16", "v19", "v20", "v21", "v23", "v30", "v33", "v34a", "v35", "v36", "v37", "v43", "v44"):
+for _name in ("v01", "v02", "v06", "v07", "v09", "v11", "v13", "v16", "v19", "v20", "v21", "v23", "v29", "v30", "v33", "v34a", "v35", "v36", "v37", "v40", "v42", "v43", "v44"):
     register(f"model_{_name}", predictions(_name))
 
 

@@ -309,7 +309,8 @@ register("a_clip_fraction", lambda s, d: trade(s, d).groupBy("period").agg(six(F
 register("a_coverage", lambda s, d: selection.coverage(trade(s, d), ["f1", "f2", "f3"]).select("feature", six("share").alias("share"), six("std").alias("std"), "usable"), " UNION ALL ".join(f"SELECT 'f{i}' AS feature, round(count(f{i}) / count(*)::DOUBLE, 6) + 0 AS share, round(stddev_pop(f{i}), 6) + 0 AS std, count(f{i}) / count(*)::DOUBLE >= 0.05 AND stddev_pop(f{i}) >= 1e-8 AS usable FROM p" for i in (1, 2, 3)))
 register("a_group_sizes", lambda s, d: trade(s, d).where("y is not null").groupBy("period", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("period").agg(six(F.median("n")).alias("typical"), F.count(F.lit(1)).alias("times")), ", s AS (SELECT period, t, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY 1, 2) SELECT period, round(median(n), 6) + 0 AS typical, count(*) AS times FROM s GROUP BY period")
 register("a_lag_sharpe", lambda s, d: predicted(s, d).withColumn("held", W.lag("pred")).groupBy("period", "t").agg(F.sum(F.col("held") * F.col("y")).alias("ret")).where("ret is not null").groupBy("period").agg(six(F.when((F.count("ret") >= 5) & (F.stddev_samp("ret") > 0), F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).otherwise(-1.0)).alias("v")), f"{PRED}, h AS (SELECT *, lag(pred) OVER {WA} AS held FROM pr), r AS (SELECT period, t, sum(held * y) AS ret FROM h GROUP BY 1, 2 HAVING sum(held * y) IS NOT NULL) SELECT period, round(CASE WHEN count(ret) >= 5 AND stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) ELSE -1 END, 6) + 0 AS v FROM r GROUP BY period")
-register("a_sub_blocks", lambda s, d: metrics.rows(predicted(s, d)).withColumn("block", F.floor(4 * F.col("t") / (F.max("t").over(Window.partitionBy("period")) + 1)).cast("int")).groupBy("period", "block").agg(six(F.avg("ic")).alias("ic"), six(F.avg((F.col("ic") > 0).cast("double"))).alias("positive")), f"{ROWS}, b AS (SELECT *, CAST(floor(4 * t / (max(t) OVER (PARTITION BY period) + 1)) AS INT) AS block FROM rw) SELECT period, block, round(avg(ic), 6) + 0 AS ic, round(avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) + 0 AS positive FROM b GROUP BY 1, 2")
+# a correlation of 0 comes out as a rounding error of either sign
+register("a_sub_blocks", lambda s, d: metrics.rows(predicted(s, d)).withColumn("block", F.floor(4 * F.col("t") / (F.max("t").over(Window.partitionBy("period")) + 1)).cast("int")).groupBy("period", "block").agg(six(F.avg("ic")).alias("ic"), six(F.avg((F.col("ic") > 1e-9).cast("double"))).alias("positive")), f"{ROWS}, b AS (SELECT *, CAST(floor(4 * t / (max(t) OVER (PARTITION BY period) + 1)) AS INT) AS block FROM rw) SELECT period, block, round(avg(ic), 6) + 0 AS ic, round(avg(CASE WHEN ic > 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 6) + 0 AS positive FROM b GROUP BY 1, 2")
 
 
 def two_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -59,7 +59,17 @@ def neutral_finish(frame: DataFrame, value: str = "raw", into: str = "pred") ->
     return frame.withColumn(into, 0.72 * score + 0.28 * X.centred_rank(into))
 
 
-FINISHES = {"neutral": neutral_finish, "clip": clip_finish, "double": double_finish, "mad_cap": mad_cap_finish, "conviction": conviction_finish}
+def mad_first_finish(frame: DataFrame, value: str = "raw", into: str = "pred", width: float = 3.5) -> DataFrame:
+    """Capped at ``width`` robust deviations (or plain ones), de-meaned and only then clipped."""
+    frame = frame.withColumn(into, F.coalesce(clean(value), F.lit(0.0)))
+    frame = frame.withColumn("__median", X.median(into)).withColumn("__std", X.dispersion(into))
+    frame = frame.withColumn("__mad", 1.4826 * X.median(F.abs(F.col(into) - F.col("__median"))))
+    cap = width * F.when(F.col("__mad") > 1e-7, F.col("__mad")).when(F.col("__std") > 1e-7, F.col("__std")).otherwise(1.0)
+    frame = centred(frame.withColumn(into, X.clip(into, F.col("__median") - cap, F.col("__median") + cap)), into)
+    return frame.withColumn(into, X.clip(into, -F.col("limit"), F.col("limit"))).drop("__median", "__mad", "__std")
+
+
+FINISHES = {"mad_first": mad_first_finish, "neutral": neutral_finish, "clip": clip_finish, "double": double_finish, "mad_cap": mad_cap_finish, "conviction": conviction_finish}
 
 
 def place(by: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 from tessera.plans.engine import Head, Model, Tree, with_name
 
 PLAIN = Tree(15, 0.05, 200.0)
@@ -14,6 +17,25 @@ _tree33 = Tree(9, 0.04, 280.0, 0.08, 2.5, 0.82, 0.70, 3301)
 _v33 = Model("v33", (Head(0.62, alpha=12.0), Head(0.23, "rank", 28.0), Head(0.15, tree=_tree33)), "compact", 0.30, "times", 0.55, demean=True, clip=0.995, centre="median", quantile=0.01, least=60)
 _linear33 = (Head(0.72 * 0.62, alpha=12.0), Head(0.72 * 0.23, "rank", 28.0), Head(0.72 * 0.15, tree=_tree33), Head(0.28 * 0.62, alpha=30.0, columns=CORE), Head(0.28 * 0.38, "rank", 46.0, columns=CORE))
 
+#: Weights have their half-life after this share of the history.
+HALF_LIFE = 0.28 / math.log(2)
+_tree31 = Tree(11, 0.045, 180.0, 0.04, 2.1, 0.84, 0.78, 3101)
+_heads31 = (
+    Head(-0.03787056, alpha=9.0),
+    Head(-0.01682583, tree=_tree31),
+    Head(0.05846655, "rank", 22.0),
+    Head(0.08021127, "rank", tree=replace(_tree31, rounds=10, rows=0.90, columns=0.70, seed=3119)),
+    Head(-0.07269948, "ahead", 13.0),
+    Head(0.15893598, "ahead", tree=replace(_tree31, rows=0.87, columns=0.76, seed=3137)),
+    Head(0.19806513, "slow", 18.0),
+    Head(-0.14585455, "slow", tree=replace(_tree31, rounds=8, rows=0.90, columns=0.68, seed=3163)),
+    Head(0.15628094, "signal", columns=("f1_rank",)),
+    Head(0.02679317, "signal", columns=("f1_rank_lag1",)),
+    Head(0.01993833, "signal", columns=("f2_rank",)),
+    Head(0.00849446, "signal", columns=("f3_rank",)),
+    Head(-0.01956375, "signal", columns=("core",)),
+)
+
 _ALL = (
     _v02,
     with_name(_v02, "v08"),
@@ -35,7 +57,8 @@ _ALL = (
     Model("v22", (Head(0.72), Head(0.12, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.12, tree=Tree(12, 0.05, 220.0, 0.03, 1.8, seed=137)), Head(0.04, "rank", 20.0)), sample="times", demean=True, clip=0.995, finish="double"),
     Model("v23", (Head(0.58), Head(0.17, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.20, "rank", tree=Tree(12, 0.05, 220.0, 0.03, 1.8, seed=137)), Head(0.05, "rank", 20.0)), sample="times", demean=True, clip=0.995, finish="double"),
     Model("v29", (Head(0.52, alpha=14.0), Head(0.28, tree=Tree(18, 0.035, 260.0, 0.08, 2.6, 0.84, 0.76, 2901)), Head(0.20, "rank", 30.0)), "horizons", 0.14, "times", 0.65, rows=90_000, clip=0.995, centre="median", quantile=0.01, finish="neutral", least=60),
-    Model("v30", (Head(0.29), Head(0.085, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.10, "rank", tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.025, "rank", 20.0), Head(0.36, "forward", 12.0), Head(0.14, "forward", tree=Tree(10, 0.05, 220.0, 0.03, 1.8))), sample="times", demean=True, clip=0.995),
+    Model("v30", (Head(0.29), Head(0.085, tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.10, "rank", tree=Tree(12, 0.05, 220.0, 0.03, 1.8)), Head(0.025, "rank", 20.0), Head(0.36, "ahead", 12.0), Head(0.14, "ahead", tree=Tree(10, 0.05, 220.0, 0.03, 1.8))), sample="times", demean=True, clip=0.995),
+    Model("v31", _heads31, "horizons", HALF_LIFE, "times", 0.65, demean=True, clip=0.995, centre="median", finish="mad_first", least=80, extra={"clip_factor": 3.2}),
     Model("v32", (Head(0.5, alpha=9.0, huber=1.5), Head(0.2, tree=Tree(12, 0.045, 210.0, 0.04, 2.0)), Head(0.1, "rank", 24.0), Head(0.2, "rank", tree=Tree(12, 0.045, 210.0, 0.04, 2.0))), "horizons", sample="times", recent=0.65, demean=True, clip=0.995, centre="median", extra={"clip_factor": 3.2}),
     _v33,
     with_name(_v33, "v34a", finish="conviction"),

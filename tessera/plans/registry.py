@@ -29,6 +29,17 @@ register("v06", _untrained)
 PRESETS = {"trees": (0.0, 0.0, 1.0, 0.0), "mostly trees": (0.175, 0.075, 0.70, 0.05), "mixed": (0.385, 0.165, 0.40, 0.05), "even": (0.315, 0.135, 0.45, 0.10)}
 _V01 = engine.Model("v01", (engine.Head(0.0), engine.Head(0.0, huber=1.0), engine.Head(1.0, tree=engine.Tree(40, 0.05, 200.0)), engine.Head(0.0, "rank", 8.0)), rows=250_000)
 register("v01", lambda panel: search.searched(panel, _V01, PRESETS))
+#: Weights of (ridge, slow ridge, rank, trees on residuals) and the share of ranks. Fixed values.
+BLENDS = {"plain": (0.7, 0.2, 0.1, 0.1, 0.0), "some ranks": (0.62, 0.23, 0.15, 0.15, 0.05), "more ranks": (0.58, 0.22, 0.2, 0.15, 0.08), "more trees": (0.68, 0.17, 0.15, 0.22, 0.05)}
+
+
+def _v05(rounds: int, rows: int) -> engine.Model:
+    tree = engine.Tree(rounds, 0.045, 240.0, 0.15, 3.0, 0.82, 0.78)
+    heads = (engine.Head(0.72), engine.Head(0.28, decay=0.45), engine.Head(0.0, "rank", 16.0, 0.30), engine.Head(0.0, "residual", decay=((0.65, 0.20), (0.35, 0.45)), tree=tree))
+    return engine.Model("v05", heads, "ranked", rows=rows, recent=0.65, scale="std")
+
+
+register("v05", lambda panel: search.held_out(panel, _v05(16, 85_000), _v05(8, 45_000), {n: b[:4] for n, b in BLENDS.items()}, {n: b[4] for n, b in BLENDS.items()}))
 register("v16", lambda panel: search.searched(panel, *search.rank_shares(MODELS["v02"])))
 register("v29", stacks.neutral_model)
 register("v40", stacks.selected)

@@ -70,3 +70,62 @@ def rank_shares(model: engine.Model, shares: Sequence[float] = (0.0, 0.02, 0.04,
     """``model`` with a rank head added, and candidates that give it a share of the weight."""
     wider = engine.with_name(model, f"{model.name}+rank", heads=(*model.heads, engine.Head(0.0, "rank", alpha)))
     return wider, {f"{s:g}": [h.weight * (1 - s) for h in model.heads] + [s] for s in shares}
+
+
+# -- one held-out part and a score of many terms ----------------------------------------
+
+
+def with_ranks(frame: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """raw of each candidate de-meaned and blended with its percent ranks, by the candidate's share."""
+    keys = ("candidate", "period", "t")
+    w = Window.partitionBy(*keys)
+    frame = frame.withColumn("raw", F.col("raw") - F.avg("raw").over(w))
+    share = F.coalesce(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("candidate")], F.lit(0.0))
+    mixed = (1 - share) * F.col("raw") + share * (X.percent_rank("raw", keys) - 0.5)
+    frame = frame.withColumn("raw", F.when(share > 0, mixed).otherwise(F.col("raw")))
+    return frame.withColumn("raw", F.col("raw") - F.avg("raw").over(w))
+
+
+def held_scores(frame: DataFrame) -> DataFrame:
+    """(period, candidate, score) from raw and y: correlations, their steadiness, and returns of held positions."""
+    keys = ("candidate", "period", "t")
+    held = F.lag("raw").over(Window.partitionBy("candidate", "period", "asset").orderBy("t"))
+    known = F.when(F.col("y").isNotNull(), F.col("raw"))
+    frame = frame.select(*keys, "y", "raw", (held * F.col("y")).alias("got"), X.percent_rank(known, keys).alias("rp"), X.percent_rank("y", keys).alias("ry"))
+    rows = frame.groupBy(*keys).agg(*X.correlation_sums("raw", "y", "_l"), *X.correlation_sums("rp", "ry", "_r"), F.sum("got").alias("ret"), F.count("y").alias("n"), F.stddev_pop("raw").alias("sp"), F.stddev_pop("y").alias("sy"))
+    fine = (F.col("n") >= 3) & (F.col("sp") >= 1e-12) & (F.col("sy") >= 1e-12)
+    rows = rows.select(*keys, "ret", F.when(fine, X.correlation("_l")).alias("ic"), F.when(fine, X.correlation("_r")).alias("rank_ic"))
+    quarter = F.ntile(4).over(Window.partitionBy("candidate", "period").orderBy("t"))
+    blocks = rows.where("ic is not null").withColumn("block", quarter).groupBy("candidate", "period", "block").agg(F.avg("ic").alias("m"))
+    blocks = blocks.groupBy("candidate", "period").agg(F.min("m").alias("worst"), F.stddev_pop("m").alias("block_std"), F.count("m").alias("blocks"))
+    sums = rows.groupBy("candidate", "period").agg(
+        F.avg("ic").alias("ic"), F.stddev_pop("ic").alias("ic_std"), F.avg("rank_ic").alias("rank_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"),
+        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"),
+    )
+    full = F.col("blocks") == 4
+    sharpe = F.when((F.col("n") >= 5) & (F.col("std") > 1e-12), F.col("mean") / F.nullif(F.col("std"), F.lit(0.0))).otherwise(-1.0)
+    # The weights of the score's terms.
+    score = 0.42 * F.col("ic") + 0.18 * F.col("rank_ic") + 0.25 * sharpe + 0.10 * F.col("positive") + 0.12 * F.when(full, F.col("worst")).otherwise(F.col("ic")) - 0.16 * F.col("ic_std") - 0.10 * F.when(full, F.col("block_std")).otherwise(0.0)
+    return sums.join(blocks, ["candidate", "period"], "left").select("period", "candidate", score.alias("score"))
+
+
+def held_out(panel: DataFrame, model: engine.Model, probe: engine.Model, candidates: dict[str, Sequence[float]], shares: dict[str, float], *, cut: float = 0.82, least_times: int = 30, least_rows: int = 100) -> DataFrame:
+    """Walk-forward predictions with the candidate that scores best on the late part of the training rows.
+
+    ``probe`` is the model fitted for that choice. Periods too short for it take the first candidate.
+    """
+    parts = walkforward.split(panel)
+    known = parts.where("train and y is not null")
+    sizes = known.groupBy("period").agg(F.count_distinct("t").alias("times"), (F.max("t") + 1).alias("n"))
+    at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * cut)))
+    trial = parts.where("train").join(sizes.where(F.col("times") >= least_times).select("period", at.alias("at")), "period")
+    trial = trial.withColumn("train", F.col("t") < F.col("at")).drop("at")
+    enough = trial.where("y is not null").groupBy("period").agg(F.count(F.when(F.col("train"), 1)).alias("early"), F.count(F.when(~F.col("train"), 1)).alias("late"))
+    trial = trial.join(enough.where((F.col("early") >= least_rows) & (F.col("late") >= least_rows)).select("period"), "period", "left_semi")
+    order = {n: i for i, n in enumerate(candidates)}
+    scores = held_scores(with_ranks(spread_out(engine.predict(probe, trial), candidates), shares))
+    rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))[F.col("candidate")]
+    best = scores.where("score is not null").groupBy("period").agg(F.max_by("candidate", F.struct("score", -rank)).alias("chosen"))
+    chosen = parts.select("period").distinct().join(best, "period", "left").select("period", F.coalesce("chosen", F.lit(next(iter(candidates)))).alias("candidate"))
+    out = spread_out(engine.predict(model, parts), candidates).join(chosen, ["period", "candidate"], "left_semi")
+    return walkforward.shape_safe(finish.finish(with_ranks(out, shares), model.finish))

@@ -9,6 +9,7 @@ from tessera.functions import cross as X
 from tessera.functions import windows as W
 from tessera.operators import linear, neutral, preprocess, robust
 from tessera.plans import engine, finish, walkforward
+from tessera.plans.lineage import cut
 from tessera.plans import features as sets
 from tessera.plans.models import MODELS
 
@@ -54,20 +55,20 @@ def residual_stack(panel: DataFrame, model: engine.Model | None = None, *, alpha
     correction's weight, which is 0 unless it helps there.
     """
     model = model or MODELS["v33"]
-    parts = chronological(walkforward.split(panel))
+    parts = cut(chronological(walkforward.split(panel)))
     blocks = parts.select(*KEYS, "block")
     early = engine.predict(model, parts.where("block < 3").withColumn("train", F.col("block") == 0).drop("block"))
     made = interactions()
     names = list(made)
     extra = sets.compact(parts.drop("y", "train", "block")).select(*KEYS, *(c.alias(n) for n, c in made.items()))
-    extra = extra.select(*KEYS, *((F.col(n) - F.avg(n).over(X.by_time())).alias(n) for n in names))
+    extra = cut(extra.select(*KEYS, *((F.col(n) - F.avg(n).over(X.by_time())).alias(n) for n in names)))
 
-    known = early.select(*KEYS, "y", F.col("raw").alias("base")).where("y is not null").join(blocks, KEYS).withColumn("miss", F.col("y") - F.col("base")).join(extra, KEYS)
-    scales = preprocess.fit(known.where("block = 1"), names, ["period"])
+    known = cut(early.select(*KEYS, "y", F.col("raw").alias("base")).where("y is not null").join(blocks, KEYS).withColumn("miss", F.col("y") - F.col("base")).join(extra, KEYS))
+    scales = cut(preprocess.fit(known.where("block = 1"), names, ["period"]))
     learn = recency(preprocess.apply(known.where("block = 1"), scales, names, ["period"]), model.decay)
     start = robust.intercept(learn, "miss", "w", ["period"])
     learn = learn.join(start, "period").withColumn("target", F.col("miss") - F.col("start"))
-    learned = linear.solve(linear.gram(learn, names, "target", "w", ["period"]), ["period"], alpha).join(start, "period")
+    learned = cut(linear.solve(linear.gram(learn, names, "target", "w", ["period"]), ["period"], alpha).join(start, "period"))
 
     def addition(frame: DataFrame) -> DataFrame:
         scaled = preprocess.apply(frame, scales, names, ["period"]).join(learned, "period", "left")
@@ -83,7 +84,7 @@ def residual_stack(panel: DataFrame, model: engine.Model | None = None, *, alpha
     sums = sums.withColumn("gamma", gamma)
     better = (2 * F.col("gamma") * F.col("xy") - F.col("gamma") * F.col("gamma") * F.col("xx")) / F.greatest(F.col("yy"), F.lit(1e-10))
     helps = (F.col("gamma") >= 0.02) & (F.col("ic") >= 0.005) & (F.col("positive") >= 0.5) & (better >= 0.001)
-    weights = sums.select("period", F.when(helps, F.col("gamma")).otherwise(0.0).alias("gamma"))
+    weights = cut(sums.select("period", F.when(helps, F.col("gamma")).otherwise(0.0).alias("gamma")))
 
     full = engine.predict(model, parts.drop("block"))
     out = addition(full.withColumn("base", F.col("raw")).join(extra, KEYS)).join(weights, "period", "left")

@@ -10,8 +10,10 @@ passage's terms bounds the score of any of its items; where it stays under the b
 lowest threshold, the block is skipped. These sums are made for all passages at once. The
 blocks left run WAND: cursors over the terms' postings, a pivot where the summed maxima
 reach the threshold, and only there a score. An item is retrieved if it scores ``share``
-of the score that it has against itself. What is retrieved is verified:
-the question's and the answer's word shingles must be found in the document.
+of the score that it has against itself. What is retrieved is verified: the question's and the
+answer's word shingles must be found in the document, or those of the whole item. Of an
+item of two parts, one under ten words may instead stand there with few words changed: one minus
+its edit distance to the nearest run of the document's words, by its length, counts.
 
 The index goes to every task, so its size is checked: benchmarks above ``most_words`` words
 are cut into shards, each searched by a pass of its own.
@@ -45,6 +47,8 @@ from tessera.llm.common import materialize, slices, without
 WORD = re.compile(r"\w+")
 LEAST_BLOCK, MOST_BLOCKS = 8, 64
 K1, B = 1.2, 0.75
+#: A part of fewer words may be found by alignment, as one edit takes most or all of its shingles.
+SHORT = 10
 
 
 def words(text: str | None) -> list[str]:
@@ -63,11 +67,33 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words(" ".join(parts[:-1])), words(parts[-1])
 
 
+def aligned(part: list[str], tokens: list[str]) -> float:
+    """One minus the edit distance of ``part`` to the nearest run of ``tokens``, by the length of ``part``.
+
+    Bit-parallel over the words of ``part``, one step for each token.
+    """
+    m = len(part)
+    masks: dict[str, int] = {}
+    for i, w in enumerate(part):
+        masks[w] = masks.get(w, 0) | 1 << i
+    every, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, distance, best = every, 0, m, m
+    for w in tokens:
+        same = masks.get(w, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        more, less = down | (~(across | up) & every), up & across
+        distance += bool(more & last) - bool(less & last)
+        best = min(best, distance)
+        more, less = more << 1 & every, less << 1 & every  # a run may begin anywhere
+        up, down = less | (~(same | down | more) & every), more & (same | down)
+    return 1 - best / m
+
+
 @dataclass
 class Index:
     """Postings of one shard of items, ordered by threshold; item numbers are positions in ``items``."""
 
-    items: list[tuple[int | None, set, set]]  # item_id, question shingles, answer shingles
+    items: list[tuple[int | None, set, set, set, list[str], list[str]]]  # item_id, shingles of question, answer and whole, words of question and answer
     thresholds: list[float]
     vocabulary: dict[str, int]
     postings: list[list[int]]  # item numbers, ascending
@@ -138,7 +164,7 @@ def build_index(items: list[tuple[int | None, str]], stats: tuple[int, float], f
     rows, vocabulary, postings, scores = [], {}, [], []
     for number, (_, item, text, _, weights) in enumerate(weighed):
         question, answer = question_and_answer(text)
-        rows.append((item, set(shingles(question, shingle)), set(shingles(answer, shingle))))
+        rows.append((item, set(shingles(question, shingle)), set(shingles(answer, shingle)), set(shingles(words(text), shingle)), question, answer))
         for w, weight in sorted(weights.items()):
             term = vocabulary.setdefault(w, len(vocabulary))
             if term == len(postings):
@@ -201,9 +227,13 @@ def _leaks(index: Index, least: float, shingle: int):
             if doc != whole_of:
                 tokens = words(texts[doc])
                 whole_of, whole = doc, set(shingles(tokens, shingle))
-            name, question, answer = index.items[item]
+            name, question, answer, both, *parts = index.items[item]
             q, r = _contained(question, whole, tokens, shingle), _contained(answer, whole, tokens, shingle)
-            if q >= least and r >= least:
+            found = q >= least and r >= least or _contained(both, whole, tokens, shingle) >= least
+            if not found and all(parts):
+                q, r = (max(o, aligned(p, tokens)) if o < least and len(p) < SHORT else o for o, p in zip((q, r), parts))
+                found = q >= least and r >= least
+            if found:
                 rows.append((docs[doc], name, score, q, r, start))
         return rows
 
@@ -227,7 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.6, lea
     """(doc_id, item_id, score, question_overlap, answer_overlap, start_word), a row per leak.
 
     ``share``: of an item's score against itself, for retrieval. ``least``: of its question's
-    and its answer's shingles, for verification. ``most_words``: of a shard of the index,
+    and its answer's shingles, or of the whole item's, for verification. ``most_words``: of a shard of the index,
     which a task holds in memory.
     """
     spark = docs.sparkSession

@@ -74,8 +74,54 @@ def test_queries_in_blocks_give_the_same(spark):
     assert all(len(r["neighbours"]) >= 1 for r in index.collect())
 
 
-def test_first_ids_keep_what_any_query_needs():
-    ids = np.array([1] * 20 + [2, 2, 3, 5, 8, 9])
+def test_nodes_keep_the_ids_that_any_query_needs(spark):
+    ids = [1] * 20 + [2, 2, 3, 5, 8, 9]
+    (node,) = A.nodes_of(spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "vec_id long, v array<float>"), 4).collect()
+    held = [i for i, n in zip(node["ids"], node["copies"]) for _ in range(n)]
     for own in (1, 2, 3, 99):
-        want = [i for i in ids.tolist() if i != own][:4]
-        assert [i for i in A._first_ids(ids, 5).tolist() if i != own][:4] == want
+        assert [i for i in held if i != own][:4] == [i for i in ids if i != own][:4]
+
+
+def test_one_id_with_many_vectors(spark):
+    rows = [(0, [1.0 + i / 50, 1.0], None) for i in range(30)] + [(i, [2.0, 1.0 + i / 8], None) for i in range(1, 20)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in A.nearest(frame.where("embedding[0] < 1.01 or vec_id > 0"), k=3).collect()}
+    assert got == {(0, i, i) for i in (1, 2, 3)}
+    (one,) = {tuple(r["vec_id"] for r in A.nearest(frame, every=7, k=5).where("query_id = 7").orderBy("rank").collect())}
+    assert one == (6, 8, 5, 9, 4)
+
+
+def test_recall_over_many_shards_of_clustered_and_of_plain_noise(spark):
+    rng = np.random.default_rng(5)
+    noise = [(i, rng.normal(size=16).tolist(), None) for i in range(4000)]
+    for rows in (clusters(6000), noise):
+        frame = spark.createDataFrame(rows, SCHEMA)
+        index, route = A.build_index(frame, shard_rows=500)
+        assert index.count() >= 8
+        queries = A.usable(frame)[0].where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "v AS q")
+        want, got = exact(rows), found(A.search(index, route, queries))
+        hits = sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want)
+        assert hits >= 0.95 * sum(map(len, want.values()))
+
+
+def test_huge_components(spark):
+    rows = [(i, [1e200 * (1 + i % 10), 1e200 * (i // 10), 1.0], None) for i in range(101)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = found(A.nearest(frame, k=2))
+    assert [i for _, i in got[100]] == [90, 91] and np.allclose([s / 1e200 for s, _ in got[100]], [1.0, 2**0.5]) and [i for _, i in got[0]] == [1, 10]
+    far = spark.createDataFrame([(0, [1.7e308], None), (1, [-1.7e308], None)], "vec_id long, embedding array<double>, score string")
+    assert found(A.nearest(far)) == {0: [(math.inf, 1)]}
+
+
+def test_leaves_that_cannot_be_cut_are_dealt_out_in_parts(spark):
+    rows = [(i, [1.0, float(i % 2), 1e-9 * i], None) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    router = A.Router(np.zeros((4, 3)), 4)  # fitted on nothing that tells rows apart
+    assert router.depth == 2 and set(router.assign(np.array([r[1] for r in rows]))) <= set(range(4))
+    want, got = exact64(rows), found(A.nearest(frame, shard_rows=200))
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(got[q], want[q]))
+
+
+def exact64(rows, every=100, k=10):
+    data = {i: np.array(v) for i, v, _ in rows}
+    return {i: sorted((float(np.sqrt(((w - v) ** 2).sum())), j) for j, w in data.items() if j != i)[:k] for i, v in data.items() if i % every == 0}

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests
-    on one machine) a folder under /tmp stands in for it.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the
+    session runs on one machine, a folder of that machine stands in for it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -46,19 +49,36 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Ids up to this number are sent to all executors (8 bytes each, some 100 MB in memory at most).
-MOST_BROADCAST = 1_000_000
+#: Rows up to this number are sent to all executors, if they take no more than so many bytes.
+MOST_BROADCAST, MOST_BYTES = 1_000_000, 64 << 20
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in ``gone``, a column of distinct keys.
+def row_key(text: str | Column = "text") -> Column:
+    """Tells apart rows that share a doc_id, or have none, by a hash of their text."""
+    return F.xxhash64(text)
 
-    The keys are written first and counted: a few are broadcast and the texts stay where
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, row_key) names; a null doc_id is one like any other.
+
+    ``gone`` is written first and counted: a few rows are broadcast and the texts stay where
     they are; more are hashed after a shuffle, so that texts needn't be sorted.
     """
-    gone = materialize(gone.toDF("__gone"), "gone")
+    gone = materialize(gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_key").alias("__gone_key")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("shuffle_hash")
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (row_key(docs["text"]) == gone["__gone_key"]), "left_anti")
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as it takes for no column to be called so."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ddl_of(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

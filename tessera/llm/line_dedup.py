@@ -7,10 +7,14 @@ first) and position. Each partition is streamed once: the first document of a ru
 equal hashes keeps its lines, later ones lose theirs. Runs that touch a partition's edge
 go on in its neighbour; each partition has two such runs at most, so the table that
 settles them has at most two rows per partition and can be broadcast. The result is a
-zlib-compressed keep bitmap per document instead of text.
+zlib-compressed keep bitmap for each document that loses a line, instead of text.
+
+To cut the texts, bitmaps are written and counted. While they are few they go to the texts
+(``MOST_BROADCAST`` rows and ``MOST_BYTES`` bytes at most); more than that meet the
+documents in a shuffle, in which the texts move once.
 
 Defined cases
-- null or empty text: one empty line, which is too short to count.
+- null or empty text: one empty line, which is too short to count; dedup_lines() leaves a null text null.
 - null doc_id: the row keeps all its lines and isn't counted among documents.
 - several rows with one doc_id: they count as one document, each row has its own bitmap.
 - the winner is the largest doc_id; repeated lines inside it all stay.
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, ddl_of, materialize, row_key, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 LINES = "hi long, lo long, doc_id long, row_key long, pos int"
@@ -40,7 +44,7 @@ RUNS = "kind byte, hi long, lo long, doc_id long, row_key long, pos int, docs lo
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32())])
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             digests, docs, keys, places = [], [], [], []
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if doc is None or not text:
@@ -162,7 +166,7 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) ->
     that share a doc_id.
     """
     spark = docs.sparkSession
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(_hash_lines(min_chars), LINES)
+    lines = docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(_hash_lines(min_chars), LINES)
     lines = materialize(lines, "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["hi", "lo", F.desc("doc_id")]
@@ -185,18 +189,19 @@ def _kept(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_kept(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("__ld_keep").to_pylist())]
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "__ld_keep"}
-        columns["text"] = pa.array([r[2] for r in rows], pa.string())
-        columns["__ld_n_lines"] = pa.array([r[0] for r in rows], pa.int64())
-        columns["__ld_n_dropped"] = pa.array([r[1] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_pydict(columns)
+        for part in slices(batch, batch.schema.get_field_index("text")):
+            texts = part.column("text").to_pylist()
+            kept = [t if k is None else _kept(t, k)[2] for t, k in zip(texts, part.column("__ld_keep").to_pylist())]
+            columns = {n: part.column(n) for n in part.schema.names if n != "__ld_keep"}
+            yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(kept, pa.string())})
 
 
 def _with_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Adds each row's bitmap. The bitmaps are hashed, so the texts needn't be sorted."""
-    right = bitmaps.select(F.col("doc_id").alias("__ld_doc_id"), F.col("row_key").alias("__ld_row_key"), F.col("keep").alias("__ld_keep")).hint("shuffle_hash")
-    return docs.join(right, (docs["doc_id"] == right["__ld_doc_id"]) & (F.xxhash64(docs["text"]) == right["__ld_row_key"]), "left").drop("__ld_doc_id", "__ld_row_key")
+    """Adds each row's bitmap. Many bitmaps are hashed, so that the texts needn't be sorted."""
+    right = materialize(bitmaps.select(F.col("doc_id").alias("__ld_doc_id"), F.col("row_key").alias("__ld_row_key"), F.col("keep").alias("__ld_keep")), "line-bitmaps")
+    size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__ld_keep") + 16), F.lit(0)).alias("bytes")).first()
+    right = F.broadcast(right) if size["n"] <= MOST_BROADCAST and size["bytes"] <= MOST_BYTES else right.hint("shuffle_hash")
+    return docs.join(right, (docs["doc_id"] == right["__ld_doc_id"]) & (row_key(docs["text"]) == right["__ld_row_key"]), "left").drop("__ld_doc_id", "__ld_row_key")
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -207,17 +212,12 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> D
     stay only in the largest doc_id that holds them.
     """
     marked = _with_keep(docs, keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs))
-    schema = f"{_ddl(docs)}, __ld_n_lines long, __ld_n_dropped long"
-    return marked.mapInArrow(_apply, schema).drop("__ld_n_lines", "__ld_n_dropped")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return marked.mapInArrow(_apply, ddl_of(docs))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         rows = []
         for doc, text, keep in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__ld_keep"))):
             n, dropped, kept = _kept(text, keep)

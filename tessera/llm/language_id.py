@@ -6,18 +6,21 @@ suffix of the address, and a prior of the host (or source) smoothed towards its
 its suffix and the whole corpus. A further hypothesis, "und" (undetermined), spreads its
 likelihood evenly over all trigrams; it wins for symbol strings and noise.
 
-Trigram models are naive Bayes models fitted on ``sample`` rows per declared language,
-those with the smallest hashes: the only bounded sample here, and a parameter. The
-confusion of declared and text languages and the counts per host, domain and suffix are
-grouped aggregates over all rows; a row's own vote is taken out of its host's prior.
+Trigram models are naive Bayes models of every declared language, however rare, each fitted
+on ``sample`` of its rows, those with the smallest hashes: the only bounded sample here, and a
+parameter. The confusion of declared and text languages and the counts per host, domain and
+suffix are grouped aggregates over all rows; a row's own vote is taken out of its host's prior.
 
 Defined cases
 - null, empty or letterless text: "und". Text too short for a trigram: the other evidence decides.
-- null or unknown declared language: the evidence class "other".
-- null host: the empty host. Null ids and repeated rows are returned each.
+- no declared language: the evidence class "other".
+- null host: the empty host. Null ids and repeated rows are returned each, and never in a
+  language's sample without an id.
+- very long texts are read in whole, some megabytes of them at a time.
 - ties go to the alphabetically first language.
 - an empty table gives an empty result.
-- extra columns pass through filter_language() untouched.
+- extra columns pass through filter_language() untouched, whatever their names; it decides
+  row by row, also where rows share an id or have none.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, slices, text_bytes, without
+from tessera.llm.common import MOST_BROADCAST, materialize, row_key, slices, text_bytes, without
 
 UND = "und"
 #: Log-likelihood of any language for a text without letters.
@@ -73,43 +76,52 @@ def declared_of(column: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(column)), r"^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
 
 
-def _count(languages: list[str]):
-    place = {x: i for i, x in enumerate(languages)}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (declared, bucket, n) of some megabytes of text at a time."""
+    for batch in batches:
+        for part in slices(batch, 1):
+            values, offsets = text_bytes(part.column(1))
+            total: dict[str, np.ndarray] = {}
+            for at, lang in enumerate(part.column(0).to_pylist()):
+                own = values[offsets[at] : offsets[at + 1]]
+                if len(own) > 2:
+                    found = np.bincount(trigram_buckets(own)[letter_trigrams(own)], minlength=BUCKETS)
+                    total[lang] = total[lang] + found if lang in total else found
+            for lang, counts in total.items():
+                bucket = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(counts[bucket])], names=["declared", "bucket", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
-            for part in slices(batch, 1):
-                values, offsets = text_bytes(part.column(1))
-                for at, lang in enumerate(part.column(0).to_pylist()):
-                    own = values[offsets[at] : offsets[at + 1]]
-                    if len(own) > 2:
-                        total[place[lang]] += np.bincount(trigram_buckets(own)[letter_trigrams(own)], minlength=BUCKETS)
-        which, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[which, bucket])], names=["lang", "bucket", "n"])
 
-    return run
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """(declared, text): per declared language ``sample`` rows of ``labelled`` (key, declared, text).
+
+    Keys are picked before texts are read, so that texts of the sample alone move; rows that
+    repeat a key are cut to the sample where they lie.
+    """
+    order = Window.partitionBy("declared").orderBy(F.xxhash64("key"), "key")
+    picked = labelled.where("key is not null").select("declared", "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    picked = materialize(picked.select("declared", "key").distinct(), "language-sample")
+    if picked.count() <= MOST_BROADCAST:
+        picked = F.broadcast(picked)
+    rows = labelled.join(picked, ["declared", "key"], "left_semi").withColumn("place", F.row_number().over(order))
+    return rows.where(F.col("place") <= sample).select("declared", "text")
 
 
-def fit_text_model(rows: DataFrame, *, sample: int = 500, most_languages: int = 64, temper: float = 0.2) -> TextModel:
+def fit_text_model(rows: DataFrame, *, sample: int = 500, temper: float = 0.2) -> TextModel:
     """Fits on ``rows`` (key, declared, text): ``sample`` rows for each declared language.
 
-    What reaches the driver is bounded: ``sample`` keys and BUCKETS counts per language.
+    What reaches the driver is the model: BUCKETS numbers per language, of which there are as many
+    as tags of two or three letters at most.
     """
     labelled = rows.where("declared is not null")
-    counts = labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()
-    languages = sorted(r["declared"] for r in counts if r["count"] >= 5) or sorted(r["declared"] for r in counts)
+    counted = materialize(sampled(labelled, sample).mapInArrow(_count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "language-trigrams")
+    languages = sorted(r["declared"] for r in labelled.select("declared").distinct().collect())
     if not languages:
         return TextModel([], np.full((1, BUCKETS), -np.log(BUCKETS), np.float32), temper)
-    picks = [labelled.where(F.col("declared") == x).select("key").orderBy(F.xxhash64("key"), "key").limit(sample) for x in languages]
-    chosen = picks[0]
-    for p in picks[1:]:
-        chosen = chosen.unionByName(p)
-    keys = [r["key"] for r in chosen.collect()]
-    picked = labelled.where(F.col("key").isin(keys)).where(F.col("declared").isin(languages)).select("declared", "text")
-    found = picked.mapInArrow(_count(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    place = {x: i for i, x in enumerate(languages)}
+    found = counted.toArrow()
     counts = np.zeros((len(languages), BUCKETS))
-    counts[found["lang"], found["bucket"]] = found["n"]
+    counts[[place[x] for x in found.column("declared").to_pylist()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     # smoothed towards the mean of all languages, so that a rare trigram says little
     share = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
     scores = np.log((counts + 500 * share) / (counts.sum(axis=1, keepdims=True) + 500))
@@ -117,11 +129,12 @@ def fit_text_model(rows: DataFrame, *, sample: int = 500, most_languages: int =
     return TextModel(languages, scores.astype(np.float32), temper)
 
 
-def _score(model: TextModel):
-    """Adds the row's tempered log-likelihoods, "und" last."""
+def _score(model: TextModel, shared=None):
+    """Adds the row's tempered log-likelihoods, "und" last. ``shared`` may be a broadcast of the scores."""
+    temper, held = model.temper, None if shared is not None else model.scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.scores
+        table = shared.value if shared is not None else held
         n = len(table)
         for batch in batches:
             place = batch.schema.get_field_index("text")
@@ -135,7 +148,7 @@ def _score(model: TextModel):
                     for k in range(n):
                         run_sum = np.concatenate([[0.0], np.cumsum(table[k][buckets] * counts, dtype=np.float64)])
                         sums[:, k] = run_sum[ends] - run_sum[starts]
-                sums *= model.temper
+                sums *= temper
                 letters = np.concatenate([[0], np.cumsum(_LETTER[_FOLD[values]])])[offsets]
                 letters = letters[1:] - letters[:-1]
                 sums[letters == 0, : n - 1] = NOTHING
@@ -149,64 +162,66 @@ def _score(model: TextModel):
 
 
 def identify(rows: DataFrame, *, sample: int = 500, temper: float = 0.2, strength: float = 10.0, und_prior: float = 0.001) -> DataFrame:
-    """(key, lang, probability, declared) for each of ``rows`` (key, text, declared, suffix, domain, host).
+    """(key, row_key, lang, probability, declared) for each of ``rows`` (key, row_key, text, declared, suffix, domain, host).
 
-    ``declared`` is a primary subtag or null; suffix, domain and host may be null.
+    ``declared`` is a primary subtag or null; suffix, domain and host may be null. Languages are
+    positions in arrays, so the plan is the same for any number of them.
     """
     model = fit_text_model(rows.select("key", "declared", "text"), sample=sample, temper=temper)
     names = [*model.languages, UND]
-    n = len(names)
-    und = n - 1
-    known = F.when(F.col("declared").isin(model.languages), F.col("declared")).otherwise("other")
-    rows = rows.select("key", F.coalesce(known, F.lit("other")).alias("declared"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("suffix", "domain", "host")), "text")
-    scored = rows.mapInArrow(_score(model), "key long, declared string, suffix string, domain string, host string, ll array<double>")
-    best = F.array_position("ll", F.array_max("ll")).cast("int") - 1
-    scored = materialize(scored.withColumn("vote", best), "language-scores")
-
-    # Counts per vote: hosts first, then rolled up. All combine map-side.
-    votes = [F.count(F.when(F.col("vote") == i, 1)).alias(f"n{i}") for i in range(n)]
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
-    hosts = materialize(scored.groupBy("suffix", "domain", "host").agg(*votes), "language-hosts")
-    domains = hosts.groupBy("suffix", "domain").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    confusion = {r["declared"]: [r[f"n{i}"] for i in range(n)] for r in scored.groupBy("declared").agg(*votes).collect()}
-    totals = [sum(c[i] for c in confusion.values()) for i in range(n)]
-    whole = sum(totals)
-    overall = [(totals[i] + 1) / (whole + n) for i in range(n)]
-
-    def shrunk(table: DataFrame, parent: list[Column]) -> list[Column]:
-        total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0))
-        return [(F.col(f"n{i}") + strength * parent[i]) / (total + strength) for i in range(n)]
-
-    suffixes = suffixes.select("suffix", F.array(*shrunk(suffixes, [F.lit(x) for x in overall])).alias("suffix_mean"))
-    domains = domains.join(suffixes, "suffix")
-    domains = domains.select("suffix", "domain", F.array(*shrunk(domains, [F.col("suffix_mean")[i] for i in range(n)])).alias("domain_mean"))
-    hosts = hosts.join(domains, ["suffix", "domain"]).select("suffix", "domain", "host", F.array(*(F.col(f"n{i}").cast("double") for i in range(n))).alias("votes"), "domain_mean")
-
-    joined = scored.join(hosts, ["suffix", "domain", "host"])
-    # P(declared | language), Laplace-smoothed; a table of (languages + 1)^2 numbers
-    kinds = [*model.languages, "other"]
-    terms = []
-    for i in range(n):
-        chain = F.lit(np.log(1 / (totals[i] + len(kinds))).item())
-        for kind in kinds:
-            share = (confusion.get(kind, [0] * n)[i] + 1) / (totals[i] + len(kinds))
-            chain = F.when(F.col("declared") == kind, F.lit(float(np.log(share)))).otherwise(chain)
-        others = F.col("votes")[i] - (F.col("vote") == i).cast("int")
-        all_others = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x) - 1
-        prior = (others + strength * F.col("domain_mean")[i]) / (all_others + strength)
-        if i == und:  # its prior is fixed: hosts full of noise don't condemn their texts
-            prior, chain = F.lit(und_prior), F.lit(float(np.log(1 / len(kinds))))
-        terms.append(F.col("ll")[i] + F.log(prior) + chain)
-    joined = joined.select("key", "declared", F.array(*terms).alias("terms")).withColumn("top", F.array_max("terms"))
+    n, und = len(names), len(names) - 1
+    rows = rows.select("key", "row_key", F.coalesce("declared", F.lit("other")).alias("declared"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("suffix", "domain", "host")), "text")
+    shared = rows.sparkSession.sparkContext.broadcast(model.scores)
+    scored = rows.mapInArrow(_score(model, shared), "key long, row_key long, declared string, suffix string, domain string, host string, ll array<double>")
+    scored = materialize(scored.withColumn("vote", F.array_position("ll", F.array_max("ll")).cast("int") - 1), "language-scores")
+
+    def votes(frame: DataFrame, *keys: str) -> DataFrame:
+        """Counts per vote by ``keys``, as a map of those that there are, and their sum."""
+        counted = frame.groupBy(*keys, "vote").agg(F.sum("n").alias("n")) if "n" in frame.columns else frame.groupBy(*keys, "vote").agg(F.count("*").alias("n"))
+        return counted
+
+    def gathered(counted: DataFrame, *keys: str) -> DataFrame:
+        return counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("votes"), F.sum("n").cast("double").alias("all"))
+
+    # Counts combine where rows lie. Hosts come first, then they are rolled up.
+    hosts = materialize(votes(scored, "suffix", "domain", "host"), "language-hosts")
+    domains = votes(hosts, "suffix", "domain")
+    suffixes = votes(domains, "suffix")
+    declared = materialize(votes(scored, "declared"), "language-declared")
+    totals = [0] * n
+    for r in declared.groupBy("vote").agg(F.sum("n").alias("n")).collect():  # a row per language
+        totals[r["vote"]] = r["n"]
+    overall = F.lit([(t + 1) / (sum(totals) + n) for t in totals])
+
+    def held(i: Column, votes: str = "votes") -> Column:
+        return F.coalesce(F.try_element_at(votes, i), F.lit(0))
+
+    def shrunk(parent: Column | str) -> Column:
+        return F.transform(parent, lambda x, i: (held(i) + strength * x) / (F.col("all") + strength))
+
+    suffixes = gathered(suffixes, "suffix").select("suffix", shrunk(overall).alias("suffix_mean"))
+    domains = gathered(domains, "suffix", "domain").join(suffixes, "suffix").select("suffix", "domain", shrunk("suffix_mean").alias("domain_mean"))
+    hosts = gathered(hosts, "suffix", "domain", "host").join(domains, ["suffix", "domain"])
+    # P(declared | language), Laplace-smoothed; "und" declares everything alike
+    kinds = n  # the languages and "other"
+    said = F.transform(F.lit([float(t) for t in totals]), lambda t, i: F.when(i == und, F.lit(float(np.log(1 / kinds)))).otherwise(F.log((held(i) + 1) / (t + kinds))))
+    declared = gathered(declared, "declared").select("declared", said.alias("said"))
+
+    # a declaration of a third of all rows is a hot key: the table of declarations is small and goes to the rows
+    joined = scored.join(F.broadcast(declared), "declared").join(hosts, ["suffix", "domain", "host"])
+    others = lambda i: held(i) - (F.col("vote") == i).cast("int")
+    # the prior of "und" is fixed: hosts full of noise don't condemn their texts
+    prior = lambda i: F.when(i == und, F.lit(und_prior)).otherwise((others(i) + strength * F.get("domain_mean", i)) / (F.col("all") - 1 + strength))
+    terms = F.transform("ll", lambda x, i: x + F.log(prior(i)) + F.get("said", i))
+    joined = joined.select("key", "row_key", "declared", terms.alias("terms")).withColumn("top", F.array_max("terms"))
     weight = F.aggregate("terms", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    lang = F.array(*map(F.lit, names))[F.array_position("terms", F.col("top")).cast("int") - 1]
-    return joined.select("key", lang.alias("lang"), (1 / weight).alias("probability"), "declared")
+    lang = F.get(F.lit(names), F.array_position("terms", F.col("top")).cast("int") - 1)
+    return joined.select("key", "row_key", lang.alias("lang"), (1 / weight).alias("probability"), "declared")
 
 
 def identify_documents(docs: DataFrame, **options) -> DataFrame:
     """Languages of ``docs`` (doc_id, text, lang as declared, source as host)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", declared_of(F.col("lang")).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col("source").cast("string").alias("host"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), row_key().alias("row_key"), "text", declared_of(F.col("lang")).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col("source").cast("string").alias("host"))
     return identify(rows, **options)
 
 
@@ -215,8 +230,8 @@ def identify_pages(pages: DataFrame, **options) -> DataFrame:
     host = F.regexp_replace(F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)), r":[0-9]*$", "")
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
     declared = declared_of(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z_-]+)""", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("key"), text.alias("text"), declared.alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), F.substring_index(host, ".", -2).alias("domain"), host.alias("host"))
-    return identify(rows, **options)
+    rows = pages.select(F.col("page_id").cast("long").alias("key"), row_key("html").alias("row_key"), text.alias("text"), declared.alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), F.substring_index(host, ".", -2).alias("domain"), host.alias("host"))
+    return identify(rows, **options).drop("row_key")
 
 
 def accepted(languages: tuple[str, ...] | None, least: float) -> Column:
@@ -232,6 +247,6 @@ def document_report(docs: DataFrame, *, languages: tuple[str, ...] | None = None
 
 
 def filter_language(docs: DataFrame, *, languages: tuple[str, ...] | None = None, least: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is not accepted. Rows with a null doc_id stay."""
+    """``docs`` without those whose language is not accepted."""
     found = identify_documents(docs)
-    return without(docs, found.where(~accepted(languages, least)).where("key is not null").select("key").distinct())
+    return without(docs, found.where(~accepted(languages, least)).select(F.col("key").alias("doc_id"), "row_key"))

@@ -2,8 +2,9 @@
 
 The inverted index is of the test items: per term the items that hold it in order of
 threshold, cut into blocks with the largest score contribution of each. Every passage of every
-training document is a query against it. Passages overlap by half and are long enough for
-the longest item to lie whole inside one of them.
+training document is a query against it. Items are searched in classes of like length, each
+with passages that overlap by half and are long enough for its longest item to lie whole inside
+one of them, so that a long item doesn't widen the passages of short ones.
 
 Items are ordered by threshold. For each block of items, the sum of its maxima over a
 passage's terms bounds the score of any of its items; where it stays under the block's
@@ -16,7 +17,8 @@ item of two parts, one under ten words may instead stand there with few words ch
 its edit distance to the nearest run of the document's words, by its length, counts.
 
 The index goes to every task, so its size is checked: benchmarks above ``most_words`` words
-are cut into shards, each searched by a pass of its own.
+are cut into shards, each searched by a pass of its own whose leaks are written before the next.
+Items and documents are cut into words by one function, so that frequencies hold for both.
 
 Defined cases
 - words are runs of word characters, lower-cased; punctuation and white space don't count.
@@ -25,14 +27,16 @@ Defined cases
   is all question.
 - items shorter than a shingle: the whole sequence is the one shingle.
 - repeated items or documents: each pair is reported once per row of documents and item_id.
-- null doc_id or item_id: reported with the null.
+- null doc_id or item_id: reported with the null. drop_contaminated() decides row by row, also
+  where rows share an id or have none.
+- very long texts are searched in whole; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, slices, without
+from tessera.llm.common import materialize, row_key, slices, without
 
 WORD = re.compile(r"\w+")
 LEAST_BLOCK, MOST_BLOCKS = 8, 64
@@ -181,14 +185,33 @@ def build_index(items: list[tuple[int | None, str]], stats: tuple[int, float], f
     return Index(rows, thresholds, vocabulary, postings, scores, block, block_max, floors, max(x[3] for x in weighed))
 
 
-def _leaks(index: Index, least: float, shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())])
-    size = index.longest  # a passage is two neighbouring parts of so many words
+def classes(items: list[tuple[int | None, str]]) -> list[list[tuple[int | None, str]]]:
+    """Items in classes whose longest has less than four times the words of the shortest."""
+    found: dict[int, list] = {}
+    for item in items:
+        found.setdefault((len(words(item[1])).bit_length() - 1) // 2, []).append(item)
+    return [found[k] for k in sorted(found)]
+
+
+FOUND = "doc_id long, row_key long, item_id long, score double, question_overlap double, answer_overlap double, start_word long"
+
+
+def _leaks(indexes: list[Index], least: float, shingle: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())])
+    everything: dict[str, int] = {}
+    for index in indexes:
+        for w in index.vocabulary:
+            everything.setdefault(w, len(everything))
+    own_terms = []  # of each index, by number in everything; the last one stands for other words
+    for index in indexes:
+        terms = np.full(len(everything) + 1, len(index.block_max) - 1)
+        terms[[everything[w] for w in index.vocabulary]] = list(index.vocabulary.values())
+        own_terms.append(terms)
 
     def overlap(own: set, there: set) -> float:
         return len(own & there) / len(own) if own else 1.0
 
-    def search(ids: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, int, float]]:
+    def search(index: Index, ids: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, int, float]]:
         """(first part of the passage, item, score) over words whose parts are numbered."""
         other = len(index.block_max) - 1
         pairs = np.unique(part[ids != other] * (other + 1) + ids[ids != other])  # distinct words of each part
@@ -209,32 +232,37 @@ def _leaks(index: Index, least: float, shingle: int):
                 for item, score in index.search(distinct.tolist(), blocks.tolist()):
                     yield at, item, score
 
-    def of_texts(docs: list, texts: list[str]) -> list[tuple]:
-        get, other = index.vocabulary.get, len(index.block_max) - 1
-        ids, part, first = [], [], [0]
-        for text in texts:
-            tokens = WORD.findall(text.lower())
+    def of_texts(docs: list, keys: list, texts: list[str]) -> list[tuple]:
+        get, other = everything.get, len(everything)
+        ids, lengths = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            tokens = words(text)
             ids.append(np.fromiter((get(w, other) for w in tokens), np.int64, len(tokens)))
-            part.append(first[-1] + np.arange(len(tokens)) // size)
-            first.append(first[-1] + -(-len(tokens) // size) + 1)  # an empty part keeps documents apart
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for at, item, score in search(np.concatenate(ids), np.concatenate(part), first[-1]):
-            doc = bisect_right(first, at) - 1
-            if score > best.get((doc, item), (-1.0,))[0]:
-                best[doc, item] = (score, max(0, at - first[doc]) * size)
+            lengths[i] = len(tokens)
+        ids = np.concatenate(ids)
+        start = np.cumsum(lengths) - lengths
+        best: dict[tuple[int, int, int], tuple[float, int]] = {}
+        for which, (index, terms) in enumerate(zip(indexes, own_terms)):
+            size = index.longest  # a passage is two neighbouring parts of so many words
+            first = np.concatenate([[0], np.cumsum(-(-lengths // size) + 1)])  # an empty part keeps documents apart
+            part = np.repeat(first[:-1], lengths) + (np.arange(len(ids)) - np.repeat(start, lengths)) // size
+            for at, item, score in search(index, terms[ids], part, int(first[-1])):
+                doc = int(np.searchsorted(first, at, "right")) - 1
+                if score > best.get((doc, which, item), (-1.0,))[0]:
+                    best[doc, which, item] = (score, max(0, at - int(first[doc])) * size)
         rows, whole_of, whole, tokens = [], None, set(), []
-        for (doc, item), (score, start) in sorted(best.items()):
+        for (doc, which, item), (score, begin) in sorted(best.items()):
             if doc != whole_of:
                 tokens = words(texts[doc])
                 whole_of, whole = doc, set(shingles(tokens, shingle))
-            name, question, answer, both, *parts = index.items[item]
+            name, question, answer, both, *parts = indexes[which].items[item]
             q, r = _contained(question, whole, tokens, shingle), _contained(answer, whole, tokens, shingle)
             found = q >= least and r >= least or _contained(both, whole, tokens, shingle) >= least
             if not found and all(parts):
                 q, r = (max(o, aligned(p, tokens)) if o < least and len(p) < SHORT else o for o, p in zip((q, r), parts))
                 found = q >= least and r >= least
             if found:
-                rows.append((docs[doc], name, score, q, r, start))
+                rows.append((docs[doc], keys[doc], name, score, q, r, begin))
         return rows
 
     def _contained(own: set, whole: set, tokens: list[str], size: int) -> float:
@@ -245,52 +273,58 @@ def _leaks(index: Index, least: float, shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for few in slices(batch, 1, 1 << 20):
-                held = [(d, t) for d, t in zip(*(c.to_pylist() for c in few.columns)) if t]
+            for few in slices(batch, 2, 1 << 20):
+                held = [r for r in zip(*(c.to_pylist() for c in few.columns)) if r[2]]
                 rows = of_texts(*map(list, zip(*held))) if held else []
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 6, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, schema)], schema=schema)
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.6, least: float = 0.8, shingle: int = 5, most_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, start_word), a row per leak.
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [words(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=["item_id", "text", "w"])
 
-    ``share``: of an item's score against itself, for retrieval. ``least``: of its question's
-    and its answer's shingles, or of the whole item's, for verification. ``most_words``: of a shard of the index,
-    which a task holds in memory.
-    """
+
+def _found(docs: DataFrame, benchmark: DataFrame, share: float, least: float, shingle: int, most_words: int) -> DataFrame:
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"(?U)\w"))
-    size = F.length("text")
-    total = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("chars"), F.count("*").alias("n")).first()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start_word long"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_with_words, "item_id long, text string, w array<string>").where(F.size("w") > 0)
+    items = materialize(items, "benchmark-words")
+    total = items.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     if not total["n"]:
-        return spark.createDataFrame([], ddl)
-    # a word has two characters with its gap at least
-    shards = max(1, math.ceil(total["chars"] / (2 * most_words)))
+        return spark.createDataFrame([], FOUND)
+    shards = max(1, math.ceil(total["words"] / most_words))
     numbered = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    frequency = items.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     if shards > 1:
-        numbered = materialize(numbered, "benchmark-shards")
-    split = F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)")
-    counted = items.select(split.alias("w"))
-    mean = counted.agg(F.avg(F.size("w")).alias("m")).first()["m"]
-    frequency = counted.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+        frequency = materialize(frequency, "benchmark-frequencies")
     found = None
     for shard in range(shards):
         part = numbered.where(F.col("shard") == shard)
-        held = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        held = sorted(((r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if not held:
             continue
-        own = {w for _, text in held for w in words(text)}
-        known = {r["w"]: r["df"] for r in part.select(F.explode(split).alias("w")).distinct().join(frequency, "w").collect()}
-        index = build_index(held, (total["n"], mean), {w: known.get(w, 1) for w in own}, share, shingle)
-        leaks = rows.mapInArrow(_leaks(index, least, shingle), ddl)
+        known = {r["w"]: r["df"] for r in part.select(F.explode("w").alias("w")).distinct().join(frequency, "w").collect()}
+        indexes = [build_index(few, (total["n"], total["words"] / total["n"]), known, share, shingle) for few in classes(held)]
+        leaks = rows.mapInArrow(_leaks(indexes, least, shingle), FOUND)
+        if shards > 1:
+            leaks = materialize(leaks, "leaks")
         found = leaks if found is None else found.unionByName(leaks)
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item. Rows with a null doc_id stay."""
-    return without(docs, find_leaks(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct())
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.6, least: float = 0.8, shingle: int = 5, most_words: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, start_word), a row per leak.
+
+    ``share``: of an item's score against itself, for retrieval. ``least``: of its question's
+    and its answer's shingles, or of the whole item's, for verification. ``most_words``: of a shard of the index,
+    which a task holds in memory.
+    """
+    return _found(docs, benchmark, share, least, shingle, most_words).drop("row_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.6, least: float = 0.8, shingle: int = 5, most_words: int = 2_000_000) -> DataFrame:
+    """``docs`` without those that hold a benchmark item."""
+    return without(docs, _found(docs, benchmark, share, least, shingle, most_words).select("doc_id", "row_key"))

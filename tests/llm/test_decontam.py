@@ -81,7 +81,10 @@ def test_edges(spark):
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     assert pairs(D.find_leaks(d, b)) == brute(docs, items)
     assert D.find_leaks(d, b.limit(0)).count() == 0 and D.find_leaks(d.limit(0), b).count() == 0
-    assert D.drop_contaminated(d, b).where("doc_id is null").count() == 1
+    # a row without an id is judged like any other, and so are rows that share one
+    assert D.drop_contaminated(d, b).where("doc_id is null").count() == 0
+    both = spark.createDataFrame([(1, items[0][1]), (1, "clean"), (None, "clean too"), (None, None)], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["text"]) for r in D.drop_contaminated(both, b).collect()), key=str) == [(1, "clean"), (None, "clean too"), (None, None)]
 
 
 def test_seams_between_passages(spark):
@@ -90,3 +93,26 @@ def test_seams_between_passages(spark):
     placed = [(k, " ".join(filler[:k]) + " " + items[2][1] + " " + " ".join(filler[k:]), None, None) for k in range(0, 130)]
     found = pairs(D.find_leaks(spark.createDataFrame(placed, DOCS), spark.createDataFrame(items, ITEMS)))
     assert {i for i, item in found if item == 2} == set(range(130))
+
+
+def test_decomposed_letters_are_counted_as_they_are_searched(spark):
+    spelt = "Un e\u0301te\u0301 tre\u0300s chaud. Les e\u0301te\u0301s passent vite, e\u0301videmment!"
+    items = [(0, spelt, "s"), (1, "Un other plain item. With its own answer te te te.", "s")]
+    docs = [(0, "before " + spelt + " after", "c", "c"), (1, "te te tre chaud", "c", "c")]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    (leak,) = D.find_leaks(d, b).collect()
+    df = {}
+    for _, t, _ in items:
+        for w in set(D.words(t)):
+            df[w] = df.get(w, 0) + 1
+    index = D.build_index([(0, spelt)], (2, sum(len(D.words(t)) for _, t, _ in items) / 2), df, 0.6, 5)
+    assert (leak["doc_id"], leak["item_id"]) == (0, 0) and abs(leak["score"] * 0.6 - index.thresholds[0]) < 1e-6
+
+
+def test_one_long_item_does_not_widen_the_passages_of_others(spark):
+    docs, items = corpus(11, 100)
+    items = [*items, (77, "\n".join(t for _, t, *_ in docs[:60]), "s")]
+    assert [max(len(D.words(t)) for _, t in c) >= 500 for c in D.classes([(i, t) for i, t, _ in items])].count(True) == 1
+    docs = [*docs, (500, "intro " + items[-1][1] + " end", "c", "c")]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert pairs(D.find_leaks(d, b)) == brute(docs, items)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, without
+from tessera.llm.common import materialize, row_key, without
 
 BITS = 64
 
@@ -64,15 +64,15 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    """(doc_id, row_key, fp) with fp the fingerprint as a signed long."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(_fingerprints(words), "doc_id long, row_key long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -227,16 +227,22 @@ def components(edges: DataFrame, *, tag: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, *, distance: int = 4, words: int = 4, block: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``."""
+def _grouped(docs: DataFrame, distance: int, words: int, block: int) -> DataFrame:
+    """(doc_id, row_key, fp, first) for each row of ``docs``; first is the (without, doc_id, row_key) of the
+    component's first row: the smallest doc_id, and rows without one last."""
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(own).alias("low")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), distance=distance, block=block))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    lowest = named.groupBy("root").agg(F.min("low").alias("first"))
+    return rows.join(named.join(lowest, "root").select("fp", "first"), "fp").select("doc_id", "row_key", "fp", "first")
+
+
+def near_duplicates(docs: DataFrame, *, distance: int = 4, words: int = 4, block: int = 20_000) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``."""
+    return _grouped(docs, distance, words, block).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def near_duplicate_report(docs: DataFrame, *, distance: int = 4, words: int = 4) -> DataFrame:
@@ -245,10 +251,11 @@ def near_duplicate_report(docs: DataFrame, *, distance: int = 4, words: int = 4)
 
 
 def keep_one(docs: DataFrame, *, distance: int = 4, words: int = 4) -> DataFrame:
-    """``docs`` without those whose component has a smaller doc_id.
+    """One document of each component of ``docs``: that with the smallest doc_id.
 
-    Rows with a null doc_id stay, as nothing tells them apart; of rows that share the
-    kept doc_id all stay.
+    Rows without a doc_id come last; rows that share it are told apart by a hash of their text,
+    of which the smallest stays. Rows equal in both are one document and stay together.
     """
-    found = near_duplicates(docs, distance=distance, words=words)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    found = _grouped(docs, distance, words, 20_000)
+    here = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
+    return without(docs, found.where(here != F.col("first")).select("doc_id", "row_key"))

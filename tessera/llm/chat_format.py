@@ -8,7 +8,8 @@ text). Tables are fingerprinted by their schema, JSON records one by one.
 The template writes a turn as ``<|im_start|>role\ntext<|im_end|>\n``. Inside roles and
 texts every ``<``, backslashes, ``|`` gets one more backslash, which no text can undo by
 itself: control strings are never found inside a formatted turn, and taking one backslash
-away restores the text exactly. The formatted output is a row per turn, in order, with
+away restores the text exactly. A role ends where its line ends, so a newline in it is written
+as ``<n``, and in roles ``<``, backslashes, ``n`` gets one more backslash too. The formatted output is a row per turn, in order, with
 the span of the loss mask (the text of assistant turns) in the segment; a conversation is
 the concatenation of its segments, so none has to fit into one task's memory.
 
@@ -16,9 +17,15 @@ Defined cases
 - null text or role: empty. Null turn: before all others.
 - several rows with one turn: all stay, ordered by role and text.
 - null conv_id: a conversation like any other.
-- a record whose fingerprint has no mapping raises, naming the fields.
-- extra fields belong to the fingerprint of a record; a table needs the mapped columns
-  only and may have more.
+- a record's conv_id may be a whole number or its digits in a string. Texts and roles must be
+  strings or null, messages objects; an empty list of messages is a conversation without turns.
+- a record that can't be read goes to rejected_records() with its fingerprint and the reason,
+  and the job goes on: malformed or too deep JSON, no object, fields without a mapping, values of another
+  kind, no conv_id that is a number of 64 bits. ``strict`` raises instead. A null record is none.
+- a table without a mapping raises, as its schema is known before anything runs.
+- extra fields belong to the fingerprint of a record, where null, empty and absent values of
+  mapped fields don't count; a table needs the mapped columns only and may have more.
+- very long texts: one turn at a time is in memory, and some megabytes of segments.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import slices
+
 START, END = "<|im_start|>", "<|im_end|>"
 CANONICAL = "conv_id long, turn long, role string, text string"
 
@@ -120,43 +129,120 @@ def canonical_turns(table: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS)
     return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+class Unreadable(ValueError):
+    """Why a record gives no turns."""
+
+    def __init__(self, reason: str, fields: str | None = None) -> None:
+        super().__init__(reason)
+        self.reason, self.fields = reason, fields
+
+
+def _string(value, where: str) -> str:
+    if value is not None and not isinstance(value, str):
+        raise Unreadable(f"{where} is no string")
+    # lone surrogates, which JSON can name, aren't characters
+    return (value or "").encode("utf-8", "replace").decode()
+
+
 def _from_record(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     if mapping.turns is not None:
-        return [(mapping.roles.get(m.get(mapping.role), m.get(mapping.role)) or "", m.get(mapping.text) or "") for m in record[mapping.turns]]
-    found = [(role, "\n\n".join(record[p] for p in paths if record[p])) for role, paths in mapping.parts]
+        messages = record.get(mapping.turns) or []
+        if not isinstance(messages, list) or not all(isinstance(m, dict) for m in messages):
+            raise Unreadable(f"{mapping.turns} is no list of objects")
+        roles = [_string(m.get(mapping.role), mapping.role) for m in messages]
+        return [(mapping.roles.get(r, r), _string(m.get(mapping.text), mapping.text)) for r, m in zip(roles, messages)]
+    found = [(role, "\n\n".join(t for p in paths if (t := _string(record.get(p), p)))) for role, paths in mapping.parts]
     return [(role, text) for role, text in found if text]
 
 
-def canonical_records(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Canonical turns of JSON records, each by its own fingerprint."""
+def _layout(record: dict, known: dict[str, Mapping], mappings: tuple[Mapping, ...]) -> Mapping:
+    """The mapping of the record's fingerprint; else the one whose fields it has but for some that are empty or absent."""
+    paths = set(value_paths(record))
+    mapping = known.get(fingerprint(paths))
+    if mapping is None:
+        held = {p for p in paths if not (p in record and record[p] in (None, "", [])) and not p.endswith("[]")}
+        fits = [m for m in mappings if m.parts or m.turns if {p.split("[]")[0].split(".")[0] for p in paths} <= {p.split("[]")[0] for p in m.fields} and held <= set(m.fields) and len(held & set(m.fields)) > 1 - (m.turns in record)]
+        if not fits:
+            raise Unreadable(f"no mapping for the fields {sorted(paths)}", fingerprint(paths))
+        mapping = min(fits, key=lambda m: len(m.fields))
+    return mapping
+
+
+def _read(raw: str, known: dict[str, Mapping], mappings: tuple[Mapping, ...]) -> list[tuple[int, int, str, str]]:
+    """(conv_id, turn, role, text) of a JSON record."""
+    try:
+        record = json.loads(raw)
+        value_paths(record)
+    except (ValueError, RecursionError):
+        raise Unreadable("malformed or too deep JSON") from None
+    if not isinstance(record, dict):
+        raise Unreadable("no object")
+    mapping = _layout(record, known, mappings)
+    conv = record.get("conv_id")
+    if isinstance(conv, str) and re.fullmatch(r"[+-]?[0-9]{1,19}", conv):
+        conv = int(conv)
+    if isinstance(conv, bool) or not isinstance(conv, int) or not -(1 << 63) <= conv < 1 << 63:
+        raise Unreadable("no conv_id that is a number of 64 bits", fingerprint(value_paths(record)))
+    try:
+        return [(conv, at, role, text) for at, (role, text) in enumerate(_from_record(record, mapping))]
+    except Unreadable as e:
+        raise Unreadable(e.reason, fingerprint(value_paths(record))) from None
+
+
+def canonical_records(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, *, strict: bool = False) -> DataFrame:
+    """Canonical turns of JSON records, each by its own fingerprint. What can't be read is left to rejected_records()."""
+    known = registry(mappings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                rows = []
+                for raw in part.column(0).to_pylist():
+                    try:
+                        rows += _read(raw, known, mappings) if raw is not None else []
+                    except Unreadable:
+                        if strict:
+                            raise
+                columns = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text"])
+
+    return records.select(column).mapInArrow(run, CANONICAL)
+
+
+def rejected_records(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(record, fingerprint, reason) of the records that canonical_records() can't read."""
     known = registry(mappings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw in batch.column(0).to_pylist():
-                if raw is None:
-                    continue
-                record = json.loads(raw)
-                paths = value_paths(record)
-                mapping = known.get(fingerprint(paths))
-                if mapping is None:
-                    raise ValueError(f"no mapping for the fields {sorted(set(paths))}")
-                rows += [(record["conv_id"], at, role, text) for at, (role, text) in enumerate(_from_record(record, mapping))]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text"])
+                try:
+                    _ = raw is not None and _read(raw, known, mappings)
+                except Unreadable as e:
+                    rows.append((raw, e.fields, e.reason))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 3], names=["record", "fingerprint", "reason"])
 
-    return records.select(column).mapInArrow(run, CANONICAL)
+    return records.select(column).mapInArrow(run, "record string, fingerprint string, reason string")
 
 
 def escape(column) -> F.Column:
     return F.regexp_replace(column, r"<(\\*)\|", r"<$1\\|")
 
 
+def escape_role(column) -> F.Column:
+    """As escape(), also for ``<``, backslashes, ``n``; a newline becomes ``<n``."""
+    return F.regexp_replace(escape(F.regexp_replace(column, r"<(\\*)n", r"<$1\\n")), "\n", "<n")
+
+
 def unescape_text(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text) if "<\\" in text else text
 
 
+def unescape_role(role: str) -> str:
+    return unescape_text(re.sub(r"<(\\*)n", lambda m: f"<{m[1][1:]}n" if m[1] else "\n", role))
+
+
 def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, turn, segment, loss_start, loss_end): the formatted output, a row per turn.
 
@@ -164,7 +250,7 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     loss is taken. ``turns`` may have any order; the output is distributed by conversation
     and sorted within partitions.
     """
-    role, text = escape(F.col("role")), escape(F.col("text"))
+    role, text = escape_role(F.col("role")), escape(F.col("text"))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     start = F.length(head)
     end = F.when(F.col("role").isin(*trained), start + F.length(text)).otherwise(start)
@@ -176,7 +262,7 @@ def format_turns(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
 def parse_segment(segment: str) -> tuple[str, str]:
     """(role, text) of a formatted turn."""
     role, _, text = segment.removeprefix(START).removesuffix(END + "\n").partition("\n")
-    return unescape_text(role), unescape_text(text)
+    return unescape_role(role), unescape_text(text)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +280,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     for batch in batches:
-        for conv, segment, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end"))):
+        parts = slices(batch, batch.schema.get_field_index("segment"))
+        for conv, segment, start, end in (row for part in parts for row in zip(*(part.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end")))):
             if not began or conv != current:
                 if began:
                     rows.append((current, n, whole.hexdigest(), loss, masked.hexdigest(), chars))

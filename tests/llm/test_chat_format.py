@@ -51,7 +51,8 @@ def test_empty_table_and_one_huge_conversation(spark):
 @given(st.text(alphabet="<|\\>imstaréend\n_", max_size=30), st.text(alphabet="<|\\userx", max_size=6))
 def test_escape_is_reversible_and_hides_control_strings(text, role):
     esc = lambda s: re.sub(r"<(\\*)\|", r"<\1\\|", s)
-    segment = f"{C.START}{esc(role)}\n{esc(text)}{C.END}\n"
+    role_esc = esc(re.sub(r"<(\\*)n", r"<\1\\n", role)).replace("\n", "<n")
+    segment = f"{C.START}{role_esc}\n{esc(text)}{C.END}\n"
     assert C.parse_segment(segment) == (role, text)
     assert segment.count(C.START) == 1 and segment.count(C.END) == 1
 
@@ -92,4 +93,49 @@ def test_unknown_layouts_are_named(spark):
     with pytest.raises(ValueError, match="no mapping"):
         C.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, blob string"))
     with pytest.raises(Exception, match="no mapping"):
-        C.canonical_records(spark.createDataFrame([('{"conv_id": 1, "blob": 2}',)], "record string")).collect()
+        C.canonical_records(spark.createDataFrame([('{"conv_id": 1, "blob": 2}',)], "record string"), strict=True).collect()
+
+
+def test_records_that_cannot_be_read_are_rejected_and_the_others_stay(spark):
+    good = {"conv_id": "12", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}
+    raw = [json.dumps(r) for r in (
+        good,
+        {"conv_id": 1, "messages": []},
+        {"conv_id": 2, "blob": 2},
+        [1, 2],
+        {"conv_id": "x1", "prompt": "a", "response": "b"},
+        {"conv_id": 3, "prompt": 5, "response": "b"},
+        {"conv_id": 4, "prompt": "a", "response": "b", "more": 1},
+        {"conv_id": 2**63, "prompt": "a", "response": "b"},
+        {"conv_id": True, "prompt": "a", "response": "b"},
+        {"prompt": "a", "response": "b"},
+        {"conv_id": 5, "instruction": "a", "output": "b", "input": None},
+        {"conv_id": 6, "messages": "no list"},
+        {"conv_id": 7, "messages": [{"role": "user", "content": ["no string"]}]},
+        {"conv_id": 8, "prompt": "\ud800", "response": "b"},
+        {"conv_id": -(2**63), "prompt": "a", "response": ""},
+    )] + ['{"conv_id": 9, "prompt": "a"', "[" * 5000, "", None, "NaN"]
+    frame = spark.createDataFrame([(r, "clash") for r in raw], "record string, reason string")
+    assert turns(C.canonical_records(frame)) == sorted([(12, 0, "user", "a"), (12, 1, "assistant", ""), (5, 0, "user", "a"), (5, 1, "assistant", "b"), (8, 0, "user", "?"), (8, 1, "assistant", "b"), (-(2**63), 0, "user", "a")])
+    lost = C.rejected_records(frame).collect()
+    assert len(lost) == len(raw) - 6 and all(r["reason"] for r in lost)  # all but five with turns, one without, one null
+    assert {r["fingerprint"] for r in lost if r["record"] == raw[2]} == {C.fingerprint(["conv_id", "blob"])}
+
+
+ROLES = st.text(alphabet="<|\\\nnuserx", max_size=8)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(ROLES, st.text(alphabet="<|\\n\nax", max_size=8)), min_size=1, max_size=20))
+def test_any_role_and_text_come_back(spark, pairs):
+    rows = [(i, 0, role, text, None, None) for i, (role, text) in enumerate(pairs)]
+    formatted = C.format_turns(C.canonical_turns(spark.createDataFrame(rows, SCHEMA)))
+    got = {r["conv_id"]: C.parse_segment(r["segment"]) for r in formatted.collect()}
+    assert got == {i: pair for i, pair in enumerate(pairs)}
+    assert all(r["segment"].count("<|") == 2 for r in formatted.collect())
+
+
+def test_roles_with_newlines_differ(spark):
+    frame = spark.createDataFrame([(1, 0, "a\nb", "c", None, None), (2, 0, "a", "b\nc", None, None), (3, 0, "<n", "<n", None, None)], SCHEMA)
+    got = {r["conv_id"]: (r["segment"], C.parse_segment(r["segment"])) for r in C.format_turns(C.canonical_turns(frame)).collect()}
+    assert got[1][0] != got[2][0] and [got[i][1] for i in (1, 2, 3)] == [("a\nb", "c"), ("a", "b\nc"), ("<n", "<n")]

@@ -10,7 +10,8 @@ prefix that it extends.
   segmentation of a prefix is the one that the merges give; it is unique, and a piece
   extends it exactly if no merge of higher priority would join or cut the two pieces at
   their border. So a relaxation is accepted if that holds for the last piece of the prefix.
-  Every prefix has one such last piece, and the single pass stays the same.
+  Every prefix has one such last piece, and the single pass stays the same, also for runs
+  of marks, whose pieces have equal priorities: there the leftmost merges first.
 
 Characters without a piece become their UTF-8 byte pieces. White space is the piece mark
 U+2581; a text's own U+2581 is written as byte pieces, so that decoding gives back every
@@ -20,8 +21,11 @@ kept in a bounded cache; a model with marks elsewhere is run over whole texts.
 Defined cases
 - null text: null ids and null text; empty text: no ids.
 - lone surrogates can't occur in Spark strings. Control characters are ordinary text.
-- very long texts and words: memory is proportional to the text.
-- repeated rows and null ids are returned as they come; extra columns pass through encode().
+- very long texts and words: memory is proportional to the text; batches are handled some
+  megabytes of text at a time.
+- repeated rows and null doc_ids are returned as they come; extra columns pass through. Where a
+  table has a column that is called like a new one, the new one gets an underscore more.
+- ties of equal sums: the longer last piece.
 """
 
 from __future__ import annotations
@@ -31,7 +35,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -40,6 +43,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import ddl_of, free_name, slices
+
 MARK = "▁"
 FOLDER = "/opt/tokenizers"
 
@@ -61,7 +66,7 @@ class Codec:
         self.automaton.make_automaton()
         inner = any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.chunk = re.compile(r".+", re.S) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.worst = min(self.score, default=0.0) - 10.0
+        self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0) - 10.0
         self.cache: dict[str, tuple[int, ...]] = {}
         self.room = cache
 
@@ -98,41 +103,7 @@ class Codec:
         return [self.bytes_at[b] for b in char.encode()]
 
     def _segment(self, text: str) -> list[int]:
-        if not self.bpe:
-            return self._sum_pass(text)
-        if text.startswith(MARK + MARK):  # marks alone have equal priorities, which positions decide
-            return self._merge_all(text)
-        return self._merge_pass(text)
-
-    def _merge_all(self, text: str) -> list[int]:
-        """The merges one by one, best first and leftmost of equals."""
-        parts: list[str | None] = list(text)
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, str, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else n
-            if j < n and (made := self.id_of.get(parts[i] + parts[j])) is not None:
-                heappush(heap, (-self.score[made], i, parts[i], j))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            score, i, left, j = heappop(heap)
-            if parts[i] != left or j >= n or after[i] != j or self.id_of.get(left + (parts[j] or "")) is None or -self.score[self.id_of[left + parts[j]]] != score:
-                continue  # one of the two has been merged since
-            parts[i], parts[j] = left + parts[j], None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        out = []
-        for part in parts:
-            if part is not None:
-                out += [self.id_of[part]] if part in self.id_of else self._bytes(part)
-        return out
+        return self._merge_pass(text) if self.bpe else self._sum_pass(text)
 
     def _sum_pass(self, text: str) -> list[int]:
         """Viterbi over sums of scores."""
@@ -265,77 +236,90 @@ def load(model: str) -> Codec:
     return Codec(pieces, bytes_at, bpe=bpe, prefix=sp.encode("a") != sp.encode(" a") or sp.id_to_piece(sp.encode("a")[0]).startswith(MARK), unknown=max(0, sp.unk_id()), skip=skip)
 
 
+def by_rank(codec: Codec) -> Codec:
+    """The same pieces as a unigram model. Nothing is trained: a vocabulary lists its pieces by falling
+    frequency, so by Zipf's law the log-probability of the piece with rank r is -log(r) less a constant."""
+    ranked = [i for i in range(len(codec.pieces)) if i in set(codec.id_of.values())]
+    ranked.sort(key=lambda i: (-codec.score[i], i))
+    whole = float(np.log(sum(1 / r for r in range(1, len(ranked) + 1))))
+    score = {i: -float(np.log(r)) - whole for r, i in enumerate(ranked, 1)}
+    pieces = [(p, score.get(i, 0.0)) for i, (p, _) in enumerate(codec.pieces)]
+    return Codec(pieces, codec.bytes_at, bpe=False, prefix=codec.prefix, unknown=codec.unknown, skip=codec.skip)
+
+
 @lru_cache(maxsize=2)
-def worker_codec(model: str) -> Codec:
-    return load(model)
+def worker_codec(model: str, unigram: bool = False) -> Codec:
+    return by_rank(load(model)) if unigram else load(model)
 
 
 def default_model() -> str:
     return os.path.join(FOLDER, "piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str | None = None, *, column: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, *, column: str = "text", into: str = "ids", unigram: bool = False) -> DataFrame:
     """``docs`` with the piece ids of ``column``. ``model`` is a path that executors have."""
-    model = model or default_model()
+    model, into = model or default_model(), free_name(docs, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model)
+        codec = worker_codec(model, unigram)
         for batch in batches:
-            ids = [None if t is None else codec.encode(t) for t in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, into])
+            for part in slices(batch, batch.schema.get_field_index(column)):
+                ids = [None if t is None else codec.encode(t) for t in part.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, into])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, `{into}` array<int>")
+    return docs.mapInArrow(run, f"{ddl_of(docs)}, `{into}` array<int>")
 
 
 def decode(rows: DataFrame, model: str | None = None, *, column: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text of the piece ids in ``column``."""
-    model = model or default_model()
+    model, into = model or default_model(), free_name(rows, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model)
         for batch in batches:
-            texts = [None if i is None else codec.decode(i) for i in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [None if i is None else codec.decode(i) for i in part.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{ddl}, `{into}` string")
+    return rows.mapInArrow(run, f"{ddl_of(rows)}, `{into}` string")
 
 
-def encode_checked(docs: DataFrame, model: str | None = None, *, column: str = "text") -> DataFrame:
+def encode_checked(docs: DataFrame, model: str | None = None, *, column: str = "text", unigram: bool = False) -> DataFrame:
     """``docs`` with ``ids``, ``n_pieces`` and ``exact``: whether decoding the ids gives back the text."""
     model = model or default_model()
+    new = [free_name(docs, n) for n in ("ids", "n_pieces", "exact")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model)
+        codec = worker_codec(model, unigram)
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            ids = [None if t is None else codec.encode(t) for t in texts]
-            exact = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids)]
-            sizes = [None if i is None else len(i) for i in ids]
-            made = [pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "ids", "n_pieces", "exact"])
+            for part in slices(batch, batch.schema.get_field_index(column)):
+                texts = part.column(column).to_pylist()
+                ids = [None if t is None else codec.encode(t) for t in texts]
+                exact = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids)]
+                sizes = [None if i is None else len(i) for i in ids]
+                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, ids array<int>, n_pieces long, exact boolean")
+    return docs.mapInArrow(run, f"{ddl_of(docs)}, `{new[0]}` array<int>, `{new[1]}` long, `{new[2]}` boolean")
 
 
 def _digest(ids: list[int]) -> str:
     return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
 
 
-def codec_report(docs: DataFrame, model: str | None = None) -> DataFrame:
+def codec_report(docs: DataFrame, model: str | None = None, *, unigram: bool = False) -> DataFrame:
     """(doc_id, n_chars, n_pieces, ids_sha256, decoded_sha256, exact), encoded and decoded in one pass.
 
     ``ids_sha256`` is of the ids as little-endian 32-bit integers; ``exact`` tells whether
-    decoding gave back the text.
+    decoding gave back the text. ``unigram``: the model's pieces with the scores of by_rank().
     """
     model = model or default_model()
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model)
-        for batch in batches:
+        codec = worker_codec(model, unigram)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None:

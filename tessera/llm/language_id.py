@@ -95,11 +95,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sampled(labelled: DataFrame, sample: int) -> DataFrame:
     """(declared, text): per declared language ``sample`` rows of ``labelled`` (key, declared, text).
 
-    Keys are picked before texts are read, so that texts of the sample alone move; rows that
+    Keys are picked before texts are read, so that texts of the sample alone move. Counts per range
+    of hashes tell below which hash a language's sample lies, so that few keys meet; rows that
     repeat a key are cut to the sample where they lie.
     """
-    order = Window.partitionBy("declared").orderBy(F.xxhash64("key"), "key")
-    picked = labelled.where("key is not null").select("declared", "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    first = F.shiftrightunsigned(F.xxhash64("key"), 48)
+    order = Window.partitionBy("declared").orderBy(first, F.xxhash64("key"), "key")
+    known = labelled.where("key is not null").select("declared", "key")
+    counts = known.groupBy("declared", first.alias("first")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("declared").orderBy("first")) - F.col("n")
+    cuts = counts.withColumn("before", before).where(F.col("before") < sample).groupBy("declared").agg(F.max("first").alias("cut"))
+    near = known.join(F.broadcast(cuts), "declared").where(first <= F.col("cut"))  # a row per language is small
+    picked = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     picked = materialize(picked.select("declared", "key").distinct(), "language-sample")
     if picked.count() <= MOST_BROADCAST:
         picked = F.broadcast(picked)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
+_open: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for made in _open[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables and archives made inside are deleted at the end.
+
+    Operators return frames that still read such tables, so whoever consumes a result opens this
+    around both and closes it when the result is written; without it the tables stay until the
+    shared folder is cleared.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_scratch(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -43,6 +66,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns, written, without the intermediate tables that it took."""
+    path = scratch_path(spark, tag)
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

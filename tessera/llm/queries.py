@@ -129,7 +129,9 @@ SQL = {
         judged AS (SELECT p.*, rule, v FROM p LEFT JOIN fit USING (host, path)),
         hosts AS (
           SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, count(v)::DOUBLE AS n, count(*) FILTER (WHERE v = 'block')::DOUBLE AS bad FROM judged GROUP BY host),
-        named AS (SELECT host, n, bad, regexp_extract(bare, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(bare, '[^.]*$', 0) AS suffix FROM hosts),
+        named AS (SELECT host, n, bad, CASE WHEN ip THEN bare ELSE regexp_extract(bare, '([^.]*[.])?(' || ends || '|[^.]*)$', 0) END AS domain,
+                 CASE WHEN ip THEN '' ELSE coalesce(nullif(regexp_extract(bare, '(^|[.])(' || ends || ')$', 2), ''), regexp_extract(bare, '[^.]*$', 0)) END AS suffix
+          FROM (SELECT *, regexp_matches(bare, '^([0-9]{1,3}[.]){3}[0-9]{1,3}$|^\[.*\]$') AS ip, 'ac[.]uk|co[.]in|co[.]jp|co[.]kr|co[.]nz|co[.]uk|co[.]za|com[.]au|com[.]br|com[.]cn|com[.]mx|com[.]tr|gov[.]uk|net[.]au|or[.]jp|org[.]au|org[.]uk' AS ends FROM hosts) x),
         domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
         suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
         levels AS (SELECT 's' AS l, n, bad FROM suffixes UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 'h', n, bad FROM named),

@@ -1,7 +1,8 @@
 """WARC archives with an index written first and coalesced range reads.
 
-Writing: payload digests are aggregated to find groups of equal payloads, then every task
-writes its pages to an archive in the shared folder, one gzip member per record, and
+Writing: payload digests are aggregated to find groups of equal payloads, of which only those
+of two and more come back to the pages: to where these lie while groups are few
+(``MOST_BROADCAST``), else in a shuffle in which payloads move once. Then every task writes its pages to an archive in the shared folder, one gzip member per record, and
 returns an index row (path, offset, length, url, digest) for each. Archive names hold the
 task attempt, and the index only has rows of attempts that ended well, so archives of
 lost or repeated attempts are never read.
@@ -16,6 +17,8 @@ Defined cases
 - the record with the largest page_id of a group is the response; rows that repeat that
   page_id are responses too. In a group without any page_id all are responses.
 - null page_id: written and returned like any other, with a null id.
+- very long payloads: a record is in memory whole when it is written and read; reads of several
+  records end at ``most`` bytes, a longer record is a read of its own.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, scratch_path
+from tessera.llm.common import MOST_BROADCAST, materialize, scratch_path
 
 DATE = "2000-01-01T00:00:00Z"
 INDEX = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string())])
@@ -111,7 +114,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, least_bytes:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("digest"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("content"), F.octet_length(html).alias("size"))
     # A group of copies is one row after the map-side combine; pages in it are told apart by skew-aware joins.
     groups = rows.where(F.col("size") >= least_bytes).groupBy("content").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("content", "top")
-    rows = rows.join(groups.hint("shuffle_hash"), "content", "left")
+    groups = materialize(groups, "equal-payloads")
+    groups = F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups.hint("shuffle_hash")
+    rows = rows.join(groups, "content", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     rows = rows.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     return materialize(rows.mapInArrow(_writer(folder, file_bytes, level), INDEX_DDL), "warc-index")

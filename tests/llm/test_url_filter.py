@@ -63,3 +63,40 @@ def test_hot_host_keeps_all_rows(spark):
     frame = spark.range(5000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.lit("http://hot.com/de/x")).otherwise(F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/en/"))).alias("url"))
     got = U.judge(frame)
     assert got.count() == 5000 and got.where("verdict = 'block'").count() >= 1667
+
+
+def test_suffixes_domains_and_addresses(spark):
+    hosts = ["www.bbc.co.uk", "co.uk", "bbc.co.uk", "a.b.example.com", "example.com", "com", "", "10.0.0.1", "[::1]", "x.1", "uk", "notco.uk"]
+    frame = spark.createDataFrame([(h,) for h in hosts], "h string")
+    suffix, domain = U.suffix_and_domain("h")
+    got = {r["h"]: (r["s"], r["d"]) for r in frame.select("h", suffix.alias("s"), domain.alias("d")).collect()}
+    want = [("co.uk", "bbc.co.uk"), ("co.uk", "co.uk"), ("co.uk", "bbc.co.uk"), ("com", "example.com"), ("com", "example.com"), ("com", "com"), ("", ""), ("", "10.0.0.1"), ("", "[::1]"), ("1", "x.1"), ("uk", "uk"), ("uk", "notco.uk")]
+    assert got == dict(zip(hosts, want))
+    suffix, _ = U.suffix_and_domain("h", ())
+    assert frame.where("h = 'bbc.co.uk'").select(suffix.alias("s")).first()["s"] == "uk"
+
+
+def test_sql_agrees_on_all_kinds_of_hosts(spark, tmp_path):
+    from oracle import plain
+
+    import duckdb
+
+    from tessera.llm import queries
+
+    urls = [*URLS, *(f"http://{h}/{p}" for h in ("www.bbc.co.uk", "x.co.uk", "10.0.0.1", "10.0.0.2:8", "[::1]", "a.com", "b.a.com", "c.net") for p in ("de/", "fr/1", "other"))]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    result = db.execute(queries.SQL["op5_url_filter"])
+    names = [d[0] for d in result.description]
+    want = sorted(tuple(map(plain, r)) for r in result.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in queries.QUERIES["op5_url_filter"](spark, str(tmp_path)).collect()) == want
+
+
+def test_thousands_of_rules_fit_by_a_join(spark):
+    many = U.RULES + tuple(U.Rule("block" if i % 2 else "allow", f"h{i}.net", f"/{i % 3}") for i in range(1000))
+    frame = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate([*URLS, "http://h5.net/2", "http://x.h5.net/21", "http://h5.net/1", "http://xh5.net/2"])], SCHEMA)
+    few = {r["page_id"]: r["rule"] for r in U.judge(frame).collect()}
+    got = {r["page_id"]: r for r in U.judge(frame, many).collect()}
+    assert all(got[i]["rule"] == few[i] for i in range(len(URLS))) and len(got) == len(URLS) + 4
+    assert [got[len(URLS) + i]["rule"] for i in range(4)] == ["h5.net/2", "h5.net/2", None, None] and got[len(URLS)]["verdict"] == "block"

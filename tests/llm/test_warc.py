@@ -57,3 +57,24 @@ def test_record_fields():
     assert payload == b"xyz" and fields["WARC-Target-URI"] == "http://a%20b/" and b"Content-Length: 3" in head
     fields, head, payload = warc.parse(warc.record(4, None, b"xyz", "d", 9))
     assert payload == b"" and fields["WARC-Refers-To"] == "<urn:page:9>" and b"Content-Length: 3" in head
+
+
+def test_records_longer_than_a_read(spark):
+    import random
+
+    r = random.Random(1)
+    noise = "".join(chr(r.randint(32, 5000)) for _ in range(3_000_000))  # hardly shrinks
+    rows = [(1, "u", noise, None), (2, "v", noise, None), (3, "w", noise + "!", None), (4, "x", "small", None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert report(frame) == brute(rows)
+    index = warc.write_archives(frame)
+    assert index.agg(F.max("length")).first()[0] > 4 << 20
+    found = {r["page_id"]: r["payload"] for r in warc.read_archives(index, most=1 << 20).collect()}
+    assert bytes(found[2]).decode() == noise and found[1] is None and bytes(found[4]) == b"small"
+
+
+def test_many_groups_meet_the_pages_in_a_shuffle(spark, monkeypatch):
+    rows = [(i, "u", BIG + str(i % 20), None) for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 3)
+    assert report(frame) == brute(rows)

@@ -28,31 +28,50 @@ def even(pos: Column, start: Column, older: Column) -> Column:
     return (pos < start) & (older > 0) & (inside[0] | inside[1] | inside[2])
 
 
-def by_rows(panel: DataFrame, budget: int, recent: float) -> DataFrame:
-    """Per period the latest rows (time-major), and an even selection of older ones."""
-    w = Window.partitionBy("period")
-    frame = panel.withColumn("__pos", F.row_number().over(w.orderBy("t", "asset_ord")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    late = max(1, int(budget * recent))
-    start = F.col("__n") - late
-    keep = (F.col("__n") <= budget) | (F.col("__pos") >= start) | even(F.col("__pos"), start, F.lit(budget - late))
-    return frame.where(keep).drop("__pos", "__n")
+def place_times(panel: DataFrame) -> DataFrame:
+    """A row per (period, t) of ``panel``: its rows, its place among the period's timestamps, the rows before it, and both totals.
 
-
-def by_times(panel: DataFrame, budget: int, recent: float) -> DataFrame:
-    """Whole timestamps: as many as the median number of rows of one fits into the budget."""
-    times = panel.groupBy("period", "t").agg(F.count(F.lit(1)).alias("__n"))
+    Everything about positions comes from this table of timestamps, so that no task sees a whole period.
+    """
     w = Window.partitionBy("period")
-    times = times.select(
+    before = w.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    return panel.groupBy("period", "t").agg(F.count(F.lit(1)).alias("__n")).select(
         "period",
         "t",
-        (F.row_number().over(w.orderBy("t")) - 1).alias("__pos"),
-        F.count(F.lit(1)).over(w).alias("__total"),
-        F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.floor(F.median("__n").over(w))))).cast("int").alias("__budget"),
+        "__n",
+        (F.row_number().over(w.orderBy("t")) - 1).alias("__place"),
+        F.count(F.lit(1)).over(w).alias("__places"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        F.sum("__n").over(w).alias("__rows"),
+        F.floor(F.median("__n").over(w)).alias("__typical"),
     )
+
+
+def by_rows(panel: DataFrame, budget: int, recent: float, positions: bool = False) -> DataFrame:
+    """Per period the latest rows (time-major), and an even selection of older ones.
+
+    ``positions`` adds position and total, of the row among all rows of the period.
+    """
+    order = Window.partitionBy("period", "t").orderBy("asset_ord")
+    frame = panel.join(place_times(panel), ["period", "t"]).withColumn("position", F.col("__before") + F.row_number().over(order) - 1)
+    late = max(1, int(budget * recent))
+    start = F.col("__rows") - late
+    keep = (F.col("__rows") <= budget) | (F.col("position") >= start) | even(F.col("position"), start, F.lit(budget - late))
+    frame = frame.where(keep).withColumn("total", F.col("__rows"))
+    return frame.select(*panel.columns, *(["position", "total"] if positions else []))
+
+
+def by_times(panel: DataFrame, budget: int, recent: float, positions: bool = False) -> DataFrame:
+    """Whole timestamps: as many as the median number of rows of one fits into the budget.
+
+    ``positions`` adds position and total, of the timestamp among all of the period.
+    """
+    times = place_times(panel).withColumn("__budget", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("__typical")))).cast("int"))
     late = F.greatest(F.lit(1), F.floor(F.col("__budget") * recent)).cast("int")
-    start = F.col("__total") - late
-    keep = (F.col("__total") <= F.col("__budget")) | (F.col("__pos") >= start) | even(F.col("__pos"), start, F.col("__budget") - late)
-    return panel.join(times.where(keep).select("period", "t"), ["period", "t"], "left_semi")
+    start = F.col("__places") - late
+    keep = (F.col("__places") <= F.col("__budget")) | (F.col("__place") >= start) | even(F.col("__place"), start, F.col("__budget") - late)
+    times = times.where(keep).select("period", "t", F.col("__place").alias("position"), F.col("__places").alias("total"))
+    return panel.join(times, ["period", "t"]).select(*panel.columns, *(["position", "total"] if positions else []))
 
 
 def blocks(panel: DataFrame, cuts: tuple[float, ...]) -> DataFrame:

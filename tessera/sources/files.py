@@ -18,9 +18,12 @@ def write_json(frame: DataFrame, path: str) -> None:
     frame.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def as_json(frame: DataFrame, indent: int = 2) -> str:
-    """The rows of a small result (statistics, folds, period metrics) as text."""
-    return json.dumps([r.asDict(recursive=True) for r in frame.limit(10_000).collect()], indent=indent, default=str)
+def as_json(frame: DataFrame, indent: int = 2, most: int = 1_000_000) -> str:
+    """The rows of a small result (statistics, folds, period metrics) as text. More than ``most`` rows raise: they are for write_json()."""
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write_json() has no limit")
+    return json.dumps([r.asDict(recursive=True) for r in rows], indent=indent, default=str)
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -94,9 +94,68 @@ def test_gauge_keeps_shape_and_is_seeded(spark, panel):
 @pytest.mark.parametrize(("n", "budget"), [(100, 40), (100, 100), (1000, 37), (41, 40)])
 def test_samples_by_position(spark, n, budget):
     frame = spark.range(n).select(F.lit(0).alias("period"), F.col("id").cast("int").alias("t"), F.lit("a").alias("asset"), F.lit(0).alias("asset_ord"))
-    want = engine.sample_rows(n, budget, 0.6).tolist()
-    assert sorted(r["t"] for r in sampling.by_rows(frame, budget, 0.6).collect()) == want
-    assert sorted(r["t"] for r in sampling.by_times(frame, budget, 0.6).collect()) == want
+    late = int(0.6 * budget)
+    old = {int(x) for x in np.linspace(0, n - late - 1, budget - late)}
+    want = list(range(n)) if n <= budget else sorted(old | set(range(n - late, n)))
+    for rows in (sampling.by_rows(frame, budget, 0.6, positions=True), sampling.by_times(frame, budget, 0.6, positions=True)):
+        assert sorted((r["t"], r["position"], r["total"]) for r in rows.collect()) == [(t, t, n) for t in want]
+
+
+def test_a_model_is_that_of_plain_numpy(spark, panel):
+    """v37 fitted again with loops and a direct solution of its normal equations."""
+    from tessera.plans import features
+
+    got = walkforward.walk_forward(panel, "v37").toPandas().set_index(["period", "t", "asset"])["pred"]
+    made = features.compact(walkforward.split(panel))
+    names = features.feature_names(made)
+    for period, frame in made.toPandas().groupby("period"):
+        frame = frame.sort_values(["t", "asset_ord"]).reset_index(drop=True)
+        train, valid = frame[frame["train"]], frame[~frame["train"]]
+        y = (train["y"] - train.groupby("t")["y"].transform("mean")).to_numpy()
+        limit = np.quantile(np.abs(y), 0.995)
+        raw = np.clip(y, -limit, limit)
+        rank = 2 * (pd.Series(raw).groupby(train["t"].to_numpy()).rank(pct=True).to_numpy() - 0.5)
+        cells, ahead = [], []
+        for name in names:
+            own, other = train[name].to_numpy(float), valid[name].to_numpy(float)
+            middle = np.nanmedian(own)
+            own, other = np.where(np.isnan(own), middle, own), np.where(np.isnan(other), middle, other)
+            low, high = np.quantile(own, 0.01), np.quantile(own, 0.99)
+            own, other = np.clip(own, low, high), np.clip(other, low, high)
+            centre = np.median(own)
+            scale = 1.4826 * np.median(np.abs(own - centre))
+            cells.append((own - centre) / scale)
+            ahead.append((other - centre) / scale)
+        x, z = np.column_stack(cells), np.column_stack(ahead)
+        age = train["t"].max() - train["t"].to_numpy()
+        w = np.exp(-age / (0.30 * (train["t"].max() + 1)))
+        w /= w.mean()
+        pred = 0.0
+        for share, target, alpha, size in ((0.70, raw, 12.0, 1.0), (0.30, rank, 28.0, raw.std() / rank.std())):
+            start = np.average(target, weights=w)
+            gram = sum(w[i] * np.outer(x[i], x[i]) for i in range(len(x))) + alpha * np.eye(x.shape[1])
+            beta = np.linalg.inv(gram) @ sum(w[i] * x[i] * (target[i] - start) for i in range(len(x)))
+            pred = pred + share * size * (start + z @ beta)
+        pred = pd.Series(np.clip(pred, -3 * limit, 3 * limit))
+        pred = pred - pred.groupby(valid["t"].to_numpy()).transform("mean")
+        want = pd.Series(pred.to_numpy(), index=pd.MultiIndex.from_arrays([[period] * len(valid), valid["t"], valid["asset"]]))
+        np.testing.assert_allclose(got.loc[want.index].to_numpy(), want.to_numpy(), atol=1e-9)
+
+
+def test_a_period_is_sampled_before_it_is_grouped(spark, panel, monkeypatch):
+    from dataclasses import replace
+
+    from tessera.plans import features
+
+    model = replace(MODELS["v37"], rows=200)
+    made = features.compact(walkforward.split(panel))
+    names = features.feature_names(made)
+    pick = sampling.by_times(engine.labelled(model, made, names), 200, model.recent)
+    assert pick.groupBy("period").count().agg(F.max("count")).first()[0] <= 200
+    whole = walkforward.walk_forward(panel, model).select("period", "t", "asset", "pred")
+    monkeypatch.setattr(engine, "CHUNK", 7)  # rows to predict come in many chunks
+    apart = walkforward.walk_forward(panel, model).select("period", "t", "asset", F.col("pred").alias("other"))
+    assert whole.join(apart, ["period", "t", "asset"]).where("abs(pred - other) < 1e-12").count() == whole.count()
 
 
 def test_too_few_rows_fall_back_to_zero(spark):
@@ -123,11 +182,11 @@ def test_own_models_plug_in(spark, panel):
     assert "own" in registry.names() and registry.run(panel, "own").count() == 4 * 16 * 10
 
 
-def test_later_targets_skip_missing_rows():
-    train = pd.DataFrame({"t": range(100), "asset": "a", "asset_ord": 0, "y": np.where(np.arange(100) % 5 == 2, np.nan, np.arange(100.0)), "x": np.arange(100.0), "y_next": np.nan})
+def test_later_targets_skip_missing_rows(spark):
+    rows = [(0, t, "a", 0, None if t % 5 == 2 else float(t), t < 100, float(50 + 10 * (t - 100)) if t >= 100 else float(t)) for t in range(102)]
+    frame = spark.createDataFrame(rows, "period int, t int, asset string, asset_ord int, y double, train boolean, x double")
     model = engine.Model("m", (engine.Head(1.0, "ahead", 1e-6, 0.0),), scale="std", quantile=0.0)
-    valid = pd.DataFrame({"x": [50.0, 60.0]})
-    got = engine.fit_period(model, ["x"], train, valid)[0]
+    got = [r["raw"] for r in engine.predict_features(model, frame, ["x"]).orderBy("t").collect()]
     assert 50.5 < got[0] < 52 and 60.5 < got[1] < 62  # a row further, sometimes two
 
 

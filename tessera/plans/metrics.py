@@ -121,8 +121,8 @@ def components(frame: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return rows(heads, "value", ("component", "period", "t")).groupBy("component").agg(sharpe().alias("sharpe"), F.avg("ic").alias("ic"), F.avg("concentration").alias("concentration"))
 
 
-def runs(frame: DataFrame, flag: str, over: str = "period") -> DataFrame:
-    """Runs of consecutive ``over`` where ``flag`` holds: gaps and islands."""
-    held = frame.where(flag).select(over)
-    island = F.col(over) - F.row_number().over(Window.orderBy(over))  # a row per period
-    return held.withColumn("island", island).groupBy("island").agg(F.min(over).alias("first"), F.max(over).alias("last"), F.count(F.lit(1)).alias("length")).drop("island")
+def runs(frame: DataFrame, flag: str, over: str = "t", keys: tuple[str, ...] = ("period",)) -> DataFrame:
+    """Runs of consecutive ``over`` within ``keys`` where ``flag`` holds: gaps and islands. One row per keys and ``over``."""
+    held = frame.where(flag).select(*keys, over)
+    island = F.col(over) - F.row_number().over(Window.partitionBy(*keys).orderBy(over))
+    return held.withColumn("island", island).groupBy(*keys, "island").agg(F.min(over).alias("first"), F.max(over).alias("last"), F.count(F.lit(1)).alias("length")).drop("island")

@@ -73,7 +73,7 @@ def six(x: Column | str) -> Column:
     return F.round(W.column(x), 6) + F.lit(0.0)
 
 
-#: Shares of ranks are often halves in the seventh digit, where engines round differently.
+#: Cents over counts and shares of ranks are often halves in the seventh digit, where a sum's order decides; nine digits have none.
 RATIOS = {"sharpe", "ic", "ic_std", "concentration", "compression", "compression_loss", "ic_dispersion_corr", "pred_scale"}
 
 
@@ -117,15 +117,16 @@ register("numeric_coercion", lambda s, d: s.read.parquet(f"{d}/orders.parquet").
 register("melt", lambda s, d: panels.melt(trade(s, d).select(*KEYS, "f1", "f2", "f3"), ["f1", "f2", "f3"]).select(*KEYS, "feature", six("value").alias("value")), "SELECT period, t, asset, feature, round(value, 6) + 0 AS value FROM (" + " UNION ALL ".join(f"SELECT period, t, asset, 'f{i}' AS feature, f{i} AS value FROM p" for i in (1, 2, 3)) + ") q")
 
 
+#: The dimension of the trade panel: its nations by number.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = trade(spark, sf_dir)
-    names = ["NATION_3", "NATION_7", "NATION_11"]
-    picked = frame.where(F.col("asset").isin(names))
-    out = panels.to_wide(picked, "f1", names)
-    return out.select("period", "t", *(six(n).alias(n.lower()) for n in names))
+    out = panels.to_wide(trade(spark, sf_dir), "f1", NATIONS)
+    return out.select("period", "t", *(six(n).alias(n.lower()) for n in NATIONS))
 
 
-register("pivot_wide", wide, "SELECT period, t, " + ", ".join(f"round(coalesce(max(CASE WHEN asset = '{n}' THEN f1 END), 0), 6) + 0 AS {n.lower()}" for n in ("NATION_3", "NATION_7", "NATION_11")) + " FROM p WHERE asset IN ('NATION_3', 'NATION_7', 'NATION_11') GROUP BY period, t")
+register("pivot_wide", wide, "SELECT period, t, " + ", ".join(f"round(coalesce(max(CASE WHEN asset = '{n}' THEN f1 END), 0), 6) + 0 AS {n.lower()}" for n in NATIONS) + " FROM p GROUP BY period, t")
 register("ordered_distinct", lambda s, d: trade(s, d).groupBy("asset").agg(F.min("asset_ord").alias("first_seen")), "SELECT asset, min(asset_ord) AS first_seen FROM p GROUP BY asset")
 register("target_normaliser", lambda s, d: trade(s, d).select(*KEYS, six("y").alias("y")), "SELECT period, t, asset, round(y, 6) + 0 AS y FROM p")
 register("labelled_rows", lambda s, d: trade(s, d).where("y is not null").groupBy("period").agg(F.count(F.lit(1)).alias("n")), "SELECT period, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY period")
@@ -257,14 +258,12 @@ columns("x_agreement_gate", lambda: {"gate": 0.75 + 0.25 * X.clip(X.window_corre
 
 
 def orthogonal(frame: DataFrame) -> DataFrame:
-    frame = frame.select(*KEYS, F.coalesce(X.demean("f2"), F.lit(0.0)).alias("a"), F.coalesce(X.demean("f3"), F.lit(0.0)).alias("b"))
-    w = X.by_time()
-    square = F.sum(F.col("b") * F.col("b")).over(w)
-    share = F.when(square > 1e-10, F.sum(F.col("a") * F.col("b")).over(w) / F.nullif(square, F.lit(0.0))).otherwise(0.0)
-    return frame.withColumn("a", F.col("a") - share * F.col("b"))
+    frame = frame.withColumn("base", F.coalesce(X.demean("f3"), F.lit(0.0)))
+    return neutral.orthogonalise(frame, "f2", "base", "v").withColumn("v", F.round("v", 9))
 
 
-columns("x_orthogonal", lambda: {"v": X.demean("a")}, {"v": f"a2 - avg(a2) OVER {WT}"}, orthogonal, f", o1 AS (SELECT *, coalesce(f2 - avg(f2) OVER {WT}, 0) AS a, coalesce(f3 - avg(f3) OVER {WT}, 0) AS b FROM p), o2 AS (SELECT *, a - CASE WHEN sum(b * b) OVER {WT} > 1e-10 THEN sum(a * b) OVER {WT} / sum(b * b) OVER {WT} ELSE 0 END * b AS a2 FROM o1)", "o2")
+# means of whole numbers over counts are halves in the seventh digit now and then: nine digits first, and a sixth that falls on no half
+columns("x_orthogonal", lambda: {"v": F.col("v") + 1e-7 / 3}, {"v": f"round(a2 - avg(a2) OVER {WT}, 9) + 1e-7 / 3"}, orthogonal, f", o1 AS (SELECT *, coalesce(f2 - avg(f2) OVER {WT}, 0) AS a, coalesce(f3 - avg(f3) OVER {WT}, 0) AS b FROM p), o2 AS (SELECT *, a - CASE WHEN sum(b * b) OVER {WT} > 1e-10 THEN sum(a * b) OVER {WT} / sum(b * b) OVER {WT} ELSE 0 END * b AS a2 FROM o1)", "o2")
 register("x_proxy_correlation", lambda s, d: trade(s, d).agg(*X.correlation_sums("y", "f2", "_2"), *X.correlation_sums("y", "f3", "_3")).select(six(F.greatest(F.abs(X.correlation("_2")), F.abs(X.correlation("_3")))).alias("most")), f"SELECT round(greatest(abs({corr_sql('y', 'f2')}), abs({corr_sql('y', 'f3')})), 6) + 0 AS most FROM p")
 
 PRED = f", raw AS (SELECT period, t, asset, asset_ord, y, coalesce({centred_sql('f1')}, 0) AS raw FROM p), pr AS (SELECT *, raw - avg(raw) OVER {WT} AS pred FROM raw)"
@@ -277,7 +276,7 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("m_fallback", lambda s, d: predicted(s, d).select(*KEYS, six("pred").alias("pred")), f"{PRED} SELECT period, t, asset, round(pred, 6) + 0 AS pred FROM pr")
 register("x_conviction", lambda s, d: finish.conviction_finish(predicted(s, d)).select(*KEYS, six("pred").alias("pred")), f"{PRED}, c1 AS (SELECT *, 2 * {percent_sql('pred')} - 1 AS sc, stddev_pop(pred) OVER {WT} AS sd FROM pr), c2 AS (SELECT *, 0.8::DOUBLE * sign(sc) * pow(abs(sc), 1.25) * CASE WHEN abs(sc) < 0.25 THEN 0.35 ELSE 1 END + 0.2::DOUBLE * CASE WHEN sd > 1e-8 THEN tanh(pred / sd) ELSE 0 END AS v FROM c1), c3 AS (SELECT *, v - avg(v) OVER {WT} AS v2 FROM c2) SELECT period, t, asset, round(v2, 6) + 0 AS pred FROM c3")
-register("x_mad_cap", lambda s, d: finish.mad_cap_finish(trade(s, d).withColumn("raw", F.col("y") / 1e6).withColumn("limit", F.lit(10.0))).select(*KEYS, six("pred").alias("pred")), f", a AS (SELECT *, least(greatest(coalesce(y / 1e6, 0), -10), 10) AS v FROM p), b AS (SELECT *, median(v) OVER {WT} AS md FROM a), c AS (SELECT *, nullif(4 * 1.4826::DOUBLE * median(abs(v - md)) OVER {WT}, 0) AS cap FROM b), d AS (SELECT *, CASE WHEN cap IS NULL THEN v ELSE least(greatest(v, md - cap), md + cap) END AS w FROM c), e AS (SELECT *, w - avg(w) OVER {WT} AS q FROM d) SELECT period, t, asset, round(q, 6) + 0 AS pred FROM e")
+register("x_mad_cap", lambda s, d: finish.mad_cap_finish(trade(s, d).withColumn("raw", F.col("y") / 1e6).withColumn("limit", F.lit(10.0))).select(*KEYS, (F.round("pred", 11) + F.lit(0.0)).alias("pred")), f", a AS (SELECT *, least(greatest(coalesce(y / 1e6, 0), -10), 10) AS v FROM p), b AS (SELECT *, median(v) OVER {WT} AS md FROM a), c AS (SELECT *, nullif(4 * 1.4826::DOUBLE * median(abs(v - md)) OVER {WT}, 0) AS cap FROM b), d AS (SELECT *, CASE WHEN cap IS NULL THEN v ELSE least(greatest(v, md - cap), md + cap) END AS w FROM c), e AS (SELECT *, w - avg(w) OVER {WT} AS q FROM d) SELECT period, t, asset, round(q, 11) + 0 AS pred FROM e")
 register("x_rank_blend", lambda s, d: predicted(s, d).select(*KEYS, (0.75 * F.col("pred") + 0.25 * (X.percent_rank("pred") - 0.5)).alias("v")).select(*KEYS, six("v").alias("v")), f"{PRED}, s AS (SELECT *, 0.75::DOUBLE * pred + 0.25::DOUBLE * ({percent_sql('pred')} - 0.5::DOUBLE) AS v FROM pr) SELECT period, t, asset, round(v, 6) + 0 AS v FROM s")
 register("x_rank_transport", lambda s, d: finish.rank_transport(predicted(s, d).withColumn("horizon", F.coalesce(F.col("y") / 1e6, F.lit(0.0)))).select(*KEYS, six("transported").alias("v")), f"{PRED}, h AS (SELECT *, coalesce(y / 1e6, 0) AS hz FROM pr), k AS (SELECT *, sign(hz) * pow(abs(hz) / greatest(stddev_pop(hz) OVER {WT}, 1e-8), 0.6) * greatest(stddev_pop(hz) OVER {WT}, 1e-8) AS sh, row_number() OVER (PARTITION BY period, t ORDER BY pred, asset_ord) AS kb FROM h), l AS (SELECT *, row_number() OVER (PARTITION BY period, t ORDER BY sh) AS kh FROM k), m AS (SELECT a.period, a.t, a.asset, least(greatest(b.sh, -10), 10) AS v FROM l a JOIN l b ON a.period = b.period AND a.t = b.t AND a.kb = b.kh), n AS (SELECT *, v - avg(v) OVER {WT} AS w FROM m) SELECT period, t, asset, round(w, 6) + 0 AS v FROM n")
 
@@ -325,7 +324,17 @@ def ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("period", *(six(c).alias(c) for c in out.columns if c != "period"))
 
 
-register("a_compare_models", ab, None)
+def _period_sql(name: str, x: str) -> str:
+    """Period metrics of the rank of a feature, as CTEs that end in ``name``."""
+    return (
+        f"{name}0 AS (SELECT period, t, asset, asset_ord, y, coalesce({centred_sql(x)}, 0) AS raw FROM p), {name}1 AS (SELECT *, raw - avg(raw) OVER {WT} AS pred FROM {name}0), "
+        f"{name}2 AS (SELECT *, lead(y) OVER {WA} AS ahead, max(t) OVER (PARTITION BY period) AS last, {percent_sql('pred')} AS rp, {percent_sql('y')} AS ry FROM {name}1), "
+        f"{name}3 AS (SELECT period, t, CASE WHEN t < any_value(last) THEN CASE WHEN sum(abs(pred)) > 1e-12 THEN coalesce(sum(pred * ahead), 0) / sum(abs(pred)) ELSE 0 END END AS ret, {corr_sql('rp', 'ry')} AS ic FROM {name}2 GROUP BY period, t), "
+        f"{name} AS (SELECT period, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) ELSE 0 END AS sharpe, avg(ic) AS ic FROM {name}3 GROUP BY period)"
+    )
+
+
+register("a_compare_models", ab, f", {_period_sql('ma', 'f1')}, {_period_sql('mb', 'f2')} SELECT period, round(ma.sharpe, 6) + 0 AS sharpe_a, round(ma.ic, 6) + 0 AS ic_a, round(mb.sharpe, 6) + 0 AS sharpe_b, round(mb.ic, 6) + 0 AS ic_b, round(mb.sharpe - ma.sharpe, 6) + 0 AS sharpe_delta, round(mb.ic - ma.ic, 6) + 0 AS ic_delta FROM ma JOIN mb USING (period)")
 
 
 def prediction_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,9 +352,13 @@ register("l_sample_rows", lambda s, d: sampling.by_rows(trade(s, d).where("y is
 register("l_sample_times", lambda s, d: sampling.by_times(trade(s, d).where("y is not null"), 500, 0.55).select("period", "t").distinct(), ", n AS (SELECT period, t, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY 1, 2), g AS (SELECT period, greatest(1, CAST(floor(median(n)) AS INT)) AS typical, count(*) AS total FROM n GROUP BY 1), b AS (SELECT *, greatest(1, 500 // typical) AS budget FROM g), o AS (SELECT n.period, n.t, row_number() OVER (PARTITION BY n.period ORDER BY n.t) - 1 AS pos, total, budget, greatest(1, CAST(floor(budget * 0.55::DOUBLE) AS INT)) AS recent FROM n JOIN b USING (period)) SELECT period, t FROM o WHERE total <= budget OR pos >= total - recent OR pos IN (SELECT CAST(trunc(i * (total - recent - 1) / (budget - recent - 1.0::DOUBLE)) AS BIGINT) FROM range(0, budget - recent) r(i))")
 register("l_split", lambda s, d: split(trade(s, d)).groupBy("period").agg(F.countDistinct(F.when(F.col("train"), F.col("t"))).alias("train"), F.countDistinct(F.when(~F.col("train"), F.col("t"))).alias("valid")), f"{SPLIT} SELECT period, count(DISTINCT CASE WHEN train THEN t END) AS train, count(DISTINCT CASE WHEN NOT train THEN t END) AS valid FROM sp GROUP BY period")
 register("l_three_way_split", lambda s, d: sampling.blocks(trade(s, d), (0.62, 0.82)).groupBy("period", "block").agg(F.min("t").alias("first"), F.max("t").alias("last")), ", n AS (SELECT *, max(t) OVER (PARTITION BY period) + 1 AS n FROM p) SELECT period, CASE WHEN t < floor(n * 0.62::DOUBLE) THEN 0 WHEN t < floor(n * 0.82::DOUBLE) THEN 1 ELSE 2 END AS block, min(t) AS first, max(t) AS last FROM n GROUP BY 1, 2")
-register("l_runs", lambda s, d: metrics.runs(metrics.rows(predicted(s, d)).where("period = 1995"), "ret < 0", "t"), f"{ROWS}, neg AS (SELECT t, t - row_number() OVER (ORDER BY t) AS island FROM rw WHERE period = 1995 AND ret < 0) SELECT min(t) AS first, max(t) AS last, count(*) AS length FROM neg GROUP BY island")
-register("l_best_feature", lambda s, d: metrics.feature_ic(trade(s, d)).groupBy("period").agg(F.max_by("feature", six("raw_ic")).alias("best")), None)
-register("set_union", lambda s, d: trade(s, d).where("period = 1995").select(*KEYS).unionByName(trade(s, d).where("period = 1996").select(*KEYS)).groupBy("period").agg(F.count(F.lit(1)).alias("n")), "SELECT period, count(*) AS n FROM p WHERE period IN (1995, 1996) GROUP BY period")
+register("l_runs", lambda s, d: metrics.runs(metrics.rows(predicted(s, d)), "ret < 0"), f"{ROWS}, neg AS (SELECT period, t, t - row_number() OVER (PARTITION BY period ORDER BY t) AS island FROM rw WHERE ret < 0) SELECT period, min(t) AS first, max(t) AS last, count(*) AS length FROM neg GROUP BY period, island")
+BEST = ", u AS (" + " UNION ALL ".join(f"SELECT period, t, asset, y, 'f{i}' AS feature, f{i} AS value FROM p" for i in (1, 2, 3)) + f"), r AS (SELECT *, {percent_sql('value', 'period, t, feature')} AS a, {percent_sql('y', 'period, t, feature')} AS b FROM u), c AS (SELECT period, t, feature, {corr_sql('a', 'b')} AS r FROM r GROUP BY 1, 2, 3), m AS (SELECT period, feature, round(avg(r), 6) AS ic FROM c GROUP BY 1, 2)"
+register("l_best_feature", lambda s, d: metrics.feature_ic(trade(s, d)).groupBy("period").agg(F.max_by("feature", F.struct(six("raw_ic"), "feature")).alias("best")), f"{BEST} SELECT period, arg_max(feature, (ic, feature)) AS best FROM m GROUP BY period")
+# two selections that overlap and together cover the panel: a union keeps both copies, a sorted one each row once
+register("set_union", lambda s, d: trade(s, d).where("f1 is not null").select(*KEYS).unionByName(trade(s, d).where("y is not null or f1 is null").select(*KEYS)).groupBy("period", "asset").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("distinct_n")), ", u AS (SELECT period, t, asset FROM p WHERE f1 IS NOT NULL UNION ALL SELECT period, t, asset FROM p WHERE y IS NOT NULL OR f1 IS NULL) SELECT period, asset, count(*) AS n, count(DISTINCT t) AS distinct_n FROM u GROUP BY 1, 2")
+register("set_intersect", lambda s, d: trade(s, d).where("f1 is not null").select(*KEYS).intersect(trade(s, d).where("y is not null").select(*KEYS)).groupBy("period", "asset").agg(F.count(F.lit(1)).alias("n")), ", u AS (SELECT period, t, asset FROM p WHERE f1 IS NOT NULL INTERSECT SELECT period, t, asset FROM p WHERE y IS NOT NULL) SELECT period, asset, count(*) AS n FROM u GROUP BY 1, 2")
+register("set_difference", lambda s, d: trade(s, d).where("f1 is not null").select(*KEYS).subtract(trade(s, d).where("y is not null").select(*KEYS)), "SELECT period, t, asset FROM p WHERE f1 IS NOT NULL EXCEPT SELECT period, t, asset FROM p WHERE y IS NOT NULL")
 register("set_distinct", lambda s, d: trade(s, d).select("period", "asset").distinct(), "SELECT DISTINCT period, asset FROM p")
 
 # -- feature sets and models ------------------------------------------------------------
@@ -391,13 +404,14 @@ register("source_smoke", lambda s, d: synthetic.smoke_panel(s).select(*KEYS, six
 
 
 def wide_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wide frame with a column per feature and asset, back in long form."""
-    long = trade(spark, sf_dir).where("period = 1995 and asset in ('NATION_3', 'NATION_7')")
-    cells = [F.max(F.when(F.col("asset") == a, F.col(f))).alias(f"{f}|{a}") for f in ("f1", "f2") for a in ("NATION_3", "NATION_7")]
-    return panels.from_wide(long.groupBy(F.col("t").alias("time")).agg(*cells)).select("t", "asset", six("f1").alias("f1"), six("f2").alias("f2"))
+    """A wide frame with a column per feature and asset, back in long form. Its times are those of all periods."""
+    long = trade(spark, sf_dir)
+    cells = [F.max(F.when(F.col("asset") == a, F.col(f))).alias(f"{f}|{a}") for f in ("f1", "f2") for a in NATIONS]
+    back = panels.from_wide(long.groupBy((100 * F.col("period") + F.col("t")).alias("time")).agg(*cells))
+    return back.select("time", "t", "asset", six("f1").alias("f1"), six("f2").alias("f2"))
 
 
-register("source_wide", wide_source, "SELECT t, asset, round(f1, 6) + 0 AS f1, round(f2, 6) + 0 AS f2 FROM p WHERE period = 1995 AND asset IN ('NATION_3', 'NATION_7')")
+register("source_wide", wide_source, ", n AS (SELECT *, 100 * period + t AS time FROM p) SELECT time, CAST(dense_rank() OVER (ORDER BY time) - 1 AS INT) AS t, asset, round(f1, 6) + 0 AS f1, round(f2, 6) + 0 AS f2 FROM n")
 
 
 def regime_signal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,17 @@ def ddl_of(frame: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of corpora are whole texts, of which Spark's 10,000 a batch take tens of megabytes in each
+    JVM and Python worker. A session that hasn't chosen a number gets this one."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each (one row at least).
 
     Whole-buffer NumPy work takes a multiple of the text's size, so this bounds the

@@ -145,7 +145,7 @@ def _score(model: TextModel, shared=None):
         n = len(table)
         for batch in batches:
             place = batch.schema.get_field_index("text")
-            for part in slices(batch, place, 2 << 20):
+            for part in slices(batch, place, 1 << 19):
                 values, offsets = text_bytes(part.column(place))
                 sums = np.zeros((part.num_rows, n))
                 if len(values) > 2:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann_hnsw, chat_format, decontam, language_id, line_dedup, secrets, simhash, sp_codec, url_filter, warc
+from tessera.llm import ann_hnsw, chat_format, common, decontam, language_id, line_dedup, secrets, simhash, sp_codec, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,7 +1,7 @@
 """Random rotations of predictions and distance from random directions.
 
-Random matrices come from NumPy generators seeded per period, so that periods can be made
-anywhere, in any order.
+Random numbers come from NumPy generators seeded per period and timestamp, so that each
+timestamp is a task's group of its own, made anywhere and in any order.
 """
 
 from __future__ import annotations
@@ -26,41 +26,40 @@ def rotations(rows: int, assets: int, seed: int) -> np.ndarray:
 
 
 def gauge_fix(frame: DataFrame, seed: int = 314159) -> DataFrame:
-    """Rotates each timestamp's predictions, de-means there, and rotates back. One task per period."""
+    """Rotates each timestamp's predictions, de-means there, and rotates back."""
     schema = "period int, t int, asset string, asset_ord int, y double, pred double"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "asset_ord"], kind="stable").reset_index(drop=True)
-        rows, assets = group["t"].nunique(), group["asset_ord"].nunique()
-        if assets < 2:
+        group = group.sort_values("asset_ord", kind="stable").reset_index(drop=True)
+        if len(group) < 2:
             return group.assign(pred=0.0)
-        values = group["pred"].to_numpy(float).reshape(rows, assets)
-        basis = rotations(rows, assets, seed + int(group["period"].iloc[0]))
-        turned = np.einsum("tij,tj->ti", basis, values)
-        turned -= turned.mean(axis=1, keepdims=True)
-        back = np.einsum("tij,ti->tj", basis, np.nan_to_num(turned))
-        return group.assign(pred=(back - back.mean(axis=1, keepdims=True)).ravel())
+        # SeedSequence takes whole numbers from 0
+        own = np.random.SeedSequence([seed, *(int(group[k].iloc[0]) + (1 << 31) for k in ("period", "t"))]).generate_state(1)[0]
+        basis = rotations(1, len(group), int(own))[0]
+        turned = np.nan_to_num(basis @ np.nan_to_num(group["pred"].to_numpy(float)))
+        back = basis.T @ (turned - turned.mean())
+        return group.assign(pred=back - back.mean())
 
-    return frame.select("period", "t", "asset", "asset_ord", "y", "pred").groupBy("period").applyInPandas(run, schema)
+    return frame.select("period", "t", "asset", "asset_ord", "y", "pred").groupBy("period", "t").applyInPandas(run, schema)
 
 
 def novelty(frame: DataFrame, directions: int = 12, seed: int = 271828) -> DataFrame:
     """(angle, nearest): the smallest angle in degrees between all predictions and random directions.
 
-    Each period adds its sums per direction; nothing but those sums is brought together.
+    Each timestamp adds its sums per direction; nothing but those sums is brought together.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        period = int(group["period"].iloc[0])
-        p = group.sort_values(["t", "asset_ord"], kind="stable")["pred"].to_numpy(float)
+        own = [int(group[k].iloc[0]) + (1 << 31) for k in ("period", "t")]
+        p = group.sort_values("asset_ord", kind="stable")["pred"].to_numpy(float)
         p = p[np.isfinite(p)]
         rows = []
         for d in range(directions):
-            c = np.random.default_rng([seed, d, period]).standard_normal(len(p))
+            c = np.random.default_rng([seed, d, *own]).standard_normal(len(p))
             rows.append((d, float(len(p)), p.sum(), c.sum(), p @ p, c @ c, p @ c))
         return pd.DataFrame(rows, columns=["d", "n", "sa", "sb", "saa", "sbb", "sab"])
 
-    sums = frame.groupBy("period").applyInPandas(run, "d int, n double, sa double, sb double, saa double, sbb double, sab double")
+    sums = frame.groupBy("period", "t").applyInPandas(run, "d int, n double, sa double, sb double, saa double, sbb double, sab double")
     total = sums.groupBy("d").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
     scale = F.sqrt(F.greatest(F.col("saa") - F.col("sa") ** 2 / F.col("n"), F.lit(0.0)) * F.greatest(F.col("sbb") - F.col("sb") ** 2 / F.col("n"), F.lit(0.0)))
     cosine = F.when(scale > 1e-15, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.nullif(scale, F.lit(0.0))).otherwise(0.0)

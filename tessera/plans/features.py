@@ -98,6 +98,7 @@ def horizons(panel: DataFrame) -> DataFrame:
     """Compact with volatility, range, reversal and regime features of the first input."""
     base = W.with_ewma(compact(panel), {"f1_ewma8": ("f1", 8, 3)})
     f = F.col("f1")
+    rank = lambda i: F.col(f"f{i}_rank") if f"f{i}_rank" in base.columns else F.lit(0.0)  # noqa: E731  an absent feature is 0
     series = {
         "f1_vol10": W.roll_std("f1", 10, 3),
         "f1_range10": W.range_position("f1", 10, 3),
@@ -112,7 +113,7 @@ def horizons(panel: DataFrame) -> DataFrame:
         "f1_rank_change": F.col("f1_rank") - F.col("f1_rank_lag1"),
         "f1_reversal5": F.col("f1_ma5") - f,
         "f1_reversal8": F.col("f1_ewma8") - f,
-        "core": 0.55 * F.col("f1_rank") - 0.30 * F.col("f2_rank") + 0.15 * F.col("f3_rank"),
+        "core": 0.55 * rank(1) - 0.30 * rank(2) + 0.15 * rank(3),
         "regime": X.dispersion("f1"),
     }
     return wide.select("*", *(c.alias(n) for n, c in more.items()))

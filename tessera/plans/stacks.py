@@ -18,9 +18,9 @@ KEYS = ["period", "t", "asset"]
 # -- residual stack -----------------------------------------------------------------
 
 
-def interactions() -> dict[str, Column]:
-    """22 interactions of compact features; a missing feature counts as 0."""
-    c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
+def interactions(columns: list[str]) -> dict[str, Column]:
+    """22 interactions of compact features; a missing value counts as 0, and so does a feature that isn't among ``columns``."""
+    c = lambda n: F.coalesce(F.col(n), F.lit(0.0)) if n in columns else F.lit(0.0)
     r = {i: c(f"f{i}_rank") for i in (1, 2, 3)}
     made = {f"r{i}": r[i] for i in r}
     for i, j in ((1, 2), (1, 3), (2, 3)):
@@ -58,9 +58,10 @@ def residual_stack(panel: DataFrame, model: engine.Model | None = None, *, alpha
     parts = cut(chronological(walkforward.split(panel)))
     blocks = parts.select(*KEYS, "block")
     early = engine.predict(model, parts.where("block < 3").withColumn("train", F.col("block") == 0).drop("block"))
-    made = interactions()
+    compact = sets.compact(parts.drop("y", "train", "block"))
+    made = interactions(compact.columns)
     names = list(made)
-    extra = sets.compact(parts.drop("y", "train", "block")).select(*KEYS, *(c.alias(n) for n, c in made.items()))
+    extra = compact.select(*KEYS, *(c.alias(n) for n, c in made.items()))
     extra = cut(extra.select(*KEYS, *((F.col(n) - F.avg(n).over(X.by_time())).alias(n) for n in names)))
 
     known = cut(early.select(*KEYS, "y", F.col("raw").alias("base")).where("y is not null").join(blocks, KEYS).withColumn("miss", F.col("y") - F.col("base")).join(extra, KEYS))
@@ -130,7 +131,7 @@ def neutral_model(panel: DataFrame, model: engine.Model | None = None) -> DataFr
     parts = walkforward.split(panel)
     parts = parts.withColumn("__mom", W.roll_mean("f1", 5, 2) - W.roll_mean("f1", 20, 4)).withColumn("__rev", W.roll_mean("f1", 5, 2) - F.col("f1"))
     proxies = ["__r1", "__r2", "__r3", "__m", "__v"]
-    ranks = [X.centred_rank(c).alias(p) for p, c in zip(proxies, ("f1", "f2", "f3", "__mom", "__rev"))]
+    ranks = [(X.centred_rank(c) if c in parts.columns else F.lit(0.0)).alias(p) for p, c in zip(proxies, ("f1", "f2", "f3", "__mom", "__rev"))]
     parts = parts.select("*", *ranks).drop("__mom", "__rev")
     cleared = neutral.neutralise(parts, "y", proxies, "cleared")
     fitted = cleared.withColumn("y", F.when(F.col("y").isNotNull(), F.col("cleared"))).drop("cleared", *proxies)

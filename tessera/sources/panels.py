@@ -96,8 +96,10 @@ def from_wide(wide: DataFrame, time: str = "time", separator: str = "|", period:
     for place, asset in enumerate(assets):
         values = [clean(F.col(f"`{found[f, asset]}`")).alias(f"f{i}") if (f, asset) in found else F.lit(None).cast("double").alias(f"f{i}") for i, f in enumerate(features, 1)]
         cells.append(F.struct(F.lit(asset).alias("asset"), F.lit(place).alias("asset_ord"), *values))
-    t = (F.dense_rank().over(Window.orderBy(F.col(time))) - 1).cast("int")
-    rows = wide.withColumn("t", t).select(F.lit(period).alias("period"), F.col(time).alias("time"), "t", F.explode(F.array(*cells)).alias("c"))
+    # only the distinct times are numbered in one place, not the rows
+    times = number_times(wide.select(F.lit(period).alias("period"), F.col(time).alias("time")).distinct())
+    rows = wide.withColumn("__time", F.col(time)).join(times, F.col("__time").eqNullSafe(times["time"])) if time != "time" else wide.join(times.withColumnRenamed("time", "__time"), F.col("time").eqNullSafe(F.col("__time")))
+    rows = rows.select("period", F.col("__time").alias("time"), "t", F.explode(F.array(*cells)).alias("c"))
     return rows.select("period", "time", "t", "c.*")
 
 

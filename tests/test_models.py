@@ -199,3 +199,25 @@ def test_held_scores_prefer_the_better_candidate(spark, panel):
     assert scores["good"] > scores["bad"]
     flat = search.held_scores(both.withColumn("raw", F.lit(1.0))).collect()
     assert all(r["score"] is None for r in flat)
+
+
+@pytest.mark.parametrize("name", ["v29", "v31", "v32", "v35", "v42"])
+def test_absent_features_count_as_zero(spark, name):
+    smoke = synthetic.smoke_panel(spark)
+    out = registry.run(smoke, name)
+    assert out.count() == 24 * 3 and out.where("pred is null").count() == 0
+
+
+def test_reports_are_whole_or_raise(spark):
+    from tessera.sources import files
+
+    frame = spark.range(10_001)
+    assert files.as_json(frame).count('"id"') == 10_001
+    with pytest.raises(ValueError, match="write_json"):
+        files.as_json(frame, most=10_000)
+
+
+def test_runs_of_each_period(spark):
+    frame = spark.createDataFrame([(p, t, v) for p in (1, 2) for t, v in enumerate([1, 1, 0, 1, 0, 0, 1, 1, 1])] + [(3, 4, 1)], "period int, t int, v int")
+    got = {tuple(r) for r in metrics.runs(frame, "v = 1").collect()}
+    assert got == {(p, *x) for p in (1, 2) for x in ((0, 1, 2), (3, 3, 1), (6, 8, 3))} | {(3, 4, 4, 1)}

@@ -56,7 +56,7 @@ def _solve(upper: np.ndarray, right: np.ndarray, alpha: float) -> list[float]:
 
 
 def least_squares(matrix: np.ndarray, y: np.ndarray, weights: np.ndarray, alpha: float) -> np.ndarray:
-    """Ridge coefficients of rows that are in memory: least squares over the rows and one row of sqrt(alpha) for each coefficient."""
-    root = np.sqrt(weights)
-    rows = np.vstack([matrix * root[:, None], np.sqrt(alpha) * np.eye(matrix.shape[1])])
-    return np.linalg.lstsq(rows, np.concatenate([y * root, np.zeros(matrix.shape[1])]), rcond=None)[0]
+    """Ridge coefficients of rows that are in memory, from the same sums as gram() and the same solution."""
+    weighted = weights[:, None] * matrix
+    sums = matrix.T @ weighted
+    return np.array(_solve(sums[np.triu_indices(len(sums))], y @ weighted, alpha))

@@ -119,7 +119,7 @@ def selected(panel: DataFrame, model: engine.Model | None = None, *, most: int =
     kept = stable_scores(frame, names).withColumn("place", place).where(F.col("place") <= most).groupBy("period").agg(F.collect_set("feature").alias("kept"))
     masked = frame.join(kept, "period")
     masked = masked.select(*(F.when(F.array_contains("kept", c), F.col(c)).alias(c) if c in names else F.col(c) for c in frame.columns))
-    return walkforward.shape_safe(finish.finish(engine.predict_features(model, masked, names), model.finish))
+    return walkforward.shape_safe(finish.finish(engine.predict_features(model, masked, names, engine.largest(panel)), model.finish))
 
 
 # -- neutral to simple signals ------------------------------------------------------------

@@ -36,7 +36,7 @@ def walk_forward(panel: DataFrame, model: engine.Model | str, **options) -> Data
     """
     model = MODELS[model] if isinstance(model, str) else model
     parts = split(panel, **options)
-    return shape_safe(finish.finish(engine.predict(model, parts), model.finish, model.transport))
+    return shape_safe(finish.finish(engine.predict(model, parts, engine.largest(panel)), model.finish, model.transport))
 
 
 def evaluate(panel: DataFrame, model: engine.Model | str, **options) -> DataFrame:

@@ -158,6 +158,17 @@ def test_a_period_is_sampled_before_it_is_grouped(spark, panel, monkeypatch):
     assert whole.join(apart, ["period", "t", "asset"]).where("abs(pred - other) < 1e-12").count() == whole.count()
 
 
+@pytest.mark.parametrize("name", ["v37", "v44", "v02", "v30", "v31"])
+def test_small_periods_in_one_pass_give_the_same(spark, panel, monkeypatch, name):
+    holes = panel.withColumn("y", F.when(F.col("t") % 7 == 3, None).when((F.col("t") == 20) & (F.col("asset_ord") == 1), float("inf")).otherwise(F.col("y")))
+    once = walkforward.walk_forward(holes, name).select("period", "t", "asset", "raw", "pred")
+    assert once.where("raw <> 0").count() > 0
+    once = once.cache()
+    monkeypatch.setattr(engine, "largest", lambda panel: 1 << 40)
+    apart = walkforward.walk_forward(holes, name).select("period", "t", "asset", F.col("raw").alias("r"), F.col("pred").alias("p"))
+    assert once.join(apart, ["period", "t", "asset"]).where("abs(raw - r) < 1e-9 and abs(pred - p) < 1e-9").count() == once.count() == 4 * 16 * 10
+
+
 def test_too_few_rows_fall_back_to_zero(spark):
     small = synthetic.dataset(spark, 1, 14, 2)
     assert walkforward.walk_forward(small, "v37").where("pred <> 0").count() == 0

@@ -65,7 +65,7 @@ def classic(panel: DataFrame) -> DataFrame:
         "f1_ma60": W.roll_mean("f1", 60, 5),
         "f1_sd20": F.coalesce(W.roll_std("f1", 20, 3), F.lit(0.0)),
     }
-    panel = W.with_ewma(panel, {"f1_ewma5": ("f1", 5, 1)})
+    panel = W.with_ewma(panel, {"f1_ewma5": ("f1", 5, 2)})
     cross = {f"{f}_rank": X.centred_rank(f) for f in [*names[:3], "f1_ma5", "f1_ma20", "f1_ma60"]}
     cross |= {"f1_roll_z": (F.col("f1") - F.col("f1_ma5")) / (F.col("f1_sd20") + W.EPS), "f1_mom_spread": F.col("f1_ma5") - F.col("f1_ma60"), "f1_demean": X.median_demean("f1")}
     after = {"rank_spread": F.col("f1_rank") - F.col("f2_rank")} if len(names) >= 2 else {}
@@ -131,7 +131,117 @@ def late(panel: DataFrame) -> DataFrame:
     return build(panel.drop(*[f for f in inputs(panel) if f not in names]), series, cross, after)
 
 
-SETS = {"compact": compact, "classic": classic, "ranked": ranked, "robust": robust, "horizons": horizons, "late": late}
+def changes(panel: DataFrame, ranked_inputs: int = 3) -> DataFrame:
+    """33 features: histories of the first three inputs with changes of their ranks and changes over volatility."""
+    names = inputs(panel)
+    ranks = {f"{f}_rank": X.centred_rank(f) for f in names[:ranked_inputs]}
+    base = W.with_ewma(panel, {"f1_ewma5": ("f1", 5, 2)}).select("*", *(c.alias(n) for n, c in ranks.items()))
+    series: dict[str, Column] = {}
+    for f in names[:3]:
+        series |= {
+            f"{f}_diff1": W.diff(f),
+            f"{f}_ma5": W.roll_mean(f, 5, 2),
+            f"{f}_ma20": W.roll_mean(f, 20, 3),
+            f"{f}_sd20": F.coalesce(W.roll_std(f, 20, 3), F.lit(0.0)),
+            f"{f}_rankchg": W.diff(f"{f}_rank"),
+        }
+    series["f1_ma60"] = W.roll_mean("f1", 60, 5)
+    mixed = {f"{f}_voladj": F.col(f"{f}_diff1") / (F.col(f"{f}_sd20") + W.EPS) for f in names[:3]}
+    mixed |= {"f1_roll_z": (F.col("f1") - F.col("f1_ma5")) / (F.col("f1_sd20") + W.EPS), "f1_mom_spread": F.col("f1_ma5") - F.col("f1_ma60")}
+    mixed["rank_mean"] = X.row_mean([F.col(n) for n in ranks])
+    if len(names) >= 2:
+        mixed["rank12"] = F.col("f1_rank") - F.col("f2_rank")
+    return build(base, series, mixed)
+
+
+def momenta(panel: DataFrame) -> DataFrame:
+    """42 features: changes, momentum and reversion of the first three inputs, and the means of their ranks."""
+    names = inputs(panel)[:3]
+    parts = {"momentum": {f"{f}_mom20": F.col(f"{f}_ma5") - F.col(f"{f}_ma20") for f in names}, "reversion": {f"{f}_revert20": F.col(f"{f}_ma20") - F.col(f) for f in names}}
+    wide = changes(panel).select("*", *(c.alias(n) for part in parts.values() for n, c in part.items()))
+    ranked_parts = wide.select("*", *(X.centred_rank(n).alias(f"__{n}") for part in parts.values() for n in part))
+    means = [X.row_mean([F.col(f"__{n}") for n in part]).alias(f"{kind}_mean") for kind, part in parts.items()]
+    spread = X.row_spread([F.col(f"{f}_rank") for f in names]).alias("rank_dispersion")
+    return ranked_parts.select(*wide.columns, spread, *means)
+
+
+def four_ranks(panel: DataFrame) -> DataFrame:
+    """37 features: changes with the ranks of four inputs, their dispersion and the mean change of three."""
+    names = inputs(panel)
+    more = {"rank_dispersion": X.row_spread([F.col(f"{f}_rank") for f in names[:4]]), "rank_accel": X.row_mean([F.col(f"{f}_rankchg") for f in names[:3]])}
+    if len(names) >= 3:
+        more["rank13"] = F.col("f1_rank") - F.col("f3_rank")
+    return changes(panel, 4).select("*", *(c.alias(n) for n, c in more.items()))
+
+
+def weighed_ranks(panel: DataFrame) -> DataFrame:
+    """38 features: four_ranks and the mean product of value and rank."""
+    return four_ranks(panel).withColumn("raw_rank", X.row_mean([F.col(f) * F.col(f"{f}_rank") for f in inputs(panel)[:4]]))
+
+
+def agreement(panel: DataFrame) -> DataFrame:
+    """30 features: classic with robust scores and rank changes of the first two inputs and their mean rank."""
+    names = inputs(panel)[:2]
+    base = classic(panel)
+    own = base.columns
+    base = base.select("*", *(X.median_demean(f).alias(f"__{f}") for f in names))
+    base = base.select("*", *(X.median(F.abs(F.col(f"__{f}"))).alias(f"__mad_{f}") for f in names))
+    more = {f"{f}_robust_z": X.over_deviation(f"__{f}", f"__mad_{f}", 6.0) for f in names} | {f"{f}_rankchg": W.diff(f"{f}_rank") for f in names}
+    more["f1_trend_accel"] = F.col("f1_ma5") - 2 * F.col("f1_ma20") + F.col("f1_ma60")
+    if len(names) == 2:
+        more["rank_agree"] = X.row_mean([F.col(f"{f}_rank") for f in names])
+    return base.select(*own, *(c.alias(n) for n, c in more.items()))
+
+
+#: Inputs that come first where a panel has them. Fixed values.
+PRIMARY = ("f4", "f5", "f6")
+
+
+def primary_inputs(names: list[str]) -> list[str]:
+    """Three inputs: the preferred ones, then those from the end; without any preferred one, the last three in order."""
+    wanted = [f for f in PRIMARY if f in names]
+    return (wanted + [f for f in reversed(names) if f not in wanted])[:3] if wanted else names[-3:]
+
+
+def primary(panel: DataFrame) -> DataFrame:
+    """31 features of three inputs: positions at the timestamp, short changes, reversals, and how ranks persist."""
+    names = primary_inputs(inputs(panel))
+    first = names[0]
+    panel = panel.drop(*[f for f in inputs(panel) if f not in names])
+    base = W.with_ewma(panel, {f"__ewma_{f}": (f, 8, 3) for f in names[:2]})
+    base = base.select("*", *(X.centred_rank(f).alias(f"{f}_rank") for f in names), *(X.median_demean(f).alias(f"{f}_demean") for f in names))
+    own = [*panel.columns, *(f"{f}_{k}" for f in names for k in ("rank", "demean"))]
+    series = {f"{f}_{k}": c for f in names for k, c in (("lag1", W.lag(f)), ("diff1", W.diff(f)), ("diff3", W.diff(f, 3)))}
+    for f in names[:2]:
+        x = F.col(f)
+        series |= {f"{f}_reversal5": W.roll_mean(f, 5, 2) - x, f"{f}_reversal8": F.col(f"__ewma_{f}") - x, f"{f}_z10": W.zscore(f, W.roll_mean(f, 10, 3), W.roll_std(f, 10, 3))}
+    before = W.lag(f"{first}_rank")
+    series |= {
+        f"{first}_rank_persist": F.col(f"{first}_rank") * before,
+        f"{first}_rank_turnover": F.abs(F.col(f"{first}_rank") - before),
+        f"{first}_vol_ratio": W.roll_std(first, 5, 2) / (W.roll_std(first, 20, 4) + W.EPS),
+    }
+    r = [F.col(f"{f}_rank") for f in names]
+    more = {f"rank{i + 1}{j + 1}": r[i] - r[j] for i, j in ((0, 1), (0, 2), (1, 2)) if j < len(r)}
+    if len(r) == 3:
+        more["relative"] = r[0] + r[1] - 2 * r[2]
+    return base.select(*own, *(c.alias(n) for n, c in series.items())).select("*", *(c.alias(n) for n, c in more.items()))
+
+
+SETS = {
+    "compact": compact,
+    "classic": classic,
+    "ranked": ranked,
+    "robust": robust,
+    "horizons": horizons,
+    "late": late,
+    "changes": changes,
+    "momenta": momenta,
+    "four_ranks": four_ranks,
+    "weighed_ranks": weighed_ranks,
+    "agreement": agreement,
+    "primary": primary,
+}
 
 
 def feature_names(frame: DataFrame) -> list[str]:

@@ -40,16 +40,16 @@ _ALL = (
     _v02,
     with_name(_v02, "v08"),
     with_name(_v02, "v12"),
-    Model("v03", (Head(0.35, decay=0.12), Head(0.35, decay=0.45), Head(0.05, "unscaled_rank", 16.0), Head(0.25, tree=PLAIN)), "ranked", scale="std"),
-    Model("v04", (Head(0.25, decay=0.12), Head(0.20, decay=0.45), Head(0.20, "rank", 16.0), Head(0.20, tree=Tree(15, 0.05, 200.0, 0.1, 2.0))), "ranked", scale="std"),
-    Model("v07", (Head(0.52, decay=0.16), Head(0.22, decay=0.30), Head(0.10, decay=0.55), Head(0.10, "rank", decay=0.30), Head(0.06, "residual", tree=Tree(16, 0.04, 220.0, 0.15, 3.5, 0.82, 0.78))), "ranked", rows=85_000, recent=0.65, sign=-1.0),
+    Model("v03", (Head(0.35, decay=0.12), Head(0.35, decay=0.45), Head(0.05, "unscaled_rank", 16.0), Head(0.25, tree=PLAIN)), "changes", scale="std"),
+    Model("v04", (Head(0.25, decay=0.12), Head(0.20, decay=0.45), Head(0.20, "rank", 16.0), Head(0.20, tree=Tree(15, 0.05, 200.0, 0.1, 2.0))), "momenta", scale="std"),
+    Model("v07", (Head(0.52, decay=0.16), Head(0.22, decay=0.30), Head(0.10, decay=0.55), Head(0.10, "rank", decay=0.30), Head(0.06, "residual", tree=Tree(16, 0.04, 220.0, 0.15, 3.5, 0.82, 0.78))), "four_ranks", rows=85_000, recent=0.65, sign=-1.0),
     Model("v09", (Head(0.88, huber=1.5), Head(0.12, "rank", 20.0), Head(0.12, "residual", tree=Tree(12, 0.04, 220.0, 0.1, 3.0, 0.82, 0.8))), demean=True, clip=0.995),
     Model("v10", (Head(0.84 * 0.85, huber=1.5), Head(0.84 * 0.15, alpha=24.0), Head(0.16, "rank", 20.0), Head(0.10, "residual", tree=Tree(12, 0.04, 220.0, 0.12, 3.5, 0.82, 0.8))), demean=True, clip=0.995),
     Model("v11", (Head(0.76, huber=1.5), Head(0.12, "z", 14.0), Head(0.12, "rank", 20.0), Head(0.11, "residual", tree=Tree(14, 0.035, 220.0, 0.12, 3.25, 0.84, 0.8))), demean=True, clip=0.995),
     Model("v13", (Head(0.55), Head(0.20, alpha=24.0, decay=0.0), Head(0.125, tree=Tree(10, 0.05, 200.0)), Head(0.125, decay=0.0, tree=Tree(10, 0.04, 260.0, 0.1, 4.0, 0.9, 0.9, 137)))),
     Model("v14", (Head(0.65), Head(0.10, alpha=20.0, decay=0.0), Head(0.25, tree=Tree(14, 0.05, 210.0, 0.03, 1.5, 0.82, 0.82)))),
     _v15,
-    Model("v17", (Head(0.73, alpha=10.0), Head(0.22, tree=Tree(13, 0.045, 220.0, 0.03, 2.0, 0.82, 0.82)), Head(0.05, "rank", 24.0)), "robust", rows=72_000, clip=0.997),
+    Model("v17", (Head(0.73, alpha=10.0), Head(0.22, tree=Tree(13, 0.045, 220.0, 0.03, 2.0, 0.82, 0.82)), Head(0.05, "rank", 24.0)), "agreement", rows=72_000, clip=0.997),
     with_name(_v15, "v18", scale="std", heads=(Head(0.72), Head(0.24, tree=FIRM), Head(0.04, "rank", 20.0))),
     Model("v19", (Head(0.62), Head(0.10, "tail", 14.0), Head(0.24, tree=FIRM), Head(0.04, "rank", 20.0)), clip=0.995, scale="std"),
     Model("v20", (Head(0.66), Head(0.06, alpha=12.0, decay=0.08), Head(0.24, tree=FIRM), Head(0.04, "rank", 20.0)), clip=0.995, scale="std", finish="double"),
@@ -63,7 +63,7 @@ _ALL = (
     _v33,
     with_name(_v33, "v34a", finish="conviction"),
     Model("v35", (Head(0.60, alpha=16.0), Head(0.25, "rank", 34.0), Head(0.15, tree=Tree(9, 0.035, 320.0, 0.1, 2.8, 0.82, 0.68, 3501))), "horizons", 0.30, "times", 0.55, demean=True, clip=0.995, centre="median", quantile=0.01, least=60),
-    Model("v36", (Head(0.65, alpha=22.0), Head(0.35, "rank", 42.0)), "late", 0.38, "times", 0.50, demean=True, clip=0.995, centre="median", quantile=0.01, least=60),
+    Model("v36", (Head(0.65, alpha=22.0), Head(0.35, "rank", 42.0)), "primary", 0.38, "times", 0.50, demean=True, clip=0.995, centre="median", quantile=0.01, least=60),
     with_name(_v33, "v37", heads=(Head(0.70, alpha=12.0), Head(0.30, "rank", 28.0))),
     with_name(_v33, "v38", heads=(Head(0.68, alpha=12.0), Head(0.22, "rank", 28.0), Head(0.10, tree=_tree33))),
     with_name(_v33, "v41", decay=0.22),

@@ -36,7 +36,7 @@ BLENDS = {"plain": (0.7, 0.2, 0.1, 0.1, 0.0), "some ranks": (0.62, 0.23, 0.15, 0
 def _v05(rounds: int, rows: int) -> engine.Model:
     tree = engine.Tree(rounds, 0.045, 240.0, 0.15, 3.0, 0.82, 0.78)
     heads = (engine.Head(0.72), engine.Head(0.28, decay=0.45), engine.Head(0.0, "rank", 16.0, 0.30), engine.Head(0.0, "residual", decay=((0.65, 0.20), (0.35, 0.45)), tree=tree))
-    return engine.Model("v05", heads, "ranked", rows=rows, recent=0.65, scale="std")
+    return engine.Model("v05", heads, "weighed_ranks", rows=rows, recent=0.65, scale="std")
 
 
 register("v05", lambda panel: search.held_out(panel, _v05(16, 85_000), _v05(8, 45_000), {n: b[:4] for n, b in BLENDS.items()}, {n: b[4] for n, b in BLENDS.items()}))

@@ -372,7 +372,7 @@ fz AS (SELECT *, (f1 - f1_ma5) / (f1_sd20 + 1e-6) AS f1_roll_z, f1_ma5 - f1_ma20
 COMPACT_NAMES = [f"f{i}" for i in range(1, 7)] + [f"f{i}_rank" for i in range(1, 7)] + [f"f{i}_{k}" for i in (1, 2, 3) for k in ("lag1", "diff1")] + [f"f1_{k}" for k in ("lag3", "diff3", "ma5", "ma20", "sd20", "ewma5", "roll_z", "mom_spread", "demean")] + ["rank12", "rank13"]
 register("features_compact", lambda s, d: sets.compact(panels.trade_panel(s, d)).select(*KEYS, *(six(n).alias(n) for n in COMPACT_NAMES)), f"{COMPACT} SELECT period, t, asset, " + ", ".join(f"round({n}, 6) + 0 AS {n}" for n in COMPACT_NAMES) + " FROM fz")
 
-CLASSIC = ewma_sql("f1", 5, 1, "k5") + f""", ks AS (SELECT *, ew AS f1_ewma5, {MA5} AS f1_ma5, {roll_sql('avg', 'f1', 20, 3)} AS f1_ma20, {MA60} AS f1_ma60, coalesce({roll_sql('stddev_pop', 'f1', 20, 3)}, 0) AS f1_sd20, """ + ", ".join(f"f{i} - lag(f{i}) OVER {WA} AS f{i}_diff1" for i in (1, 2, 3)) + f""", f1 - median(f1) OVER {WT} AS f1_demean FROM k5),
+CLASSIC = ewma_sql("f1", 5, 2, "k5") + f""", ks AS (SELECT *, ew AS f1_ewma5, {MA5} AS f1_ma5, {roll_sql('avg', 'f1', 20, 3)} AS f1_ma20, {MA60} AS f1_ma60, coalesce({roll_sql('stddev_pop', 'f1', 20, 3)}, 0) AS f1_sd20, """ + ", ".join(f"f{i} - lag(f{i}) OVER {WA} AS f{i}_diff1" for i in (1, 2, 3)) + f""", f1 - median(f1) OVER {WT} AS f1_demean FROM k5),
 kz AS (SELECT *, """ + ", ".join(f"{centred_sql(c)} AS {c}_rank" for c in ("f1", "f2", "f3", "f1_ma5", "f1_ma20", "f1_ma60")) + """, (f1 - f1_ma5) / (f1_sd20 + 1e-6) AS f1_roll_z, f1_ma5 - f1_ma60 AS f1_mom_spread FROM ks)"""
 CLASSIC_NAMES = [f"f{i}_diff1" for i in (1, 2, 3)] + ["f1_ma5", "f1_ma20", "f1_ma60", "f1_sd20", "f1_ewma5", "f1_roll_z", "f1_mom_spread", "f1_demean"] + [f"{c}_rank" for c in ("f1", "f2", "f3", "f1_ma5", "f1_ma20", "f1_ma60")]
 register("features_classic", lambda s, d: sets.classic(panels.trade_panel(s, d)).select(*KEYS, *(six(n).alias(n) for n in CLASSIC_NAMES), six("rank_spread").alias("rank_spread")), f"{CLASSIC} SELECT period, t, asset, " + ", ".join(f"round({n}, 6) + 0 AS {n}" for n in CLASSIC_NAMES) + ", round(f1_rank - f2_rank, 6) + 0 AS rank_spread FROM kz")

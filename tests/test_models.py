@@ -219,6 +219,67 @@ def test_absent_features_count_as_zero(spark, name):
     assert out.count() == 24 * 3 and out.where("pred is null").count() == 0
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    panel = synthetic.dataset(spark, 1, 30, 5).withColumn("f1", F.when(F.col("t") % 9 != 4, F.col("f1")))
+    frame = panel.toPandas()
+    return panel, {f: frame.pivot(index="t", columns="asset", values=f).astype(float) for f in [f"f{i}" for i in range(1, 7)]}
+
+
+def plain_rank(x):
+    return (x.rank(axis=1) - (x.shape[1] + 1) / 2) / (0.5 * (x.shape[1] - 1))
+
+
+@pytest.mark.parametrize(("name", "count"), [("classic", 24), ("changes", 33), ("momenta", 42), ("four_ranks", 37), ("weighed_ranks", 38), ("agreement", 30), ("primary", 31)])
+def test_feature_sets_are_those_of_pandas(spark, small, name, count):
+    from tessera.plans import features
+
+    panel, f = small
+    made = features.SETS[name](panel)
+    names = features.feature_names(made)
+    assert len(names) == len(set(names)) == count
+    r = {k: plain_rank(x) for k, x in f.items()}
+    mean = lambda k, n, m: f[k].rolling(n, min_periods=m).mean()
+    std = lambda k, n, m: f[k].rolling(n, min_periods=m).std(ddof=0)
+    robust_z = lambda k: (f[k].sub(f[k].median(axis=1), axis=0)).pipe(lambda d: d.div(1.4826 * d.abs().median(axis=1) + 1e-6, axis=0)).clip(-6, 6)
+    four = np.stack([r[k].to_numpy() for k in ("f1", "f2", "f3", "f4")])
+    want = {
+        "f1_ewma5": f["f1"].ewm(span=5, adjust=False, min_periods=2).mean(),
+        "f2_voladj": f["f2"].diff() / (std("f2", 20, 3).fillna(0) + 1e-6),
+        "f2_mom20": mean("f2", 5, 2) - mean("f2", 20, 3),
+        "f3_revert20": mean("f3", 20, 3) - f["f3"],
+        "f1_rankchg": r["f1"].diff(),
+        "f1_mom_spread": mean("f1", 5, 2) - mean("f1", 60, 5),
+        "momentum_mean": sum(plain_rank(mean(k, 5, 2) - mean(k, 20, 3)) for k in ("f1", "f2", "f3")) / 3,
+        "reversion_mean": sum(plain_rank(mean(k, 20, 3) - f[k]) for k in ("f1", "f2", "f3")) / 3,
+        "rank_accel": sum(r[k].diff() for k in ("f1", "f2", "f3")) / 3,
+        "raw_rank": sum(f[k] * r[k] for k in ("f1", "f2", "f3", "f4")) / 4,
+        "f2_robust_z": robust_z("f2"),
+        "f1_trend_accel": mean("f1", 5, 2) - 2 * mean("f1", 20, 3) + mean("f1", 60, 5),
+        "rank_agree": (r["f1"] + r["f2"]) / 2,
+        "f4_reversal8": f["f4"].ewm(span=8, adjust=False, min_periods=3).mean() - f["f4"],
+        "f5_z10": (f["f5"] - mean("f5", 10, 3)) / (std("f5", 10, 3) + 1e-6),
+        "f4_rank_persist": r["f4"] * r["f4"].shift(1),
+        "f4_vol_ratio": std("f4", 5, 2) / (std("f4", 20, 4) + 1e-6),
+        "relative": r["f4"] + r["f5"] - 2 * r["f6"],
+    }
+    if name in ("four_ranks", "weighed_ranks"):
+        want["rank_dispersion"] = pd.DataFrame(four.std(axis=0), r["f1"].index, r["f1"].columns)
+    got = made.toPandas()
+    for n in set(want) & set(names):
+        np.testing.assert_allclose(got.pivot(index="t", columns="asset", values=n).to_numpy(float), want[n].to_numpy(float), atol=1e-7, err_msg=n)
+    narrow = features.SETS[name](panel.drop("f2", "f3", "f4", "f5", "f6"))
+    assert narrow.count() == 150 and len(set(narrow.columns)) == len(narrow.columns)
+
+
+def test_primary_inputs():
+    from tessera.plans.features import primary_inputs
+
+    assert primary_inputs(["f1", "f2", "f3", "f4", "f5", "f6", "f7"]) == ["f4", "f5", "f6"]
+    assert primary_inputs(["f1", "f2", "f3", "f4", "f5"]) == ["f4", "f5", "f3"]
+    assert primary_inputs(["f1", "f2"]) == ["f1", "f2"]
+
+
 def test_reports_are_whole_or_raise(spark):
     from tessera.sources import files
 

@@ -40,6 +40,7 @@ def _v05(rounds: int, rows: int) -> engine.Model:
 
 
 register("v05", lambda panel: search.held_out(panel, _v05(16, 85_000), _v05(8, 45_000), {n: b[:4] for n, b in BLENDS.items()}, {n: b[4] for n, b in BLENDS.items()}))
+register("v10", lambda panel: signals.gated(walkforward.walk_forward(panel, MODELS["v10"]), [h.weight for h in MODELS["v10"].heads]))
 register("v16", lambda panel: search.searched(panel, *search.rank_shares(MODELS["v02"])))
 register("v29", stacks.neutral_model)
 register("v40", stacks.selected)

@@ -39,6 +39,14 @@ def agreement_gate(frame: DataFrame, a: str, b: str, floor: float = 0.75) -> Dat
     return frame.withColumn("gate", floor + (1 - floor) * X.clip(X.window_correlation(a, b), 0, 1))
 
 
+def gated(frame: DataFrame, weights: list[float]) -> DataFrame:
+    """Blends (ridge, stable ridge, rank, trees) heads; the last two count less where ranks disagree with the ridges."""
+    ridge, stable, rank, trees = (w * F.col("heads")[i] for i, w in enumerate(weights))
+    frame = agreement_gate(frame.select("*", (ridge + stable).alias("__linear"), rank.alias("__rank")), "__linear", "__rank")
+    mixed = F.col("__linear") + F.col("gate") * (F.col("__rank") + trees)
+    return finish.clip_finish(frame.withColumn("raw", mixed), "raw", "pred").drop("__linear", "__rank", "gate")
+
+
 def adaptive_share(frame: DataFrame, rank_share: float = 0.30) -> DataFrame:
     """Blends (ridge, tree, rank ridge, rank tree) heads by how far they agree per timestamp."""
     ridge, tree, rank_ridge, rank_tree = (F.col("heads")[i] for i in range(4))

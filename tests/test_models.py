@@ -272,6 +272,16 @@ def test_feature_sets_are_those_of_pandas(spark, small, name, count):
     assert narrow.count() == 150 and len(set(narrow.columns)) == len(narrow.columns)
 
 
+def test_gate_is_that_of_numpy(spark, panel):
+    out = registry.run(panel, "v10").toPandas().sort_values(["period", "t", "asset_ord"])
+    for _, part in out.groupby(["period", "t"]):
+        h = np.stack(part["heads"].to_numpy()) * [h.weight for h in MODELS["v10"].heads]
+        linear, rank = h[:, 0] + h[:, 1], h[:, 2]
+        gate = 0.75 + 0.25 * np.clip(np.corrcoef(linear, rank)[0, 1], 0, 1)
+        want = np.clip(linear + gate * (rank + h[:, 3]), -part["limit"], part["limit"])
+        np.testing.assert_allclose(part["pred"], want - want.mean(), atol=1e-9)
+
+
 def test_primary_inputs():
     from tessera.plans.features import primary_inputs
 

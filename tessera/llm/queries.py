@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann_hnsw, chat_format, common, decontam, fill_middle, language_id, line_dedup, secrets, simhash, sp_codec, url_filter, warc
+from tessera.llm import ann_hnsw, chat_format, collocations, common, decontam, fill_middle, language_id, line_dedup, secrets, simhash, sp_codec, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.middle_report(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_sentencepiece": op9_sentencepiece,
     "sentencepiece_unigram": sentencepiece_unigram,
     "op10_simhash": op10_simhash,
+    "op12_collocations": op12_collocations,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -154,6 +159,30 @@ SQL = {
         SELECT page_id, host, path, rule,
                coalesce(v, CASE WHEN mu - 1.645 * sqrt(mu * (1 - mu) / (t + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
         FROM judged JOIN rated USING (host)""",
+    "op12_collocations": r"""
+        WITH piece AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+        at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        gram AS (SELECT lang, list_slice(w, i, i + k - 1) AS g FROM at JOIN (VALUES (1), (2), (3)) s(k) ON i + k - 1 <= len(w)),
+        f AS (SELECT lang, g, count(*) AS f FROM gram GROUP BY ALL),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+        cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+        cuts AS (
+          SELECT lang, g, a, k, list_slice(g, 1, k) AS x, list_slice(g, k + 1, len(g)) AS y FROM cand JOIN (VALUES (1), (2)) s(k) ON k < len(g)),
+        parts AS (
+          SELECT cuts.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+          FROM cuts JOIN f x ON cuts.lang = x.lang AND cuts.x = x.g JOIN f y ON cuts.lang = y.lang AND cuts.y = y.g),
+        best AS (SELECT lang, g, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS c FROM parts GROUP BY ALL),
+        inside AS (
+          SELECT lang, h, max(a) AS longer
+          FROM (SELECT lang, g[1:2] AS h, a FROM cand WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM cand WHERE len(g) = 3) t GROUP BY ALL),
+        kept AS (
+          SELECT best.lang, array_to_string(g, ' ') AS phrase, a, c.l AS l, c.r AS r, c.score AS score
+          FROM best LEFT JOIN inside ON best.lang = inside.lang AND best.g = inside.h WHERE longer IS NULL OR 100 * longer < 50 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON ranked.lang = total.lang WHERE rank <= 2000""",
     "op13_fill_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
         t AS (

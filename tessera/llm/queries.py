@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann_hnsw, chat_format, collocations, common, decontam, fill_middle, language_id, line_dedup, secrets, simhash, sp_codec, url_filter, warc
+from tessera.llm import ann_hnsw, chat_format, collocations, common, decontam, fill_middle, language_id, line_dedup, ngram_join, secrets, simhash, sp_codec, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_report(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_sentencepiece": op9_sentencepiece,
     "sentencepiece_unigram": sentencepiece_unigram,
     "op10_simhash": op10_simhash,
+    "op11_ngram_join": op11_ngram_join,
     "op12_collocations": op12_collocations,
     "op13_fill_middle": op13_fill_middle,
 }
@@ -163,9 +168,12 @@ SQL = {
         WITH piece AS (
           SELECT coalesce(lang, 'und') AS lang,
                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
-        words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
-        at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-        gram AS (SELECT lang, list_slice(w, i, i + k - 1) AS g FROM at JOIN (VALUES (1), (2), (3)) s(k) ON i + k - 1 <= len(w)),
+        words AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+        spread AS (SELECT lang, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+        three AS (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM spread WINDOW o AS (PARTITION BY id ORDER BY i)),
+        gram AS (
+          SELECT lang, [x] AS g FROM three UNION ALL SELECT lang, [x, y] FROM three WHERE y IS NOT NULL
+          UNION ALL SELECT lang, [x, y, z] FROM three WHERE z IS NOT NULL),
         f AS (SELECT lang, g, count(*) AS f FROM gram GROUP BY ALL),
         total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
         cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),

@@ -1,12 +1,12 @@
 """Phrase collocations by suffix sorting (the Suffix-sigma method).
 
 Every word starts a suffix, cut off after ``max_n`` words or at the end of its piece. Suffixes are
-counted where the texts lie and move as (lang, w1, .., wk, n): they are range-partitioned by language,
-first word and the words after it, and sorted in descending order. So a first word's suffixes lie
-together, but one that holds a third of all rows, or a pair that does, spreads over many partitions.
-Each partition is streamed once with one stack of at most ``max_n`` words: a word that leaves the
+counted where the texts lie and move as (key, n), the key being language, first word and the words after
+it. They are dealt out by ranges of keys, whose bounds come from a sample, and sorted in descending
+order. So a first word's suffixes lie together, but one that holds a third of all rows, or a pair that does, spreads over many partitions.
+Each partition is streamed once with one stack of a language and at most ``max_n`` words: a word that leaves the
 stack gives the count of the phrase down to it. Only the phrases of a partition's first and last
-suffix may go on in its neighbours; their partial counts are added up, at most 2 * ``max_n`` rows a partition.
+suffix may go on in its neighbours; their partial counts are added up, some ``2 * max_n`` rows a partition.
 
 Phrases under ``min_count`` end there: the parts of a phrase are at least as frequent as itself. What
 is left joins its parts (one row a phrase, so that hot words are on one side only, which AQE splits),
@@ -23,22 +23,24 @@ Defined cases
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, materialize, slices
+from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, materialize
 
 #: Piece ends become one sign, tabs become spaces; A-Z are lower-cased. No other byte is touched.
 _FOLD = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
+SEP = b"\x00"
 CHUNK = 1 << 20
-#: Distinct suffixes that a task holds before it passes their counts on.
-HELD = 300_000
+#: Words that a task holds before it passes their suffixes on, and sorted rows that it takes at once.
+HELD, ROWS = 500_000, 1 << 16
 SALTS = 32
 
 
@@ -58,117 +60,206 @@ def word_runs(text: str, chunk: int = CHUNK) -> Iterator[list[bytes]]:
         at = end
 
 
-def count_suffixes(text: str, counts: Counter, max_n: int, chunk: int = CHUNK) -> None:
-    """Adds the suffixes of ``text`` to ``counts``: tuples of ``max_n`` words, of which END and what follows don't count."""
-    carried: list[bytes] = []
-    for words in word_runs(text, chunk):
-        words = carried + words
-        counts.update(zip(*(islice(words, k, None) for k in range(max_n))))
-        carried = words[max(0, len(words) - max_n + 1) :]
-    words = carried + [END] * (max_n - 1)
-    counts.update(zip(*(islice(words, k, None) for k in range(max_n))))
-
-
-def _suffixes(max_n: int, held: int):
-    """Rows (lang, w1, .., n) from (lang, text), counted over ``held`` distinct suffixes at a time."""
-
-    def take(counts: dict[str, Counter]) -> pa.RecordBatch:
-        total: Counter = Counter()
-        for lang, found in counts.items():
-            for words, n in found.items():
-                if words[0] != END:
-                    size = words.index(END) if END in words else max_n
-                    total[(lang, *words[:size], *[None] * (max_n - size))] += n
-        counts.clear()
-        columns = list(zip(*total)) or [()] * (max_n + 1)
-        texts = [pa.array(columns[0], pa.string()), *(pa.array(c, pa.binary()).cast(pa.string()) for c in columns[1:])]
-        return pa.RecordBatch.from_arrays([*texts, pa.array(list(total.values()), pa.int64())], names=["lang", *word_names(max_n), "n"])
+def escaped(word: bytes) -> bytes:
+    """Without the byte that parts words in a key, which sorts before all that stay."""
+    return word.replace(b"\x01", b"\x01\x02").replace(SEP, b"\x01\x01")
+
+
+def plain(word: str) -> str:
+    return word.replace("\x01\x01", "\x00").replace("\x01\x02", "\x01")
+
+
+def counted_suffixes(lang: str, words: list[bytes], max_n: int, starts: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct suffixes of at most ``max_n`` words that begin in the first ``starts`` of ``words``,
+    as ascending keys (the language and the words with SEP between), and their counts. A suffix ends before END.
+    """
+    coded = pa.array([END, *words, *[END] * max_n], pa.binary()).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    if any(SEP in w or b"\x01" in w for w in names):
+        names = list(map(escaped, names))
+    order = sorted(range(1, len(names)), key=names.__getitem__)  # END stays 0
+    place = np.zeros(len(names), np.int64)
+    place[order] = np.arange(1, len(names))
+    names = pa.array(["", *(names[k].decode() for k in order)], pa.string())
+    codes = place[coded.indices.to_numpy()[1:]]
+    columns = [codes[:starts]]
+    for k in range(1, max_n):
+        columns.append(np.where(columns[-1] == 0, 0, codes[k : k + starts]))
+    if len(names) ** max_n < 1 << 62:
+        key = columns[0]
+        for c in columns[1:]:
+            key = key * len(names) + c
+        key, counts = np.unique(key, return_counts=True)
+        columns = [key // len(names) ** k % len(names) for k in range(max_n - 1, -1, -1)]
+    else:
+        rows, counts = np.unique(np.column_stack(columns), axis=0, return_counts=True)
+        columns = list(rows.T)
+    begun = columns[0] != 0
+    parts = [names.take(pa.array(c[begun], mask=c[begun] == 0)) for c in columns]
+    keys = pc.binary_join_element_wise(escaped(lang.encode()).decode(), *parts, SEP.decode(), null_handling="skip")
+    return keys, counts[begun]
+
+
+def _suffixes(max_n: int, held: int, bounds: list[str]):
+    """Rows (part, key, n) from (lang, text), counted over about ``held`` words at a time.
+
+    ``part`` is the number of ``bounds`` (which ascend) that aren't above the key.
+    """
+    bounds = [b.encode() for b in bounds]
+
+    def take(lang: str, words: list[bytes], starts: int) -> Iterator[pa.RecordBatch]:
+        keys, counts = counted_suffixes(lang, words, max_n, starts)
+        raw = keys.cast(pa.binary()).to_pylist()
+        cuts = [bisect_left(raw, b) for b in bounds]
+        parts = np.repeat(np.arange(len(bounds) + 1, dtype=np.int32), np.diff([0, *cuts, len(keys)]))
+        whole = pa.RecordBatch.from_arrays([pa.array(parts), keys, pa.array(counts, pa.int64())], names=["part", "key", "n"])
+        for at in range(0, len(keys), ROWS):
+            yield whole.slice(at, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        words: dict[str, list[bytes]] = {}
+        size = 0
+        for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                count_suffixes(text.as_py() or "", counts.setdefault(lang, Counter()), max_n)
-            if sum(map(len, counts.values())) >= held:
-                yield take(counts)
-        yield take(counts)
+                own = words.setdefault(lang, [])
+                for part in word_runs(text.as_py() or ""):
+                    own += part
+                    size += len(part)
+                    if size >= held:
+                        for name, found in words.items():  # the last words of this text may go on
+                            starts = max(0, len(found) - max_n + 1) if found is own else len(found)
+                            yield from take(name, found, starts)
+                            del found[:starts]
+                        size = len(own)
+                own.append(END)
+        for name, found in words.items():
+            yield from take(name, found, len(found))
 
     return run
 
 
-def _stack(max_n: int, min_count: int):
-    """Streams suffixes in descending order; rows (lang, words, n, open) of phrases that are ``min_count`` frequent or open."""
+class Stack:
+    """The language and words of the current suffix with the counts of the phrases down to each.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang: str | None = None
-        words: list[str] = []  # the stack, with the counts beside it
-        counts: list[int] = []
-        edge = 0  # how deep the stack still is that of the partition's first suffix
-        started = False
-        out: list[tuple] = []
-
-        def pop(depth: int, last: bool = False) -> None:
-            nonlocal edge
-            while len(words) > depth:
-                n, size = counts.pop(), len(words)
-                if last or size <= edge:
-                    out.append((lang, words[:], n, True))
-                elif n >= min_count:
-                    out.append((lang, words[:], n, False))
-                words.pop()
-                if counts:
-                    counts[-1] += n
-            edge = min(edge, depth)
-
-        def take() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
-            out.clear()
-            kinds = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "words", "n", "open"])
+    Rows come in descending order, many at once: a phrase that begins and ends inside them is a
+    run of equal prefixes, whose count is a difference of cumulative sums; phrases of the last
+    row stay on the stack, and those of the next first row that continue them take their counts.
+    """
 
+    def __init__(self, max_n: int, min_count: int) -> None:
+        self.depth, self.min_count = max_n + 1, min_count
+        self.path: list[str] = []
+        self.counts: list[int] = []
+        self.edge: int | None = None  # how much of the stack is of the partition's first suffix
+
+    def rows(self, keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes suffixes in descending order of their keys; gives (path, n, open) of what has ended."""
+        many = len(keys)
+        parted = pc.split_pattern(keys, SEP.decode())
+        coded = parted.flatten().dictionary_encode()
+        names, flat = coded.dictionary, coded.indices.to_numpy()
+        if pc.any(pc.match_substring(names, "\x01")).as_py():
+            names = pa.array([plain(w) for w in names.to_pylist()], pa.string())
+        begin = parted.offsets.to_numpy() - parted.offsets[0].as_py()
+        length = np.diff(begin)
+        columns = [np.where(length > k, flat[np.minimum(begin[:-1] + k, len(flat) - 1)], -1) for k in range(self.depth)]
+        sums = np.concatenate([[0], np.cumsum(n)])
+        first, last = ([names[int(c[at])].as_py() if c[at] >= 0 else None for c in columns] for at in (0, -1))
+        same = 0
+        while same < len(self.path) and self.path[same] == first[same]:
+            same += 1
+        yield from self.pop(same)
+        carried, edge = self.counts, self.depth if self.edge is None else self.edge
+        path, counts = [], []
+        changed = np.zeros(many, bool)
+        changed[0] = True
+        for level, codes in enumerate(columns):
+            changed[1:] |= codes[1:] != codes[:-1]
+            at = np.flatnonzero(changed)
+            total = sums[np.r_[at[1:], many]] - sums[at]
+            if level < same:
+                total[0] += carried[level]
+            ended = codes[at] >= 0
+            if last[level] is not None:
+                path.append(last[level])
+                counts.append(int(total[-1]))
+                ended[-1] = False
+            opened = np.zeros(len(at), bool)
+            opened[0] = level < edge  # may have begun in the partition before
+            kept = ended & (opened | (total >= self.min_count) | (level == 0))
+            if kept.any():
+                yield self.batch(names, [c[at[kept]] for c in columns[: level + 1]], total[kept], opened[kept])
+        # rows are sorted: where the ends have equal words, so have all rows between
+        held = 0
+        while held < min(edge, len(path)) and first[held] == last[held]:
+            held += 1
+        self.edge, self.path, self.counts = held, path, counts
+
+    def pop(self, depth: int, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """Takes from the stack what lies over ``depth``; at a partition's end all of it may go on in the next."""
+        out = []
+        while len(self.path) > depth:
+            size, n = len(self.path), self.counts.pop()
+            if last or size <= (self.edge or 0):
+                out.append((self.path[:], n, True))
+            elif n >= self.min_count or size == 1:
+                out.append((self.path[:], n, False))
+            self.path.pop()
+        if self.edge is not None:
+            self.edge = min(self.edge, depth)
+        if out:
+            kinds = (pa.list_(pa.string()), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["path", "n", "open"])
+
+    @staticmethod
+    def batch(names: pa.Array, codes: list[np.ndarray], n: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
+        flat = names.take(pa.array(np.column_stack(codes).ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(codes), dtype=np.int32)), flat)
+        return pa.RecordBatch.from_arrays([lists, pa.array(n, pa.int64()), pa.array(opened)], names=["path", "n", "open"])
+
+
+def _stack(max_n: int, min_count: int, rows: int = ROWS):
+    """Streams suffixes in descending order; rows (path, n, open) of languages, and of phrases that are ``min_count`` frequent or open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, held, size = Stack(max_n, min_count), [], 0
         for batch in batches:
-            for own, *suffix, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != lang:
-                    pop(0)
-                    lang = own
-                same = 0
-                for held, w in zip(words, suffix):
-                    if held != w:
-                        break
-                    same += 1
-                pop(same)
-                for w in suffix[same:]:
-                    if w is None:
-                        break
-                    words.append(w)
-                    counts.append(0)
-                counts[-1] += n
-                if not started:
-                    started, edge = True, len(words)
-            if len(out) >= 20_000:
-                yield take()
-        pop(0, last=True)
-        yield take()
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                yield from stack.rows(*joined(held))
+                held, size = [], 0
+        if size:
+            yield from stack.rows(*joined(held))
+        yield from stack.pop(0, last=True)
+
+    def joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
+        return tuple(c.combine_chunks() for c in pa.Table.from_batches(held).columns)
 
     return run
 
 
-def suffixes(docs: DataFrame, *, max_n: int = 3, held: int = HELD) -> DataFrame:
-    """(lang, w1, .., n): how often each suffix of at most ``max_n`` words was met, in partial counts of tasks."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").alias("text"))
-    schema = ", ".join(["lang string", *(f"{w} string" for w in word_names(max_n)), "n long"])
-    return materialize(rows.mapInArrow(_suffixes(max_n, held), schema), "suffixes")
+def phrase_counts(docs: DataFrame, *, max_n: int = 3, min_count: int = 10, held: int = HELD, sample: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(lang, words, f) of the phrases of at most ``max_n`` words that occur ``min_count`` times, and (lang, n) of all words.
 
-
-def phrase_counts(found: DataFrame, *, max_n: int = 3, min_count: int = 10) -> DataFrame:
-    """(lang, words, f): all phrases of at most ``max_n`` words that occur ``min_count`` times, from suffixes()."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.desc(c) for c in ("lang", *word_names(max_n))]
-    rows = found.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    counted = materialize(rows.mapInArrow(_stack(max_n, min_count), "lang string, words array<string>, n long, open boolean"), "phrase-counts")
-    edges = counted.where("open").groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    whole = counted.where("not open").select("lang", "words", "n").unionByName(edges)
-    return whole.select("lang", "words", F.col("n").alias("f"))
+    Keys of about ``sample`` documents, at most 50 for each partition, say where partitions begin; they
+    decide on work only.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    schema = "part int, key string, n long"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, sample / max(1, rows.count()))
+    some = rows.sample(share, seed=42).mapInArrow(_suffixes(max_n, held, []), schema)
+    some = sorted((r["key"] for r in some.select("key").orderBy(F.rand(42)).limit(50 * parts).collect()), key=str.encode)
+    bounds = sorted({some[len(some) * k // parts] for k in range(1, parts)}, key=str.encode) if some else []
+    found = rows.mapInArrow(_suffixes(max_n, held, bounds), schema).repartitionById(parts, "part").select("key", "n").sortWithinPartitions(F.desc("key"))
+    counted = materialize(found.mapInArrow(_stack(max_n, min_count), "path array<string>, n long, open boolean"), "phrase-counts")
+    edges = counted.where("open").groupBy("path").agg(F.sum("n").alias("n"))
+    whole = counted.where("not open").select("path", "n").unionByName(edges)
+    phrase = whole.where((F.size("path") > 1) & (F.col("n") >= min_count))
+    phrase = phrase.select(F.get("path", F.lit(0)).alias("lang"), F.slice("path", F.lit(2), F.size("path") - 1).alias("words"), F.col("n").alias("f"))
+    return phrase, whole.where(F.size("path") == 1).groupBy(F.get("path", F.lit(0)).alias("lang")).agg(F.sum("n").alias("n"))
 
 
 def _small(frame: DataFrame, tag: str) -> DataFrame:
@@ -204,11 +295,9 @@ def collocations(docs: DataFrame, *, max_n: int = 3, min_count: int = 10, cover:
     occurs at least ``cover`` percent as often. Ranks are by score, then a, both descending, then phrase.
     a * a * 1000000 has to fit 38 digits: a up to 10^16.
     """
-    found = suffixes(docs, max_n=max_n)
-    totals = found.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = _small(phrase_counts(found, max_n=max_n, min_count=min_count), "frequent-phrases")
+    counts, totals = phrase_counts(docs, max_n=max_n, min_count=min_count)
+    counts = _small(counts, "frequent-phrases")
     phrases = counts.where(F.size("words") > 1).select("lang", "words", F.col("f").alias("a"))
-
     scored = score_cuts(counts)
 
     # the parts of two words or more inside each phrase, with the phrase's count

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations as C
@@ -67,23 +68,52 @@ def test_against_brute_force(spark, options):
 
 def test_counts_do_not_depend_on_cuts_of_partitions_tasks_or_texts(spark):
     rows = corpus(60) + [("very hot pair " * 4000, "en")]
-    whole = C.Counter()
     for text, _ in rows:
-        C.count_suffixes(text, whole, 3)
-    for chunk in (1, 7, 1000):
-        parts = C.Counter()
-        for text, _ in rows:
-            C.count_suffixes(text, parts, 3, chunk)
-        cut = lambda c: Counter({w[: w.index(C.END)] if C.END in w else w: 0 for w in c})
-        assert cut(parts) == cut(whole) and sum(n for w, n in parts.items() if w[0] != C.END) == sum(n for w, n in whole.items() if w[0] != C.END)
+        for chunk in (1, 7, 1000):
+            assert [w for part in C.word_runs(text or "", chunk) for w in part] == [w for part in C.word_runs(text or "") for w in part]
     docs = frame(spark, rows, 9)
-    few = {(r["lang"], *r["words"]): r["f"] for r in C.phrase_counts(C.suffixes(docs, held=50), min_count=2).collect()}
+    few = {(r["lang"], *r["words"]): r["f"] for r in C.phrase_counts(docs, held=50, min_count=2)[0].collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "41")
     try:
-        many = {(r["lang"], *r["words"]): r["f"] for r in C.phrase_counts(C.suffixes(docs), min_count=2).collect()}
+        counts, totals = C.phrase_counts(docs, min_count=2)
+        many = {(r["lang"], *r["words"]): r["f"] for r in counts.collect()}
+        n = {r["lang"]: r["n"] for r in totals.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert few == many and many["en", "hot", "pair", "very"] == 3999
+    assert n["en"] == sum(len(re.findall("[^.,;:!?\x0a-\x0d\x20\x09]+", t)) for t, x in rows if x == "en")
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, 1000])
+def test_stack_over_any_cuts(rows):
+    r = random.Random(rows)
+    made = Counter()
+    for _ in range(300):
+        size = r.randint(1, 3)
+        made[(r.choice("xy"), *[r.choice("ab") for _ in range(size)], *[None] * (3 - size))] += r.randint(1, 4)
+    key = {"\x00".join(w for w in k if w is not None): n for k, n in made.items()}
+    order = sorted(key, reverse=True)
+    table = pa.table({"key": order, "n": pa.array([key[k] for k in order], pa.int64())})
+    want = Counter()
+    for (lang, *words), n in made.items():
+        for size in range(4):
+            if None not in words[:size]:
+                want[lang, *words[:size]] += n
+    for cut in (0, 1, 9, len(order)):  # as if two partitions
+        got, opened = Counter(), 0
+        for part in (table.slice(0, cut), table.slice(cut)):
+            for batch in C._stack(3, 1, rows)(iter(part.to_batches(max_chunksize=rows))):
+                for path, n, is_open in zip(*(c.to_pylist() for c in batch.columns)):
+                    got[tuple(path)] += n
+                    opened += is_open
+        assert got == want and opened <= 16
+
+
+def test_long_vocabularies_of_longer_phrases():
+    words = [f"w{i}".encode() for i in range(3000)]
+    keys, counts = C.counted_suffixes("x", words, 6, len(words))
+    keys = [k.split("\x00") for k in keys.to_pylist()]
+    assert len(counts) == 3000 and keys == sorted(keys) and sum(7 - len(k) for k in keys) == 15
 
 
 def test_scores_of_counts_whose_products_pass_64_bits(spark):

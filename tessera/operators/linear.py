@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +31,44 @@ def gram(frame: DataFrame, features: list[str], y: str, w: str, keys: list[str])
     return frame.groupBy(*keys).agg(F.array(*upper).alias("gram"), F.array(*right).alias("rhs"), F.sum(w).alias("sw"), F.sum(F.col(w) * F.col(y)).alias("sy"))
 
 
+def partial_grams(frame: DataFrame, columns: list[str], weights: dict[str, Column], keys: list[str]) -> DataFrame:
+    """(keys, weight, gram): all sums of products of ``columns``, flat by rows, for each of several weights.
+
+    For many columns, where gram() would be thousands of expressions: tasks add up dense products of
+    their rows, a row for each group and batch, and these are added up. One pass for all weights.
+    """
+    k = len(columns)
+    names = [f"__w{i}" for i in range(len(weights))]
+    rows = frame.select(*keys, *columns, *(w.cast("double").alias(n) for n, w in zip(names, weights.values())))
+    labels = list(weights)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "weight string, part binary"])
+
+    def add(batches):
+        for batch in batches:
+            out = []
+            for key, group in batch.groupby(keys, sort=False, dropna=False):
+                x = group[columns].to_numpy(float)
+                for label, name in zip(labels, names):
+                    out.append((*key, label, ((x * group[name].to_numpy(float)[:, None]).T @ x).tobytes()))
+            yield pd.DataFrame(out, columns=[*keys, "weight", "part"])
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        out = group.iloc[:1][[*keys, "weight"]].copy()
+        out["gram"] = [sum(np.frombuffer(p) for p in group["part"]).tolist()]
+        return out
+
+    parts = rows.mapInPandas(add, ddl)
+    return parts.groupBy(*keys, "weight").applyInPandas(total, ddl.replace("part binary", "gram array<double>"))
+
+
+def ridge_path(gram: np.ndarray, right: np.ndarray, alphas: list[float]) -> np.ndarray:
+    """The ridge coefficients for each of ``alphas``, a row each, from one eigendecomposition."""
+    values, vectors = np.linalg.eigh(gram)
+    turned = vectors.T @ right
+    return (vectors @ (turned[:, None] / (values[:, None] + np.asarray(alphas, float)[None, :]))).T
+
+
 def solve(sums: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(keys, coefficients) of the ridge regressions of gram()."""
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema}

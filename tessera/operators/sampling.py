@@ -61,6 +61,13 @@ def by_rows(panel: DataFrame, budget: int, recent: float, positions: bool = Fals
     return frame.select(*panel.columns, *(["position", "total"] if positions else []))
 
 
+def even_rows(panel: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of a period, evenly placed in time-major order: a bound before statistics."""
+    order = Window.partitionBy("period", "t").orderBy("asset_ord")
+    frame = panel.join(place_times(panel), ["period", "t"]).withColumn("__position", F.col("__before") + F.row_number().over(order) - 1)
+    return frame.where((F.col("__rows") <= most) | even(F.col("__position"), F.col("__rows"), F.lit(most))).select(*panel.columns)
+
+
 def by_times(panel: DataFrame, budget: int, recent: float, positions: bool = False) -> DataFrame:
     """Whole timestamps: as many as the median number of rows of one fits into the budget.
 

@@ -228,6 +228,177 @@ def primary(panel: DataFrame) -> DataFrame:
     return base.select(*own, *(c.alias(n) for n, c in series.items())).select("*", *(c.alias(n) for n, c in more.items()))
 
 
+def deviation(x: str, mean: str, std: str) -> Column:
+    return (F.col(x) - F.col(mean)) / (F.col(std) + W.EPS)
+
+
+def over(x: str, std: str) -> Column:
+    return F.col(x) / (F.col(std) + W.EPS)
+
+
+def ordered(frame: DataFrame, panel: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``panel`` that aren't features, then ``names``, of which a feature that can't be made is left out."""
+    rest = [c for c in panel.columns if c not in inputs(panel)]
+    return frame.select(*rest, *(n for n in names if n in frame.columns))
+
+
+def _ranked_inputs(panel: DataFrame, ewmas: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Exponential means of several spans in one pass, then ranks of all inputs and the first one's deviation from the median."""
+    names = inputs(panel)
+    ranks = [X.centred_rank(f).alias(f"{f}_rank") for f in names]
+    return W.with_ewma(panel, ewmas).select("*", *ranks, X.median_demean(names[0]).alias(f"{names[0]}_demean"))
+
+
+def _core(names: list[str]) -> Column:
+    return 0.55 * F.col(f"{names[0]}_rank") - 0.30 * F.col(f"{names[1]}_rank") + 0.15 * F.col(f"{names[2]}_rank")
+
+
+def paths(panel: DataFrame) -> DataFrame:
+    """57 features: means and volatilities of the first input at several lengths, ranks and their changes, sums and products of ranks.
+
+    Windows over assets share one sort, so that 57 columns take no more sorts by asset than 29.
+    """
+    names = inputs(panel)
+    a, few = names[0], names[:3]
+    base = _ranked_inputs(panel, {f"{a}_ew3": (a, 3, 2), f"{a}_ew8": (a, 8, 3), f"{a}_ew21": (a, 21, 5)})
+    series = {f"{f}_{n}": c for f in few for n, c in (("d1", W.diff(f)), ("d3", W.diff(f, 3)), ("rank_d1", W.diff(f"{f}_rank")), ("lag1", W.lag(f)))}
+    series |= {f"{a}_lag3": W.lag(a, 3), f"{a}_rank_lag1": W.lag(f"{a}_rank"), f"{a}_rank_lag3": W.lag(f"{a}_rank", 3), "__d5": W.diff(a, 5), f"{a}_accel": W.acceleration(a)}
+    series |= {f"{a}_ma{n}": W.roll_mean(a, n, least) for n, least in ((3, 2), (8, 3), (21, 5), (60, 8))} | {f"{a}_vol{n}": W.roll_std(a, n, least) for n, least in ((8, 3), (21, 5))}
+    series |= {f"{f}_ma5": W.roll_mean(f, 5, 2) for f in few[1:]} | {"__ma10": W.roll_mean(f, 10, 3) for f in few[1:2]} | {"__vol10": W.roll_std(f, 10, 3) for f in few[1:2]}
+    cross = {
+        f"{a}_z8": deviation(a, f"{a}_ma8", f"{a}_vol8"),
+        f"{a}_z21": deviation(a, f"{a}_ma21", f"{a}_vol21"),
+        f"{a}_trend3_21": F.col(f"{a}_ma3") - F.col(f"{a}_ma21"),
+        f"{a}_ewspread": F.col(f"{a}_ew3") - F.col(f"{a}_ew21"),
+        f"{a}_mom3vol": over(f"{a}_d3", f"{a}_vol8"),
+        f"{a}_mom5vol": over("__d5", f"{a}_vol21"),
+        f"{a}_rank_persist": F.col(f"{a}_rank") + F.col(f"{a}_rank_lag1"),
+        f"{a}_rank_reversal": F.col(f"{a}_rank_lag1") - F.col(f"{a}_rank"),
+    }
+    for f in few[1:2]:
+        r, q = F.col(f"{a}_rank"), F.col(f"{f}_rank")
+        cross |= {f"{f}_reversal": F.col(f"{f}_ma5") - F.col(f), f"{f}_z10": deviation(f, "__ma10", "__vol10"), "rank12_spread": r - q, "rank12_sum": r + q, "rank12_product": r * q}
+    for f in few[2:]:
+        r, q = F.col(f"{a}_rank"), F.col(f"{f}_rank")
+        cross |= {f"{f}_rank_ma5": X.centred_rank(f"{f}_ma5"), "rank13_spread": r - q, "rank13_product": r * q, "core": _core(names)}
+    first = "lag1 lag3 rank_lag1 rank_lag3 ma3 ma8 ma21 ma60 ew3 ew8 ew21 vol8 vol21 z8 z21 trend3_21 ewspread accel mom3vol mom5vol rank_persist rank_reversal demean"
+    own = dict(zip(few, (first, "lag1 ma5 reversal z10", "lag1 ma5 rank_ma5")))
+    order = [n for f in names for n in (f, f"{f}_rank", *((f"{f}_{k}" for k in f"d1 d3 rank_d1 {own[f]}".split()) if f in few else ()))]
+    return ordered(build(base, series, cross), panel, [*order, "rank12_spread", "rank12_sum", "rank12_product", "rank13_spread", "rank13_product", "core"])
+
+
+def trails(panel: DataFrame) -> DataFrame:
+    """58 features: three lags and changes of three inputs, long means of the first, and the rank of how far the ranks disagree."""
+    names = inputs(panel)
+    a, few = names[0], names[:3]
+    base = _ranked_inputs(panel, {f"{a}_ew4": (a, 4, 2), f"{a}_ew12": (a, 12, 3), f"{a}_ew32": (a, 32, 5)})
+    base = base.withColumn("__spread", X.present_spread([F.col(f"{f}_rank") for f in names]))
+    series = {f"{f}_lag{k}": W.lag(f, k) for f in few for k in (1, 2, 3)} | {f"{f}_d{k}": W.diff(f, k) for f in few for k in (1, 3, 5)}
+    series |= {f"{a}_rank_lag1": W.lag(f"{a}_rank"), f"{a}_accel": W.acceleration(a)}
+    series |= {f"{a}_ma{n}": W.roll_mean(a, n, least) for n, least in ((3, 2), (8, 3), (21, 5), (60, 8))} | {f"{a}_vol{n}": W.roll_std(a, n, least) for n, least in ((8, 3), (21, 5))}
+    series |= {f"__ma5_{f}": W.roll_mean(f, 5, 2) for f in few[1:]} | {"__ma10": W.roll_mean(f, 10, 3) for f in few[1:2]} | {"__vol10": W.roll_std(f, 10, 3) for f in few[1:2]}
+    rank, before = F.col(f"{a}_rank"), F.col(f"{a}_rank_lag1")
+    cross = {
+        f"{a}_rank_persist": rank * before,
+        f"{a}_rank_reversal": before - rank,
+        f"{a}_z8": deviation(a, f"{a}_ma8", f"{a}_vol8"),
+        f"{a}_z21": deviation(a, f"{a}_ma21", f"{a}_vol21"),
+        f"{a}_mom3vol": over(f"{a}_d3", f"{a}_vol8"),
+        f"{a}_mom5vol": over(f"{a}_d5", f"{a}_vol21"),
+        f"{a}_trend3_21": F.col(f"{a}_ma3") - F.col(f"{a}_ma21"),
+        f"{a}_trend8_60": F.col(f"{a}_ma8") - F.col(f"{a}_ma60"),
+        "dispersion": X.centred_rank("__spread"),
+    }
+    for f in few[1:2]:
+        cross |= {f"{f}_reversal5": F.col(f"__ma5_{f}") - F.col(f), f"{f}_z10": deviation(f, "__ma10", "__vol10"), "rank12": rank - F.col(f"{f}_rank"), "product12": rank * F.col(f"{f}_rank")}
+    for f in few[2:]:
+        cross |= {f"{f}_ma5rank": X.centred_rank(f"__ma5_{f}"), "rank13": rank - F.col(f"{f}_rank"), "core": _core(names)}
+    first = "rank_lag1 rank_persist rank_reversal ma3 ma8 ma21 ma60 ew4 ew12 ew32 vol8 vol21 z8 z21 mom3vol mom5vol trend3_21 trend8_60 accel demean"
+    own = dict(zip(few, (first, "reversal5 z10", "ma5rank")))
+    order = [n for f in names for n in (f, f"{f}_rank", *((f"{f}_{k}" for k in f"lag1 lag2 lag3 d1 d3 d5 {own[f]}".split()) if f in few else ()))]
+    return ordered(build(base, series, cross), panel, [*order, "rank12", "product12", "rank13", "core", "dispersion"])
+
+
+def regimes(panel: DataFrame) -> DataFrame:
+    """38 features: momentum over volatility, persistence and ranges of the first input, and its spread over assets."""
+    names = inputs(panel)
+    a, few = names[0], names[:3]
+    base = _ranked_inputs(panel, {f"__ew_{f}": (f, 8, 3) for f in {a, *few[2:]}})
+    series = {f"{f}_{n}": c for f in few for n, c in (("lag1", W.lag(f)), ("diff1", W.diff(f)))}
+    series |= {f"{a}_lag3": W.lag(a, 3), f"{a}_diff3": W.diff(a, 3), "__d5": W.diff(a, 5), "__before": W.lag(f"{a}_rank"), f"{a}_accel": W.acceleration(a)}
+    series |= {f"__ma{n}": W.roll_mean(a, n, least) for n, least in ((5, 2), (10, 3), (20, 4))} | {f"__vol{n}": W.roll_std(a, n, least) for n, least in ((10, 3), (20, 4))}
+    series |= {f"{a}_range10": W.range_position(a, 10, 3), f"{a}_range20": W.range_position(a, 20, 4)}
+    series |= {f"{f}_reversal5": W.roll_mean(f, 5, 2) - F.col(f) for f in few[1:2]} | {f"{f}_ewma_resid": F.col(f) - F.col(f"__ew_{f}") for f in few[2:]}
+    rank, before = F.col(f"{a}_rank"), F.col("__before")
+    cross = {
+        f"{a}_mom3vol10": over(f"{a}_diff3", "__vol10"),
+        f"{a}_mom5vol20": over("__d5", "__vol20"),
+        f"{a}_rank_persist": rank * before,
+        f"{a}_rank_turnover": F.abs(rank - before),
+        f"{a}_ewma_resid": F.col(a) - F.col(f"__ew_{a}"),
+        f"{a}_z10": deviation(a, "__ma10", "__vol10"),
+        f"{a}_trend5_20": F.col("__ma5") - F.col("__ma20"),
+        f"{a}_vol_ratio": over("__vol10", "__vol20"),
+        "regime": X.dispersion(a),
+    }
+    for f in few[1:2]:
+        cross["rank12"] = rank - F.col(f"{f}_rank")
+    for f in few[2:]:
+        cross |= {"rank13": rank - F.col(f"{f}_rank"), "core": _core(names)}
+    first = "lag3 diff3 mom3vol10 mom5vol20 rank_persist rank_turnover ewma_resid z10 range10 range20 trend5_20 vol_ratio demean accel"
+    own = dict(zip(few, (first, "reversal5", "ewma_resid")))
+    order = [n for f in names for n in (f, f"{f}_rank", *((f"{f}_{k}" for k in f"lag1 diff1 {own[f]}".split()) if f in few else ()))]
+    return ordered(build(base, series, cross), panel, [*order, "rank12", "rank13", "core", "regime"])
+
+
+def moments(panel: DataFrame) -> DataFrame:
+    """52 features: ranks of changes, momentum and reversal of every input, their pairs, and how far inputs disagree.
+
+    Without a second to sixth input its part in pairs and proxies is 0.
+    """
+    names = inputs(panel)
+    base = W.with_ewma(panel, {f"__{k}_{f}": (f, span, least) for f in names for k, span, least in (("fast", 4, 2), ("slow", 16, 4))})
+    series = {f"__d1_{f}": W.diff(f) for f in names}
+    base = base.select("*", *(c.alias(n) for n, c in series.items()))
+    base = base.select("*", *(W.roll_std(f"__d1_{f}", 12, 3).alias(f"__v_{f}") for f in names))
+    parts = {"rank": F.col, "d1": lambda f: F.col(f"__d1_{f}"), "rev": lambda f: F.col(f) - F.col(f"__fast_{f}"), "mom": lambda f: F.col(f"__fast_{f}") - F.col(f"__slow_{f}"), "vd1": lambda f: over(f"__d1_{f}", f"__v_{f}")}
+    base = base.select("*", *(c(f).alias(f"__x_{k}_{f}") for f in names for k, c in parts.items()))
+    base = base.select("*", *(X.centred_rank(f"__x_{k}_{f}").alias(f"{f}_{k}") for f in names for k in parts), *(X.median_demean(f).alias(f"{f}_demean") for f in names))
+    at = lambda i, k: F.col(f"{names[i]}_{k}") if i < len(names) else F.lit(0.0)  # noqa: E731  an absent feature is 0
+    mixed = {"proxy_rank1": at(0, "rank"), "proxy_rank2": at(1, "rank"), "proxy_rank3": at(2, "rank"), "proxy_mom": at(0, "mom"), "proxy_rev": at(0, "rev")}
+    for i in (0, 2, 4):
+        pair = f"{i + 1}{i + 2}"
+        mixed |= {f"spread{pair}": at(i, "rank") - at(i + 1, "rank"), f"product{pair}": at(i, "rank") * at(i + 1, "rank"), f"mom{pair}": at(i, "mom") - at(i + 1, "mom")}
+    mixed |= {f"__{k}disp": X.present_spread([F.col(f"{f}_{k}") for f in names]) for k in ("rev", "mom")}
+    base = base.select("*", *(c.alias(n) for n, c in mixed.items()))
+    base = base.select("*", X.centred_rank("__revdisp").alias("revdisp"), X.centred_rank("__momdisp").alias("momdisp"))
+    order = [f"{f}_{k}" for f in names for k in ("rank", "d1", "rev", "mom", "vd1", "demean")]
+    return ordered(base, panel, [*order, *(n for n in mixed if not n.startswith("__")), "revdisp", "momdisp"])
+
+
+def broad(panel: DataFrame) -> DataFrame:
+    """75 features: histories of all inputs, longer ones of the first three, and the first one's state over all assets."""
+    names = inputs(panel)
+    a, few = names[0], names[:3]
+    base = W.with_ewma(panel, {f"{a}_ewma5": (a, 5, 2)}).select("*", *(X.centred_rank(f).alias(f"{f}_rank") for f in names), *(X.median_demean(f).alias(f"{f}_demean") for f in names), X.median(a).alias("__median"))
+    series = {f"{f}_ma{n}": W.roll_mean(f, n, least) for f in names for n, least in ((5, 2), (20, 3))} | {f"{f}_sd20": F.coalesce(W.roll_std(f, 20, 3), F.lit(0.0)) for f in names}
+    series |= {f"{'' if f == a else '__'}{f}_ma60": W.roll_mean(f, 60, 5) for f in few} | {f"{f}_diff{k}": W.diff(f, k) for f in names for k in ((1, 2, 5) if f in few else (1,))}
+    series |= {f"{f}_rankchg": W.diff(f"{f}_rank") for f in few}
+    cross = {f"{f}_product": F.col(f) * F.col(f"{f}_rank") for f in names}
+    cross |= {f"{a}_ma{n}_rank": X.centred_rank(f"{a}_ma{n}") for n in (5, 20, 60)}
+    for f in few:
+        cross |= {f"{f}_roll_z": deviation(f, f"{f}_ma5", f"{f}_sd20"), f"{f}_voladj": over(f"{f}_diff1", f"{f}_sd20"), f"{f}_momspread": F.col(f"{f}_ma5") - F.col(f"{'' if f == a else '__'}{f}_ma60")}
+    cross |= {"mean": X.mean(a), "std": X.dispersion(a), "above": X.above_median(a)}
+    if len(names) >= 2:
+        cross["rank12"] = F.col(f"{a}_rank") - F.col(f"{names[1]}_rank")
+    order = []
+    for f in names:
+        order += [f, *(f"{f}_{k}" for k in "rank demean product ma5 ma20 sd20".split())]
+        order += [f"{f}_{k}" for k in "ma60 ewma5 ma5_rank ma20_rank ma60_rank".split() if f == a]
+        order += [f"{f}_{k}" for k in "diff1 diff2 diff5 roll_z voladj momspread rankchg".split()] if f in few else [f"{f}_diff1"]
+    return ordered(build(base, series, cross).drop("__median"), panel, [*order, "mean", "std", "above", "rank12"])
+
+
 SETS = {
     "compact": compact,
     "classic": classic,
@@ -241,6 +412,11 @@ SETS = {
     "weighed_ranks": weighed_ranks,
     "agreement": agreement,
     "primary": primary,
+    "paths": paths,
+    "trails": trails,
+    "regimes": regimes,
+    "moments": moments,
+    "broad": broad,
 }
 
 

@@ -59,17 +59,27 @@ def neutral_finish(frame: DataFrame, value: str = "raw", into: str = "pred") ->
     return frame.withColumn(into, 0.72 * score + 0.28 * X.centred_rank(into))
 
 
-def mad_first_finish(frame: DataFrame, value: str = "raw", into: str = "pred", width: float = 3.5) -> DataFrame:
-    """Capped at ``width`` robust deviations (or plain ones), de-meaned and only then clipped."""
+def mad_capped(frame: DataFrame, value: str, into: str, width: float) -> DataFrame:
+    """Missing to 0, capped at ``width`` robust deviations (or plain ones) around the timestamp's median."""
     frame = frame.withColumn(into, F.coalesce(clean(value), F.lit(0.0)))
     frame = frame.withColumn("__median", X.median(into)).withColumn("__std", X.dispersion(into))
     frame = frame.withColumn("__mad", 1.4826 * X.median(F.abs(F.col(into) - F.col("__median"))))
     cap = width * F.when(F.col("__mad") > 1e-7, F.col("__mad")).when(F.col("__std") > 1e-7, F.col("__std")).otherwise(1.0)
-    frame = centred(frame.withColumn(into, X.clip(into, F.col("__median") - cap, F.col("__median") + cap)), into)
-    return frame.withColumn(into, X.clip(into, -F.col("limit"), F.col("limit"))).drop("__median", "__mad", "__std")
+    return frame.withColumn(into, X.clip(into, F.col("__median") - cap, F.col("__median") + cap)).drop("__median", "__mad", "__std")
+
+
+def mad_first_finish(frame: DataFrame, value: str = "raw", into: str = "pred", width: float = 3.5) -> DataFrame:
+    """Capped at ``width`` robust deviations, de-meaned and only then clipped."""
+    frame = centred(mad_capped(frame, value, into, width), into)
+    return frame.withColumn(into, X.clip(into, -F.col("limit"), F.col("limit")))
+
+
+def mad_clip_finish(frame: DataFrame, value: str = "raw", into: str = "pred", width: float = 3.5) -> DataFrame:
+    """Capped at ``width`` robust deviations, clipped to the limit and then de-meaned."""
+    return centred(bounded(mad_capped(frame, value, into, width), into, into), into)
 
 
-FINISHES = {"mad_first": mad_first_finish, "neutral": neutral_finish, "clip": clip_finish, "double": double_finish, "mad_cap": mad_cap_finish, "conviction": conviction_finish}
+FINISHES = {"mad_first": mad_first_finish, "mad_clip": mad_clip_finish, "neutral": neutral_finish, "clip": clip_finish, "double": double_finish, "mad_cap": mad_cap_finish, "conviction": conviction_finish}
 
 
 def place(by: Column | str) -> Column:
@@ -104,11 +114,11 @@ def finish(frame: DataFrame, how: str, transport: float = 0.0) -> DataFrame:
 
 
 def fallback(panel: DataFrame, second: float = 0.0, limit: float = 10.0) -> DataFrame:
-    """Untrained models: the rank of the first feature, with some of that of its short mean."""
+    """Untrained models: the rank of the first feature, with a share ``second`` of that of its short mean. Without both it is 0."""
     from tessera.functions import windows as W
 
     frame = panel.withColumn("__ma5", W.roll_mean("f1", 5, 2))
-    raw = F.coalesce(X.centred_rank("f1"), F.lit(0.0))
+    raw = X.centred_rank("f1")
     if second:
-        raw = raw + second * F.coalesce(X.centred_rank("__ma5"), F.lit(0.0))
-    return clip_finish(frame.withColumn("raw", raw).withColumn("limit", F.lit(limit)).drop("__ma5"))
+        raw = (1 - second) * raw + second * X.centred_rank("__ma5")
+    return clip_finish(frame.withColumn("raw", F.coalesce(raw, F.lit(0.0))).withColumn("limit", F.lit(limit)).drop("__ma5"))

@@ -20,7 +20,7 @@ def register(name: str, runner: engine.Model | Runner) -> None:
 
 def _untrained(panel: DataFrame) -> DataFrame:
     """A model that never trains: validation rows get the fallback of the whole history."""
-    parts = finish.fallback(walkforward.split(panel), 1 / 3)
+    parts = finish.fallback(walkforward.split(panel), 0.25)
     return walkforward.shape_safe(parts.where("not train"))
 
 
@@ -43,7 +43,7 @@ register("v05", lambda panel: search.held_out(panel, _v05(16, 85_000), _v05(8, 4
 register("v10", lambda panel: signals.gated(walkforward.walk_forward(panel, MODELS["v10"]), [h.weight for h in MODELS["v10"].heads]))
 register("v16", lambda panel: search.searched(panel, *search.rank_shares(MODELS["v02"])))
 register("v29", stacks.neutral_model)
-register("v40", stacks.selected)
+register("v04", lambda panel: signals.with_regime(panel, MODELS["v04"]))
 register("v42", stacks.residual_stack)
 register("v32", lambda panel: signals.adaptive_share(walkforward.walk_forward(panel, MODELS["v32"])))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cross as X
 from tessera.functions import windows as W
-from tessera.plans import finish
+from tessera.plans import engine, finish, walkforward
 from tessera.plans.features import inputs
 
 
@@ -47,16 +47,30 @@ def gated(frame: DataFrame, weights: list[float]) -> DataFrame:
     return finish.clip_finish(frame.withColumn("raw", mixed), "raw", "pred").drop("__linear", "__rank", "gate")
 
 
-def adaptive_share(frame: DataFrame, rank_share: float = 0.30) -> DataFrame:
-    """Blends (ridge, tree, rank ridge, rank tree) heads by how far they agree per timestamp."""
+def adaptive_share(frame: DataFrame, how: str = "mad_clip") -> DataFrame:
+    """Blends (ridge, tree, rank ridge, rank tree) heads by how far they agree per timestamp, around the period's own share of ranks."""
     ridge, tree, rank_ridge, rank_tree = (F.col("heads")[i] for i in range(4))
     frame = frame.select("*", ridge.alias("__a"), tree.alias("__b"), rank_ridge.alias("__c"), rank_tree.alias("__d"))
     trust = lambda a, b: X.clip(0.5 * (1 + X.window_correlation(a, b)), 0.15, 1.0)
     frame = frame.withColumn("__raw", F.col("__a") + 0.28 * trust("__a", "__b") * (F.col("__b") - F.col("__a")))
     frame = frame.withColumn("__rank", F.col("__c") + 0.72 * trust("__c", "__d") * (F.col("__d") - F.col("__c")))
     frame = frame.withColumn("__agree", X.clip(0.5 * (1 + X.window_correlation("__raw", "__rank")), 0.0, 1.0))
-    share = X.clip(rank_share + 0.08 * (F.col("__agree") - 0.5), 0.18, 0.42)
+    own = F.coalesce(F.nanvl("share", F.lit(engine.SHARE)), F.lit(engine.SHARE))
+    share = X.clip(own + 0.08 * (F.col("__agree") - 0.5), 0.18, 0.42)
     mixed = (1 - share) * F.col("__raw") + share * F.col("__rank")
     value = F.when(F.col("__agree") < 0.30, 0.82 * F.col("__a") + 0.18 * mixed).otherwise(mixed)
-    frame = frame.withColumn("__value", value)
-    return finish.clip_finish(frame, "__value", "pred").drop("__a", "__b", "__c", "__d", "__raw", "__rank", "__agree", "__value")
+    frame = finish.FINISHES[how](frame.withColumn("__value", value), "__value", "pred")
+    return frame.drop("__a", "__b", "__c", "__d", "__raw", "__rank", "__agree", "__value")
+
+
+def with_regime(panel: DataFrame, model: engine.Model, weight: float = 0.15) -> DataFrame:
+    """Walk-forward predictions of ``model`` plus the regime signal, which isn't fitted: de-meaned, over its own deviation
+    at the timestamp, and scaled by the deviation of the period's training targets."""
+    parts = walkforward.split(panel)
+    out = engine.predict(model, parts)
+    signal = regime_signal(parts).where("not train").select("period", "t", "asset", "signal")
+    out = out.join(signal, ["period", "t", "asset"]).withColumn("signal", X.demean("signal"))
+    std = F.nullif(X.dispersion("signal"), F.lit(0.0))
+    out = out.withColumn("regime", F.coalesce(F.col("signal") / std, F.lit(0.0)) * F.col("spread"))
+    mixed = X.demean(F.coalesce("raw", F.lit(0.0))) + weight * F.col("regime")
+    return walkforward.shape_safe(finish.finish(out.withColumn("raw", mixed).drop("signal", "regime"), model.finish))

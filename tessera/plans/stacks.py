@@ -1,4 +1,4 @@
-"""Models that are put together from several fits: residual stacks, selected features, neutral targets."""
+"""Models that are put together from several fits: residual stacks and neutral targets."""
 
 from __future__ import annotations
 
@@ -93,35 +93,6 @@ def residual_stack(panel: DataFrame, model: engine.Model | None = None, *, alpha
     return walkforward.shape_safe(finish.finish(out, model.finish))
 
 
-# -- features by stable correlation -----------------------------------------------------
-
-
-def stable_scores(frame: DataFrame, names: list[str], decay: float = 0.45) -> DataFrame:
-    """(period, feature, score): the weighted mean rank correlation per timestamp, less where early and late disagree."""
-    long = frame.where("train and y is not null").unpivot(["period", "t", "asset", "y"], names, "feature", "v")
-    keys = ("period", "t", "feature")
-    ranked = long.select(*keys, X.percent_rank("v", keys).alias("a"), X.percent_rank("y", keys).alias("b"))
-    rows = recency(ranked.groupBy(*keys).agg(*X.correlation_sums("a", "b")).select(*keys, X.correlation().alias("c")), decay)
-    late = F.col("t") >= 0.65 * (F.max("t").over(Window.partitionBy("period")) + 1)
-    rows = rows.withColumn("late", late)
-    sums = rows.groupBy("period", "feature").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("mean"), F.avg(F.when(F.col("late"), F.col("c"))).alias("recent"))
-    same = F.when(F.signum("mean") == F.signum("recent"), 1.0).otherwise(0.35)
-    return sums.select("period", "feature", (F.abs("mean") * F.coalesce(same, F.lit(0.35))).alias("score"))
-
-
-def selected(panel: DataFrame, model: engine.Model | None = None, *, most: int = 24, core: tuple[str, ...] = ("f1", "f2", "f3", "f1_rank", "f2_rank", "f3_rank")) -> DataFrame:
-    """Walk-forward predictions on each period's ``most`` best features; ``core`` always stays."""
-    model = model or MODELS["v33"]
-    parts = walkforward.split(panel)
-    frame = sets.SETS[model.features](parts)
-    names = sets.feature_names(frame)
-    place = F.row_number().over(Window.partitionBy("period").orderBy(F.col("feature").isin(*core).desc(), F.desc("score"), "feature"))
-    kept = stable_scores(frame, names).withColumn("place", place).where(F.col("place") <= most).groupBy("period").agg(F.collect_set("feature").alias("kept"))
-    masked = frame.join(kept, "period")
-    masked = masked.select(*(F.when(F.array_contains("kept", c), F.col(c)).alias(c) if c in names else F.col(c) for c in frame.columns))
-    return walkforward.shape_safe(finish.finish(engine.predict_features(model, masked, names, engine.largest(panel)), model.finish))
-
-
 # -- neutral to simple signals ------------------------------------------------------------
 
 

@@ -2,13 +2,13 @@
 
 Two sets of a and b shingles have a Jaccard similarity of ``least`` percent or more only if a shingle
 list index finds the one at least T = ceil(least * a / 100) times among the a inverted lists of the
-other. DivideSkip sets the T - 1 longest of these lists aside, merges the a - T + 1 short ones, and
-probes the long ones by binary search for what the merge found. This runs in two places.
+other. DivideSkip sets the L longest of these lists aside, merges the a - L short ones, probes the
+long ones by binary search for what the merge found T - L times, and retains what reaches T. This runs in two places.
 
-On the cluster, each document posts its short lists only: (shingle, id, size) for the a - T + 1
-shingles that are rarest in one order of all. Documents that are alike share one. The documents of a
-list are named by the smallest id among them, so documents that share many lists are sent to one block
-once, not once for each list. Inside a block a task builds the inverted index of all its shingles, and
+On the cluster L is T - l with l = a - T + 1: each document posts (shingle, id, size) for its a - T + l shingles that are rarest in one order
+of all. Documents that are alike share the l first of what they share (or as many as the smaller one's l), so a document in fewer lists
+with others has no partner and goes no further. The documents of a list are named by the smallest
+id among them, so documents that share many lists are sent to one block once, not once for each list. Inside a block L is T - 1: a task builds the inverted index of all its shingles, and
 each document searches those before it: short lists are merged (all at once, by sorting what a heap would
 give one by one), long ones are probed, and documents that reach the overlap which both sizes ask for
 are linked. Documents that are joined already aren't probed, so a block gives a spanning forest.
@@ -56,6 +56,12 @@ def needed(n: int, least: int) -> int:
     return -(-least * n // 100)
 
 
+def lists_needed(n: int | np.ndarray, least: int) -> int | np.ndarray:
+    """In how many short lists a set of n shingles meets one of at most its size that is ``least`` percent alike."""
+    wanted = -(-least * n // 100)
+    return np.minimum(n - wanted + 1, wanted)
+
+
 def overlap_needed(a: np.ndarray | int, b: np.ndarray | int, least: int) -> np.ndarray | int:
     """The fewest shared shingles of sets of a and b that are ``least`` percent alike."""
     return -(-least * (a + b) // (100 + least))
@@ -65,7 +71,7 @@ def _short_lists(words: int, least: int, frequent: np.ndarray, counts: np.ndarra
     """Rows (doc_id, row_key, id, n, short); short is null where the task has already given that of the id."""
 
     def of(own: np.ndarray) -> bytes:
-        size = len(own) - needed(len(own), least) + 1
+        size = len(own) - needed(len(own), least) + int(lists_needed(len(own), least))
         if len(frequent):
             place = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
             own = own[np.lexsort((own, np.where(frequent[place] == own, counts[place], 0)))]
@@ -103,20 +109,21 @@ def _postings(hot: np.ndarray):
 
 
 def _named(least: int):
-    """Distinct rows (rep, id, n) from postings (h, id, n) sorted by h and n: those that share a list, with the smallest id among them.
+    """Rows (rep, id, n, lists) from postings (h, id, n) sorted by h, n and id: those that share a list, with the smallest id
+    among them and in how many lists they do.
 
     Where the next size of a list is too large to be alike, a new group begins.
     """
 
     def cut(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]  # tasks may post the same text
         new = np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (least * rows[1:, 2] > 100 * rows[:-1, 2])]
         start = np.flatnonzero(new)
         size = np.diff(np.r_[start, len(rows)])
         rep = np.repeat(np.minimum.reduceat(rows[:, 1], start), size)
-        most = np.repeat(np.maximum.reduceat(rows[:, 1], start), size)
-        found = np.column_stack([rep, rows[:, 1], rows[:, 2]])[rep != most]  # not alone
-        found = np.unique(found, axis=0) if len(found) else found
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(3)], names=["rep", "id", "n"])
+        found = np.column_stack([rep, rows[:, 1], rows[:, 2]])[np.repeat(size, size) > 1]
+        found, lists = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(found[:, k])) for k in range(3)), pa.array(lists)], names=["rep", "id", "n", "lists"])
 
     def run(batches: Iterator[pa.RecordBatch], enough: int = 100_000) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -297,14 +304,20 @@ class NgramJoin:
         return docs.mapInArrow(_short_lists(self.words, self.least, h, k), "doc_id long, row_key long, id long, n long, short binary")
 
     def members(self) -> DataFrame:
-        """(rep, id, n): the documents of each block."""
+        """(rep, id, n): the documents of each block, of those that share enough lists with others."""
         postings = self.rows.where("short is not null").select("id", "n", "short").mapInArrow(_postings(self.hot), "h long, id long, n long, hot boolean")
-        named = postings.where("not hot").select("h", "id", "n").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_named(self.least), "rep long, id long, n long")
+        ddl = "rep long, id long, n long, lists long"
+        named = postings.where("not hot").select("h", "id", "n").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_named(self.least), ddl)
         if len(self.hot):  # at most ``frequent`` rows, which the driver holds
-            hot = postings.where("hot").select("h", "id", "n")
+            hot = postings.where("hot").select("h", "id", "n").distinct()
             least = F.broadcast(hot.groupBy("h").agg(F.min("id").alias("rep")))
-            named = named.unionByName(hot.join(least, "h").select("rep", "id", "n"))
-        return materialize(named.distinct(), "blocks")
+            named = named.unionByName(hot.join(least, "h").select("rep", "id", "n", F.lit(1).cast("long").alias("lists")))
+        named = materialize(named.groupBy("rep", "id", "n").agg(F.sum("lists").alias("lists")), "shared-lists")
+        smaller = F.ceil(F.lit(self.least) * F.col("n") / 100)  # the smallest partner, and what its size asks for
+        wanted = F.ceil(F.lit(self.least) * smaller / 100)
+        enough = named.groupBy("id", "n").agg(F.sum("lists").alias("lists")).where(F.col("lists") >= F.least(smaller - wanted + 1, wanted)).select("id")
+        enough = materialize(enough, "enough-lists")
+        return materialize(named.join(_few(enough, 16), "id", "left_semi").select("rep", "id", "n"), "blocks")
 
     def _sets(self, tasks: DataFrame) -> DataFrame:
         """(*TASK, side, n, id, shingles) for ``tasks`` (id, *TASK, side): made from the texts again, of one row for each id."""

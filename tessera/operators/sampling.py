@@ -61,11 +61,15 @@ def by_rows(panel: DataFrame, budget: int, recent: float, positions: bool = Fals
     return frame.select(*panel.columns, *(["position", "total"] if positions else []))
 
 
-def even_rows(panel: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows of a period, evenly placed in time-major order: a bound before statistics."""
+def even_rows(panel: DataFrame, most: int, positions: bool = False) -> DataFrame:
+    """At most ``most`` rows of a period, evenly placed in time-major order: a bound before statistics.
+
+    ``positions`` adds position and total, of the row among all rows of the period.
+    """
     order = Window.partitionBy("period", "t").orderBy("asset_ord")
-    frame = panel.join(place_times(panel), ["period", "t"]).withColumn("__position", F.col("__before") + F.row_number().over(order) - 1)
-    return frame.where((F.col("__rows") <= most) | even(F.col("__position"), F.col("__rows"), F.lit(most))).select(*panel.columns)
+    frame = panel.join(place_times(panel), ["period", "t"]).withColumn("position", F.col("__before") + F.row_number().over(order) - 1)
+    frame = frame.where((F.col("__rows") <= most) | even(F.col("position"), F.col("__rows"), F.lit(most))).withColumn("total", F.col("__rows"))
+    return frame.select(*panel.columns, *(["position", "total"] if positions else []))
 
 
 def by_times(panel: DataFrame, budget: int, recent: float, positions: bool = False) -> DataFrame:

@@ -126,3 +126,14 @@ def runs(frame: DataFrame, flag: str, over: str = "t", keys: tuple[str, ...] = (
     held = frame.where(flag).select(*keys, over)
     island = F.col(over) - F.row_number().over(Window.partitionBy(*keys).orderBy(over))
     return held.withColumn("island", island).groupBy(*keys, "island").agg(F.min(over).alias("first"), F.max(over).alias("last"), F.count(F.lit(1)).alias("length")).drop("island")
+
+
+def head_correlations(frame: DataFrame, heads: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, a, b, corr) of all pairs of the ``heads`` entries of one array column, from sums in one aggregation.
+
+    Rows where an entry is missing don't count for its pairs; 0 where one doesn't vary.
+    """
+    pairs = [(i, j) for i in range(heads) for j in range(i + 1, heads)]
+    sums = frame.groupBy(*keys).agg(*(c for i, j in pairs for c in X.correlation_sums(F.get("heads", F.lit(i)), F.get("heads", F.lit(j)), f"_{i}_{j}")))
+    made = F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), X.correlation(f"_{i}_{j}").alias("corr")) for i, j in pairs))
+    return sums.select(*keys, F.explode(made).alias("p")).select(*keys, "p.a", "p.b", "p.corr")

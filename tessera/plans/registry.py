@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tessera.plans import engine, finish, search, signals, stacks, walkforward
+from tessera.plans import engine, finish, ridge_path, search, signals, stacks, walkforward
 from tessera.plans.models import MODELS
 
 Runner = Callable[[DataFrame], DataFrame]
@@ -25,10 +25,12 @@ def _untrained(panel: DataFrame) -> DataFrame:
 
 
 register("v06", _untrained)
-#: Weights of (ridge, huber ridge, trees, rank): from trees alone to even linear parts. Fixed values.
-PRESETS = {"trees": (0.0, 0.0, 1.0, 0.0), "mostly trees": (0.175, 0.075, 0.70, 0.05), "mixed": (0.385, 0.165, 0.40, 0.05), "even": (0.315, 0.135, 0.45, 0.10)}
-_V01 = engine.Model("v01", (engine.Head(0.0), engine.Head(0.0, huber=1.0), engine.Head(1.0, tree=engine.Tree(40, 0.05, 200.0)), engine.Head(0.0, "rank", 8.0)), rows=250_000)
-register("v01", lambda panel: search.searched(panel, _V01, PRESETS))
+#: Weights of (ridge, huber ridge, trees, rank): from trees alone to even linear parts. The linear share is
+#: 0.7 and 0.3 of the two ridges, multiplied out as they are separate heads; ranks run from -1 to 1, so theirs is halved. Fixed values.
+PRESETS = {"trees": (0.0, 0.0, 1.0, 0.0), "mostly trees": (0.175, 0.075, 0.70, 0.025), "mixed": (0.385, 0.165, 0.40, 0.025), "even": (0.315, 0.135, 0.45, 0.05)}
+#: Penalties are multiples of the one that a period chooses.
+_V01 = engine.Model("v01", (engine.Head(0.0, alpha=1.0), engine.Head(0.0, alpha=1.0, delta=1.0), engine.Head(1.0, tree=engine.Tree(40, 0.05, 200.0)), engine.Head(0.0, "unscaled_rank", 1.0)), "broad", rows=250_000, extra={"plain_start": True})
+register("v01", lambda panel: ridge_path.searched(panel, _V01, PRESETS))
 #: Weights of (ridge, slow ridge, rank, trees on residuals) and the share of ranks. Fixed values.
 BLENDS = {"plain": (0.7, 0.2, 0.1, 0.1, 0.0), "some ranks": (0.62, 0.23, 0.15, 0.15, 0.05), "more ranks": (0.58, 0.22, 0.2, 0.15, 0.08), "more trees": (0.68, 0.17, 0.15, 0.22, 0.05)}
 

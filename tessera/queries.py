@@ -15,7 +15,7 @@ from tessera.functions import cross as X
 from tessera.functions import windows as W
 from tessera.operators import gauge, joins, linear, neutral, preprocess, robust, sampling, selection
 from tessera.plans import features as sets
-from tessera.plans import finish, metrics, signals
+from tessera.plans import choices, finish, metrics, models, ridge_path, signals
 from tessera.plans.walkforward import split, walk_forward
 from tessera.sources import panels, synthetic
 
@@ -444,3 +444,29 @@ REGIME = (
 )
 register("x_regime_signal", regime_signal, f"{REGIME} SELECT period, t, asset, round(coalesce(momentum * gate + reversion * (1 - gate), 0), 6) + 0 AS signal FROM mr JOIN gt USING (period, t)")
 register("x_adaptive_share", lambda s, d: signals.adaptive_share(walk_forward(trade(s, d).withColumn("y", F.col("y") / 1e6), "v32")).select(*KEYS, six("pred").alias("pred")))
+
+
+# -- choices of a period before its fit ---------------------------------------------
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training rows of the trade panel with compact features, and their targets in millions."""
+    frame = sets.compact(split(trade(spark, sf_dir).withColumn("y", F.col("y") / 1e6)))
+    return frame.where("train and y is not null").select("period", "t", "asset_ord", "y", *sets.feature_names(frame))
+
+
+def kept_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = known(spark, sf_dir)
+    kept = choices.kept(rows, [c for c in rows.columns if c not in ("period", "t", "asset_ord", "y")], models.PICK40)
+    return kept.select("period", F.posexplode("kept").alias("place", "feature"))
+
+
+register("l_select_stable", kept_features)
+register("l_select_correlation", lambda s, d: choices.kept(known(s, d).select("period", "t", "asset_ord", "y", "f1", "f2", "f3", "f4"), ["f1", "f2", "f3", "f4"], choices.Pick("correlation", 3)).select("period", F.posexplode("kept").alias("place", "feature")))
+register("m_ridge_path", lambda s, d: ridge_path.search(split(trade(s, d).withColumn("y", F.col("y") / 1e6)), ["f1", "f2", "f3"]).select("period", "alpha", "decay", six("score").alias("score")))
+#: Evenly placed rows of a period, at most 200.
+register("l_even_rows", lambda s, d: sampling.even_rows(trade(s, d).where("y is not null"), 200).select(*KEYS), ", r AS (SELECT period, t, asset, row_number() OVER (PARTITION BY period ORDER BY t, asset_ord) - 1 AS pos, count(*) OVER (PARTITION BY period) AS n FROM p WHERE y IS NOT NULL) SELECT period, t, asset FROM r WHERE n <= 200 OR pos IN (SELECT i * (n - 1) // 199 FROM range(200) g(i))")
+register("numeric_projection", lambda s, d: panels.numeric(s.read.parquet(f"{d}/orders.parquet")).select("o_orderkey", "o_custkey", six("o_totalprice").alias("o_totalprice")), ", o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders) SELECT o_orderkey, o_custkey, round(o_totalprice, 6) + 0 AS o_totalprice FROM o")
+register("a_head_correlations", lambda s, d: metrics.head_correlations(trade(s, d).select("period", F.array(*(X.centred_rank(f) for f in ("f1", "f2", "f3"))).alias("heads")), 3, ("period",)).select("period", "a", "b", six("corr").alias("corr")), ", h AS (SELECT period, " + ", ".join(f"{centred_sql(f'f{i}')} AS r{i}" for i in (1, 2, 3)) + " FROM p) " + " UNION ALL ".join(f"SELECT period, {i} AS a, {j} AS b, round({corr_sql(f'r{i + 1}', f'r{j + 1}')}, 6) + 0 AS corr FROM h GROUP BY period" for i, j in ((0, 1), (0, 2), (1, 2))))
+#: A cap at 3.5 robust deviations before the clip at 1, then the mean taken off.
+register("x_mad_clip", lambda s, d: finish.mad_clip_finish(trade(s, d).select(*KEYS, "asset_ord", (F.col("y") / 1e6).alias("raw"), F.lit(1.0).alias("limit"))).select(*KEYS, six("pred").alias("pred")), f", r AS (SELECT period, t, asset, coalesce(y / 1e6, 0) AS v FROM p), m AS (SELECT *, median(v) OVER {WT} AS md, stddev_pop(v) OVER {WT} AS sd FROM r), k AS (SELECT *, 1.4826::DOUBLE * median(abs(v - md)) OVER {WT} AS mad FROM m), c AS (SELECT *, 3.5::DOUBLE * CASE WHEN mad > 1e-7 THEN mad WHEN sd > 1e-7 THEN sd ELSE 1 END AS w FROM k), b AS (SELECT period, t, asset, least(greatest(least(greatest(v, md - w), md + w), -1), 1) AS v FROM c) SELECT period, t, asset, round(v - avg(v) OVER {WT}, 6) + 0 AS pred FROM b")

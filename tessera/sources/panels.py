@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tessera.functions.windows import clean
 
@@ -127,3 +128,8 @@ def to_wide(panel: DataFrame, value: str, assets: list[str]) -> DataFrame:
 
 def melt(panel: DataFrame, columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
     return panel.unpivot([c for c in panel.columns if c not in columns], columns, name, value)
+
+
+def numeric(frame: DataFrame) -> DataFrame:
+    """The columns of ``frame`` that hold numbers, by its schema; booleans and dates aren't numbers."""
+    return frame.select(*(F.col(f"`{f.name}`") for f in frame.schema if isinstance(f.dataType, NumericType)))

@@ -230,7 +230,7 @@ def plain_rank(x):
     return (x.rank(axis=1) - (x.shape[1] + 1) / 2) / (0.5 * (x.shape[1] - 1))
 
 
-@pytest.mark.parametrize(("name", "count"), [("classic", 24), ("changes", 33), ("momenta", 42), ("four_ranks", 37), ("weighed_ranks", 38), ("agreement", 30), ("primary", 31)])
+@pytest.mark.parametrize(("name", "count"), [("classic", 24), ("changes", 33), ("momenta", 42), ("four_ranks", 37), ("weighed_ranks", 38), ("agreement", 30), ("primary", 31), ("paths", 57), ("trails", 58), ("regimes", 38), ("moments", 52), ("broad", 75)])
 def test_feature_sets_are_those_of_pandas(spark, small, name, count):
     from tessera.plans import features
 
@@ -263,6 +263,45 @@ def test_feature_sets_are_those_of_pandas(spark, small, name, count):
         "f4_vol_ratio": std("f4", 5, 2) / (std("f4", 20, 4) + 1e-6),
         "relative": r["f4"] + r["f5"] - 2 * r["f6"],
     }
+    ewm = lambda k, n, m: f[k].ewm(span=n, adjust=False, min_periods=m).mean()
+    z = lambda k, n, m: (f[k] - mean(k, n, m)) / (std(k, n, m) + 1e-6)
+    place = lambda k, n, m: (f[k] - f[k].rolling(n, min_periods=m).min()) / (f[k].rolling(n, min_periods=m).max() - f[k].rolling(n, min_periods=m).min() + 1e-6) - 0.5
+    over_assets = lambda column: pd.DataFrame({a: column for a in f["f1"].columns})
+    spread = lambda parts: plain_rank(pd.DataFrame(np.nanstd(np.stack(parts), axis=0), f["f1"].index, f["f1"].columns))
+    moves, turns = {k: plain_rank(ewm(k, 4, 2) - ewm(k, 16, 4)) for k in f}, {k: plain_rank(f[k] - ewm(k, 4, 2)) for k in f}
+    core = 0.55 * r["f1"] - 0.30 * r["f2"] + 0.15 * r["f3"]
+    more = {
+        "paths": {
+            "f1_ew21": ewm("f1", 21, 5), "f1_ma60": mean("f1", 60, 8), "f1_z8": z("f1", 8, 3), "f1_z21": z("f1", 21, 5), "f1_mom3vol": f["f1"].diff(3) / (std("f1", 8, 3) + 1e-6),
+            "f1_mom5vol": f["f1"].diff(5) / (std("f1", 21, 5) + 1e-6), "f1_ewspread": ewm("f1", 3, 2) - ewm("f1", 21, 5), "f1_rank_persist": r["f1"] + r["f1"].shift(1),
+            "f1_rank_reversal": r["f1"].shift(1) - r["f1"], "f1_rank_lag3": r["f1"].shift(3), "f2_rank_d1": r["f2"].diff(), "f2_z10": z("f2", 10, 3), "f2_reversal": mean("f2", 5, 2) - f["f2"],
+            "f3_rank_ma5": plain_rank(mean("f3", 5, 2)), "rank12_sum": r["f1"] + r["f2"], "rank13_product": r["f1"] * r["f3"], "core": core, "f1_trend3_21": mean("f1", 3, 2) - mean("f1", 21, 5),
+            "f1_accel": f["f1"].diff() - f["f1"].diff().shift(1), "f1_demean": f["f1"].sub(f["f1"].median(axis=1), axis=0),
+        },
+        "trails": {
+            "f3_lag2": f["f3"].shift(2), "f2_d5": f["f2"].diff(5), "f1_rank_persist": r["f1"] * r["f1"].shift(1), "f1_ew32": ewm("f1", 32, 5), "f1_vol21": std("f1", 21, 5),
+            "f1_trend8_60": mean("f1", 8, 3) - mean("f1", 60, 8), "f1_mom5vol": f["f1"].diff(5) / (std("f1", 21, 5) + 1e-6), "f2_reversal5": mean("f2", 5, 2) - f["f2"],
+            "f3_ma5rank": plain_rank(mean("f3", 5, 2)), "product12": r["f1"] * r["f2"], "core": core, "dispersion": spread([r[k].to_numpy() for k in f]),
+        },
+        "regimes": {
+            "f1_mom3vol10": f["f1"].diff(3) / (std("f1", 10, 3) + 1e-6), "f1_mom5vol20": f["f1"].diff(5) / (std("f1", 20, 4) + 1e-6), "f1_rank_turnover": (r["f1"] - r["f1"].shift(1)).abs(),
+            "f1_ewma_resid": f["f1"] - ewm("f1", 8, 3), "f1_range20": place("f1", 20, 4), "f1_vol_ratio": std("f1", 10, 3) / (std("f1", 20, 4) + 1e-6), "f3_ewma_resid": f["f3"] - ewm("f3", 8, 3),
+            "f1_trend5_20": mean("f1", 5, 2) - mean("f1", 20, 4), "f2_reversal5": mean("f2", 5, 2) - f["f2"], "regime": over_assets(f["f1"].std(axis=1, ddof=0)), "rank13": r["f1"] - r["f3"],
+        },
+        "moments": {
+            "f6_d1": plain_rank(f["f6"].diff()), "f5_rev": turns["f5"], "f4_mom": moves["f4"], "f2_vd1": plain_rank(f["f2"].diff() / (f["f2"].diff().rolling(12, min_periods=3).std(ddof=0) + 1e-6)),
+            "f3_demean": f["f3"].sub(f["f3"].median(axis=1), axis=0), "proxy_rev": turns["f1"], "spread34": r["f3"] - r["f4"], "product56": r["f5"] * r["f6"], "mom12": moves["f1"] - moves["f2"],
+            "revdisp": spread([turns[k].to_numpy() for k in f]), "momdisp": spread([moves[k].to_numpy() for k in f]),
+        },
+        "broad": {
+            "f4_product": f["f4"] * r["f4"], "f6_diff1": f["f6"].diff(), "f3_diff5": f["f3"].diff(5), "f2_roll_z": (f["f2"] - mean("f2", 5, 2)) / (std("f2", 20, 3).fillna(0) + 1e-6),
+            "f3_momspread": mean("f3", 5, 2) - mean("f3", 60, 5), "f1_ma20_rank": plain_rank(mean("f1", 20, 3)), "f2_rankchg": r["f2"].diff(), "mean": over_assets(f["f1"].mean(axis=1)),
+            "std": over_assets(f["f1"].std(axis=1, ddof=0)), "above": over_assets(f["f1"].gt(f["f1"].median(axis=1), axis=0).mean(axis=1)), "rank12": r["f1"] - r["f2"],
+        },
+    }
+    if name in more:
+        want = more[name]
+        assert set(want) <= set(names)
     if name in ("four_ranks", "weighed_ranks"):
         want["rank_dispersion"] = pd.DataFrame(four.std(axis=0), r["f1"].index, r["f1"].columns)
     got = made.toPandas()

@@ -10,6 +10,8 @@ Trigram models are naive Bayes models of every declared language, however rare,
 on ``sample`` of its rows, those with the smallest hashes: the only bounded sample here, and a
 parameter. The confusion of declared and text languages and the counts per host, domain and
 suffix are grouped aggregates over all rows; a row's own vote is taken out of its host's prior.
+Web data declares hundreds of languages, so no table has a number for each of them in each row, host or declaration:
+counts are kept for what occurs, and texts are scored again for the posterior instead of keeping their scores.
 
 Defined cases
 - null, empty or letterless text: "und". Text too short for a trigram: the other evidence decides.
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MOST_BROADCAST, materialize, row_key, slices, text_bytes, without
+from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, materialize, row_key, slices, text_bytes, without
 
 UND = "und"
 #: Log-likelihood of any language for a text without letters.
@@ -66,9 +68,85 @@ def trigram_buckets(values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class TextModel:
+    """Log-probabilities of buckets per language, as what a bucket has in all of them, what a language has in all buckets,
+    and additions where a language's sample has the bucket at all: no number for what doesn't occur.
+
+    Bucket b has the languages ``language[start[b]:start[b + 1]]`` with additions ``more``.
+    """
+
     languages: list[str]
-    scores: np.ndarray  # (languages + und) x BUCKETS, log-probabilities, float32
     temper: float
+    base: np.ndarray
+    own: np.ndarray
+    start: np.ndarray
+    language: np.ndarray
+    more: np.ndarray
+
+    @staticmethod
+    def fit(languages: list[str], language: np.ndarray, bucket: np.ndarray, n: np.ndarray, temper: float) -> TextModel:
+        """From counts ``n`` of (language, bucket), smoothed towards the mean of all languages, so that a rare trigram says little."""
+        total = n.sum()
+        share = (np.bincount(bucket, weights=n, minlength=BUCKETS) + 0.5) / (total + 0.5 * BUCKETS)
+        order = np.lexsort((language, bucket))
+        language, bucket, n = language[order].astype(np.int32), bucket[order], n[order].astype(np.float64)
+        own = -np.log(np.bincount(language, weights=n, minlength=len(languages)) + SMOOTH)
+        start = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        return TextModel(languages, temper, np.log(SMOOTH * share), own, start, language, np.log1p(n / (SMOOTH * share[bucket])))
+
+    def additions(self, buckets: np.ndarray, first: int, last: int) -> np.ndarray:
+        """A row for each of ``buckets``, a column for each language from ``first`` to ``last``."""
+        size = self.start[buckets + 1] - self.start[buckets]
+        row = np.repeat(np.arange(len(buckets)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[buckets], size)
+        language = self.language[at]
+        inside = (language >= first) & (language < last)
+        out = np.zeros((len(buckets), last - first))
+        out[row[inside], language[inside] - first] = self.more[at[inside]]
+        return out
+
+
+#: Pseudo-counts that a language's model has from the mean of all.
+SMOOTH = 500.0
+#: Bytes of text, rows and languages that are dealt with at once.
+STEP, ROWS, WIDE = 1 << 18, 256, 512
+
+
+def likelihoods(model: TextModel, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The tempered log-likelihood of each row under each language, "und" last.
+
+    Trigrams become counts per (row, bucket) first, so that languages cost a product of small
+    matrices and not a pass over the text each. Memory is bounded by the constants above.
+    """
+    rows, n = len(offsets) - 1, len(model.languages)
+    out = np.zeros((rows, n + 1))
+    for at in range(0, len(values) - 2, STEP):
+        part = values[at : at + STEP + 2]
+        place = np.flatnonzero(letter_trigrams(part))
+        bucket = trigram_buckets(part)[place]
+        row = np.searchsorted(offsets, place + at, "right") - 1
+        inside = place + at + 2 < offsets[row + 1]  # no trigram across rows
+        row, bucket = row[inside], bucket[inside]
+        many = np.bincount(row, minlength=rows)
+        out[:, n] -= many * np.log(BUCKETS)
+        if not n or not len(row):
+            continue
+        out[:, :n] += np.bincount(row, weights=model.base[bucket], minlength=rows)[:, None] + many[:, None] * model.own[None, :]
+        seen = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+        column = np.zeros(BUCKETS, np.int64)
+        column[seen] = np.arange(len(seen))
+        for first in range(0, n, WIDE):
+            last = min(n, first + WIDE)
+            more = model.additions(seen, first, last)
+            for low in range(int(row[0]), int(row[-1]) + 1, ROWS):
+                a, b = np.searchsorted(row, (low, low + ROWS))
+                if a < b:
+                    here = min(ROWS, rows - low)
+                    counts = np.bincount((row[a:b] - low) * len(seen) + column[bucket[a:b]], minlength=here * len(seen))
+                    out[low : low + here, first:last] += counts.reshape(here, len(seen)) @ more
+    out *= model.temper
+    letters = np.concatenate([[0], np.cumsum(_LETTER[_FOLD[values]])])[offsets]
+    out[letters[1:] == letters[:-1], :n] = NOTHING
+    return out
 
 
 def declared_of(column: Column) -> Column:
@@ -117,53 +195,96 @@ def sampled(labelled: DataFrame, sample: int) -> DataFrame:
 def fit_text_model(rows: DataFrame, *, sample: int = 500, temper: float = 0.2) -> TextModel:
     """Fits on ``rows`` (key, declared, text): ``sample`` rows for each declared language.
 
-    What reaches the driver is the model: BUCKETS numbers per language, of which there are as many
-    as tags of two or three letters at most.
+    What reaches the driver is the model: a number for each bucket that a language's sample has.
     """
     labelled = rows.where("declared is not null")
     counted = materialize(sampled(labelled, sample).mapInArrow(_count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "language-trigrams")
     languages = sorted(r["declared"] for r in labelled.select("declared").distinct().collect())
-    if not languages:
-        return TextModel([], np.full((1, BUCKETS), -np.log(BUCKETS), np.float32), temper)
-    place = {x: i for i, x in enumerate(languages)}
     found = counted.toArrow()
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[[place[x] for x in found.column("declared").to_pylist()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    # smoothed towards the mean of all languages, so that a rare trigram says little
-    share = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
-    scores = np.log((counts + 500 * share) / (counts.sum(axis=1, keepdims=True) + 500))
-    scores = np.vstack([scores, np.full(BUCKETS, -np.log(BUCKETS))])
-    return TextModel(languages, scores.astype(np.float32), temper)
+    place = {x: i for i, x in enumerate(languages)}
+    language = np.array([place[x] for x in found.column("declared").to_pylist()], np.int64)
+    return TextModel.fit(languages, language, found.column("bucket").to_numpy().astype(np.int64), found.column("n").to_numpy(), temper)
+
 
+EVIDENCE = ["key", "row_key", "declared", "suffix", "domain", "host"]
+EVIDENCE_DDL = "key long, row_key long, declared string, suffix string, domain string, host string"
 
-def _score(model: TextModel, shared=None):
-    """Adds the row's tempered log-likelihoods, "und" last. ``shared`` may be a broadcast of the scores."""
-    temper, held = model.temper, None if shared is not None else model.scores
+
+def _votes(shared):
+    """Adds the row's likeliest language by its text alone. ``shared`` has the model as ``value``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value if shared is not None else held
-        n = len(table)
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            for part in slices(batch, place, 1 << 19):
-                values, offsets = text_bytes(part.column(place))
-                sums = np.zeros((part.num_rows, n))
-                if len(values) > 2:
-                    buckets, counts = trigram_buckets(values), letter_trigrams(values)
-                    starts = np.minimum(offsets[:-1], len(buckets))
-                    ends = np.clip(offsets[1:] - 2, starts, len(buckets))  # no trigram across rows
-                    for k in range(n):
-                        run_sum = np.concatenate([[0.0], np.cumsum(table[k][buckets] * counts, dtype=np.float64)])
-                        sums[:, k] = run_sum[ends] - run_sum[starts]
-                sums *= temper
-                letters = np.concatenate([[0], np.cumsum(_LETTER[_FOLD[values]])])[offsets]
-                letters = letters[1:] - letters[:-1]
-                sums[letters == 0, : n - 1] = NOTHING
-                flat = pa.array(sums.ravel())
-                scores = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.num_rows + 1) * n, n, dtype=np.int32)), flat)
-                columns = [c for i, c in enumerate(part.columns) if i != place]
-                names = [x for x in part.schema.names if x != "text"]
-                yield pa.RecordBatch.from_arrays([*columns, scores], names=[*names, "ll"])
+            for part in slices(batch, len(EVIDENCE), 1 << 19):
+                votes = likelihoods(shared.value, *text_bytes(part.column(len(EVIDENCE)))).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(EVIDENCE)], pa.array(votes, pa.int32())], names=[*EVIDENCE, "vote"])
+
+    return run
+
+
+class Priors:
+    """Priors of hosts and likelihoods of declarations from counts that there are; the rest follows from formulas."""
+
+    def __init__(self, totals: list[int], strength: float, und_prior: float) -> None:
+        self.totals = np.array(totals, float)
+        self.n, self.strength, self.und_prior = len(totals), strength, und_prior
+        self.overall = (self.totals + 1) / (self.totals.sum() + self.n)
+        self.held: dict[tuple, np.ndarray] = {}
+
+    def counts(self, pairs: list[tuple[int, int]]) -> np.ndarray:
+        out = np.zeros(self.n)
+        for vote, n in pairs:
+            out[vote] = n
+        return out
+
+    def remember(self, key: tuple, make) -> np.ndarray:
+        if key not in self.held:
+            if len(self.held) >= 4096:
+                self.held.clear()
+            self.held[key] = make()
+        return self.held[key]
+
+    def shrunk(self, pairs: list[tuple[int, int]], parent: np.ndarray) -> np.ndarray:
+        found = self.counts(pairs)
+        return (found + self.strength * parent) / (found.sum() + self.strength)
+
+    def host(self, votes: list[tuple[int, int]], mean: np.ndarray) -> tuple[np.ndarray, float]:
+        found = self.counts(votes)
+        return found + self.strength * mean, found.sum() - 1 + self.strength
+
+    def said(self, pairs: list[tuple[int, int]]) -> np.ndarray:
+        """log P(declared | language), Laplace-smoothed; "und" declares everything alike. As many kinds as languages and "other"."""
+        out = np.log((self.counts(pairs) + 1) / (self.totals + self.n))
+        out[-1] = -np.log(self.n)
+        return out
+
+
+def _decide(shared, priors: Priors, names: list[str]):
+    """The language and its probability from EVIDENCE, text and the maps of votes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, len(EVIDENCE), 1 << 19):
+                ll = likelihoods(shared.value, *text_bytes(part.column(len(EVIDENCE))))
+                votes = ll.argmax(axis=1)
+                declared, suffix, domain, host = (part.column(k).to_pylist() for k in range(2, 6))
+                said, of_host, of_domain, of_suffix = (part.column(c) for c in ("said", "host_votes", "domain_votes", "suffix_votes"))
+                for i in range(part.num_rows):
+                    s, d, h = suffix[i], domain[i], host[i]
+
+                    def mean(i=i, s=s) -> np.ndarray:
+                        up = priors.remember(("suffix", s), lambda: priors.shrunk(of_suffix[i].as_py(), priors.overall))
+                        return priors.shrunk(of_domain[i].as_py(), up)
+
+                    prior, size = priors.remember(("host", s, d, h), lambda i=i, s=s, d=d: priors.host(of_host[i].as_py(), priors.remember(("domain", s, d), mean)))
+                    prior = prior.copy()
+                    prior[votes[i]] -= 1  # a row's own vote doesn't count
+                    prior /= size
+                    prior[-1] = priors.und_prior  # hosts full of noise don't condemn their texts
+                    ll[i] += np.log(prior) + priors.remember(("said", declared[i]), lambda i=i: priors.said(said[i].as_py()))
+                top = ll.argmax(axis=1)
+                weight = np.exp(ll - ll[np.arange(len(ll)), top][:, None]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([names[k] for k in top], pa.string()), pa.array(1 / weight, pa.float64()), part.column(2)], names=["key", "row_key", "lang", "probability", "declared"])
 
     return run
 
@@ -171,59 +292,38 @@ def _score(model: TextModel, shared=None):
 def identify(rows: DataFrame, *, sample: int = 500, temper: float = 0.2, strength: float = 10.0, und_prior: float = 0.001) -> DataFrame:
     """(key, row_key, lang, probability, declared) for each of ``rows`` (key, row_key, text, declared, suffix, domain, host).
 
-    ``declared`` is a primary subtag or null; suffix, domain and host may be null. Languages are
-    positions in arrays, so the plan is the same for any number of them.
+    ``declared`` is a primary subtag or null; suffix, domain and host may be null. Texts are scored twice: for
+    votes, of which counts are made, and for the posterior. So nothing is written that grows with the number of languages.
     """
     model = fit_text_model(rows.select("key", "declared", "text"), sample=sample, temper=temper)
     names = [*model.languages, UND]
-    n, und = len(names), len(names) - 1
     rows = rows.select("key", "row_key", F.coalesce("declared", F.lit("other")).alias("declared"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("suffix", "domain", "host")), "text")
-    shared = rows.sparkSession.sparkContext.broadcast(model.scores)
-    scored = rows.mapInArrow(_score(model, shared), "key long, row_key long, declared string, suffix string, domain string, host string, ll array<double>")
-    scored = materialize(scored.withColumn("vote", F.array_position("ll", F.array_max("ll")).cast("int") - 1), "language-scores")
-
-    def votes(frame: DataFrame, *keys: str) -> DataFrame:
-        """Counts per vote by ``keys``, as a map of those that there are, and their sum."""
-        counted = frame.groupBy(*keys, "vote").agg(F.sum("n").alias("n")) if "n" in frame.columns else frame.groupBy(*keys, "vote").agg(F.count("*").alias("n"))
-        return counted
-
-    def gathered(counted: DataFrame, *keys: str) -> DataFrame:
-        return counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("votes"), F.sum("n").cast("double").alias("all"))
-
-    # Counts combine where rows lie. Hosts come first, then they are rolled up.
-    hosts = materialize(votes(scored, "suffix", "domain", "host"), "language-hosts")
-    domains = votes(hosts, "suffix", "domain")
-    suffixes = votes(domains, "suffix")
-    declared = materialize(votes(scored, "declared"), "language-declared")
-    totals = [0] * n
-    for r in declared.groupBy("vote").agg(F.sum("n").alias("n")).collect():  # a row per language
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    voted = materialize(rows.mapInArrow(_votes(shared), f"{EVIDENCE_DDL}, vote int").groupBy("declared", "suffix", "domain", "host", "vote").agg(F.count("*").alias("n")), "language-votes")
+
+    def gathered(*keys: str, into: str) -> DataFrame:
+        """Counts per vote by ``keys``, as entries of those that there are."""
+        counted = voted.groupBy(*keys, "vote").agg(F.sum("n").alias("n"))
+        return counted.groupBy(*keys).agg(F.collect_list(F.struct("vote", "n")).alias(into))
+
+    totals = [0] * len(names)
+    for r in voted.groupBy("vote").agg(F.sum("n").alias("n")).collect():  # a row per language
         totals[r["vote"]] = r["n"]
-    overall = F.lit([(t + 1) / (sum(totals) + n) for t in totals])
-
-    def held(i: Column, votes: str = "votes") -> Column:
-        return F.coalesce(F.try_element_at(votes, i), F.lit(0))
-
-    def shrunk(parent: Column | str) -> Column:
-        return F.transform(parent, lambda x, i: (held(i) + strength * x) / (F.col("all") + strength))
-
-    suffixes = gathered(suffixes, "suffix").select("suffix", shrunk(overall).alias("suffix_mean"))
-    domains = gathered(domains, "suffix", "domain").join(suffixes, "suffix").select("suffix", "domain", shrunk("suffix_mean").alias("domain_mean"))
-    hosts = gathered(hosts, "suffix", "domain", "host").join(domains, ["suffix", "domain"])
-    # P(declared | language), Laplace-smoothed; "und" declares everything alike
-    kinds = n  # the languages and "other"
-    said = F.transform(F.lit([float(t) for t in totals]), lambda t, i: F.when(i == und, F.lit(float(np.log(1 / kinds)))).otherwise(F.log((held(i) + 1) / (t + kinds))))
-    declared = gathered(declared, "declared").select("declared", said.alias("said"))
-
-    # a declaration of a third of all rows is a hot key: the table of declarations is small and goes to the rows
-    joined = scored.join(F.broadcast(declared), "declared").join(hosts, ["suffix", "domain", "host"])
-    others = lambda i: held(i) - (F.col("vote") == i).cast("int")
-    # the prior of "und" is fixed: hosts full of noise don't condemn their texts
-    prior = lambda i: F.when(i == und, F.lit(und_prior)).otherwise((others(i) + strength * F.get("domain_mean", i)) / (F.col("all") - 1 + strength))
-    terms = F.transform("ll", lambda x, i: x + F.log(prior(i)) + F.get("said", i))
-    joined = joined.select("key", "row_key", "declared", terms.alias("terms")).withColumn("top", F.array_max("terms"))
-    weight = F.aggregate("terms", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    lang = F.get(F.lit(names), F.array_position("terms", F.col("top")).cast("int") - 1)
-    return joined.select("key", "row_key", lang.alias("lang"), (1 / weight).alias("probability"), "declared")
+    levels = gathered("suffix", "domain", "host", into="host_votes").join(gathered("suffix", "domain", into="domain_votes"), ["suffix", "domain"]).join(gathered("suffix", into="suffix_votes"), ["suffix"])
+    levels = _few(materialize(levels, "language-hosts"), F.size("host_votes") + F.size("domain_votes") + F.size("suffix_votes"))
+    # a declaration of a third of all rows is a hot key; the table of declarations has a row for each that occurs
+    said = _few(materialize(gathered("declared", into="said"), "language-declared"), F.size("said"))
+    joined = rows.join(said, "declared").join(levels, ["suffix", "domain", "host"])
+    pairs = [F.transform(c, lambda x: F.array(x["vote"].cast("long"), x["n"])).alias(c) for c in ("said", "host_votes", "domain_votes", "suffix_votes")]
+    decided = joined.select(*EVIDENCE, "text", *pairs).mapInArrow(_decide(shared, Priors(totals, strength, und_prior), names), "key long, row_key long, lang string, probability double, declared string")
+    return decided
+
+
+def _few(frame: DataFrame, entries: Column) -> DataFrame:
+    """A written table, broadcast if a count of its rows and entries shows that it is small."""
+    size = frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(entries), F.lit(0)).alias("entries")).first()
+    small = size["n"] <= MOST_BROADCAST and 64 * size["n"] + 24 * size["entries"] <= MOST_BYTES
+    return F.broadcast(frame) if small else frame.hint("shuffle_hash")
 
 
 def identify_documents(docs: DataFrame, **options) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm import language_id as L
 
 WORDS = {"en": "the of and that with have this from they would there their what about which when make like time".split(), "de": "der die und nicht mit sich auch werden aus hat dass nach wird bei einer noch wie über einen".split(), "fr": "les des est dans pour une que pas sur plus par avec tout faire mais comme être cette été où".split()}
@@ -71,12 +72,35 @@ def test_pages_use_markup_and_suffix(spark):
     assert sum(found[i]["lang"] == c for i, _, c, *_ in corpus()) >= 295 and found[0]["declared"] == "en" and found[900]["declared"] == "other"
 
 
-def test_trigrams_do_not_cross_rows(spark):
-    model = L.TextModel(["a"], np.vstack([np.full(L.BUCKETS, -1.0), np.full(L.BUCKETS, -2.0)]).astype(np.float32), 1.0)
-    rows = spark.createDataFrame([(1, None, "", "", "", "abcd"), (2, None, "", "", "", "ab"), (3, None, "", "", "", "xyz9xyz")], "key long, declared string, suffix string, domain string, host string, text string")
-    out = {r["key"]: r["ll"] for r in rows.coalesce(1).mapInArrow(L._score(model), "key long, declared string, suffix string, domain string, host string, ll array<double>").collect()}
-    assert out[1] == [-2.0, -4.0] and out[2] == [0.0, 0.0] and out[3] == [-2.0, -4.0]
-    assert F is not None
+def test_trigrams_do_not_cross_rows(monkeypatch):
+    texts = ["abcd", "ab", "", "xyz9xyz", "the and of " * 50]
+    values = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    language, bucket = np.repeat(np.arange(3), 4), np.arange(12) * 1000 % L.BUCKETS
+    model = L.TextModel.fit(["a", "b", "c"], language, bucket, np.arange(1, 13), 1.0)
+    whole = L.likelihoods(model, values, offsets)
+    assert np.allclose(whole[:, 3] / -np.log(L.BUCKETS), [2, 0, 0, 2, 50 * 11 - 2]) and (whole[2, :3] == L.NOTHING).all()
+    one = [L.likelihoods(model, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    np.testing.assert_allclose(whole, one)
+    for name, value in (("STEP", 7), ("ROWS", 2), ("WIDE", 2)):  # in whatever parts
+        monkeypatch.setattr(L, name, value)
+    np.testing.assert_allclose(L.likelihoods(model, values, offsets), whole)
+
+
+def test_two_hundred_tags_write_no_more(spark, tmp_path, monkeypatch):
+    """Made-up tags on a tenth of the rows: what is written doesn't grow with them, and real languages stay."""
+    r = random.Random(9)
+    tags = [a + b for a in "abcdefghijklmn" for b in "opqrstuvwxyzabc"][:200]
+    plain = corpus(600)
+    tagged = [(a, b, r.choice(tags) if a % 10 == 0 else c, *rest) for a, b, c, *rest in plain]
+    sizes = []
+    for rows in (plain, tagged):
+        folder = tmp_path / str(len(sizes))
+        monkeypatch.setattr(common, "shared_dir", lambda spark, folder=folder: f"file://{folder}")
+        found = {x["doc_id"]: x["lang"] for x in L.document_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+        sizes.append(sum(f.stat().st_size for f in folder.rglob("language-votes*/*.parquet")))
+    assert sizes[1] < 3 * sizes[0] + 20_000
+    assert sum(found[a] == c for a, _, c, *_ in plain if a % 10) >= 0.9 * 540
 
 
 def brute(rows, sample=500, temper=0.2, strength=10.0, und_prior=0.001):

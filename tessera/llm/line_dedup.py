@@ -19,6 +19,8 @@ Defined cases
 - several rows with one doc_id: they count as one document, each row has its own bitmap.
 - the winner is the largest doc_id; repeated lines inside it all stay.
 - extra columns pass through untouched, whatever their names.
+- very long texts: whole; a task holds one text's lines at a time, and of a line's run the documents before ``min_docs``.
+- an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, ddl_of, materialize, row_key, slices
+from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, ddl_of, free_name, materialize, row_key, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 LINES = "hi long, lo long, doc_id long, row_key long, pos int"
@@ -188,20 +190,22 @@ def _kept(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts ``text`` by the bitmap, which is the last column."""
     for batch in batches:
         for part in slices(batch, batch.schema.get_field_index("text")):
             texts = part.column("text").to_pylist()
-            kept = [t if k is None else _kept(t, k)[2] for t, k in zip(texts, part.column("__ld_keep").to_pylist())]
-            columns = {n: part.column(n) for n in part.schema.names if n != "__ld_keep"}
+            kept = [t if k is None else _kept(t, k)[2] for t, k in zip(texts, part.column(part.num_columns - 1).to_pylist())]
+            columns = dict(zip(part.schema.names[:-1], part.columns[:-1]))
             yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(kept, pa.string())})
 
 
 def _with_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Adds each row's bitmap. Many bitmaps are hashed, so that the texts needn't be sorted."""
-    right = materialize(bitmaps.select(F.col("doc_id").alias("__ld_doc_id"), F.col("row_key").alias("__ld_row_key"), F.col("keep").alias("__ld_keep")), "line-bitmaps")
-    size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__ld_keep") + 16), F.lit(0)).alias("bytes")).first()
+    """Adds each row's bitmap as the last column, under a name that isn't taken. Many bitmaps are hashed, so that the texts needn't be sorted."""
+    doc_id, key, keep = (free_name(docs, n) for n in ("__ld_doc_id", "__ld_row_key", "__ld_keep"))
+    right = materialize(bitmaps.select(F.col("doc_id").alias(doc_id), F.col("row_key").alias(key), F.col("keep").alias(keep)), "line-bitmaps")
+    size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(keep) + 16), F.lit(0)).alias("bytes")).first()
     right = F.broadcast(right) if size["n"] <= MOST_BROADCAST and size["bytes"] <= MOST_BYTES else right.hint("shuffle_hash")
-    return docs.join(right, (docs["doc_id"] == right["__ld_doc_id"]) & (row_key(docs["text"]) == right["__ld_row_key"]), "left").drop("__ld_doc_id", "__ld_row_key")
+    return docs.join(right, (docs["doc_id"] == right[doc_id]) & (row_key(docs["text"]) == right[key]), "left").drop(doc_id, key)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -219,7 +223,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
     for batch in (part for whole in batches for part in slices(whole, 1)):
         rows = []
-        for doc, text, keep in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "__ld_keep"))):
+        for doc, text, keep in zip(*(c.to_pylist() for c in batch.columns)):
             n, dropped, kept = _kept(text, keep)
             rows.append((doc, n, dropped, hashlib.sha256(kept.encode()).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)

@@ -26,6 +26,7 @@ Defined cases
 - repeated rows and null doc_ids are returned as they come; extra columns pass through. Where a
   table has a column that is called like a new one, the new one gets an underscore more.
 - ties of equal sums: the longer last piece.
+- an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ class Codec:
         self.chunk = re.compile(r".+", re.S) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0) - 10.0
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.beside: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
         self.room = cache
 
     # -- encoding ---------------------------------------------------------------
@@ -97,6 +99,25 @@ class Codec:
             out += found
         return out
 
+    def encode_with(self, other: Codec, text: str) -> tuple[list[int], list[int]]:
+        """The ids of this codec and of ``other``, which has the same pieces with other scores; words are looked up once."""
+        ids, others = [], []
+        cache, room = self.beside, self.room // 2
+        for k, part in enumerate(text.split(MARK) if text else ()):  # the text's own marks
+            if k:
+                ids += self._bytes(MARK)
+                others += self._bytes(MARK)
+            part = part.replace(" ", MARK)
+            for chunk in self.chunk.findall(MARK + part if self.prefix and not k else part):
+                found = cache.get(chunk)
+                if found is None:
+                    found = self._segment(chunk), other._segment(chunk)
+                    if len(cache) < room and len(chunk) < 64:
+                        cache[chunk] = tuple(found[0]), tuple(found[1])
+                ids += found[0]
+                others += found[1]
+        return ids, others
+
     def _bytes(self, char: str) -> list[int]:
         if not self.bytes_at:
             return [self.unknown]
@@ -309,25 +330,31 @@ def _digest(ids: list[int]) -> str:
 
 
 def codec_report(docs: DataFrame, model: str | None = None, *, unigram: bool = False) -> DataFrame:
-    """(doc_id, n_chars, n_pieces, ids_sha256, decoded_sha256, exact), encoded and decoded in one pass.
+    """(doc_id, n_chars, n_pieces, ids_sha256, decoded_sha256, exact, viterbi_pieces, viterbi_sha256), in one pass.
 
     ``ids_sha256`` is of the ids as little-endian 32-bit integers; ``exact`` tells whether
-    decoding gave back the text. ``unigram``: the model's pieces with the scores of by_rank().
+    decoding gave back the text. The Viterbi's columns are of the segmentation with the largest sum of
+    scores of by_rank(), of the same pieces. ``unigram``: all columns are of that.
     """
     model = model or default_model()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("exact", pa.bool_()), ("viterbi_pieces", pa.int64()), ("viterbi_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model, unigram)
+        codec, viterbi = worker_codec(model, unigram), worker_codec(model, True)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None:
-                    rows.append((doc, None, None, None, None, None))
+                    rows.append((doc, *[None] * 7))
                     continue
-                ids = codec.encode(text)
+                if codec is viterbi:
+                    ids = sums = codec.encode(text)
+                else:
+                    ids, sums = codec.encode_with(viterbi, text)
                 back = codec.decode(ids)
-                rows.append((doc, len(text), len(ids), _digest(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 6, schema)], schema=schema)
+                digest = _digest(ids)
+                rows.append((doc, len(text), len(ids), digest, hashlib.sha256(back.encode()).hexdigest(), back == text, len(sums), digest if sums is ids else _digest(sums)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 8, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    ddl = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean, viterbi_pieces long, viterbi_sha256 string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)

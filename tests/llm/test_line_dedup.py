@@ -100,3 +100,17 @@ def test_many_bitmaps_are_joined_by_a_shuffle(spark, monkeypatch):
     many = L.dedup_report(frame)
     assert "BroadcastHashJoin" in few._jdf.queryExecution().toString() and "ShuffledHashJoin" in many._jdf.queryExecution().toString()
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_names_of_its_own_columns_are_free(spark):
+    rows = [(i, f"{LONG}hot\n{i}", "x", "k", 1, 2, "own") for i in range(6)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", __ld_doc_id long, __ld_row_key long, __LD_KEEP string")
+    out = L.dedup_lines(frame)
+    assert out.columns == frame.columns
+    got = {r["doc_id"]: (r["text"], *r[2:]) for r in out.collect()}
+    assert got == {i: (str(i) if i < 5 else f"{LONG}hot\n5", "x", "k", 1, 2, "own") for i in range(6)}
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"{LONG}{i % 50_000}" for i in range(200_000))
+    check(spark, [(1, long, None, None), *[(10 + i, f"{LONG}7\nx", None, None) for i in range(4)]])

@@ -43,12 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, materialize, row_key
-from tessera.llm.near_copies import SEED, shingle_set
+from tessera.llm.shingles import SEED, shingle_set
 from tessera.llm.simhash import components
 
 #: One task of a block: ``band`` -1 for a whole block, else the pairs of two parts of a band or of it and the one below.
 TASK = ["rep", "band", "i", "low", "j"]
-TASK_DDL = "rep: bigint, band: int, i: int, low: boolean, j: int, side: int"
+TASK_DDL = "rep long, band int, i int, low boolean, j int, side int, root long"
 
 
 def needed(n: int, least: int) -> int:
@@ -162,10 +162,11 @@ class Joined:
         return found
 
 
-def occurrence_links(sets: list[np.ndarray], side: np.ndarray | None, least: int) -> tuple[list[int], list[int]]:
+def occurrence_links(sets: list[np.ndarray], side: np.ndarray | None, least: int, root: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """A spanning forest of the links among ``sets``, which ascend by size, as positions.
 
-    With ``side`` only pairs of different sides count.
+    With ``side`` only pairs of different sides count. Sets of one ``root`` are joined from the start. Lists that hold
+    every set that may be alike need neither merging nor probing: they count one for each.
     """
     many = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, many)
@@ -173,6 +174,8 @@ def occurrence_links(sets: list[np.ndarray], side: np.ndarray | None, least: int
     index = np.sort(codes * many + np.repeat(np.arange(many), sizes))  # all lists, one after the other
     ends = np.cumsum(sizes)
     joined, us, vs = Joined(many), [], []
+    if root is not None:
+        joined.up = np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]]
     lows = np.searchsorted(sizes * 100, sizes * least)  # the first that is large enough
     for q in range(1, many):
         low, n = int(lows[q]), int(sizes[q])
@@ -182,17 +185,26 @@ def occurrence_links(sets: list[np.ndarray], side: np.ndarray | None, least: int
         left, right = np.searchsorted(index, own + low), np.searchsorted(index, own + q)
         length = right - left
         least_shared = needed(n, least)
-        if np.count_nonzero(length) < least_shared:
+        some = (length > 0) & (length < q - low)
+        full = int(np.count_nonzero(length == q - low))
+        rest = np.flatnonzero(some)
+        if full + len(rest) < least_shared:
             continue
-        short_many = n - least_shared + 1
-        order = np.argpartition(length, short_many - 1) if short_many < n else np.arange(n)
-        short, long = order[:short_many], order[short_many:]
-        long = long[length[long] > 0]
+        # of those in between, so many may be set aside that one that reaches the overlap is in a short one
+        short_many = len(rest) - max(0, least_shared - full) + 1
+        if least_shared > full:
+            order = rest[np.argpartition(length[rest], short_many - 1)] if short_many < len(rest) else rest
+            short, long = order[:short_many], order[short_many:]
+        else:  # the full lists alone may be enough: every one is a candidate
+            short, long = rest, rest[:0]
         # merged short lists: documents and how often they occur
         reach = length[short]
         at = np.repeat(left[short] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
         found, times = np.unique(index[at] % many, return_counts=True)
-        wanted = overlap_needed(n, sizes[found], least)
+        if least_shared <= full:
+            times = np.bincount(found - low, weights=times, minlength=q - low).astype(np.int64)
+            found = np.arange(low, q)
+        wanted = overlap_needed(n, sizes[found], least) - full
         fits = times + len(long) >= wanted
         if side is not None:
             fits &= side[found] != side[q]
@@ -218,33 +230,34 @@ def occurrence_links(sets: list[np.ndarray], side: np.ndarray | None, least: int
 
 
 def _search(least: int):
-    """Streams rows (*TASK, side, n, id, shingles) sorted by task and n; links (u, v) of each task."""
+    """Streams rows (*TASK, side, root, n, id, shingles) sorted by task and n; links (u, v) of each task."""
 
-    def solve(key: tuple, side: list[int], ids: list[int], held: list[bytes]) -> pa.RecordBatch:
+    def solve(key: tuple, side: list[int], root: list[int], ids: list[int], held: list[bytes]) -> pa.RecordBatch:
         sets = [np.frombuffer(s, np.int64) for s in held]
-        u, v = occurrence_links(sets, None if key[1] < 0 or (not key[3] and key[2] == key[4]) else np.array(side), least)
+        sides = None if key[1] < 0 or (not key[3] and key[2] == key[4]) else np.array(side)
+        u, v = occurrence_links(sets, sides, least, np.array(root))
         return pa.RecordBatch.from_arrays([pa.array([ids[x] for x in part], pa.int64()) for part in (u, v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, side, ids, held = None, [], [], []
+        key, side, root, ids, held = None, [], [], [], []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:5]]
-            for *own, s, n, i, shingles in zip(*columns, *(c.to_pylist() for c in batch.columns[5:8]), batch.column(8)):
+            for *own, s, r, _, i, shingles in zip(*(c.to_pylist() for c in batch.columns[:9]), batch.column(9)):
                 if own != key:
-                    if len(ids) > 1:
-                        yield solve(key, side, ids, held)
-                    key, side, ids, held = own, [], [], []
+                    if len(set(root)) > 1:
+                        yield solve(key, side, root, ids, held)
+                    key, side, root, ids, held = own, [], [], [], []
                 side.append(s)
+                root.append(r)
                 ids.append(i)
                 held.append(shingles.as_py())
-        if len(ids) > 1:
-            yield solve(key, side, ids, held)
+        if len(set(root)) > 1:
+            yield solve(key, side, root, ids, held)
 
     return run
 
 
 def _sets_for_tasks(words: int):
-    """Rows (*TASK, side, n, id, shingles): the set of each text for each of its tasks."""
+    """Rows (*TASK, side, root, n, id, shingles): the set of each text for each of its tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,13 +266,13 @@ def _sets_for_tasks(words: int):
                 tasks = pa.array(tasks.values)
                 many = len(tasks)
                 whole = [pa.array([len(held)] * many, pa.int64()), pa.array([own.as_py()] * many, pa.int64()), pa.array([held.tobytes()] * many, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*tasks.flatten(), *whole], names=[*TASK, "side", "n", "id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*tasks.flatten(), *whole], names=[*TASK, "side", "root", "n", "id", "shingles"])
 
     return run
 
 
 def _bands(least: int):
-    """(rep, id, n, band) from (rep, id, shingles, other): how many links' lengths the set lies from that of rep."""
+    """(rep, id, n, band, root) from (rep, id, shingles, other, root): how many links' lengths the set lies from that of rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +284,7 @@ def _bands(least: int):
                 sizes.append(len(a))
                 # a similarity of exactly ``least`` is a link, so it belongs to the band before
                 bands.append(0 if 100 * both >= least * union else 100 * (union - both) // ((100 - least) * union))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32())], names=["rep", "id", "n", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32()), batch.column(4)], names=["rep", "id", "n", "band", "root"])
 
     return run
 
@@ -282,6 +295,11 @@ def _few(frame: DataFrame, row_bytes: Column | int = 40) -> DataFrame:
     return F.broadcast(frame) if size["n"] <= MOST_BROADCAST and size["bytes"] <= MOST_BYTES else frame
 
 
+def whole() -> list[Column]:
+    """The task of a block that is searched in one."""
+    return [F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(False).alias("low"), F.lit(0).alias("j"), F.lit(0).alias("side")]
+
+
 class NgramJoin:
     """The join over ``docs`` (doc_id, text): ``rows`` (doc_id, row_key, id, n) and ``links()`` between ids."""
 
@@ -306,12 +324,8 @@ class NgramJoin:
     def members(self) -> DataFrame:
         """(rep, id, n): the documents of each block, of those that share enough lists with others."""
         postings = self.rows.where("short is not null").select("id", "n", "short").mapInArrow(_postings(self.hot), "h long, id long, n long, hot boolean")
-        ddl = "rep long, id long, n long, lists long"
-        named = postings.where("not hot").select("h", "id", "n").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_named(self.least), ddl)
-        if len(self.hot):  # at most ``frequent`` rows, which the driver holds
-            hot = postings.where("hot").select("h", "id", "n").distinct()
-            least = F.broadcast(hot.groupBy("h").agg(F.min("id").alias("rep")))
-            named = named.unionByName(hot.join(least, "h").select("rep", "id", "n", F.lit(1).cast("long").alias("lists")))
+        hot = postings.where("hot").select("h", "id", "n").distinct() if len(self.hot) else None
+        named = self.named(postings.where("not hot").select("h", "id", "n"), hot)
         named = materialize(named.groupBy("rep", "id", "n").agg(F.sum("lists").alias("lists")), "shared-lists")
         smaller = F.ceil(F.lit(self.least) * F.col("n") / 100)  # the smallest partner, and what its size asks for
         wanted = F.ceil(F.lit(self.least) * smaller / 100)
@@ -319,59 +333,83 @@ class NgramJoin:
         enough = materialize(enough, "enough-lists")
         return materialize(named.join(_few(enough, 16), "id", "left_semi").select("rep", "id", "n"), "blocks")
 
+    def named(self, lists: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """(rep, id, n, lists) from postings (h, id, n): those of a list with its smallest id. ``hot`` ones, distinct, don't meet in a task."""
+        ddl = "rep long, id long, n long, lists long"
+        found = lists.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(_named(self.least), ddl)
+        if hot is None:
+            return found
+        least = _few(materialize(hot.groupBy("h").agg(F.min("id").alias("rep")), "hot-lists"), 16)
+        return found.unionByName(hot.join(least, "h").select("rep", "id", "n", F.lit(1).cast("long").alias("lists")))
+
     def _sets(self, tasks: DataFrame) -> DataFrame:
-        """(*TASK, side, n, id, shingles) for ``tasks`` (id, *TASK, side): made from the texts again, of one row for each id."""
-        wanted = tasks.groupBy("id").agg(F.collect_list(F.struct(*TASK, "side")).alias("tasks"))
+        """(*TASK, side, root, n, id, shingles) for ``tasks`` (id, *TASK, side, root): made from the texts again, of one row for each id."""
+        wanted = tasks.groupBy("id").agg(F.collect_list(F.struct(*TASK, "side", "root")).alias("tasks"))
         rows = self.rows.select("doc_id", "row_key", "id")
         picked = rows.groupBy("id").agg(F.min(F.struct("doc_id", "row_key")).alias("own")).join(wanted, "id")
         picked = materialize(picked.select(F.col("own.doc_id").alias("of_doc"), F.col("own.row_key").alias("of_key"), F.col("id").alias("of_id"), "tasks"), "wanted-sets")
         own = rows.join(_few(picked.select("of_doc", "of_key")), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key")))
         repeated = own.count() > picked.count()
-        wanted = _few(picked, F.size("tasks") * 33 + 40)
+        wanted = _few(picked, F.size("tasks") * 41 + 40)
         wanted = wanted if wanted is not picked else picked.hint("shuffle_hash")
         texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_key"))).select("text", "of_id", "tasks")
-        made = texts.mapInArrow(_sets_for_tasks(self.words), f"{TASK_DDL.replace(':', '')}, n long, id long, shingles binary")
+        made = texts.mapInArrow(_sets_for_tasks(self.words), f"{TASK_DDL}, n long, id long, shingles binary")
         return made.dropDuplicates([*TASK, "side", "id"]) if repeated else made
 
     def _linked(self, tasks: DataFrame) -> DataFrame:
-        """(u, v) found in ``tasks`` (id, *TASK, side)."""
+        """(u, v) found in ``tasks`` (id, *TASK, side, root)."""
         return self._sets(tasks).repartition(*TASK).sortWithinPartitions(*TASK, "n", "id").mapInArrow(_search(self.least), "u long, v long")
 
-    def links(self) -> DataFrame:
-        """Pairs (u, v) of ids whose components are those of all pairs that are ``least`` percent alike."""
-        members = self.members()
+    def links(self, members: DataFrame | None = None) -> DataFrame:
+        """Pairs (u, v) of ids whose components are those of all pairs that are ``least`` percent alike.
+
+        ``members`` (rep, id, n, root): blocks, with what is joined already under one root.
+        """
+        members = self.members().withColumn("root", F.col("id")) if members is None else members
         large = materialize(members.groupBy("rep").agg(F.sum("n").alias("weight")).where(F.col("weight") > self.limit).select("rep"), "large-blocks")
-        whole = lambda c: [F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(False).alias("low"), F.lit(0).alias("j"), F.lit(0).alias("side")]
         if large.isEmpty():
-            return materialize(self._linked(members.select("id", "rep", *whole(0))), "links")
+            return materialize(self._linked(members.select("id", "rep", *whole(), "root")), "links")
         near = _few(large)
-        found = self._linked(members.join(near, "rep", "left_anti").select("id", "rep", *whole(0)))
-        cut, close = self._cut(members.join(near, "rep", "left_semi").select("rep", "id"), whole(0))
+        found = self._linked(members.join(near, "rep", "left_anti").select("id", "rep", *whole(), "root"))
+        cut, close = self._cut(members.join(near, "rep", "left_semi").select("rep", "id", "root"))
         return materialize(found.unionByName(close).unionByName(self._linked(cut)), "links")
 
-    def _cut(self, members: DataFrame, whole: list[Column]) -> tuple[DataFrame, DataFrame]:
+    def _cut(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The tasks of large blocks, and their links to the documents that name them."""
         reps = members.select(F.col("rep").alias("id")).distinct()
-        named = materialize(self._sets(reps.select("id", F.col("id").alias("rep"), *whole)).select("rep", F.col("shingles").alias("other")).dropDuplicates(["rep"]), "block-names")
-        sets = self._sets(members.select("id", "rep", *whole)).select("rep", "id", "shingles")
-        banded = sets.join(_few(named, F.length("other") + 16), "rep").mapInArrow(_bands(self.least), "rep long, id long, n long, band int")
-        banded = materialize(banded.distinct(), "bands")
+        named = materialize(self._sets(reps.select("id", F.col("id").alias("rep"), *whole(), F.col("id").alias("root"))).select("rep", F.col("shingles").alias("other")).dropDuplicates(["rep"]), "block-names")
+        sets = self._sets(members.select("id", "rep", *whole(), "root")).select("rep", "id", "shingles", "root")
+        banded = sets.join(_few(named, F.length("other") + 16), "rep").select("rep", "id", "shingles", "other", "root")
+        banded = materialize(banded.mapInArrow(_bands(self.least), "rep long, id long, n long, band int, root long").distinct(), "bands")
         close = banded.where("band = 0 and rep <> id").select(F.col("rep").alias("u"), F.col("id").alias("v"))
         parts = banded.groupBy("rep", "band").agg(F.ceil(F.sum("n") / self.limit).cast("int").alias("parts"))
         parts = _few(materialize(parts, "band-parts"))  # at most a row for each ``limit`` shingles and band
         part = banded.join(parts, ["rep", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         own = part.where("band > 0").withColumn("other", every)
-        own = own.select("id", "rep", "band", F.least("part", "other").alias("i"), F.lit(False).alias("low"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
+        own = own.select("id", "rep", "band", F.least("part", "other").alias("i"), F.lit(False).alias("low"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "root")
         # the parts of the band below and of that above, under the band's own number
         rest = part.drop("parts")
         upper = rest.join(parts.select("rep", (F.col("band") + 1).alias("band"), "parts"), ["rep", "band"]).withColumn("other", every)
-        upper = upper.select("id", "rep", "band", F.col("part").alias("i"), F.lit(True).alias("low"), F.col("other").alias("j"), F.lit(0).alias("side"))
+        upper = upper.select("id", "rep", "band", F.col("part").alias("i"), F.lit(True).alias("low"), F.col("other").alias("j"), F.lit(0).alias("side"), "root")
         lower = rest.join(parts.select("rep", (F.col("band") - 1).alias("band"), "parts"), ["rep", "band"]).withColumn("other", every)
-        lower = lower.select("id", "rep", (F.col("band") + 1).alias("band"), F.col("other").alias("i"), F.lit(True).alias("low"), F.col("part").alias("j"), F.lit(1).alias("side"))
+        lower = lower.select("id", "rep", (F.col("band") + 1).alias("band"), F.col("other").alias("i"), F.lit(True).alias("low"), F.col("part").alias("j"), F.lit(1).alias("side"), "root")
         return materialize(own.unionByName(upper).unionByName(lower), "band-tasks"), close
 
 
+class StoredJoin(NgramJoin):
+    """The search over ``sets`` (id, shingles) that are stored, of blocks that are given to links()."""
+
+    def __init__(self, sets: DataFrame, *, least: int, limit: int = 2_000_000) -> None:
+        self.sets, self.least, self.limit = sets, least, limit
+
+    def _sets(self, tasks: DataFrame) -> DataFrame:
+        ids = materialize(tasks.select("id").distinct(), "searched")
+        held = self.sets.join(_few(ids, 16), "id", "left_semi").dropDuplicates(["id"])
+        rows = held.join(_few(materialize(tasks, "search-tasks"), 60), "id")
+        return rows.select(*TASK, "side", "root", (F.length("shingles") / 8).cast("long").alias("n"), "id", "shingles")
+
+
 def ngram_report(docs: DataFrame, *, words: int = 3, least: int = 90, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``: component_id is the smallest doc_id that links reach."""
     join = NgramJoin(docs, words=words, least=least, **options)

@@ -84,3 +84,26 @@ def test_stage_links_what_four_bits_miss(spark):
 
 def test_empty(spark):
     assert N.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def family(n, seed=2):
+    """Texts of 300 words, 262 of them the same: some 0.78 alike in pairs, so none is a link."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(262)]
+    return [(i, " ".join(base + [f"u{i}x{k}y{r.randint(0, 9)}" for k in range(38)])) for i in range(n)]
+
+
+def test_families_just_under_the_bound_write_no_pairs(spark, monkeypatch):
+    from tessera.llm import ngram_join
+
+    assert 0.75 < len(shingles(family(2)[0][1]) & shingles(family(2)[1][1])) / len(shingles(family(2)[0][1]) | shingles(family(2)[1][1])) < 0.8
+    written = []
+    plain = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda frame, tag: written.append((tag, out := plain(frame, tag))) or out)
+    for n in (150, 600):
+        written.clear()
+        rows = family(n) + [(5000, family(1)[0][1] + " one more"), (5001, family(3)[2][1].replace("b9 ", "c9 "))]
+        got = {r["doc_id"]: r["component_id"] for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == {i: i for i in range(n)} | {5000: 0, 5001: 2}
+        sizes = {tag: frame.count() for tag, frame in written}
+        assert sizes and max(sizes.values()) <= 2 * (n + 2), sizes

@@ -185,10 +185,20 @@ def test_clashing_columns(spark):
     assert back.columns == [*frame.columns, "ids_", "decoded_"] and back.first()["decoded_"] == "Hello world"
 
 
-def test_queries_of_both_models(spark):
+def test_queries_of_both_models(spark, pair):
+    """On every text: the merges' ids are the library's, and op9's Viterbi columns are those of the unigram query."""
     from tessera.llm import queries
 
     sf = "/root/testdata/sf0.001"
-    for name in ("op9_sentencepiece", "sentencepiece_unigram"):
-        rows = queries.QUERIES[name](spark, sf).collect()
-        assert len(rows) == 200 and all(r["exact"] in (True, None) for r in rows)
+    merged, sums = ({r["doc_id"]: r for r in queries.QUERIES[n](spark, sf).collect()} for n in ("op9_sentencepiece", "sentencepiece_unigram"))
+    assert len(merged) == len(sums) == 200 and all(r["exact"] in (True, None) for r in [*merged.values(), *sums.values()])
+    assert all((r["viterbi_pieces"], r["viterbi_sha256"]) == (sums[i]["n_pieces"], sums[i]["ids_sha256"]) for i, r in merged.items())
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        if r["text"] is not None and C.MARK not in r["text"]:
+            assert merged[r["doc_id"]]["ids_sha256"] == C._digest(pair[1].encode(r["text"]))
+
+
+def test_both_segmentations_at_once(pair):
+    codec, other = pair[0], C.by_rank(pair[0])
+    for text in ("", " ", "a▁b ▁▁ c", "the quick  brown fox ", "x" * 300, "漢字 ▁"):
+        assert codec.encode_with(other, text) == (codec.encode(text), other.encode(text))

@@ -470,3 +470,19 @@ register("numeric_projection", lambda s, d: panels.numeric(s.read.parquet(f"{d}/
 register("a_head_correlations", lambda s, d: metrics.head_correlations(trade(s, d).select("period", F.array(*(X.centred_rank(f) for f in ("f1", "f2", "f3"))).alias("heads")), 3, ("period",)).select("period", "a", "b", six("corr").alias("corr")), ", h AS (SELECT period, " + ", ".join(f"{centred_sql(f'f{i}')} AS r{i}" for i in (1, 2, 3)) + " FROM p) " + " UNION ALL ".join(f"SELECT period, {i} AS a, {j} AS b, round({corr_sql(f'r{i + 1}', f'r{j + 1}')}, 6) + 0 AS corr FROM h GROUP BY period" for i, j in ((0, 1), (0, 2), (1, 2))))
 #: A cap at 3.5 robust deviations before the clip at 1, then the mean taken off.
 register("x_mad_clip", lambda s, d: finish.mad_clip_finish(trade(s, d).select(*KEYS, "asset_ord", (F.col("y") / 1e6).alias("raw"), F.lit(1.0).alias("limit"))).select(*KEYS, six("pred").alias("pred")), f", r AS (SELECT period, t, asset, coalesce(y / 1e6, 0) AS v FROM p), m AS (SELECT *, median(v) OVER {WT} AS md, stddev_pop(v) OVER {WT} AS sd FROM r), k AS (SELECT *, 1.4826::DOUBLE * median(abs(v - md)) OVER {WT} AS mad FROM m), c AS (SELECT *, 3.5::DOUBLE * CASE WHEN mad > 1e-7 THEN mad WHEN sd > 1e-7 THEN sd ELSE 1 END AS w FROM k), b AS (SELECT period, t, asset, least(greatest(least(greatest(v, md - w), md + w), -1), 1) AS v FROM c) SELECT period, t, asset, round(v - avg(v) OVER {WT}, 6) + 0 AS pred FROM b")
+
+
+# -- target layouts -------------------------------------------------------------------
+
+
+def target_from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade panel's target through a frame with a column for each level and asset, and back."""
+    panel = trade(spark, sf_dir)
+    cells = [F.max(F.when(F.col("asset") == a, F.col("f2"))).alias(f"Feature.1|{a}") for a in NATIONS]
+    back = panels.attach_target(panel, panel.groupBy("time").agg(*cells))
+    return back.select(*KEYS, six("y").alias("y"))
+
+
+DEMEANED = f"SELECT period, t, asset, round(f2 - avg(f2) OVER {WT}, 6) + 0 AS y FROM p"
+register("target_from_wide", target_from_wide, DEMEANED)
+register("target_from_long", lambda s, d: panels.attach_target(trade(s, d), trade(s, d).select("time", "asset", "f2")).select(*KEYS, six("y").alias("y")), DEMEANED)

@@ -133,3 +133,44 @@ def melt(panel: DataFrame, columns: list[str], name: str = "feature", value: str
 def numeric(frame: DataFrame) -> DataFrame:
     """The columns of ``frame`` that hold numbers, by its schema; booleans and dates aren't numbers."""
     return frame.select(*(F.col(f"`{f.name}`") for f in frame.schema if isinstance(f.dataType, NumericType)))
+
+
+def long_target(target: DataFrame, key: str, separator: str = "|") -> DataFrame:
+    """(key, period if it has one, asset, y) of a target in any layout, which its columns tell.
+
+    A column ``asset`` and one of values: long already. ``level|asset`` in either order: the asset's level is
+    kept, and of repeated assets the first. Else a column for each asset, so that one column alone is one asset.
+    What isn't a finite number is null; of rows that repeat a key and asset the largest value counts.
+    """
+    on = [c for c in ("period", key) if c in target.columns]
+    names = [c for c in target.columns if c not in on]
+    if "asset" in names:
+        values = [c for c in names if c != "asset"]
+        if len(values) != 1:
+            raise ValueError(f"a long target has one column of values, not {values}")
+        rows = target.select(*on, F.col("asset").cast("string").alias("asset"), clean(F.col(f"`{values[0]}`")).alias("y"))
+    else:
+        if not names:
+            raise ValueError("a target needs a column of values")
+        pairs = [tuple(c.split(separator, 1)) if separator in c else (None, c) for c in names]
+        level = infer_levels(pairs)
+        found: dict[str, str] = {}
+        for name, pair in zip(names, pairs):
+            found.setdefault(pair[1] if pair[0] is None else pair[1 - level], name)
+        cells = [F.struct(F.lit(a).alias("asset"), clean(F.col(f"`{c}`")).alias("y")) for a, c in found.items()]
+        rows = target.select(*on, F.explode(F.array(*cells)).alias("c")).select(*on, "c.asset", "c.y")
+    return rows.groupBy(*on, "asset").agg(F.max("y").alias("y"))
+
+
+def attach_target(panel: DataFrame, target: DataFrame, separator: str = "|") -> DataFrame:
+    """``panel`` with y from ``target``, matched by time (or t) and asset, and de-meaned over the assets that have one.
+
+    Assets and times of the target that the panel doesn't have are left out; those that it alone has get null.
+    """
+    key = next((c for c in ("time", "t") if c in target.columns), None)
+    if key is None:
+        raise ValueError("a target needs a column time or t")
+    rows = long_target(target, key, separator)
+    joined = panel.drop("y").join(rows, [c for c in rows.columns if c != "y"], "left")
+    joined = joined.withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("period", "t")))
+    return joined.select(*(c for c in panel.columns if c != "y"), "y")

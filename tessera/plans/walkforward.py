@@ -26,9 +26,16 @@ class Counters:
         return {k: 0 if v is None else v for k, v in found.items()}
 
 
-def split(panel: DataFrame, fraction: float = 0.20, most: int = 800, least_train: int = 10, counters: Counters | None = None) -> DataFrame:
+#: Rows that are sent to all executors at most.
+MOST_BROADCAST = 1_000_000
+
+
+def split(panel: DataFrame, fraction: float = 0.20, most: int = 800, least_train: int = 10, counters: Counters | None = None, periods: int | None = None) -> DataFrame:
     """Adds ``train``; periods with under ``least_train`` training rows go.
 
+    A row for each period is broadcast to the panel if their number, counted if it isn't given, allows it. Rows then stay where
+    they are, and windows over (period, asset) and (period, t) spread a period with most rows over all tasks.
+
     The last max(2, min(most, ceil(fraction * n))) timestamps of a period are for validation.
     """
     # a row per period, joined back: windows over whole periods would put each into one task
@@ -38,6 +45,8 @@ def split(panel: DataFrame, fraction: float = 0.20, most: int = 800, least_train
     if counters is not None:
         sizes = sizes.observe(counters.split, F.count(F.lit(1)).alias("periods"), F.count(F.when(F.col("cut") < least_train, 1)).alias("skipped"))
     sizes = sizes.where(F.col("cut") >= least_train)
+    periods = panel.select("period").distinct().count() if periods is None else periods
+    sizes = F.broadcast(sizes) if periods <= MOST_BROADCAST else sizes
     return panel.join(sizes, "period").withColumn("train", F.col("t") < F.col("cut")).drop("cut")
 
 
@@ -55,8 +64,9 @@ def walk_forward(panel: DataFrame, model: engine.Model | str, *, gauge: bool = F
     and back at each timestamp (then raw and heads go); ``counters`` are filled by the job.
     """
     model = MODELS[model] if isinstance(model, str) else model
-    parts = split(panel, counters=counters, **options)
-    out = engine.predict(model, parts, engine.largest(panel))
+    most, periods = engine.sizes(panel)
+    parts = split(panel, counters=counters, periods=periods, **options)
+    out = engine.predict(model, parts, most)
     if counters is not None:
         out = out.observe(counters.out, F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("used") == 0, 1)).alias("unfitted_rows"), F.sum("fit_seconds").alias("fit_seconds"), F.sum("predict_seconds").alias("predict_seconds"))
     out = shape_safe(finish.finish(out, model.finish, model.transport))

@@ -166,7 +166,7 @@ def test_models_fit_the_features_they_pick(spark, panel, name, most):
 def test_choices_reach_both_forms_of_the_fit(spark, panel, monkeypatch):
     once = walkforward.walk_forward(panel, "v36").select("period", "t", "asset", "pred").cache()
     once.count()
-    monkeypatch.setattr(engine, "largest", lambda panel: 1 << 40)
+    monkeypatch.setattr(engine, "sizes", lambda panel: (1 << 40, 4))
     apart = walkforward.walk_forward(panel, "v36").select("period", "t", "asset", F.col("pred").alias("p"))
     assert once.join(apart, ["period", "t", "asset"]).where("abs(pred - p) < 1e-9").count() == once.count() > 0
 

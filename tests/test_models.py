@@ -164,7 +164,7 @@ def test_small_periods_in_one_pass_give_the_same(spark, panel, monkeypatch, name
     once = walkforward.walk_forward(holes, name).select("period", "t", "asset", "raw", "pred")
     assert once.where("raw <> 0").count() > 0
     once = once.cache()
-    monkeypatch.setattr(engine, "largest", lambda panel: 1 << 40)
+    monkeypatch.setattr(engine, "sizes", lambda panel: (1 << 40, 4))
     apart = walkforward.walk_forward(holes, name).select("period", "t", "asset", F.col("raw").alias("r"), F.col("pred").alias("p"))
     assert once.join(apart, ["period", "t", "asset"]).where("abs(raw - r) < 1e-9 and abs(pred - p) < 1e-9").count() == once.count() == 4 * 16 * 10
 

@@ -21,7 +21,7 @@ def panel(spark):
 @pytest.mark.parametrize("largest", [None, 1 << 40])
 def test_counters_come_out_of_the_same_job(spark, panel, monkeypatch, largest):
     if largest:
-        monkeypatch.setattr(engine, "largest", lambda panel: largest)
+        monkeypatch.setattr(engine, "sizes", lambda panel: (largest, 3))
     counters = walkforward.Counters()
     out = walkforward.walk_forward(panel, "v37", counters=counters)
     rows = out.collect()
@@ -104,3 +104,20 @@ def test_files_without_a_model_are_refused(spark, tmp_path):
         loader.walk_forward(synthetic.dataset(spark, 1, 20, 3), file)
     with pytest.raises(FileNotFoundError):
         loader.walk_forward(synthetic.dataset(spark, 1, 20, 3), tmp_path / "absent.py")
+
+
+def test_a_hot_period_is_spread_over_tasks(spark):
+    """A period with most rows: no task of the features has twice the rows of the median one."""
+    from tessera.plans import features
+
+    hot = spark.range(60 * 400).select(F.lit(1).alias("period"), (F.col("id") / 60).cast("int").alias("t"), (F.col("id") % 60).cast("string").alias("asset"), (F.col("id") % 60).cast("int").alias("asset_ord"))
+    rest = spark.range(60 * 40).select(F.lit(2).alias("period"), (F.col("id") / 60).cast("int").alias("t"), (F.col("id") % 60).cast("string").alias("asset"), (F.col("id") % 60).cast("int").alias("asset_ord"))
+    panel = hot.unionByName(rest).withColumn("y", F.rand(1)).select("*", *(F.rand(i).alias(f"f{i}") for i in (2, 3, 4))).withColumnsRenamed({"f4": "f1"})
+    made = features.compact(walkforward.split(panel))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        every = F.sum(F.xxhash64(*made.columns).cast("decimal(38,0)"))  # or no window would be needed
+        rows = sorted(r["n"] for r in made.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n"), every).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 4 and rows[-1] < 2 * rows[len(rows) // 2] and sum(rows) == 26_400

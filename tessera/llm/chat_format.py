@@ -26,6 +26,7 @@ Defined cases
 - extra fields belong to the fingerprint of a record, where null, empty and absent values of
   mapped fields don't count; a table needs the mapped columns only and may have more.
 - very long texts: one turn at a time is in memory, and some megabytes of segments.
+- an empty table gives no conversation, and chat_report() its fixed one alone.
 """
 
 from __future__ import annotations

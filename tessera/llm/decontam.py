@@ -30,6 +30,8 @@ Defined cases
 - null doc_id or item_id: reported with the null. drop_contaminated() decides row by row, also
   where rows share an id or have none.
 - very long texts are searched in whole; extra columns are not read.
+- ties: every item above its bound is reported, so equal scores need no order.
+- an empty table, of either side, gives an empty result; drop_contaminated() then keeps all.
 """
 
 from __future__ import annotations

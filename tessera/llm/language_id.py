@@ -108,7 +108,7 @@ class TextModel:
 #: Pseudo-counts that a language's model has from the mean of all.
 SMOOTH = 500.0
 #: Bytes of text, rows and languages that are dealt with at once.
-STEP, ROWS, WIDE = 1 << 18, 256, 512
+STEP, ROWS, WIDE = 1 << 17, 64, 512
 
 
 def likelihoods(model: TextModel, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

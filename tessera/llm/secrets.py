@@ -13,7 +13,8 @@ case. Only ASCII letters fold.
 Defined cases
 - null or empty text: no spans.
 - spans count code points, end exclusive; ties in start go by the order of rules.
-- very long texts are indexed by themselves; memory is a few times one text.
+- very long texts are indexed by themselves; memory is about ten times the longest text.
+- extra columns are not read, whatever their names. An empty table gives an empty result.
 - repeated rows and null ids are returned as they come.
 """
 

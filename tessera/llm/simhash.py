@@ -23,6 +23,8 @@ Defined cases
 - null doc_id: takes part in linking, never names a component unless the whole component
   has none (then component_id is null).
 - repeated rows: each is returned, with the same component.
+- ties: the smallest doc_id names a component; equal fingerprints are one.
+- extra columns are not read; keep_one() passes them through. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -53,7 +53,7 @@ FOLDER = "/opt/tokenizers"
 class Codec:
     """Pieces of a model, given as (piece, score) in order of id."""
 
-    def __init__(self, pieces: list[tuple[str, float]], bytes_at: dict[int, int], *, bpe: bool, prefix: bool = True, unknown: int = 0, skip: frozenset[int] = frozenset(), cache: int = 400_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], bytes_at: dict[int, int], *, bpe: bool, prefix: bool = True, unknown: int = 0, skip: frozenset[int] = frozenset(), cache: int = 120_000) -> None:
         self.pieces, self.bytes_at, self.bpe, self.prefix, self.unknown, self.skip = pieces, bytes_at, bpe, prefix, unknown, skip
         self.byte_of = {i: b for b, i in bytes_at.items()}
         self.id_of = {p: i for i, (p, _) in enumerate(pieces) if i not in skip and i not in self.byte_of and p}

@@ -19,6 +19,8 @@ Defined cases
 - very long urls are ordinary; extra columns are not read.
 - no outcome at all: everything without a rule is allowed.
 - repeated rows and null page_ids are judged and returned each.
+- ties: of equally long rules that fit, the first by name and then verdict counts.
+- an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,9 +69,9 @@ def split_url(url: str | Column) -> tuple[Column, Column]:
 
 
 def match_rules(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """The longest fitting rule as a struct (rule, verdict), or null."""
+    """The longest fitting rule as a struct (rule, verdict), or null; of equally long ones the first by name, then verdict."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
+    for r in sorted(sorted(rules, key=lambda r: (r.name, r.verdict), reverse=True), key=lambda r: len(r.name)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         found = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
     return found

@@ -19,6 +19,7 @@ Defined cases
 - null page_id: written and returned like any other, with a null id.
 - very long payloads: a record is in memory whole when it is written and read; reads of several
   records end at ``most`` bytes, a longer record is a read of its own.
+- extra columns are not read, whatever their names. An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations

@@ -100,3 +100,14 @@ def test_thousands_of_rules_fit_by_a_join(spark):
     got = {r["page_id"]: r for r in U.judge(frame, many).collect()}
     assert all(got[i]["rule"] == few[i] for i in range(len(URLS))) and len(got) == len(URLS) + 4
     assert [got[len(URLS) + i]["rule"] for i in range(4)] == ["h5.net/2", "h5.net/2", None, None] and got[len(URLS)]["verdict"] == "block"
+
+
+def test_equally_long_rules_in_both_forms(spark):
+    rules = (U.Rule("block", "org", "/abc"), U.Rule("allow", "a.org", "/a"), U.Rule("allow", "org", "/abc"), U.Rule("block", "org", "/"))
+    rows = spark.createDataFrame([("a.org", "/abc"), ("b.org", "/abc"), ("c.org", "/x")], "host string, path string")
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    want = {"a.org": ("a.org/a", "allow"), "b.org": ("org/abc", "allow"), "c.org": ("org/", "block")}
+    for given in (rules, rules[::-1]):
+        one = rows.withColumn("found", U.match_rules(F.col("host"), F.col("path"), given))
+        assert {r["host"]: tuple(r["found"]) for r in one.collect()} == want
+    assert {r["host"]: tuple(r["found"]) for r in U.join_rules(rows, table).collect()} == want

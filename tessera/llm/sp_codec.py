@@ -15,8 +15,9 @@ prefix that it extends.
 
 Characters without a piece become their UTF-8 byte pieces. White space is the piece mark
 U+2581; a text's own U+2581 is written as byte pieces, so that decoding gives back every
-text exactly. Pieces hold the mark at their start only, so words are encoded one by one and
-kept in a bounded cache; a model with marks elsewhere is run over whole texts.
+text exactly. Pieces hold the mark at their start only, so words are encoded by themselves and
+kept in a bounded cache; a model with marks elsewhere is run over whole texts. The words of some
+texts that the cache doesn't have take the pass together, position after position.
 
 Defined cases
 - null text: null ids and null text; empty text: no ids.
@@ -34,8 +35,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -48,6 +51,10 @@ from tessera.llm.common import ddl_of, free_name, slices
 
 MARK = "▁"
 FOLDER = "/opt/tokenizers"
+#: Words from this length on are neither cached nor passed with others; fewer words than FEW aren't worth arrays; WORDS go at once.
+LONG, FEW, WORDS = 64, 50, 8192
+#: Ids as they are joined, hashed and stored.
+IDS = np.dtype("<i4")
 
 
 class Codec:
@@ -63,60 +70,78 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
             if not bpe or len(piece) == 1 or self._halves(i) is not None:  # else the merges never make it
-                self.automaton.add_word(piece, (len(piece), i))
+                self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
+        self.size = [len(p) for p, _ in pieces]
+        self.sizes, self.scores = np.array(self.size, np.int64), np.array(self.score, float)
+        letters = set().union(*self.id_of)
+        self.gap = next(c for c in map(chr, range(0x110000)) if c not in letters)
         inner = any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.chunk = re.compile(r".+", re.S) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0) - 10.0
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        #: Ids of words; the empty one stands for a text's own mark.
+        self.cache: dict[str, bytes] = {"": self._packed(self._bytes(MARK))}
         self.room = cache
+        #: What is known of pairs, by a hash of the pair: the last one that had the place.
+        self.place, self.fits = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
+        self.text_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in skip else p.replace(MARK, " ").encode() for i, (p, _) in enumerate(pieces)]
 
     # -- encoding ---------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.joined([self.words(text)])[0], IDS).tolist()
+
+    def encode_with(self, other: Codec, text: str) -> tuple[list[int], list[int]]:
+        """The ids of this codec and of ``other``, which has the same pieces with other scores; the text is cut into words once."""
+        ids, others = (np.frombuffer(found[0], IDS).tolist() for found in self.joined_with(other, [self.words(text)]))
+        return ids, others
+
+    def words(self, text: str) -> list[str]:
+        """The words of ``text`` with marks for spaces; "" for each of its own marks."""
         if not text:
             return []
-        parts = text.split(MARK)  # the text's own marks
-        out = self._words(parts[0], self.prefix)
-        for part in parts[1:]:
-            out += self._bytes(MARK)
-            out += self._words(part, False)
-        return out
+        parts = [self.chunk.findall(part.replace(" ", MARK)) for part in ((" " if self.prefix else "") + text).split(MARK)]
+        if len(parts) == 1:
+            return parts[0]
+        return [word for k, part in enumerate(parts) for word in ([""] if k else []) + part]
+
+    def joined(self, texts: Sequence[list[str]]) -> list[bytes]:
+        """The ids of each of some texts, given as words()."""
+        return self._joined([self], texts)[0]
+
+    def joined_with(self, other: Codec, texts: Sequence[list[str]]) -> tuple[list[bytes], list[bytes]]:
+        """The same of this codec and of ``other``, which has the same pieces with other scores: the automaton runs once for both."""
+        ids, others = self._joined([self, other], texts)
+        return ids, others
 
-    def _words(self, text: str, prefix: bool) -> list[int]:
-        text = text.replace(" ", MARK)
-        if prefix:
-            text = MARK + text
-        out: list[int] = []
-        cache, room = self.cache, self.room
-        for chunk in self.chunk.findall(text):
-            found = cache.get(chunk)
-            if found is None:
-                found = self._segment(chunk)
-                if len(cache) < room and len(chunk) < 64:
-                    cache[chunk] = tuple(found)
-            out += found
+    @staticmethod
+    def _joined(codecs: list[Codec], texts: Sequence[list[str]]) -> list[list[bytes]]:
+        """What a cache doesn't have is segmented together, each word once."""
+        used = set().union(*texts)
+        missing = sorted(set().union(*(used.difference(codec.cache) for codec in codecs)), key=len)
+        long = next((k for k, w in enumerate(missing) if len(w) >= LONG), len(missing))
+        long = long if long >= FEW else 0
+        made: list[list[bytes]] = [[] for _ in codecs]
+        for k in range(0, long, WORDS):
+            words, found = missing[k : min(long, k + WORDS)], None
+            for codec, ids in zip(codecs, made):
+                if found is None or len(codec.automaton) != len(codecs[0].automaton):
+                    found = codec._matches(words)
+                ids += codec._together(words, found)
+        out = []
+        for codec, ids in zip(codecs, made):
+            cache, had = codec.cache, len(codec.cache)
+            cache.update(zip(missing, ids + [codec._packed(codec._segment(w)) for w in missing[long:]]))
+            out.append([b"".join([cache[word] for word in words]) for words in texts])
+            room = codec.room - had
+            for k, word in enumerate(missing):
+                if k >= room or len(word) >= LONG:
+                    del cache[word]
         return out
 
-    def encode_with(self, other: Codec, text: str) -> tuple[list[int], list[int]]:
-        """The ids of this codec and of ``other``, which has the same pieces with other scores; words are looked up once."""
-        ids, others = [], []
-        cache, room = self.beside, self.room // 2
-        for k, part in enumerate(text.split(MARK) if text else ()):  # the text's own marks
-            if k:
-                ids += self._bytes(MARK)
-                others += self._bytes(MARK)
-            part = part.replace(" ", MARK)
-            for chunk in self.chunk.findall(MARK + part if self.prefix and not k else part):
-                found = cache.get(chunk)
-                if found is None:
-                    found = self._segment(chunk), other._segment(chunk)
-                    if len(cache) < room and len(chunk) < 64:
-                        cache[chunk] = tuple(found[0]), tuple(found[1])
-                ids += found[0]
-                others += found[1]
-        return ids, others
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, IDS).tobytes()
 
     def _bytes(self, char: str) -> list[int]:
         if not self.bytes_at:
@@ -136,7 +161,8 @@ class Codec:
             end = position + 1
             best[end] = best[position] + self.worst  # one character on its own, without a piece
             while pending is not None and pending[0] == position:
-                size, piece = pending[1]
+                piece = pending[1]
+                size = self.size[piece]
                 value = best[end - size] + self.score[piece]
                 if value > best[end]:
                     best[end], pieces[end], starts[end] = value, piece, end - size
@@ -147,23 +173,114 @@ class Codec:
         """The same pass, where a piece extends a prefix if the merges put a border between them."""
         n = len(text)
         pieces, starts = [-1] * (n + 1), [0] * (n + 1)
-        pairs, base = self.pairs, len(self.pieces)
-        for position, (size, piece) in self.automaton.iter(text):
+        for position, piece in self.automaton.iter(text):
             if pieces[position + 1] >= 0:
                 continue  # a prefix has one last piece
-            start = position + 1 - size
+            start = position + 1 - self.size[piece]
             before = pieces[start] if start else -1
-            if before >= 0:  # characters without a piece never merge
-                fits = pairs.get(before * base + piece)
-                if fits is None:
-                    fits = self._border(before, piece)
-                    if len(pairs) < self.room:
-                        pairs[before * base + piece] = fits
-                if not fits:
-                    continue
+            if before >= 0 and not self._pair(before, piece):  # characters without a piece never merge
+                continue
             pieces[position + 1], starts[position + 1] = piece, start
         return self._walk(text, pieces, starts)
 
+    def _pair(self, before: int, piece: int) -> bool:
+        """_border(), remembered."""
+        key = before * len(self.pieces) + piece
+        fits = self.pairs.get(key)
+        if fits is None:
+            fits = self._border(before, piece)
+            if len(self.pairs) < self.room:
+                self.pairs[key] = fits
+        return fits
+
+    def _pairs(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """_pair() of arrays."""
+        key = before * len(self.pieces) + piece
+        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64)
+        fits = self.fits[at]
+        new = np.flatnonzero(self.place[at] != key)
+        if len(new):
+            some, each = np.unique(key[new], return_inverse=True)
+            found = np.array([self._pair(*divmod(k, len(self.pieces))) for k in some.tolist()], bool)
+            fits[new] = found[each]
+            for i, k in zip(new.tolist(), each.tolist()):  # one after the other: pairs may share a place
+                self.place[at[i]], self.fits[at[i]] = some[k], found[k]
+        return fits
+
+    def _matches(self, words: list[str]) -> np.ndarray:
+        """Rows (last character, piece) of all pieces in ``words``, which have a gap behind each: no piece goes over it."""
+        found = self.automaton.iter(self.gap.join(words) + self.gap)
+        return np.fromiter(chain.from_iterable(found), np.int32).reshape(-1, 2).astype(np.int64)
+
+    def _together(self, words: list[str], found: np.ndarray) -> list[bytes]:
+        """The ids of each of ``words``, which ascend by length and match ``found``: the pass over all of them at once.
+
+        Prefixes are nodes, one more than characters, numbered through all words; ``first`` are the empty ones. Pieces that
+        end at one node relax it in the automaton's order, the longest first; their ranks in it keep nodes apart in an array.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        text = self.gap.join(words) + self.gap
+        end, piece = found[:, 0] + 1, found[:, 1]
+        level = end - np.repeat(first, sizes + 1)[found[:, 0]]
+        turn = np.arange(len(end))
+        rank = turn - np.maximum.accumulate(np.where(np.diff(end, prepend=-1) != 0, turn, 0))
+        order = np.lexsort((rank, level))
+        end, piece, level, rank = end[order], piece[order], level[order], rank[order]
+        start = end - self.sizes[piece]
+        steps = defaultdict(list)
+        edges = [0, *(np.flatnonzero((np.diff(level) != 0) | (np.diff(rank) != 0)) + 1).tolist(), len(end)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                steps[int(level[a])].append(slice(a, b))
+        last, back = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)
+        best = np.zeros(len(text) + 1)
+        for depth in range(1, int(sizes[-1]) + 1):
+            if not self.bpe:
+                nodes = first[np.searchsorted(sizes, depth) :] + depth
+                best[nodes] = best[nodes - 1] + self.worst
+            for step in steps[depth]:
+                to, by, at = end[step], piece[step], start[step]
+                if self.bpe:
+                    open_ = last[to] < 0
+                    to, by, at = to[open_], by[open_], at[open_]
+                    before = last[at]
+                    fits = before < 0
+                    inner = np.flatnonzero(~fits)
+                    fits[inner] = self._pairs(before[inner], by[inner])
+                else:
+                    value = best[at] + self.scores[by]
+                    fits = value > best[to]
+                    best[to[fits]] = value[fits]
+                last[to[fits]], back[to[fits]] = by[fits], at[fits]
+        return self._walks(text, first, sizes, last, back)
+
+    def _walks(self, text: str, first: np.ndarray, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[bytes]:
+        """_walk() of many words at once, from their ends."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        owner, at, owners, ids = np.arange(len(first)), first + sizes, [], []
+        while len(owner):
+            piece = last[at]
+            owners.append(owner)
+            ids.append(np.where(piece >= 0, piece, -1 - code[at - 1]))  # below 0: a character without a piece
+            at = np.where(piece >= 0, back[at], at - 1)
+            more = at > first[owner]
+            owner, at = owner[more], at[more]
+        owner, ids = np.concatenate(owners)[::-1], np.concatenate(ids)[::-1]
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], ids[order]
+        bare = ids < 0
+        if bare.any():
+            some, each = np.unique(ids[bare], return_inverse=True)
+            made = [self._bytes(chr(-1 - c)) for c in some.tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = np.array(list(map(len, made)))[each]
+            owner, ids, bare = np.repeat(owner, times), np.repeat(ids, times), np.repeat(bare, times)
+            ids[bare] = list(chain.from_iterable(made[k] for k in each.tolist()))
+        ends = (np.cumsum(np.bincount(owner, minlength=len(first))) * IDS.itemsize).tolist()
+        whole = ids.astype(IDS).tobytes()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
     def _walk(self, text: str, pieces: list[int], starts: list[int]) -> list[int]:
         out, end = [], len(text)
         while end > 0:
@@ -232,15 +349,11 @@ class Codec:
 
     # -- decoding ---------------------------------------------------------------
 
-    def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            byte = self.byte_of.get(i)
-            if byte is not None:
-                out.append(bytes([byte]))
-            elif i not in self.skip:
-                out.append(self.pieces[i][0].replace(MARK, " ").encode())
-        text = b"".join(out).decode("utf-8", "replace")
+    def decode(self, ids: Sequence[int] | bytes) -> str:
+        """The text of ids, which may be given as joined() gives them."""
+        if isinstance(ids, bytes):
+            ids = np.frombuffer(ids, IDS).tolist()
+        text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -252,7 +365,8 @@ def load(model: str) -> Codec:
     bytes_at = {int(pieces[i][0][3:5], 16): i for i in range(n) if sp.is_byte(i)}
     skip = frozenset(i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
     # a BPE model merges "a b" by priority: its own encoding tells, as the file's type isn't exposed
-    scores = [s for i, (p, s) in enumerate(pieces) if i not in skip and i not in set(bytes_at.values())]
+    plain = set(range(n)) - skip - set(bytes_at.values())
+    scores = [pieces[i][1] for i in sorted(plain)]
     bpe = all(float(s).is_integer() for s in scores)
     return Codec(pieces, bytes_at, bpe=bpe, prefix=sp.encode("a") != sp.encode(" a") or sp.id_to_piece(sp.encode("a")[0]).startswith(MARK), unknown=max(0, sp.unk_id()), skip=skip)
 
@@ -260,8 +374,7 @@ def load(model: str) -> Codec:
 def by_rank(codec: Codec) -> Codec:
     """The same pieces as a unigram model. Nothing is trained: a vocabulary lists its pieces by falling
     frequency, so by Zipf's law the log-probability of the piece with rank r is -log(r) less a constant."""
-    ranked = [i for i in range(len(codec.pieces)) if i in set(codec.id_of.values())]
-    ranked.sort(key=lambda i: (-codec.score[i], i))
+    ranked = sorted(codec.id_of.values(), key=lambda i: (-codec.score[i], i))
     whole = float(np.log(sum(1 / r for r in range(1, len(ranked) + 1))))
     score = {i: -float(np.log(r)) - whole for r, i in enumerate(ranked, 1)}
     pieces = [(p, score.get(i, 0.0)) for i, (p, _) in enumerate(codec.pieces)]
@@ -277,6 +390,13 @@ def default_model() -> str:
     return os.path.join(FOLDER, "piece_bpe_32k.model")
 
 
+def id_lists(texts: list[str | None], ids: list[bytes]) -> pa.ListArray:
+    """Lists of the ids of each text; null for null."""
+    ends = np.cumsum([0, *(len(i) // IDS.itemsize for i in ids)])
+    none = np.array([*(t is None for t in texts), False], bool)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=none), pa.array(np.frombuffer(b"".join(ids), IDS), pa.int32()))
+
+
 def encode(docs: DataFrame, model: str | None = None, *, column: str = "text", into: str = "ids", unigram: bool = False) -> DataFrame:
     """``docs`` with the piece ids of ``column``. ``model`` is a path that executors have."""
     model, into = model or default_model(), free_name(docs, into)
@@ -285,8 +405,9 @@ def encode(docs: DataFrame, model: str | None = None, *, column: str = "text", i
         codec = worker_codec(model, unigram)
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(column)):
-                ids = [None if t is None else codec.encode(t) for t in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, into])
+                texts = part.column(column).to_pylist()
+                ids = id_lists(texts, codec.joined([codec.words(t or "") for t in texts]))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, into])
 
     return docs.mapInArrow(run, f"{ddl_of(docs)}, `{into}` array<int>")
 
@@ -316,17 +437,17 @@ def encode_checked(docs: DataFrame, model: str | None = None, *, column: str = "
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(column)):
                 texts = part.column(column).to_pylist()
-                ids = [None if t is None else codec.encode(t) for t in texts]
+                ids = codec.joined([codec.words(t or "") for t in texts])
                 exact = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids)]
-                sizes = [None if i is None else len(i) for i in ids]
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())]
+                sizes = [None if t is None else len(i) // IDS.itemsize for t, i in zip(texts, ids)]
+                made = [id_lists(texts, ids), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
 
     return docs.mapInArrow(run, f"{ddl_of(docs)}, `{new[0]}` array<int>, `{new[1]}` long, `{new[2]}` boolean")
 
 
-def _digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+def _digest(ids: list[int] | bytes) -> str:
+    return hashlib.sha256(ids if isinstance(ids, bytes) else np.array(ids, IDS).tobytes()).hexdigest()
 
 
 def codec_report(docs: DataFrame, model: str | None = None, *, unigram: bool = False) -> DataFrame:
@@ -343,17 +464,16 @@ def codec_report(docs: DataFrame, model: str | None = None, *, unigram: bool = F
         codec, viterbi = worker_codec(model, unigram), worker_codec(model, True)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            docs, texts = (c.to_pylist() for c in batch.columns)
+            words = [codec.words(t or "") for t in texts]
+            both = [codec.joined(words)] * 2 if codec is viterbi else codec.joined_with(viterbi, words)
+            for doc, text, ids, sums in zip(docs, texts, *both):
                 if text is None:
                     rows.append((doc, *[None] * 7))
                     continue
-                if codec is viterbi:
-                    ids = sums = codec.encode(text)
-                else:
-                    ids, sums = codec.encode_with(viterbi, text)
                 back = codec.decode(ids)
                 digest = _digest(ids)
-                rows.append((doc, len(text), len(ids), digest, hashlib.sha256(back.encode()).hexdigest(), back == text, len(sums), digest if sums is ids else _digest(sums)))
+                rows.append((doc, len(text), len(ids) // IDS.itemsize, digest, hashlib.sha256(back.encode()).hexdigest(), back == text, len(sums) // IDS.itemsize, digest if sums is ids else _digest(sums)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 8, schema)], schema=schema)
 
     ddl = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean, viterbi_pieces long, viterbi_sha256 string"

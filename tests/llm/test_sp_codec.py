@@ -202,3 +202,28 @@ def test_both_segmentations_at_once(pair):
     codec, other = pair[0], C.by_rank(pair[0])
     for text in ("", " ", "a▁b ▁▁ c", "the quick  brown fox ", "x" * 300, "漢字 ▁"):
         assert codec.encode_with(other, text) == (codec.encode(text), other.encode(text))
+
+
+def test_words_passed_together_are_those_passed_alone(pair):
+    """Both passes over arrays of words give the ids of the passes over one word, with or without a place in the cache."""
+    r = random.Random(5)
+    letters = "etaoinshrdlucmfw.,=-/019éüxyzTHE日本🤖\n\0"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.choice([0, 1, 3, 9, 20, 63, 64, 90]))) for _ in range(150)) for _ in range(8)] + ["", "a▁▁b ", " "]
+    for room in (120_000, 40):
+        codec, other = (C.Codec(c.pieces, c.bytes_at, bpe=c.bpe, prefix=c.prefix, unknown=c.unknown, skip=c.skip, cache=room) for c in (pair[0], C.by_rank(pair[0])))
+        words = [codec.words(t) for t in texts]
+        both = codec.joined_with(other, words)
+        assert len(codec.cache) <= room + 1 and len(other.cache) <= room + 1
+        for one, found in zip((codec, other), both):
+            alone = [[i for w in some for i in (one._segment(w) if w else one._bytes(C.MARK))] for some in words]
+            assert [one._packed(ids) for ids in alone] == found == one.joined(words)
+        assert [codec.decode(ids) for ids in both[0]] == texts and [other.decode(ids) for ids in both[1]] == texts
+
+
+def test_models_are_ready_soon(pair):
+    """Each Python worker makes them: it took 25 CPU seconds when a set of all ids was built for each piece."""
+    import time
+
+    began = time.process_time()
+    C.by_rank(pair[0])
+    assert time.process_time() - began < 5

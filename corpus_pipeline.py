@@ -23,8 +23,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest doc_id.
 
-    Near duplicates share 0.8 of their five-word shingles; op10's contract (four words, four bits)
-    is that of its query only.
+    Near duplicates share 0.8 of their five-word shingles. SimHash fingerprints within four bits are found by op10's
+    pigeonring and checked exactly; prefix filtering adds the pairs that lie further apart. op10's
+    contract (four words, four bits and no check) is that of its query only.
     """
     common.small_batches(spark)
     return near_copies.keep_one(docs, words=5, least=0.8)

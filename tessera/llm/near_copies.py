@@ -1,9 +1,11 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicate groups by SimHash pigeonring and the exact Jaccard similarity of word shingles, for the pipeline.
 
 Documents are linked if their sets of ``words``-word shingles (64-bit hashes) have a Jaccard
-similarity of ``least`` or more. Such pairs lie up to some 17 of 64 SimHash bits apart. Pigeonring
+similarity of ``least`` or more. SimHash fingerprints of the same shingles, repeats included, give the first candidates: those
+within ``distance`` bits are found by op10's pigeonring chains (``simhash.links``), and an exact check follows.
+Pairs that are ``least`` alike lie up to some 17 of 64 bits apart, though. Pigeonring
 segments for so many bits are three or four bits wide, so a bucket would be an eighth of the corpus;
-candidates come by prefix filtering instead, which loses no pair: sets of a and b shingles that
+the other candidates come by prefix filtering, which loses no pair: sets of a and b shingles that
 are ``least`` alike share one of the first a - ceil(least * a) + 1 of the one and of the first
 b - ceil(least * b) + 1 of the other, in any one order of all shingles.
 
@@ -16,8 +18,8 @@ Inside a group of texts that share a prefix shingle, pairs are dropped whose siz
 marks can't give ``least``. Marks are the parities of a set's shingles in as many cells as it has
 shingles, about: two sets differ in at least as many shingles as their marks differ in cells. Groups
 of copies would still have pairs in the square of their size, so links are found in two rounds.
-First each group gives a spanning forest of its possible pairs, the likeliest first, and these get
-the exact similarity. Only groups in which one of them isn't ``least`` alike are searched again, in blocks with
+First each group gives a spanning forest of its possible pairs, the likeliest first, and these and
+the fingerprints' pairs get the exact similarity. Only groups in which one of them isn't ``least`` alike are searched again, in blocks with
 whole sets (``ngram_join``), for links between texts that the first round hasn't joined: no pair is written that isn't a link.
 ``least`` counts in whole percent there.
 
@@ -44,26 +46,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import MOST_BROADCAST, materialize, row_key, without
 from tessera.llm.ngram_join import StoredJoin
-from tessera.llm.shingles import SEED, shingle_set
+from tessera.llm.shingles import SEED, shingles
 from tessera.llm.simhash import components, forest
 
+
 def _sets(words: int):
-    """Rows (doc_id, row_key, id, shingles); shingles are null where the task has already given those of the id."""
+    """Rows (doc_id, row_key, id, shingles, fp), fp the fingerprint; both are null where the task has already given those of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
-                ids, sets = [], []
+                ids, sets, prints = [], [], []
                 for text in few.column(2):
-                    own, hashes = shingle_set(text.as_py(), words)
+                    own, hashes = shingles(text.as_py(), words)
                     ids.append(own)
-                    sets.append(None if own in seen else hashes.tobytes())
+                    sets.append(None if own in seen else np.unique(hashes.view(np.int64)).tobytes())
+                    prints.append(None if own in seen else int(np.uint64(simhash.folded(hashes)).view(np.int64)))
                     seen.add(own)
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "row_key", "id", "shingles"])
+                made = [pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(prints, pa.int64())]
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), *made], names=["doc_id", "row_key", "id", "shingles", "fp"])
 
     return run
 
@@ -262,9 +268,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialize(both.select("u", "v", "s", "t").mapInArrow(_alike(least), "u long, v long"), "near-links")
 
 
-def links(sets: DataFrame, *, least: float = 0.8, frequent: int = 500_000, block: int = 20_000, limit: int = 2_000_000) -> DataFrame:
+def print_pairs(prints: DataFrame, *, distance: int = 4, block: int = 20_000) -> DataFrame:
+    """Pairs (u, v) of ids in ``prints`` (id, fp), u the smaller: their components are those of all pairs within ``distance`` bits.
+
+    Pigeonring links join different fingerprints, each of which stands for its smallest id; the others of it are linked with that one.
+    """
+    first = materialize(prints.groupBy("fp").agg(F.min("id").alias("id")), "distinct-prints")
+    near = simhash.links(first.select("fp"), distance=distance, block=block)
+    near = near.join(first.select(F.col("fp").alias("u"), F.col("id").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("id").alias("b")), "v").select("a", "b")
+    same = prints.distinct().join(first.withColumnRenamed("id", "a"), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    return near.unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def links(sets: DataFrame, prints: DataFrame, *, least: float = 0.8, distance: int = 4, frequent: int = 500_000, block: int = 20_000, limit: int = 2_000_000) -> DataFrame:
     """Pairs (u, v) of ids in ``sets`` (id, shingles) whose Jaccard similarity is ``least`` or more:
-    so many that their components are those of all such pairs."""
+    so many that their components are those of all such pairs. ``prints`` (id, fp) are their fingerprints."""
     ddl = "h long, id long, n int, at int"
     none = np.zeros(0, np.int64)
     # samples decide on the order of shingles and on the division of work only, never on pairs
@@ -289,7 +307,8 @@ def links(sets: DataFrame, *, least: float = 0.8, frequent: int = 500_000, block
     spread = spread.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "at", "id", "own", "marks")
     tried = spread.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(_group_pairs(least), "h long, u long, v long")
     tried = materialize(tried, "spanning-pairs")
-    found = _verified(tried.select("u", "v").distinct(), sets, least)
+    near = materialize(print_pairs(prints, distance=distance, block=block), "print-pairs")
+    found = _verified(near.unionByName(tried.select("u", "v")).distinct(), sets, least)
     failed = tried.join(found, ["u", "v"], "left_anti")
     again = rows.join(_few(failed.select("h").distinct()), "h", "left_semi").withColumn("n", F.col("n").cast("long"))
     search = StoredJoin(sets, least=round(100 * least), limit=limit)
@@ -302,11 +321,12 @@ def links(sets: DataFrame, *, least: float = 0.8, frequent: int = 500_000, block
 def _grouped(docs: DataFrame, words: int, least: float, frequent: int, block: int) -> DataFrame:
     """(doc_id, row_key, first) for each row of ``docs``; first is the (without, doc_id, row_key) of the
     component's first row: the smallest doc_id, and rows without one last."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(_sets(words), "doc_id long, row_key long, id long, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(_sets(words), "doc_id long, row_key long, id long, shingles binary, fp long")
     rows = materialize(rows, "shingles")
     own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
     distinct = materialize(rows.groupBy("id").agg(F.min(own).alias("low")), "distinct-texts")
-    roots = components(links(rows.where("shingles is not null").select("id", "shingles"), least=least, frequent=frequent, block=block))
+    once = rows.where("shingles is not null")
+    roots = components(links(once.select("id", "shingles"), once.select("id", "fp"), least=least, frequent=frequent, block=block))
     named = distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     named = materialize(named, "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("first"))

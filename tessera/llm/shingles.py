@@ -1,4 +1,4 @@
-"""Sets of word shingles as 64-bit hashes."""
+"""Word shingles and their sets as 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import xxhash
 SEED = 42
 
 
-def shingle_set(text: str | None, words: int = 5) -> tuple[int, np.ndarray]:
-    """A hash of the text's words and the ascending distinct hashes of its shingles, as signed longs."""
+def shingles(text: str | None, words: int = 5) -> tuple[int, np.ndarray]:
+    """A hash of the text's words, as a signed long, and the unsigned hashes of its shingles in their order, repeats included."""
     found = (text or "").encode().lower().split()
     joined = b" ".join(found)
     hashed = xxhash.xxh64_intdigest
@@ -20,4 +20,10 @@ def shingle_set(text: str | None, words: int = 5) -> tuple[int, np.ndarray]:
         ends = np.cumsum(sizes + 1) - 1
         starts = (ends - sizes)[: 1 - words].tolist()
         hashes = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
-    return int(np.array([xxhash.xxh3_64_intdigest(joined, SEED)], np.uint64).view(np.int64)[0]), np.unique(hashes.view(np.int64))
+    return int(np.array([xxhash.xxh3_64_intdigest(joined, SEED)], np.uint64).view(np.int64)[0]), hashes
+
+
+def shingle_set(text: str | None, words: int = 5) -> tuple[int, np.ndarray]:
+    """A hash of the text's words and the ascending distinct hashes of its shingles, as signed longs."""
+    own, hashes = shingles(text, words)
+    return own, np.unique(hashes.view(np.int64))

@@ -56,6 +56,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         ends = np.cumsum(sizes + 1) - 1
         starts = (ends - sizes)[: 1 - words].tolist()
         hashes = np.array([hashed(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+    return folded(hashes)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of shingle hashes; zero if there are none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # long texts in parts
         part = hashes[at : at + (1 << 16)]

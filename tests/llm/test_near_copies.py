@@ -107,3 +107,40 @@ def test_families_just_under_the_bound_write_no_pairs(spark, monkeypatch):
         assert got == {i: i for i in range(n)} | {5000: 0, 5001: 2}
         sizes = {tag: frame.count() for tag, frame in written}
         assert sizes and max(sizes.values()) <= 2 * (n + 2), sizes
+
+
+def test_stage_searches_fingerprints_by_pigeonring(spark, monkeypatch):
+    """Pairs within four bits come from simhash.links over the five-word fingerprints of all texts and are checked exactly."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tessera.llm import simhash
+
+    rows = corpus(120) + EDGES
+    given, checked = [], []
+    search, verify = simhash.links, N._verified
+    monkeypatch.setattr(simhash, "links", lambda prints, **kw: given.append({r["fp"] % 2**64 for r in prints.collect()}) or search(prints, **kw))
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: checked.append({tuple(r) for r in pairs.collect()}) or verify(pairs, *rest))
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r["doc_id"] for r in kept.collect()} - {None} == {d for d, first in brute(rows) if d == first} - {None}
+    prints = {N.shingles(t)[0]: simhash.fingerprint(t, 5) for _, t in rows}
+    assert given == [set(prints.values())]
+    joined = {u: u for u in prints}
+
+    def find(x):
+        while joined[x] != x:
+            x = joined[x]
+        return x
+
+    for u, v in checked[0]:
+        joined[find(u)] = find(v)
+    near = [(u, v) for u in prints for v in prints if u < v and (prints[u] ^ prints[v]).bit_count() <= 4]
+    assert near and all(find(u) == find(v) for u, v in near)
+
+
+def test_fingerprint_pairs(spark):
+    prints = [(1, 0), (2, 0), (3, 0b1111), (4, 0b11111), (5, -1), (6, 1 << 40), (7, -1), (8, 0xFF << 20)]
+    got = {tuple(r) for r in N.print_pairs(spark.createDataFrame(prints + prints[:2], "id long, fp long")).collect()}
+    joined = {i: i for i, _ in prints}
+    for u, v in sorted(got):
+        assert u < v
+        joined[v] = min(joined[u], joined[v])
+    assert joined == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1, 7: 5, 8: 8}

@@ -23,3 +23,12 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_models_read_the_tables_once(spark):
+    """Models read the panel in many jobs, which must not go back to lineitem each time."""
+    from tessera import queries
+
+    frame = queries.QUERIES["model_v06"](spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in name for name in frame.inputFiles())
+    assert frame.count() > 0

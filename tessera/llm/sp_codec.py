@@ -17,7 +17,8 @@ Characters without a piece become their UTF-8 byte pieces. White space is the pi
 U+2581; a text's own U+2581 is written as byte pieces, so that decoding gives back every
 text exactly. Pieces hold the mark at their start only, so words are encoded by themselves and
 kept in a bounded cache; a model with marks elsewhere is run over whole texts. The words of some
-texts that the cache doesn't have take the pass together, position after position.
+texts that the cache doesn't have take the pass together, position after position, through the
+automaton's states and links in arrays.
 
 Defined cases
 - null text: null ids and null text; empty text: no ids.
@@ -38,7 +39,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
@@ -51,16 +52,70 @@ from tessera.llm.common import ddl_of, free_name, slices
 
 MARK = "▁"
 FOLDER = "/opt/tokenizers"
-#: Words from this length on are neither cached nor passed with others; fewer words than FEW aren't worth arrays; WORDS go at once.
-LONG, FEW, WORDS = 64, 50, 8192
+#: Words from this length on are neither cached nor passed with others; fewer words than FEW aren't worth arrays; WORDS go at once, and ids of PLACES words.
+LONG, FEW, WORDS, PLACES = 64, 50, 8192, 1 << 18
 #: Ids as they are joined, hashed and stored.
 IDS = np.dtype("<i4")
+#: Next states that an automaton's table may hold; code points.
+TABLE, POINTS = 1 << 24, 0x110000
+
+
+class Links:
+    """The automaton over ``pieces`` (text to id) in arrays, for many words at once.
+
+    States are the prefixes of pieces, by length; 0 is the empty one. The table gives the next state for the letters that most
+    states go on with, and failure links do for others. ``piece`` is the piece that a state is, or -1, ``ending`` the state of the longest
+    piece that ends at a state, ``link`` that of the longest one behind it; 0 where there is none.
+    """
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.pieces = pieces
+        names = ["", *sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)}, key=len)]
+        number = {name: i for i, name in enumerate(names)}
+        parent = np.array([number[name[:-1]] for name in names], np.int64)
+        letter = np.array([0, *(ord(name[-1]) for name in names[1:])], np.int64)
+        self.piece = np.array([pieces.get(name, -1) for name in names], np.int64)
+        self.fail, self.ending, self.link = (np.zeros(len(names), np.int64) for _ in range(3))
+        edge = parent[1:] * POINTS + letter[1:]
+        order = np.argsort(edge)
+        self.edges, self.to = np.append(edge[order], np.iinfo(np.int64).max), order + 1
+        some, times = np.unique(letter[1:], return_counts=True)
+        usual = some[np.argsort(-times, kind="stable")][: max(0, TABLE // len(names) - 1)]
+        self.column = np.zeros(POINTS, np.int32)
+        self.column[usual] = np.arange(1, len(usual) + 1)
+        self.table = np.zeros((len(names), len(usual) + 1), np.uint16 if len(names) <= 1 << 16 else np.int32)
+        depth = np.fromiter(map(len, names), np.int64, len(names))
+        ends = [0, *np.cumsum(np.bincount(depth)).tolist()]
+        for d, (a, b) in enumerate(zip(ends, ends[1:])):
+            if d > 1:
+                self.fail[a:b] = self.step(self.fail[parent[a:b]], letter[a:b])
+            self.table[a:b] = self.table[self.fail[a:b]]
+            on = np.arange(b, ends[d + 2] if d + 2 < len(ends) else b)
+            on = on[self.column[letter[on]] > 0]
+            self.table[parent[on], self.column[letter[on]]] = on
+            self.link[a:b] = self.ending[self.fail[a:b]]
+            self.ending[a:b] = np.where(self.piece[a:b] >= 0, np.arange(a, b), self.link[a:b])
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states that come after ``state`` with ``letter``."""
+        column = self.column[letter]
+        out = self.table[state, column].astype(np.int64)
+        at = np.flatnonzero(column == 0)
+        state, letter = state[at], letter[at]
+        while len(at):
+            key = state * POINTS + letter
+            place = np.searchsorted(self.edges, key)
+            hit = self.edges[place] == key
+            out[at[hit]] = self.to[place[hit]]
+            more = ~hit & (state > 0)
+            at, state, letter = at[more], self.fail[state[more]], letter[more]
+        return out
 
 
 class Codec:
     """Pieces of a model, given as (piece, score) in order of id."""
 
-    def __init__(self, pieces: list[tuple[str, float]], bytes_at: dict[int, int], *, bpe: bool, prefix: bool = True, unknown: int = 0, skip: frozenset[int] = frozenset(), cache: int = 120_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], bytes_at: dict[int, int], *, bpe: bool, prefix: bool = True, unknown: int = 0, skip: frozenset[int] = frozenset(), cache: int = 120_000, links: Links | None = None) -> None:
         self.pieces, self.bytes_at, self.bpe, self.prefix, self.unknown, self.skip = pieces, bytes_at, bpe, prefix, unknown, skip
         self.byte_of = {i: b for b, i in bytes_at.items()}
         self.id_of = {p: i for i, (p, _) in enumerate(pieces) if i not in skip and i not in self.byte_of and p}
@@ -68,22 +123,23 @@ class Codec:
         self.split: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for piece, i in self.id_of.items():
-            if not bpe or len(piece) == 1 or self._halves(i) is not None:  # else the merges never make it
-                self.automaton.add_word(piece, i)
+        whole = {p: i for p, i in self.id_of.items() if not bpe or len(p) == 1 or self._halves(i) is not None}  # the merges never make others
+        for piece, i in whole.items():
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
+        self.links = links if links is not None and links.pieces == whole else Links(whole)
         self.size = [len(p) for p, _ in pieces]
         self.sizes, self.scores = np.array(self.size, np.int64), np.array(self.score, float)
-        letters = set().union(*self.id_of)
-        self.gap = next(c for c in map(chr, range(0x110000)) if c not in letters)
         inner = any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.chunk = re.compile(r".+", re.S) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0) - 10.0
         #: Ids of words; the empty one stands for a text's own mark.
         self.cache: dict[str, bytes] = {"": self._packed(self._bytes(MARK))}
         self.room = cache
-        #: What is known of pairs, by a hash of the pair: the last one that had the place.
-        self.place, self.fits = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
+        #: What is known of pairs, twice the pair and 1 if it fits, by a hash of the pair: one that had the place.
+        self.known = np.full(1 << 19, -1, np.int64)
+        if bpe:
+            self._chains()
         self.text_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in skip else p.replace(MARK, " ").encode() for i, (p, _) in enumerate(pieces)]
 
     # -- encoding ---------------------------------------------------------------
@@ -117,28 +173,44 @@ class Codec:
     @staticmethod
     def _joined(codecs: list[Codec], texts: Sequence[list[str]]) -> list[list[bytes]]:
         """What a cache doesn't have is segmented together, each word once."""
-        used = set().union(*texts)
-        missing = sorted(set().union(*(used.difference(codec.cache) for codec in codecs)), key=len)
-        long = next((k for k, w in enumerate(missing) if len(w) >= LONG), len(missing))
-        long = long if long >= FEW else 0
+        number: dict[str, int] = defaultdict(count().__next__)
+        places = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int32)
+        used = list(number)
+        kept = [list(map(codec.cache.get, used)) for codec in codecs]
+        new = sorted({k for ids in kept for k, i in enumerate(ids) if i is None}, key=lambda k: len(used[k]))
+        missing = [used[k] for k in new]
+        short = next((k for k, w in enumerate(missing) if len(w) >= LONG), len(missing))
+        many = short if short >= FEW else 0
         made: list[list[bytes]] = [[] for _ in codecs]
-        for k in range(0, long, WORDS):
-            words, found = missing[k : min(long, k + WORDS)], None
-            for codec, ids in zip(codecs, made):
-                if found is None or len(codec.automaton) != len(codecs[0].automaton):
-                    found = codec._matches(words)
-                ids += codec._together(words, found)
-        out = []
-        for codec, ids in zip(codecs, made):
-            cache, had = codec.cache, len(codec.cache)
-            cache.update(zip(missing, ids + [codec._packed(codec._segment(w)) for w in missing[long:]]))
-            out.append([b"".join([cache[word] for word in words]) for words in texts])
-            room = codec.room - had
-            for k, word in enumerate(missing):
-                if k >= room or len(word) >= LONG:
-                    del cache[word]
+        shared = all(codec.links is codecs[0].links for codec in codecs)
+        for k in range(0, many, WORDS):
+            words = missing[k : min(many, k + WORDS)]
+            found = Codec._together(codecs, words) if shared else [ids for codec in codecs for ids in Codec._together([codec], words)]
+            for ids, more in zip(made, found):
+                ids += more
+        out, ends = [], np.cumsum([0, *map(len, texts)])
+        for codec, ids, more in zip(codecs, kept, made):
+            more += [codec._packed(codec._segment(w)) for w in missing[many:]]
+            for k, i in zip(new, more):
+                ids[k] = i
+            codec.cache.update(zip(missing[: min(short, max(0, codec.room - len(codec.cache)))], more))
+            out.append(Codec._dealt(ids, places, ends))
         return out
 
+    @staticmethod
+    def _dealt(ids: list[bytes], places: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids of texts that end at ``ends`` of ``places``, which number their words; some words at once."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // IDS.itemsize
+        first, whole = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), IDS)
+        parts, upto = [], np.append(0, np.cumsum(sizes[places]))
+        for k in range(0, len(places), PLACES):
+            some = places[k : k + PLACES]
+            size = sizes[some]
+            turn = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            parts.append(whole[np.repeat(first[some], size) + turn].tobytes())
+        raw, cuts = b"".join(parts), (upto[ends] * IDS.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return np.array(ids, IDS).tobytes()
@@ -197,74 +269,82 @@ class Codec:
         """_pair() of arrays."""
         key = before * len(self.pieces) + piece
         at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64)
-        fits = self.fits[at]
-        new = np.flatnonzero(self.place[at] != key)
+        known = self.known[at]
+        fits, new = (known & 1) > 0, np.flatnonzero(known >> 1 != key)
         if len(new):
             some, each = np.unique(key[new], return_inverse=True)
-            found = np.array([self._pair(*divmod(k, len(self.pieces))) for k in some.tolist()], bool)
-            fits[new] = found[each]
-            for i, k in zip(new.tolist(), each.tolist()):  # one after the other: pairs may share a place
-                self.place[at[i]], self.fits[at[i]] = some[k], found[k]
+            fits[new] = self._borders(*np.divmod(some, len(self.pieces)))[each]
+            self.known[at[new]] = key[new] * 2 + fits[new]
         return fits
 
-    def _matches(self, words: list[str]) -> np.ndarray:
-        """Rows (last character, piece) of all pieces in ``words``, which have a gap behind each: no piece goes over it."""
-        found = self.automaton.iter(self.gap.join(words) + self.gap)
-        return np.fromiter(chain.from_iterable(found), np.int32).reshape(-1, 2).astype(np.int64)
-
-    def _together(self, words: list[str], found: np.ndarray) -> list[bytes]:
-        """The ids of each of ``words``, which ascend by length and match ``found``: the pass over all of them at once.
+    @staticmethod
+    def _together(codecs: list[Codec], words: list[str]) -> list[list[bytes]]:
+        """The ids of each of ``words``, which ascend by length, by each of the codecs, which share their links: the pass over all at once.
 
-        Prefixes are nodes, one more than characters, numbered through all words; ``first`` are the empty ones. Pieces that
-        end at one node relax it in the automaton's order, the longest first; their ranks in it keep nodes apart in an array.
+        Prefixes are nodes, numbered by length and word. Those of one length take a step of the automaton, and the pieces that
+        end at them relax them in its order, the longest first.
         """
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.cumsum(sizes + 1) - sizes - 1
-        text = self.gap.join(words) + self.gap
-        end, piece = found[:, 0] + 1, found[:, 1]
-        level = end - np.repeat(first, sizes + 1)[found[:, 0]]
-        turn = np.arange(len(end))
-        rank = turn - np.maximum.accumulate(np.where(np.diff(end, prepend=-1) != 0, turn, 0))
-        order = np.lexsort((rank, level))
-        end, piece, level, rank = end[order], piece[order], level[order], rank[order]
-        start = end - self.sizes[piece]
-        steps = defaultdict(list)
-        edges = [0, *(np.flatnonzero((np.diff(level) != 0) | (np.diff(rank) != 0)) + 1).tolist(), len(end)]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                steps[int(level[a])].append(slice(a, b))
-        last, back = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)
-        best = np.zeros(len(text) + 1)
-        for depth in range(1, int(sizes[-1]) + 1):
-            if not self.bpe:
-                nodes = first[np.searchsorted(sizes, depth) :] + depth
-                best[nodes] = best[nodes - 1] + self.worst
-            for step in steps[depth]:
-                to, by, at = end[step], piece[step], start[step]
-                if self.bpe:
-                    open_ = last[to] < 0
-                    to, by, at = to[open_], by[open_], at[open_]
-                    before = last[at]
-                    fits = before < 0
-                    inner = np.flatnonzero(~fits)
-                    fits[inner] = self._pairs(before[inner], by[inner])
+        links, wide = codecs[0].links, len(words)
+        sizes = np.fromiter(map(len, words), np.int64, wide)
+        top = int(sizes[-1])
+        letters = np.zeros((top, wide), np.int64)
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters[np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(wide), sizes)] = text
+        state = np.zeros(wide, np.int64)
+        lasts = [np.full((top + 1) * wide, -1) for _ in codecs]
+        sums = [None if codec.bpe else np.zeros((top + 1) * wide) for codec in codecs]
+        backs = [codec.sizes[links.piece] * wide for codec in codecs]
+        gains = [codec.scores[links.piece] for codec in codecs]
+        for depth in range(1, top + 1):
+            a = int(np.searchsorted(sizes, depth))
+            state[a:] = links.step(state[a:], letters[depth - 1, a:])
+            ending = links.ending[state[a:]]
+            some = np.flatnonzero(ending)
+            ending, nodes = ending[some], some + (depth * wide + a)
+            for codec, last, best, back, gain in zip(codecs, lasts, sums, backs, gains):
+                if best is None:
+                    codec._merge_step(ending, nodes, last, back)
                 else:
-                    value = best[at] + self.scores[by]
-                    fits = value > best[to]
-                    best[to[fits]] = value[fits]
-                last[to[fits]], back[to[fits]] = by[fits], at[fits]
-        return self._walks(text, first, sizes, last, back)
-
-    def _walks(self, text: str, first: np.ndarray, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[bytes]:
+                    row = slice(depth * wide + a, (depth + 1) * wide)
+                    best[row] = best[row.start - wide : row.stop - wide] + codec.worst
+                    codec._sum_step(ending, nodes, last, back, best, gain)
+        return [codec._walks(letters, sizes, last) for codec, last in zip(codecs, lasts)]
+
+    def _sum_step(self, ending: np.ndarray, nodes: np.ndarray, last: np.ndarray, back: np.ndarray, best: np.ndarray, gain: np.ndarray) -> None:
+        """Relaxes ``nodes``, where pieces of the states ``ending`` and of their links end, by sums; ``back`` and ``gain`` are by state."""
+        while len(ending):
+            value = best[nodes - back[ending]] + gain[ending]
+            fits = np.flatnonzero(value > best[nodes])
+            to = nodes[fits]
+            best[to], last[to] = value[fits], self.links.piece[ending[fits]]
+            ending = self.links.link[ending]
+            more = np.flatnonzero(ending)
+            ending, nodes = ending[more], nodes[more]
+
+    def _merge_step(self, ending: np.ndarray, nodes: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+        """The same by borders: the first piece that fits is a node's last."""
+        while len(ending):
+            before, piece = last[nodes - back[ending]], self.links.piece[ending]
+            fits = before < 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self._pairs(before[inner], piece[inner])
+            last[nodes[fits]] = piece[fits]
+            ending = np.where(fits, 0, self.links.link[ending])
+            more = np.flatnonzero(ending)
+            ending, nodes = ending[more], nodes[more]
+
+    def _walks(self, letters: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> list[bytes]:
         """_walk() of many words at once, from their ends."""
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        owner, at, owners, ids = np.arange(len(first)), first + sizes, [], []
+        wide = len(sizes)
+        letters = letters.ravel()
+        owner, owners, ids = np.arange(wide), [], []
+        at = sizes * wide + owner
         while len(owner):
             piece = last[at]
             owners.append(owner)
-            ids.append(np.where(piece >= 0, piece, -1 - code[at - 1]))  # below 0: a character without a piece
-            at = np.where(piece >= 0, back[at], at - 1)
-            more = at > first[owner]
+            ids.append(np.where(piece >= 0, piece, -1 - letters[at - wide]))  # below 0: a character without a piece
+            at = at - np.where(piece >= 0, self.sizes[piece], 1) * wide
+            more = np.flatnonzero(at >= wide)
             owner, at = owner[more], at[more]
         owner, ids = np.concatenate(owners)[::-1], np.concatenate(ids)[::-1]
         order = np.argsort(owner, kind="stable")
@@ -277,7 +357,7 @@ class Codec:
             times[bare] = np.array(list(map(len, made)))[each]
             owner, ids, bare = np.repeat(owner, times), np.repeat(ids, times), np.repeat(bare, times)
             ids[bare] = list(chain.from_iterable(made[k] for k in each.tolist()))
-        ends = (np.cumsum(np.bincount(owner, minlength=len(first))) * IDS.itemsize).tolist()
+        ends = (np.cumsum(np.bincount(owner, minlength=wide)) * IDS.itemsize).tolist()
         whole = ids.astype(IDS).tobytes()
         return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -347,6 +427,43 @@ class Codec:
                         return False
         return True
 
+    def _chains(self) -> None:
+        """What _borders() takes: chains of all pieces one behind the other, and all merges of two pieces, by pair."""
+        self.made = np.where(self.sizes > 1, self.scores, np.inf)
+        self.sides = []
+        for side in (1, 0):
+            ids, floors, ends = [], [], [0]
+            for i in range(len(self.pieces)):
+                piece, floor = i, -np.inf
+                ids.append(piece)
+                floors.append(floor)
+                while (halves := self._halves(piece)) is not None:
+                    floor, piece = self.made[piece], halves[side]
+                    ids.append(piece)
+                    floors.append(floor)
+                ends.append(len(ids))
+            self.sides.append((np.array(ids), np.array(floors), np.array(ends[:-1]), np.diff(ends)))
+        pairs = {a * len(self.pieces) + b: self.score[i] for p, i in self.id_of.items() for k in range(1, len(p)) if (a := self.id_of.get(p[:k])) is not None and (b := self.id_of.get(p[k:])) is not None}
+        order = sorted(pairs)
+        self.merges, self.merged = np.array([*order, np.iinfo(np.int64).max]), np.array([pairs[k] for k in order] + [0.0])
+
+    def _borders(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_border() of arrays: each link of the chain on the left against each on the right."""
+        (lefts, above, at, many), (rights, beyond, to, much) = self.sides
+        times = many[left] * much[right]
+        owner = np.repeat(np.arange(len(left)), times)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        i, j = np.divmod(turn, much[right][owner])
+        i, j = i + at[left][owner], j + to[right][owner]
+        key = lefts[i] * len(self.pieces) + rights[j]
+        place = np.searchsorted(self.merges, key)
+        hit = np.flatnonzero(self.merges[place] == key)
+        i, j, place, owner = i[hit], j[hit], place[hit], owner[hit]
+        when = np.minimum(self.merged[place], np.minimum(self.made[lefts[i]], self.made[rights[j]]))
+        fits = np.ones(len(left), bool)
+        fits[owner[(when > above[i]) & (when >= beyond[j])]] = False
+        return fits
+
     # -- decoding ---------------------------------------------------------------
 
     def decode(self, ids: Sequence[int] | bytes) -> str:
@@ -378,12 +495,12 @@ def by_rank(codec: Codec) -> Codec:
     whole = float(np.log(sum(1 / r for r in range(1, len(ranked) + 1))))
     score = {i: -float(np.log(r)) - whole for r, i in enumerate(ranked, 1)}
     pieces = [(p, score.get(i, 0.0)) for i, (p, _) in enumerate(codec.pieces)]
-    return Codec(pieces, codec.bytes_at, bpe=False, prefix=codec.prefix, unknown=codec.unknown, skip=codec.skip)
+    return Codec(pieces, codec.bytes_at, bpe=False, prefix=codec.prefix, unknown=codec.unknown, skip=codec.skip, links=codec.links)
 
 
 @lru_cache(maxsize=2)
 def worker_codec(model: str, unigram: bool = False) -> Codec:
-    return by_rank(load(model)) if unigram else load(model)
+    return by_rank(worker_codec(model)) if unigram else load(model)
 
 
 def default_model() -> str:

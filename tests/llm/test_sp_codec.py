@@ -227,3 +227,50 @@ def test_models_are_ready_soon(pair):
     began = time.process_time()
     C.by_rank(pair[0])
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("table", [C.TABLE, 500_000, 0])
+def test_links_find_what_the_automaton_finds(pair, monkeypatch, table):
+    """States, links and table give the library's matches, the longest first, whatever part of the letters the table has."""
+    monkeypatch.setattr(C, "TABLE", table)
+    r = random.Random(6)
+    for codec, letters in ((pair[0], "etaoinshrdlucmfw▁.,=-/019éüßxyzTHE日本漢語の🤖\n\0"), (C.Codec([(p, -1.0) for p in ("a", "ab", "bab", "abcab", "cab", "▁", "日本", "本")], {}, bpe=False), "abc▁日本x")):
+        links = C.Links(codec.links.pieces)
+        for _ in range(300):
+            text = "".join(r.choice(letters) for _ in range(r.randint(1, 40)))
+            state, found = C.np.zeros(1, int), []
+            for end, char in enumerate(text):
+                state = links.step(state, C.np.array([ord(char)]))
+                at = links.ending[state[0]]
+                while at:
+                    found.append((end, int(links.piece[at])))
+                    at = links.link[at]
+            assert found == list(codec.automaton.iter(text))
+
+
+def test_borders_of_arrays(pair):
+    codec = pair[0]
+    r = random.Random(7)
+    ids = list(codec.id_of.values())
+    starts, ends = ([i for i in ids if codec.pieces[i][0].strip(C.MARK) in ("t", "th", "he", "in", "a", "er", "s", "is", "the", "=", "==", "")] for _ in range(2))
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(20_000)] + list(itertools.product(starts, ends))
+    fits = codec._borders(*map(C.np.array, zip(*pairs))).tolist()
+    assert fits == [codec._border(a, b) for a, b in pairs] and 0 < sum(fits) < len(fits)
+
+
+def test_words_take_no_python_step_for_a_pair_or_match(pair, monkeypatch):
+    """New words went through a tuple for each match and Python calls for each new pair of pieces: 994 CPU seconds a GB."""
+    codec, other = pair[0], C.by_rank(pair[0])
+    r = random.Random(8)
+    words = ["▁" + "".join(r.choice("etaoinshrdluc") for _ in range(r.randint(3, 20))) for _ in range(2000)]
+    want = [b"".join(one._packed(one._segment(w)) for w in words) for one in (codec, other)]
+
+    def never(*_):
+        raise AssertionError("not with arrays")
+
+    for name in ("_pair", "_border", "_merge_pass", "_sum_pass"):
+        monkeypatch.setattr(C.Codec, name, never)
+    fresh = [C.Codec(c.pieces, c.bytes_at, bpe=c.bpe, prefix=c.prefix, unknown=c.unknown, skip=c.skip, links=codec.links) for c in (codec, other)]
+    for one in fresh:
+        one.automaton = None
+    assert [ids for ids, in fresh[0].joined_with(fresh[1], [words])] == want

@@ -274,3 +274,9 @@ def test_words_take_no_python_step_for_a_pair_or_match(pair, monkeypatch):
     for one in fresh:
         one.automaton = None
     assert [ids for ids, in fresh[0].joined_with(fresh[1], [words])] == want
+
+
+def test_unigram_worker_makes_one_automaton_table(pair):
+    """sentencepiece_unigram's model takes the table of the model that it ranks; each worker made its own."""
+    assert C.worker_codec(C.default_model(), True).links is C.worker_codec(C.default_model()).links
+    assert C.by_rank(pair[0]).links is pair[0].links

@@ -57,7 +57,7 @@ LONG, FEW, WORDS, PLACES = 64, 50, 8192, 1 << 18
 #: Ids as they are joined, hashed and stored.
 IDS = np.dtype("<i4")
 #: Next states that an automaton's table may hold; code points.
-TABLE, POINTS = 1 << 24, 0x110000
+TABLE, POINTS = 1 << 23, 0x110000
 
 
 class Links:

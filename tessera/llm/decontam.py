@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, row_key, slices, without
+from tessera.llm.common import materialize, row_key, slices, tidy, without
 
 WORD = re.compile(r"\w+")
 LEAST_BLOCK, MOST_BLOCKS = 8, 64
@@ -310,7 +310,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, share: float, least: float, sh
             continue
         known = {r["w"]: r["df"] for r in part.select(F.explode("w").alias("w")).distinct().join(frequency, "w").collect()}
         indexes = [build_index(few, (total["n"], total["words"] / total["n"]), known, share, shingle) for few in classes(held)]
-        leaks = rows.mapInArrow(_leaks(indexes, least, shingle), FOUND)
+        leaks = rows.mapInArrow(tidy(_leaks(indexes, least, shingle)), FOUND)
         if shards > 1:
             leaks = materialize(leaks, "leaks")
         found = leaks if found is None else found.unionByName(leaks)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import MOST_BROADCAST, materialize, row_key, without
+from tessera.llm.common import MOST_BROADCAST, materialize, row_key, tidy, without
 from tessera.llm.ngram_join import StoredJoin
 from tessera.llm.shingles import SEED, shingles
 from tessera.llm.simhash import components, forest
@@ -265,7 +265,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     held = materialize(sets.join(_few(ids), "id", "left_semi").dropDuplicates(["id"]), "candidate-sets")
     both = pairs.join(held.select(F.col("id").alias("u"), F.col("shingles").alias("s")), "u").join(held.select(F.col("id").alias("v"), F.col("shingles").alias("t")), "v")
-    return materialize(both.select("u", "v", "s", "t").mapInArrow(_alike(least), "u long, v long"), "near-links")
+    return materialize(both.select("u", "v", "s", "t").mapInArrow(tidy(_alike(least)), "u long, v long"), "near-links")
 
 
 def print_pairs(prints: DataFrame, *, distance: int = 4, block: int = 20_000) -> DataFrame:
@@ -286,11 +286,11 @@ def links(sets: DataFrame, prints: DataFrame, *, least: float = 0.8, distance: i
     ddl = "h long, id long, n int, at int"
     none = np.zeros(0, np.int64)
     # samples decide on the order of shingles and on the division of work only, never on pairs
-    first = sets.sample(0.25, seed=SEED).mapInArrow(_prefixes(least, none, none), ddl).groupBy("h").agg(F.count("*").alias("k")).where("k > 2")
+    first = sets.sample(0.25, seed=SEED).mapInArrow(tidy(_prefixes(least, none, none)), ddl).groupBy("h").agg(F.count("*").alias("k")).where("k > 2")
     often = first.orderBy(F.desc("k"), "h").limit(frequent).toArrow()
     h, k = (often.column(c).to_numpy().astype(np.int64) for c in ("h", "k"))
     order = np.argsort(h)
-    prefixes = _prefixes(least, h[order], k[order])
+    prefixes = tidy(_prefixes(least, h[order], k[order]))
     # groups that are too large for one task are dealt out in blocks, a task for each pair of them
     part = min(1.0, 100 / block)
     some = sets.sample(part, seed=SEED) if part < 1 else sets
@@ -298,14 +298,14 @@ def links(sets: DataFrame, prints: DataFrame, *, least: float = 0.8, distance: i
     hot = _few(hot)
     rows = sets.mapInArrow(prefixes, ddl).join(hot, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.select("h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "blocks", "id", "n", "at")
-    rows = rows.repartition("h", "own").sortWithinPartitions("h", "own", "id").mapInArrow(_shared, "h long, own int, blocks int, id long, n int, at int")
+    rows = rows.repartition("h", "own").sortWithinPartitions("h", "own", "id").mapInArrow(tidy(_shared), "h long, own int, blocks int, id long, n int, at int")
     rows = materialize(rows, "shared-shingles")
-    marked = sets.mapInArrow(_marked, "id long, marks binary").dropDuplicates(["id"])
+    marked = sets.mapInArrow(tidy(_marked), "id long, marks binary").dropDuplicates(["id"])
 
     spread = rows.join(marked, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["h", "low", "high"]
     spread = spread.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "at", "id", "own", "marks")
-    tried = spread.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(_group_pairs(least), "h long, u long, v long")
+    tried = spread.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(tidy(_group_pairs(least)), "h long, u long, v long")
     tried = materialize(tried, "spanning-pairs")
     near = materialize(print_pairs(prints, distance=distance, block=block), "print-pairs")
     found = _verified(near.unionByName(tried.select("u", "v")).distinct(), sets, least)
@@ -321,7 +321,7 @@ def links(sets: DataFrame, prints: DataFrame, *, least: float = 0.8, distance: i
 def _grouped(docs: DataFrame, words: int, least: float, frequent: int, block: int) -> DataFrame:
     """(doc_id, row_key, first) for each row of ``docs``; first is the (without, doc_id, row_key) of the
     component's first row: the smallest doc_id, and rows without one last."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(_sets(words), "doc_id long, row_key long, id long, shingles binary, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(tidy(_sets(words)), "doc_id long, row_key long, id long, shingles binary, fp long")
     rows = materialize(rows, "shingles")
     own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
     distinct = materialize(rows.groupBy("id").agg(F.min(own).alias("low")), "distinct-texts")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, materialize, row_key
+from tessera.llm.common import MOST_BROADCAST, MOST_BYTES, materialize, row_key, tidy
 from tessera.llm.shingles import SEED, shingle_set
 from tessera.llm.simhash import components
 
@@ -358,7 +358,7 @@ class NgramJoin:
 
     def _linked(self, tasks: DataFrame) -> DataFrame:
         """(u, v) found in ``tasks`` (id, *TASK, side, root)."""
-        return self._sets(tasks).repartition(*TASK).sortWithinPartitions(*TASK, "n", "id").mapInArrow(_search(self.least), "u long, v long")
+        return self._sets(tasks).repartition(*TASK).sortWithinPartitions(*TASK, "n", "id").mapInArrow(tidy(_search(self.least)), "u long, v long")
 
     def links(self, members: DataFrame | None = None) -> DataFrame:
         """Pairs (u, v) of ids whose components are those of all pairs that are ``least`` percent alike.

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, row_key, without
+from tessera.llm.common import materialize, row_key, tidy, without
 
 BITS = 64
 
@@ -205,7 +205,7 @@ def links(prints: DataFrame, *, distance: int = 4, block: int = 20_000) -> DataF
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("at", "seg", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "own")
     key = ["at", "seg", "low", "high"]
-    return rows.select(*key, "fp", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links(distance, block), "u long, v long").distinct()
+    return rows.select(*key, "fp", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(_bucket_links(distance, block)), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, *, tag: str = "components") -> DataFrame:

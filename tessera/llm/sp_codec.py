@@ -45,15 +45,16 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ddl_of, free_name, slices
+from tessera.llm.common import ddl_of, free_name, slices, tidy
 
 MARK = "▁"
 FOLDER = "/opt/tokenizers"
-#: Words from this length on are neither cached nor passed with others; fewer words than FEW aren't worth arrays; WORDS go at once, and ids of PLACES words.
-LONG, FEW, WORDS, PLACES = 64, 50, 8192, 1 << 18
+#: Words from this length on are neither cached nor passed with others; fewer words than FEW aren't worth arrays; WORDS go at once, ids of PLACES words, and bytes of BYTES ids.
+LONG, FEW, WORDS, PLACES, BYTES = 64, 50, 8192, 1 << 18, 1 << 16
 #: Ids as they are joined, hashed and stored.
 IDS = np.dtype("<i4")
 #: Next states that an automaton's table may hold; code points.
@@ -141,6 +142,9 @@ class Codec:
         if bpe:
             self._chains()
         self.text_of = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in skip else p.replace(MARK, " ").encode() for i, (p, _) in enumerate(pieces)]
+        self.letters = np.frombuffer(b"".join(self.text_of), np.uint8)
+        self.lengths = np.fromiter(map(len, self.text_of), np.int32, len(pieces))
+        self.firsts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
 
     # -- encoding ---------------------------------------------------------------
 
@@ -470,9 +474,24 @@ class Codec:
         """The text of ids, which may be given as joined() gives them."""
         if isinstance(ids, bytes):
             ids = np.frombuffer(ids, IDS).tolist()
-        text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self._text(b"".join(map(self.text_of.__getitem__, ids)))
+
+    def _text(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def decoded(self, texts: Sequence[bytes]) -> list[str]:
+        """decode() of each of some texts, given as joined() gives them: their bytes are taken from the pieces' in arrays."""
+        ids, parts = np.frombuffer(b"".join(texts), IDS), []
+        upto = np.append(0, np.cumsum(self.lengths[ids], dtype=np.int64))
+        for k in range(0, len(ids), BYTES):
+            some = ids[k : k + BYTES]
+            size = self.lengths[some]
+            shift = self.firsts[some] - np.cumsum(size, dtype=np.int32) + size
+            parts.append(self.letters[np.repeat(shift, size) + np.arange(size.sum(), dtype=np.int32)].tobytes())
+        raw, cuts = b"".join(parts), upto[np.cumsum([0, *(len(i) // IDS.itemsize for i in texts)])].tolist()
+        return [self._text(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+
 
 def load(model: str) -> Codec:
     """A codec of a SentencePiece model file."""
@@ -503,6 +522,27 @@ def worker_codec(model: str, unigram: bool = False) -> Codec:
     return by_rank(worker_codec(model)) if unigram else load(model)
 
 
+class Model:
+    """The codecs of a model file, made where they are first used.
+
+    Tasks get it as a broadcast: a worker keeps the value from task to task, and lets go of it when it is
+    given a task without it. A worker's own cache would stay beside all that the worker does later.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.made: dict[bool, Codec] = {}
+
+    def codec(self, unigram: bool = False) -> Codec:
+        if unigram not in self.made:
+            self.made[unigram] = by_rank(self.codec()) if unigram else load(self.path)
+        return self.made[unigram]
+
+
+def held(frame: DataFrame, model: str | None) -> Broadcast[Model]:
+    return frame.sparkSession.sparkContext.broadcast(Model(model or default_model()))
+
+
 def default_model() -> str:
     return os.path.join(FOLDER, "piece_bpe_32k.model")
 
@@ -516,51 +556,51 @@ def id_lists(texts: list[str | None], ids: list[bytes]) -> pa.ListArray:
 
 def encode(docs: DataFrame, model: str | None = None, *, column: str = "text", into: str = "ids", unigram: bool = False) -> DataFrame:
     """``docs`` with the piece ids of ``column``. ``model`` is a path that executors have."""
-    model, into = model or default_model(), free_name(docs, into)
+    shared, into = held(docs, model), free_name(docs, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model, unigram)
+        codec = shared.value.codec(unigram)
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(column)):
                 texts = part.column(column).to_pylist()
                 ids = id_lists(texts, codec.joined([codec.words(t or "") for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(run, f"{ddl_of(docs)}, `{into}` array<int>")
+    return docs.mapInArrow(tidy(run), f"{ddl_of(docs)}, `{into}` array<int>")
 
 
 def decode(rows: DataFrame, model: str | None = None, *, column: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text of the piece ids in ``column``."""
-    model, into = model or default_model(), free_name(rows, into)
+    shared, into = held(rows, model), free_name(rows, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model)
+        codec = shared.value.codec()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [None if i is None else codec.decode(i) for i in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
-    return rows.mapInArrow(run, f"{ddl_of(rows)}, `{into}` string")
+    return rows.mapInArrow(tidy(run), f"{ddl_of(rows)}, `{into}` string")
 
 
 def encode_checked(docs: DataFrame, model: str | None = None, *, column: str = "text", unigram: bool = False) -> DataFrame:
     """``docs`` with ``ids``, ``n_pieces`` and ``exact``: whether decoding the ids gives back the text."""
-    model = model or default_model()
+    shared = held(docs, model)
     new = [free_name(docs, n) for n in ("ids", "n_pieces", "exact")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model, unigram)
+        codec = shared.value.codec(unigram)
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(column)):
                 texts = part.column(column).to_pylist()
                 ids = codec.joined([codec.words(t or "") for t in texts])
-                exact = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids)]
+                exact = [None if t is None else back == t for t, back in zip(texts, codec.decoded(ids))]
                 sizes = [None if t is None else len(i) // IDS.itemsize for t, i in zip(texts, ids)]
                 made = [id_lists(texts, ids), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
 
-    return docs.mapInArrow(run, f"{ddl_of(docs)}, `{new[0]}` array<int>, `{new[1]}` long, `{new[2]}` boolean")
+    return docs.mapInArrow(tidy(run), f"{ddl_of(docs)}, `{new[0]}` array<int>, `{new[1]}` long, `{new[2]}` boolean")
 
 
 def _digest(ids: list[int] | bytes) -> str:
@@ -574,24 +614,23 @@ def codec_report(docs: DataFrame, model: str | None = None, *, unigram: bool = F
     decoding gave back the text. The Viterbi's columns are of the segmentation with the largest sum of
     scores of by_rank(), of the same pieces. ``unigram``: all columns are of that.
     """
-    model = model or default_model()
+    shared = held(docs, model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("exact", pa.bool_()), ("viterbi_pieces", pa.int64()), ("viterbi_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, viterbi = worker_codec(model, unigram), worker_codec(model, True)
+        codec, viterbi = shared.value.codec(unigram), shared.value.codec(True)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             docs, texts = (c.to_pylist() for c in batch.columns)
             words = [codec.words(t or "") for t in texts]
             both = [codec.joined(words)] * 2 if codec is viterbi else codec.joined_with(viterbi, words)
-            for doc, text, ids, sums in zip(docs, texts, *both):
+            for doc, text, ids, sums, back in zip(docs, texts, *both, codec.decoded(both[0])):
                 if text is None:
                     rows.append((doc, *[None] * 7))
                     continue
-                back = codec.decode(ids)
                 digest = _digest(ids)
                 rows.append((doc, len(text), len(ids) // IDS.itemsize, digest, hashlib.sha256(back.encode()).hexdigest(), back == text, len(sums) // IDS.itemsize, digest if sums is ids else _digest(sums)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 8, schema)], schema=schema)
 
     ddl = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean, viterbi_pieces long, viterbi_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ddl)

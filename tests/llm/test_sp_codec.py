@@ -3,6 +3,7 @@ import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -280,3 +281,28 @@ def test_unigram_worker_makes_one_automaton_table(pair):
     """sentencepiece_unigram's model takes the table of the model that it ranks; each worker made its own."""
     assert C.worker_codec(C.default_model(), True).links is C.worker_codec(C.default_model()).links
     assert C.by_rank(pair[0]).links is pair[0].links
+
+
+def test_workers_let_go_of_a_model_when_they_do_other_work(spark):
+    frame = spark.range(16).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(8)
+    assert C.encode_checked(frame).where("exact").count() == 16
+
+    def held(batches):
+        import gc
+
+        for batch in batches:
+            many = sum(type(x).__name__ in ("Codec", "Links") for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([many] * batch.num_rows, pa.int64())], names=["many"])
+
+    assert {r["many"] for r in frame.select("doc_id").mapInArrow(held, "many long").collect()} == {0}
+
+
+def test_texts_are_decoded_together_as_one_by_one(pair, monkeypatch):
+    codec, r = pair[0], random.Random(8)
+    texts = ["", " ", "▁", "a▁b", "é🤖\x00", "x" * 300, "�"] + ["".join(r.choice("abc éß日🤖\n▁") for _ in range(r.randint(0, 40))) for _ in range(500)]
+    ids = codec.joined([codec.words(t) for t in texts])
+    ids.append(codec._packed([codec.bytes_at[0xC3], codec.bytes_at[0x28]]))  # bytes that are no text
+    for size in (1, 7, C.BYTES):
+        monkeypatch.setattr(C, "BYTES", size)
+        assert codec.decoded(ids) == [codec.decode(i) for i in ids]
+    assert codec.decoded(ids)[:-1] == texts and codec.decoded([]) == []

@@ -18,7 +18,8 @@ U+2581; a text's own U+2581 is written as byte pieces, so that decoding gives ba
 text exactly. Pieces hold the mark at their start only, so words are encoded by themselves and
 kept in a bounded cache; a model with marks elsewhere is run over whole texts. The words of some
 texts that the cache doesn't have take the pass together, position after position, through the
-automaton's states and links in arrays.
+automaton's states and links in arrays. Texts are cut into words where their bytes lie, and Arrow's
+dictionary encoding numbers these, so that only different words become Python strings.
 
 Defined cases
 - null text: null ids and null text; empty text: no ids.
@@ -40,18 +41,21 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, count
+from operator import eq
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ddl_of, free_name, slices, tidy
+from tessera.llm.common import ddl_of, free_name, slices, text_bytes, tidy
 
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 FOLDER = "/opt/tokenizers"
 #: Words from this length on are neither cached nor passed with others; fewer words than FEW aren't worth arrays; WORDS go at once, ids of PLACES words, and bytes of BYTES ids.
 LONG, FEW, WORDS, PLACES, BYTES = 64, 50, 8192, 1 << 18, 1 << 16
@@ -131,8 +135,8 @@ class Codec:
         self.links = links if links is not None and links.pieces == whole else Links(whole)
         self.size = [len(p) for p, _ in pieces]
         self.sizes, self.scores = np.array(self.size, np.int64), np.array(self.score, float)
-        inner = any(MARK in p.lstrip(MARK) for p in self.id_of)
-        self.chunk = re.compile(r".+", re.S) if inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.inner = any(MARK in p.lstrip(MARK) for p in self.id_of)
+        self.chunk = re.compile(r".+", re.S) if self.inner else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0) - 10.0
         #: Ids of words; the empty one stands for a text's own mark.
         self.cache: dict[str, bytes] = {"": self._packed(self._bytes(MARK))}
@@ -176,14 +180,48 @@ class Codec:
 
     @staticmethod
     def _joined(codecs: list[Codec], texts: Sequence[list[str]]) -> list[list[bytes]]:
-        """What a cache doesn't have is segmented together, each word once."""
         number: dict[str, int] = defaultdict(count().__next__)
         places = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int32)
-        used = list(number)
+        return Codec._ids(codecs, list(number), places, np.cumsum([0, *map(len, texts)]))
+
+    def led(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of some texts with the space that the model puts before them, and their borders; a text that is null or empty has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if self.prefix:
+            lead, none = (pa.scalar(c, pa.large_string()) for c in (" ", ""))
+            texts = pa.compute.if_else(pa.compute.equal(texts, none), none, pa.compute.binary_join_element_wise(lead, texts, none))
+        return text_bytes(texts)
+
+    def numbered(self, raw: np.ndarray, borders: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """words() of texts given as led() gives them: the words, once each, the number of each word of the texts, and the texts' borders among these.
+
+        A word begins with a run of spaces, with a text, and on both sides of a text's own mark.
+        """
+        first = np.zeros(len(raw) + 1, bool)
+        if not self.inner:
+            first[:-1] = raw == 32
+            first[1:-1] &= raw[:-1] != 32
+        own = np.flatnonzero(raw == MARK_BYTES[0])
+        own = own[(raw[own + 1] == MARK_BYTES[1]) & (raw[own + 2] == MARK_BYTES[2])]
+        first[own] = first[own + 3] = first[borders] = True
+        starts = np.flatnonzero(first)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+        used = pa.compute.replace_substring(words.dictionary, " ", MARK).to_numpy(zero_copy_only=False).tolist()
+        alone = words.dictionary.index(MARK).as_py() if len(own) else -1
+        if alone >= 0:
+            used[alone] = ""
+        return used, words.indices.to_numpy(), np.searchsorted(starts, borders)
+
+    @staticmethod
+    def _ids(codecs: list[Codec], used: list[str], places: np.ndarray, ends: np.ndarray) -> list[list[bytes]]:
+        """The ids by each codec of texts that end at ``ends`` of ``places``, which number their words in ``used``. What a cache doesn't have is segmented together, each word once."""
         kept = [list(map(codec.cache.get, used)) for codec in codecs]
-        new = sorted({k for ids in kept for k, i in enumerate(ids) if i is None}, key=lambda k: len(used[k]))
-        missing = [used[k] for k in new]
-        short = next((k for k, w in enumerate(missing) if len(w) >= LONG), len(missing))
+        known = np.fromiter(chain(*(map(bool, ids) for ids in kept)), bool).reshape(len(codecs), -1).all(0)
+        new = np.flatnonzero(~known)
+        sizes = np.fromiter(map(len, map(used.__getitem__, new.tolist())), np.int64, len(new))
+        order = np.argsort(sizes, kind="stable")
+        new, short = new[order].tolist(), int(np.searchsorted(sizes[order], LONG))
+        missing = list(map(used.__getitem__, new))
         many = short if short >= FEW else 0
         made: list[list[bytes]] = [[] for _ in codecs]
         shared = all(codec.links is codecs[0].links for codec in codecs)
@@ -192,7 +230,7 @@ class Codec:
             found = Codec._together(codecs, words) if shared else [ids for codec in codecs for ids in Codec._together([codec], words)]
             for ids, more in zip(made, found):
                 ids += more
-        out, ends = [], np.cumsum([0, *map(len, texts)])
+        out = []
         for codec, ids, more in zip(codecs, kept, made):
             more += [codec._packed(codec._segment(w)) for w in missing[many:]]
             for k, i in zip(new, more):
@@ -481,7 +519,11 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     def decoded(self, texts: Sequence[bytes]) -> list[str]:
-        """decode() of each of some texts, given as joined() gives them: their bytes are taken from the pieces' in arrays."""
+        """decode() of each of some texts, given as joined() gives them."""
+        return list(map(self._text, self.spelt(texts)))
+
+    def spelt(self, texts: Sequence[bytes]) -> list[bytes]:
+        """The bytes of each of some texts, given as joined() gives them, taken from the pieces' in arrays; a prefix stays."""
         ids, parts = np.frombuffer(b"".join(texts), IDS), []
         upto = np.append(0, np.cumsum(self.lengths[ids], dtype=np.int64))
         for k in range(0, len(ids), BYTES):
@@ -490,7 +532,7 @@ class Codec:
             shift = self.firsts[some] - np.cumsum(size, dtype=np.int32) + size
             parts.append(self.letters[np.repeat(shift, size) + np.arange(size.sum(), dtype=np.int32)].tobytes())
         raw, cuts = b"".join(parts), upto[np.cumsum([0, *(len(i) // IDS.itemsize for i in texts)])].tolist()
-        return [self._text(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def load(model: str) -> Codec:
@@ -547,10 +589,21 @@ def default_model() -> str:
     return os.path.join(FOLDER, "piece_bpe_32k.model")
 
 
-def id_lists(texts: list[str | None], ids: list[bytes]) -> pa.ListArray:
+def encoded(codecs: list[Codec], texts: pa.Array) -> tuple[list[list[bytes]], list[bytes], list[bytes]]:
+    """The ids of each text of a column by each of the codecs, its UTF-8 bytes, and those of what the first codec's ids decode to."""
+    codec = codecs[0]
+    raw, borders = codec.led(texts)
+    ids = codec._ids(codecs, *codec.numbered(raw, borders))
+    whole, lead, cuts = raw.tobytes(), int(codec.prefix), borders.tolist()
+    own = [whole[a + lead : b] for a, b in zip(cuts, cuts[1:])]
+    back = [text if spelt == whole[a:b] else codec._text(spelt).encode() for text, spelt, a, b in zip(own, codec.spelt(ids[0]), cuts, cuts[1:])]
+    return ids, own, back
+
+
+def id_lists(texts: pa.Array, ids: list[bytes]) -> pa.ListArray:
     """Lists of the ids of each text; null for null."""
     ends = np.cumsum([0, *(len(i) // IDS.itemsize for i in ids)])
-    none = np.array([*(t is None for t in texts), False], bool)
+    none = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=none), pa.array(np.frombuffer(b"".join(ids), IDS), pa.int32()))
 
 
@@ -562,8 +615,8 @@ def encode(docs: DataFrame, model: str | None = None, *, column: str = "text", i
         codec = shared.value.codec(unigram)
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(column)):
-                texts = part.column(column).to_pylist()
-                ids = id_lists(texts, codec.joined([codec.words(t or "") for t in texts]))
+                texts = part.column(column)
+                ids = id_lists(texts, codec._ids([codec], *codec.numbered(*codec.led(texts)))[0])
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, into])
 
     return docs.mapInArrow(tidy(run), f"{ddl_of(docs)}, `{into}` array<int>")
@@ -593,11 +646,11 @@ def encode_checked(docs: DataFrame, model: str | None = None, *, column: str = "
         codec = shared.value.codec(unigram)
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(column)):
-                texts = part.column(column).to_pylist()
-                ids = codec.joined([codec.words(t or "") for t in texts])
-                exact = [None if t is None else back == t for t, back in zip(texts, codec.decoded(ids))]
-                sizes = [None if t is None else len(i) // IDS.itemsize for t, i in zip(texts, ids)]
-                made = [id_lists(texts, ids), pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())]
+                texts = part.column(column)
+                (ids,), own, back = encoded([codec], texts)
+                lists, none = id_lists(texts, ids), texts.is_null().to_numpy(zero_copy_only=False)
+                exact = np.fromiter(map(eq, own, back), bool, len(own))
+                made = [lists, pa.compute.list_value_length(lists).cast(pa.int64()), pa.array(exact, mask=none)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
 
     return docs.mapInArrow(tidy(run), f"{ddl_of(docs)}, `{new[0]}` array<int>, `{new[1]}` long, `{new[2]}` boolean")
@@ -621,15 +674,15 @@ def codec_report(docs: DataFrame, model: str | None = None, *, unigram: bool = F
         codec, viterbi = shared.value.codec(unigram), shared.value.codec(True)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
-            docs, texts = (c.to_pylist() for c in batch.columns)
-            words = [codec.words(t or "") for t in texts]
-            both = [codec.joined(words)] * 2 if codec is viterbi else codec.joined_with(viterbi, words)
-            for doc, text, ids, sums, back in zip(docs, texts, *both, codec.decoded(both[0])):
-                if text is None:
+            docs, texts = batch.columns
+            found, *texts_of = encoded([codec] if codec is viterbi else [codec, viterbi], texts)
+            chars = pa.compute.utf8_length(texts).to_pylist()
+            for doc, many, ids, sums, own, back in zip(docs.to_pylist(), chars, found[0], found[-1], *texts_of):
+                if many is None:
                     rows.append((doc, *[None] * 7))
                     continue
                 digest = _digest(ids)
-                rows.append((doc, len(text), len(ids) // IDS.itemsize, digest, hashlib.sha256(back.encode()).hexdigest(), back == text, len(sums) // IDS.itemsize, digest if sums is ids else _digest(sums)))
+                rows.append((doc, many, len(ids) // IDS.itemsize, digest, hashlib.sha256(back).hexdigest(), back == own, len(sums) // IDS.itemsize, digest if sums is ids else _digest(sums)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 8, schema)], schema=schema)
 
     ddl = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean, viterbi_pieces long, viterbi_sha256 string"
